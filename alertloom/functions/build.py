@@ -33,10 +33,6 @@ def _collect(dtype: T.DataType) -> None:
 _collect(S.FINDING)
 
 
-def nil_columns() -> list[str]:
-    return [f"{_NIL}{i}" for i in range(len(_nested_types))]
-
-
 def with_nils(df: DataFrame) -> DataFrame:
     """Adds a NULL column per nested type of the finding, for ``record`` and ``always``.
 

@@ -200,13 +200,14 @@ def text_severity(word: Sql) -> Sql:
 
 def time_text(v: Sql, *keys: str) -> Sql:
     """Time value as stripped text; ``$numberLong`` / ``$date`` wrappers are opened."""
-    whole = V.truthy(v, *keys)
+    whole = strip(V.truthy(v, *keys))
+    wrapped = Sql(V.get(v, *keys).text)
     opened = F.coalesce(
-        V.truthy(v, *keys, "$numberLong"),
-        V.truthy(v, *keys, "$date", "$numberLong"),
-        V.truthy(v, *keys, "$date"),
+        V.truthy(wrapped, "$numberLong"),
+        V.truthy(wrapped, "$date", "$numberLong"),
+        V.truthy(wrapped, "$date"),
     )
-    return V.let(whole, lambda t: F.when(t.startswith("{"), F.coalesce(opened, t)).otherwise(strip(t)))
+    return F.when(whole.startswith("{"), F.coalesce(opened, whole)).otherwise(whole)
 
 
 def first_time_text(v: Sql, *names: str) -> Sql:

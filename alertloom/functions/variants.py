@@ -44,23 +44,76 @@ def parse_strict(json_text: Sql) -> Sql:
     )
 
 
+class Doc(Sql):
+    """A VARIANT object whose wanted keys are read together.
+
+    Asking a VARIANT for a missing key is costly, and most vendor keys are
+    missing in most alerts.  A ``Doc`` notes the keys asked of it; ``opened`` then
+    reads them all in one pass as a struct, with NULL for the missing ones.
+    """
+
+    __slots__ = ("alias_", "children", "level")
+
+    def __init__(self, text: str, alias: str, level: int = 0):
+        super().__init__(text)
+        self.alias_ = alias
+        self.children: dict[str, Doc] = {}
+        self.level = level
+
+    def child(self, key: str) -> Doc:
+        if key not in self.children:
+            alias = f"{self.alias_}_{len(self.children)}"
+            self.children[key] = Doc(f"{self.alias_}.`{key}`", alias, self.level + 1)
+        return self.children[key]
+
+    def opened(self) -> Sql:
+        fields = ",".join(f"`{k}`:variant" for k in self.children)
+        return Sql(f"try_variant_get({self.text}, '$', 'struct<{fields}>')")
+
+    def tree(self) -> list[Doc]:
+        """This object and all objects in it of which keys are wanted, parents first."""
+        inner = [d for c in self.children.values() for d in c.tree()]
+        return [self, *inner] if self.children else []
+
+
 def get(v: Sql, *keys: str) -> Sql:
-    return F.try_variant_get(v, path(*keys), "variant")
+    """The VARIANT under nested keys, NULL when missing."""
+    if isinstance(v, Doc):
+        for k in keys:
+            v = v.child(k)
+        return v
+    return F.try_variant_get(v, path(*keys), "variant") if keys else v
 
 
 def text(v: Sql, *keys: str) -> Sql:
     """Scalar as text, container as JSON text, NULL when missing or JSON null."""
-    return F.try_variant_get(v, path(*keys), "string")
+    return F.try_variant_get(get(v, *keys), "$", "string")
 
 
 def integer(v: Sql, *keys: str) -> Sql:
     """Integer cast or NULL: 12.9 gives 12, "12" gives 12, "12.9" gives NULL."""
-    return F.try_variant_get(v, path(*keys), "long")
+    return F.try_variant_get(get(v, *keys), "$", "long")
 
 
 def items(v: Sql, *keys: str) -> Sql:
     """``array<variant>`` of a JSON list, NULL for anything else."""
-    return F.try_variant_get(v, path(*keys), "array<variant>")
+    return F.try_variant_get(get(v, *keys), "$", "array<variant>")
+
+
+def over(list_: Sql, body: Callable[[Sql], Sql]) -> Sql:
+    """``body`` for each object of an ``array<variant>``; other elements read as empty objects."""
+    element = Doc("e", "o")
+    result = body(element)
+    root, *inner = element.tree()
+    opened = F.transform(list_, Sql(f"e -> {root.opened()}"))
+    if not inner:
+        return Sql(f"transform({opened}, o -> {result})")
+    parts = ", ".join(f"'{d.alias_}', {d.opened()}" for d in inner)
+    body_text = result.text
+    for d in inner:
+        body_text = body_text.replace(f"{d.alias_}.", f"oo.{d.alias_}.")
+    body_text = re.sub(r"(?<![\w.])o\.", "oo.o.", body_text)
+    return Sql(f"transform(transform({opened}, o -> named_struct('o', o, {parts})), oo -> {body_text})")
 
 
 def kind(v: Sql) -> Sql:
@@ -110,7 +163,7 @@ def first_truthy(v: Sql, *names: str) -> Sql:
 def truthy_items(v: Sql, *keys: str) -> Sql:
     """Texts of the truthy elements of a list, NULL when there are none."""
     texts = F.filter(F.transform(items(v, *keys), lambda e: truthy(e)), lambda t: t.isNotNull())
-    return F.when(F.size(texts) > 0, texts)
+    return let(texts, lambda t: F.when(F.size(t) > 0, t))
 
 
 def truthy_not_text(v: Sql, *keys: str) -> Sql:
@@ -127,6 +180,11 @@ def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def head(list_: Sql) -> Sql:
+    """First non-NULL element."""
+    return F.get(F.array_compact(list_), 0)
+
+
 def pick_first(list_: Sql, value: Callable[[Sql], Sql]) -> Sql:
     """First non-NULL ``value`` over the elements."""
     return F.try_element_at(_hits(list_, value), F.lit(1))

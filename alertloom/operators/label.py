@@ -16,6 +16,7 @@ from alertloom.functions import scalars as sc
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F as X
 from alertloom.functions.sql import Sql, columns
+from alertloom.functions.stage import once
 from alertloom.functions.text import strip
 from alertloom.operators.vendors import BUILT_IN, registry
 from alertloom.operators.vendors.common import Leaves, Vendor, finding
@@ -26,12 +27,22 @@ NOW = "current_timestamp()"
 
 
 def dispatch(df: DataFrame, raw_log: str = "raw_log", vendors: tuple[Vendor, ...] = BUILT_IN) -> DataFrame:
-    """Adds ``raw`` (VARIANT), ``source`` (cleaned, NULL when missing) and ``vendor`` (NULL when unlisted)."""
-    source = B.some_text(strip(X.lower(V.truthy(X.col("raw"), "source"))))
-    return (
-        df.withColumn("raw", V.parse(X.col(raw_log)).column())
-        .withColumn("source", source.column())
-        .withColumn("vendor", sc.lookup(registry(vendors), X.col("source")).column())
+    """Adds ``source`` (cleaned, NULL when missing), ``vendor`` (NULL when unlisted), ``alert``, ``bad_json``."""
+    keep = [c for c in df.columns if c != "source"]
+    raw = V.Doc("_raw", "_record")
+    source, alert = V.get(raw, "source"), V.get(raw, "alert")
+    named = (
+        df.withColumn("_raw", V.parse(X.col(raw_log)).column())
+        .select(*keep, "_raw", *columns(_record=raw.opened()))
+        .select(*keep, "_raw", "_record", *columns(source=B.some_text(strip(X.lower(V.truthy(source))))))
+    )
+    return once(
+        named,
+        keep,
+        source=X.col("source"),
+        vendor=sc.lookup(registry(vendors), X.col("source")),
+        alert=alert,
+        bad_json=X.col("_raw").isNull(),
     )
 
 
@@ -42,7 +53,7 @@ def map_alerts(
     vendors: tuple[Vendor, ...] = BUILT_IN,
     only: str | None = None,
 ) -> DataFrame:
-    """Adds ``source, vendor, finding, skip_reason, time_defaulted``.
+    """Adds ``source, vendor, skip_reason, finding, time_defaulted``.
 
     ``finding`` is NULL exactly when ``skip_reason`` is set: ``bad_json``,
     ``missing_source``, ``unknown_source``, ``missing_required`` or ``bad_type``.
@@ -52,36 +63,53 @@ def map_alerts(
     routed = dispatch(df, raw_log, vendors)
     if only is not None:
         routed = routed.filter(F.col("vendor") == only)
-    used = [v for v in vendors if only in (None, v.name)]
-    keep = [c for c in routed.columns if c != "raw"]
-    now = Sql(as_of)
+    return map_dispatched(routed, as_of, tuple(v for v in vendors if only in (None, v.name)))
 
-    opened = B.with_nils(routed.withColumn("alert", V.get(X.col("raw"), "alert").column()))
-    read = opened.select(
-        *keep,
-        *B.nil_columns(),
-        F.col("raw").isNull().alias("_bad_json"),
-        *columns(**{f"_{v.name}": _leaf_struct(v) for v in used}),
-    )
 
-    by_vendor = {v: Leaves(X.col(f"_{v.name}"), now) for v in used}
+def map_dispatched(routed: DataFrame, as_of: str = NOW, vendors: tuple[Vendor, ...] = BUILT_IN) -> DataFrame:
+    """``map_alerts`` for records that went through ``dispatch``."""
+    keep = [c for c in routed.columns if c not in ("alert", "bad_json")]
+    docs = {v: V.Doc("alert", f"_doc_{v.name}") for v in vendors}
+    leaves = {f"_{v.name}": _leaf_struct(v, doc) for v, doc in docs.items()}
+    read = once(B.with_nils(_open(routed, docs)), [*keep, "bad_json"], **leaves)
+    now = Sql(as_of)
+    by_vendor = {v: Leaves(X.col(f"_{v.name}"), now) for v in vendors}
     reason = (
-        X.when(X.col("_bad_json"), "bad_json")
+        X.when(X.col("bad_json"), "bad_json")
         .when(X.col("source").isNull(), "missing_source")
         .when(X.col("vendor").isNull(), "unknown_source")
         .when(_case({v: _missing(v, x) for v, x in by_vendor.items()}), "missing_required")
         .when(_case({v: x.bad_type for v, x in by_vendor.items()}), "bad_type")
     )
-    reasoned = read.withColumn("skip_reason", reason.column())
+    reasoned = B.with_nils(read.withColumn("skip_reason", reason.column()))
     parts = {v: v.build(x) for v, x in by_vendor.items()}
     ok = X.col("skip_reason").isNull()
-    built = X.when(ok, _case({v: finding(parts[v], now) for v in used}))
-    unread = X.when(ok, _case({v: sc.parse_time(parts[v]["time"]).isNull() for v in used}))
-    return reasoned.select(*keep, "skip_reason", *columns(finding=built, time_defaulted=unread))
+    return once(
+        reasoned,
+        [*keep, "skip_reason"],
+        finding=X.when(ok, _case({v: finding(parts[v], now) for v in vendors})),
+        time_defaulted=X.when(
+            ok, _case({v: sc.parse_time(parts[v]["time"]).isNull() for v in vendors})
+        ),
+    )
+
+
+def _open(routed: DataFrame, docs: dict[Vendor, V.Doc]) -> DataFrame:
+    """The wanted keys of each alert as struct columns, one projection per nesting level."""
+    levels: dict[int, dict[str, Sql]] = {}
+    for vendor, doc in docs.items():
+        for d in doc.tree():
+            value = d.opened()
+            if d.level == 0:
+                value = X.when(X.col("vendor") == vendor.name, value)
+            levels.setdefault(d.level, {})[d.alias_] = value
+    for level in sorted(levels):
+        routed = routed.select("*", *columns(**levels[level]))
+    return routed
 
 
-def _leaf_struct(vendor: Vendor) -> Sql:
-    fields = vendor.leaves(X.col("alert"))
+def _leaf_struct(vendor: Vendor, alert: V.Doc) -> Sql:
+    fields = vendor.leaves(alert)
     return X.when(
         X.col("vendor") == vendor.name, X.struct(*[c.alias(n) for n, c in fields.items()])
     )

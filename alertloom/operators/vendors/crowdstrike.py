@@ -42,8 +42,8 @@ def leaves(a: Sql) -> dict[str, Sql]:
         "tactic_id": V.truthy(a, "tactic_id"),
         "technique": V.truthy(a, "technique"),
         "technique_id": V.truthy(a, "technique_id"),
-        "product": V.truthy(F.try_variant_get(a, "$.source_products[0]", "variant")),
-        "vendor": V.truthy(F.try_variant_get(a, "$.source_vendors[0]", "variant")),
+        "product": V.truthy(F.get(V.items(a, "source_products"), 0)),
+        "vendor": V.truthy(F.get(V.items(a, "source_vendors"), 0)),
         "original_time": V.first_truthy(a, "timestamp", "created_timestamp"),
         "time": sc.first_time_text(a, "timestamp", "created_timestamp", "context_timestamp"),
         "start_time": sc.time_text(a, "start_timestamp"),
@@ -71,7 +71,7 @@ def leaves(a: Sql) -> dict[str, Sql]:
         **_ancestor(a, "grand", "grandparent_details"),
         "user": V.truthy(a, "user_name"),
         "domain": V.truthy(a, "logon_domain"),
-        "network": F.transform(
+        "network": V.over(
             V.items(a, "network_accesses"),
             lambda n: F.struct(
                 V.first_truthy(n, "local_address", "local_ip").alias("local_ip"),
@@ -82,7 +82,7 @@ def leaves(a: Sql) -> dict[str, Sql]:
         ),
         "ioc_type": F.lower(V.truthy(a, "ioc_type")),
         "ioc_value": V.truthy(a, "ioc_value"),
-        "dns": F.transform(V.items(a, "dns_requests"), lambda d: V.truthy(d, "domain_name")),
+        "dns": V.over(V.items(a, "dns_requests"), lambda d: V.truthy(d, "domain_name")),
         "scenario": V.truthy_value(a, "scenario"),
         "data_domains": V.truthy_value(a, "data_domains"),
         "aggregate_id": V.truthy_value(a, "aggregate_id"),

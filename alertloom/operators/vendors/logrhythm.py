@@ -14,9 +14,19 @@ from alertloom.operators.vendors.common import Leaves, Vendor, any_of, attack, i
 
 def leaves(a: Sql) -> dict[str, Sql]:
     nested = V.get(a, "alarmDetails")
-    d = F.coalesce(nested, a)
+    flat = nested.isNull()
+    inside = _fields(V.get(a, "alarmDetails"))
+    outside = _fields(a)
+    chosen = {n: F.when(flat, outside[n]).otherwise(inside[n]) for n in inside}
+    return {
+        **chosen,
+        "bad_type": any_of((~flat) & ~V.is_object(nested), chosen["bad_type"]),
+    }
+
+
+def _fields(d: Sql) -> dict[str, Sql]:
     status_number = F.when(
-        ~V.is_text(d, "alarmStatus"), F.try_variant_get(d, "$.alarmStatus", "double")
+        ~V.is_text(d, "alarmStatus"), F.try_variant_get(V.get(d, "alarmStatus"), "$", "double")
     )
     return {
         "title": V.truthy(d, "alarmRuleName"),
@@ -32,7 +42,6 @@ def leaves(a: Sql) -> dict[str, Sql]:
         "entity": V.truthy(d, "entityName"),
         "updated_by": V.truthy_value(d, "lastUpdatedName"),
         "bad_type": any_of(
-            nested.isNotNull() & ~V.is_object(nested),
             V.truthy_not_text(d, "alarmRuleName"),
             V.truthy_not_text(d, "alarmStatusName"),
         ),

@@ -82,7 +82,7 @@ def leaves(a: Sql) -> dict[str, Sql]:
         "product": V.truthy(a, "productName"),
         "severity": V.text(a, "severity"),
         "status": V.truthy(a, "status"),
-        "seen": V.let(F.transform(V.items(a, "evidence"), _evidence), _fold),
+        "seen": V.let(V.over(V.items(a, "evidence"), _evidence), _fold),
         "detection_source": V.truthy_value(a, "detectionSource"),
         "incident_id": V.truthy(a, "incidentId"),
         "detector_id": V.truthy(a, "detectorId"),

@@ -79,13 +79,11 @@ def leaves(a: Sql) -> dict[str, Sql]:
         "url": V.truthy(a, *prop("incidentUrl")),
         "tactics": texts("tactics"),
         "techniques": texts("techniques"),
-        "product": V.truthy(
-            F.try_variant_get(a, "$.properties.additionalData.alertProductNames[0]", "variant")
-        ),
+        "product": V.truthy(F.get(V.items(a, *extra("alertProductNames")), 0)),
         "time": sc.time_text(a, *prop("createdTimeUtc")),
         "severity": V.text(a, *prop("severity")),
         "status": V.truthy(a, *prop("status")),
-        "seen": V.let(F.transform(V.items(a, "entities"), _entity), _fold),
+        "seen": V.let(V.over(V.items(a, "entities"), _entity), _fold),
         "provider_incident_id": V.truthy(a, *prop("providerIncidentId")),
         "alerts_count": V.nonempty_value(a, *extra("alertsCount")),
         "bad_type": any_of(

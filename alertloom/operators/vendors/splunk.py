@@ -35,7 +35,7 @@ def _tactics(a: Sql) -> Sql:
     as_text = F.when(V.is_text(a, "annotations"), strip(V.text(a, "annotations")))
     from_text = V.let(
         F.when(as_text.startswith("{"), V.parse_strict(as_text)),
-        lambda parsed: _texts_of(parsed, "mitre_attack"),
+        lambda parsed: _texts_of(F.try_variant_get(parsed, "$.mitre_attack", "variant")),
     )
     both = B.joined(flat, from_text, _texts_of(a, "annotations", "mitre_attack"))
     named = F.filter(both, lambda t: t.isNotNull() & (t != ""))
@@ -47,7 +47,7 @@ def _address(a: Sql, first: str, second: str) -> Sql:
     chosen = F.when(V.nonempty(a, first).isNotNull(), V.get(a, first)).otherwise(V.get(a, second))
     head = V.let(
         chosen,
-        lambda c: F.when(V.is_list(c), V.truthy(F.try_variant_get(c, "$[0]", "variant"))).otherwise(
+        lambda c: F.when(V.is_list(c), V.truthy(F.get(V.items(c), 0))).otherwise(
             V.truthy(c)
         ),
     )

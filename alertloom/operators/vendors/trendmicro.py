@@ -41,18 +41,11 @@ def _indicator(i: Sql) -> Sql:
 
 
 def _techniques(a: Sql) -> Sql:
-    per_rule = F.transform(
-        V.items(a, "matchedRules"),
-        lambda r: F.flatten(
-            F.transform(
-                F.coalesce(V.items(r, "matchedFilters"), F.array().cast("array<variant>")),
-                lambda f: F.coalesce(
-                    V.truthy_items(f, "mitreTechniqueIds"), F.array().cast("array<string>")
-                ),
-            )
-        ),
+    filters = F.flatten(
+        F.array_compact(V.over(V.items(a, "matchedRules"), lambda r: V.items(r, "matchedFilters")))
     )
-    return B.nonempty_array(F.array_distinct(F.flatten(per_rule)))
+    ids = V.over(filters, lambda f: V.truthy_items(f, "mitreTechniqueIds"))
+    return B.nonempty_array(F.array_distinct(F.flatten(F.array_compact(ids))))
 
 
 def _not_objects(a: Sql, *keys: str) -> Sql:
@@ -104,7 +97,7 @@ def leaves(a: Sql) -> dict[str, Sql]:
         "uid": V.first_truthy(a, "id", "workbenchId"),
         "desc": V.truthy(a, "description"),
         "url": V.truthy(a, "workbenchLink"),
-        "rule": V.pick_first(V.items(a, "matchedRules"), lambda r: V.first_truthy(r, "name", "ruleName")),
+        "rule": V.head(V.over(V.items(a, "matchedRules"), lambda r: V.first_truthy(r, "name", "ruleName"))),
         "techniques": _techniques(a),
         "time": sc.first_time_text(a, "createdDateTime", "createdAt"),
         "severity": V.text(a, "severity"),
@@ -112,16 +105,16 @@ def leaves(a: Sql) -> dict[str, Sql]:
         "status": V.truthy(a, "investigationStatus"),
         "seen": V.let(
             F.filter(
-                F.transform(V.items(a, "indicators"), _indicator),
+                V.over(V.items(a, "indicators"), _indicator),
                 lambda i: i["text"].isNotNull() | i["ip"].isNotNull(),
             ),
             _fold,
         ),
-        "scope_host": V.pick_first(scope, lambda e: host(e, V.truthy(e, "entityValue", "name"))),
-        "scope_ip": V.pick_first(
-            scope, lambda e: host(e, F.get(V.truthy_items(e, "entityValue", "ips"), 0))
+        "scope_host": V.head(V.over(scope, lambda e: host(e, V.truthy(e, "entityValue", "name")))),
+        "scope_ip": V.head(
+            V.over(scope, lambda e: host(e, F.get(V.truthy_items(e, "entityValue", "ips"), 0)))
         ),
-        "scope_user": V.pick_first(scope, account),
+        "scope_user": V.head(V.over(scope, account)),
         "provider": V.truthy_value(a, "alertProvider"),
         "model_type": V.truthy_value(a, "modelType"),
         "bad_type": any_of(
