@@ -149,29 +149,23 @@ def dry_run(df: DataFrame, order: list[Column], limit: int = DRY_RUN_LIMIT) -> D
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """1-based position over the whole, sorted table without collecting it in one task.
+def with_ordinal(df: DataFrame, order: str, name: str = "ordinal", slice_rows: int = 1 << 20) -> DataFrame:
+    """1-based position of each row by the unique whole number ``order``.
 
-    The table is range-partitioned on the order; a row's position is its place
-    in its partition plus the rows of the partitions before.  Only one count per
-    partition meets in a single task.
+    A row's position is its place in its slice of ``slice_rows`` consecutive
+    numbers plus the rows of the slices before.  Slices come from the data, not
+    from the partitioning, so a recomputed task gives the same positions; only
+    one count per slice meets in a single task.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    counts = placed.groupBy("_part").count()
-    before = counts.select(
-        "_part",
-        F.coalesce(
-            F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
-    ranked = placed.withColumn(
-        "_place", F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    )
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = sliced.withColumn("_place", F.row_number().over(W.partitionBy("_slice").orderBy(order)))
     return (
-        ranked.join(F.broadcast(before), "_part")
+        placed.join(before, "_slice")
         .withColumn(name, F.col("_place") + F.col("_before"))
-        .drop("_part", "_place", "_before")
+        .drop("_slice", "_place", "_before")
     )
 
 
@@ -179,11 +173,15 @@ def label_id(ordinal: Column) -> Column:
     return F.format_string("label_%04d", ordinal)
 
 
-def labelled_pairs(mapped: DataFrame, order: list[str], raw_log: str = "raw_log") -> DataFrame:
-    """``id, source, raw_log, ocsf`` of the records that were mapped, ids in ``order``."""
-    ok = mapped.filter(F.col("skip_reason").isNull())
-    numbered = with_ordinal(
-        ok.select(*order, "source", F.col(raw_log).alias("raw_log"), F.to_json("finding").alias("ocsf")),
-        order,
+def labelled_pairs(mapped: DataFrame, order: str, raw_log: str = "raw_log", keep_order: bool = False) -> DataFrame:
+    """``id, source, raw_log, ocsf`` of the records that were mapped, ids by ``order``.
+
+    ``keep_order`` also gives the ordering column, as ``ord``.
+    """
+    ok = mapped.filter(F.col("skip_reason").isNull()).select(
+        F.col(order).alias("ord"), "source", F.col(raw_log).alias("raw_log"), F.to_json("finding").alias("ocsf")
+    )
+    extra = ["ord"] if keep_order else []
+    return with_ordinal(ok, "ord").select(
+        label_id(F.col("ordinal")).alias("id"), *extra, "source", "raw_log", "ocsf"
     )
-    return numbered.select(label_id(F.col("ordinal")).alias("id"), "source", "raw_log", "ocsf")

@@ -70,7 +70,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A binding SELECT over the driver's ``events``."""
-    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=read_table(spark, sf_dir, "events"))
+    text = sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
+    return spark.sql(text, events=read_table(spark, sf_dir, "events"))
 
 
 def duck(name: str, sql: str) -> str:

@@ -1,4 +1,4 @@
-"""Registered queries, by name: ``fn(spark, sf_dir) -> DataFrame``."""
+"""Registered queries and their oracles, by name: ``fn(spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
@@ -6,27 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.operators import label
-from alertloom.plans import alerts
-from alertloom.plans import bindings as bind
+from alertloom.plans import curation, labelling, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def _map_query(vendor: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts = alerts.alert_texts(spark, sf_dir, vendor)
-        return alerts.flat(label.map_alerts(texts, as_of=bind.AS_OF_SQL, only=vendor))
-
-    return run
-
-
-QUERIES: dict[str, Query] = {f"map_{v}": _map_query(v) for v in alerts.ALERTS}
-ORACLES: dict[str, str] = {f"map_{v}": alerts.expected(v) for v in alerts.ALERTS}
-
-
-def _label_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.flat(label.map_alerts(alerts.mixed_texts(spark, sf_dir), as_of=bind.AS_OF_SQL))
-
-
-QUERIES["label_all"] = _label_all
+QUERIES: dict[str, Query] = {**reports.QUERIES, **labelling.QUERIES, **curation.QUERIES}
+ORACLES: dict[str, str] = {**reports.ORACLES, **labelling.ORACLES, **curation.ORACLES}
