@@ -71,7 +71,17 @@ def always(schema: T.StructType, **fields: Sql | None) -> Sql:
 def arr(*elements: Sql) -> Sql:
     """Array of the non-NULL elements, NULL when none is left."""
     tests = tuple(t for e in elements for t in e.present())
-    return Sql(F.when(any_test(tests), F.array_compact(F.array(*elements))).text, tests=tests)
+    body = F.array(*elements) if len(elements) == 1 else list_of(*elements)
+    return Sql(F.when(any_test(tests), body).text, tests=tests)
+
+
+def list_of(*elements: Sql) -> Sql:
+    """Array of the non-NULL elements.
+
+    Joined from one-element arrays: ``array_compact`` takes a lambda, and what is
+    inside a lambda call is interpreted instead of compiled.
+    """
+    return F.concat(*[F.when(any_test(e.present()), F.array(e)).otherwise(F.array()) for e in elements])
 
 
 def nonempty_array(a: Sql) -> Sql:
@@ -90,13 +100,13 @@ def some_text(c: Sql) -> Sql:
 
 def free_map(**entries: Sql | None) -> Sql:
     """``map<string,variant>`` of the non-NULL entries, NULL when none is left."""
-    pairs = [
-        F.struct(F.lit(k).alias("key"), v.cast("variant").alias("value"))
-        for k, v in entries.items()
-        if v is not None
-    ]
-    kept = F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())
-    return let(kept, lambda k: F.when(F.size(k) > 0, F.map_from_entries(k)))
+    pairs = []
+    for key, value in entries.items():
+        if value is not None:
+            entry = F.struct(F.lit(key).alias("key"), value.cast("variant").alias("value"))
+            pairs.append(Sql(entry.text, tests=value.present()))
+    tests = tuple(t for p in pairs for t in p.tests)
+    return Sql(F.when(any_test(tests), F.map_from_entries(list_of(*pairs))).text, tests=tests)
 
 
 def first_per_key(list_: Sql, key: Callable[[Sql], Sql]) -> Sql:

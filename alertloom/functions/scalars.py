@@ -274,22 +274,22 @@ def hash_value(value: Sql) -> Sql:
 
 def raw_observable(name: Sql | str, type_: Sql | str, value: Sql) -> Sql:
     """(name, type, value) before de-duplication; NULL when the value is empty."""
-    return F.when(
-        value != "",
-        F.struct(F.lit(name).alias("name"), F.lit(type_).alias("type"), value.alias("value")),
-    )
+    some = value != ""
+    raw = F.struct(F.lit(name).alias("name"), F.lit(type_).alias("type"), value.alias("value"))
+    return Sql(F.when(some, raw).text, tests=(some.text,))
 
 
-def observables(raw: Sql, by_value_only: bool = False, types: dict | None = None) -> Sql:
-    """Finding observables from raw ones: first wins, values trimmed, blanks left out."""
-    key = (
-        (lambda o: o["value"])
-        if by_value_only
-        else (lambda o: F.concat_ws("\u0001", o["type"], o["value"]))
+def observables(raw: Sql, by_value_only: Sql, types: dict | None = None) -> Sql:
+    """Finding observables from raw ones: first wins, values trimmed, blanks left out.
+
+    ``raw`` should be a column: it is used several times.
+    """
+    key = lambda o: F.when(by_value_only, o["value"]).otherwise(
+        F.concat_ws("\u0001", o["type"], o["value"])
     )
-    kept = B.first_per_key(F.array_compact(raw), key)
+    kept = F.when(F.size(raw) > 1, B.first_per_key(raw, key)).otherwise(raw)
     shaped = F.transform(kept, lambda o: observable(o["name"], o["type"], o["value"], types))
-    return B.nonempty_array(F.array_compact(shaped))
+    return B.nonempty_array(F.filter(shaped, lambda o: o.isNotNull()))
 
 
 def observable(name: Sql, type_: Sql, value: Sql, types: dict | None = None) -> Sql:

@@ -81,9 +81,17 @@ def map_dispatched(routed: DataFrame, as_of: str = NOW, vendors: tuple[Vendor, .
         .when(_case({v: _missing(v, x) for v, x in by_vendor.items()}), "missing_required")
         .when(_case({v: x.bad_type for v, x in by_vendor.items()}), "bad_type")
     )
-    reasoned = B.with_nils(read.withColumn("skip_reason", reason.column()))
     parts = {v: v.build(x) for v, x in by_vendor.items()}
+    raw = {v: p.pop("observables") for v, p in parts.items() if "observables" in p}
+    observed = _case(raw) if raw else X.lit(None).cast("array<struct<name:string,type:string,value:string>>")
+    reasoned = B.with_nils(
+        read.select("*", *columns(skip_reason=reason, _observed=observed))
+    )
     ok = X.col("skip_reason").isNull()
+    by_value = X.col("vendor").isin(*[v.name for v in vendors if v.distinct_values] or [""])
+    observables = sc.observables(X.col("_observed"), by_value)
+    for v in raw:
+        parts[v]["observables"] = observables
     return once(
         reasoned,
         [*keep, "skip_reason"],

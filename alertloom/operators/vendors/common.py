@@ -36,6 +36,8 @@ class Vendor:
     leaves: Callable[[Sql], dict[str, Sql]]
     build: Callable[[Leaves], dict[str, Sql]]
     aliases: tuple[str, ...] = ()
+    # Observables are one per value, not one per type and value.
+    distinct_values: bool = False
     # Both must be there, else the alert is skipped as ``missing_required``.
     required: tuple[str, str] = ("title", "uid")
 

@@ -71,7 +71,7 @@ def leaves(a: Sql) -> dict[str, Sql]:
         **_ancestor(a, "grand", "grandparent_details"),
         "user": V.truthy(a, "user_name"),
         "domain": V.truthy(a, "logon_domain"),
-        "network": V.over(
+        "network": F.filter(V.over(
             V.items(a, "network_accesses"),
             lambda n: F.struct(
                 V.first_truthy(n, "local_address", "local_ip").alias("local_ip"),
@@ -79,10 +79,12 @@ def leaves(a: Sql) -> dict[str, Sql]:
                 V.first_truthy(n, "remote_address", "remote_ip").alias("remote_ip"),
                 V.integer(n, "remote_port").alias("remote_port"),
             ),
-        ),
+        ), lambda n: n["local_ip"].isNotNull() | n["remote_ip"].isNotNull()),
         "ioc_type": F.lower(V.truthy(a, "ioc_type")),
         "ioc_value": V.truthy(a, "ioc_value"),
-        "dns": V.over(V.items(a, "dns_requests"), lambda d: V.truthy(d, "domain_name")),
+        "dns": F.array_compact(
+            V.over(V.items(a, "dns_requests"), lambda d: V.truthy(d, "domain_name"))
+        ),
         "scenario": V.truthy_value(a, "scenario"),
         "data_domains": V.truthy_value(a, "data_domains"),
         "aggregate_id": V.truthy_value(a, "aggregate_id"),
@@ -130,7 +132,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         "status_id": sc.lookup(sc.CROWDSTRIKE_STATUSES, x.status),
         "device": _device(x),
         "evidences": _evidences(x),
-        "observables": sc.observables(_raw_observables(x)),
+        "observables": _raw_observables(x),
         "vendor_attributes": B.free_map(severity=x.severity_value),
         "unmapped": B.free_map(
             scenario=x.scenario,
@@ -187,18 +189,20 @@ def _evidences(x: Leaves) -> Sql:
     )
     network = F.transform(
         x.network,
-        lambda n: B.record(
+        lambda n: B.always(
             S.EVIDENCE,
             src_endpoint=endpoint(n["local_ip"], n["local_port"]),
             dst_endpoint=endpoint(n["remote_ip"], n["remote_port"]),
         ),
     )
-    return B.nonempty_array(F.array_compact(B.joined(F.array(first), network)))
+    return F.when(
+        first.isNotNull() | (F.size(x.network) > 0), B.joined(B.list_of(first), network)
+    )
 
 
 def _raw_observables(x: Leaves) -> Sql:
     known = x.ioc_type.isin(*sc.IOC_FIELDS)
-    single = F.array(
+    single = B.list_of(
         sc.raw_observable("device.ip", "IP Address", x.ip),
         sc.raw_observable("device.external_ip", "IP Address", x.external_ip),
         sc.raw_observable("evidences[].process.file.name", "File Name", x.filename),
@@ -210,18 +214,17 @@ def _raw_observables(x: Leaves) -> Sql:
         sc.raw_observable(
             "evidences[].process.file.hashes.MD5", "Hash", sc.hash_value(x.md5)
         ),
-        F.when(
-            known,
-            sc.raw_observable(
-                sc.lookup(sc.IOC_FIELDS, x.ioc_type), sc.lookup(sc.IOC_TYPES, x.ioc_type), x.ioc_value
-            ),
+        sc.raw_observable(
+            sc.lookup(sc.IOC_FIELDS, x.ioc_type),
+            sc.lookup(sc.IOC_TYPES, x.ioc_type),
+            F.when(known, x.ioc_value),
         ),
     )
     domains = F.transform(
         x.dns, lambda d: sc.raw_observable("evidences[].dst_endpoint.domain", "Domain", d)
     )
     remotes = F.transform(
-        x.network,
+        F.filter(x.network, lambda n: n["remote_ip"].isNotNull()),
         lambda n: sc.raw_observable("evidences[].dst_endpoint.ip", "IP Address", n["remote_ip"]),
     )
     return B.joined(single, domains, remotes)

@@ -110,7 +110,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         S.EVIDENCE, process=B.record(S.PROCESS, pid=seen["pid"], file=seen["file"])
     )
     raw = B.joined(
-        F.array(
+        B.list_of(
             sc.raw_observable("evidences[].src_endpoint.ip", "IP Address", src_ip),
             sc.raw_observable("evidences[].actor.user.email_addr", "Email Address", user_email),
         ),
@@ -133,7 +133,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         "status_id": status_id,
         "status": F.coalesce(sc.status_label(status_id), x.status),
         "evidences": B.arr(mail, user, process),
-        "observables": sc.observables(raw),
+        "observables": raw,
         "unmapped": B.free_map(
             detection_source=x.detection_source,
             incident_id=x.incident_id,

@@ -72,7 +72,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         src_endpoint=endpoint(x.local_ip, x.local_port),
         dst_endpoint=endpoint(x.remote_ip, x.remote_port),
     )
-    raw = F.array(
+    raw = B.list_of(
         sc.raw_observable("device.ip", "IP Address", x.host_ip),
         sc.raw_observable("evidences[].dst_endpoint.ip", "IP Address", x.remote_ip),
         sc.raw_observable("evidences[].process.file.name", "File Name", x.file_name),
@@ -111,7 +111,7 @@ def build(x: Leaves) -> dict[str, Sql]:
             os=os_record(x.os_name, sc.lookup(sc.PALOALTO_OS, x.os_type)),
         ),
         "evidences": B.arr(evidence),
-        "observables": sc.observables(raw),
+        "observables": raw,
         "unmapped": B.free_map(
             module_id=x.module_id,
             alert_type=x.alert_type,

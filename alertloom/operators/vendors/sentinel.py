@@ -64,7 +64,7 @@ def _fold(entities: Sql) -> Sql:
     return F.struct(
         *[first(n) for n in ("src_ip", "hostname", "os", "user", "email", "sender")],
         *[last(n) for n in ("domain", "subject")],
-        F.transform(entities, lambda e: e["observable"]).alias("observables"),
+        F.array_compact(F.transform(entities, lambda e: e["observable"])).alias("observables"),
     )
 
 
@@ -128,11 +128,11 @@ def build(x: Leaves) -> dict[str, Sql]:
             os=B.record(S.OS, name=seen["os"]),
         ),
         "evidences": B.arr(user, mail),
-        "observables": sc.observables(seen["observables"], by_value_only=True),
+        "observables": seen["observables"],
         "unmapped": B.free_map(
             provider_incident_id=x.provider_incident_id, alerts_count=x.alerts_count
         ),
     }
 
 
-VENDOR = Vendor("sentinel", leaves, build)
+VENDOR = Vendor("sentinel", leaves, build, distinct_values=True)

@@ -96,7 +96,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         dst_endpoint=endpoint(x.dst),
         actor=user_actor(name=x.user),
     )
-    raw = F.array(
+    raw = B.list_of(
         sc.raw_observable("evidences[].src_endpoint.ip", "IP Address", x.src),
         sc.raw_observable("evidences[].dst_endpoint.ip", "IP Address", x.dst),
         sc.raw_observable("evidences[].actor.user.name", "User Name", x.user),
@@ -118,7 +118,7 @@ def build(x: Leaves) -> dict[str, Sql]:
             sc.lookup(sc.SPLUNK_STATUS_CODES, x.status),
         ),
         "evidences": B.arr(evidence),
-        "observables": sc.observables(raw),
+        "observables": raw,
         "unmapped": B.free_map(
             app=x.app,
             vendor_product=x.vendor_product,

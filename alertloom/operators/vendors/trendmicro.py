@@ -72,14 +72,14 @@ def _fold(indicators: Sql) -> Sql:
         F.coalesce(F.get(F.filter(pids, lambda p: p != 0), 0), F.get(pids, 0)).alias("pid"),
         first("user").alias("user"),
         *[last(k).alias(k) for k in _REGISTRY],
-        F.transform(
+        F.array_compact(F.transform(
             indicators,
             lambda i: sc.raw_observable(
                 sc.lookup({k: v[0] for k, v in _OBSERVED.items()}, i["type"]),
                 sc.lookup({k: v[1] for k, v in _OBSERVED.items()}, i["type"]),
                 F.when(i["type"].isin(*_OBSERVED), i["text"]),
             ),
-        ).alias("observed"),
+        )).alias("observed"),
     )
 
 
@@ -147,7 +147,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         seen["hashes"],
         lambda h: sc.raw_observable("evidences[].process.file.hashes.SHA-256", "Hash", h),
     )
-    named = F.array(sc.raw_observable("evidences[].process.file.name", "File Name", file_name))
+    named = B.list_of(sc.raw_observable("evidences[].process.file.name", "File Name", file_name))
     return {
         "finding_info": info(
             x,
@@ -163,7 +163,7 @@ def build(x: Leaves) -> dict[str, Sql]:
         "status": x.status,
         "device": F.coalesce(own_device, scope_device),
         "evidences": B.arr(B.record(S.EVIDENCE, process=process, actor=user_actor(name=user))),
-        "observables": sc.observables(B.joined(seen["observed"], hashed, named)),
+        "observables": B.joined(seen["observed"], hashed, named),
         "unmapped": B.free_map(
             **{k: seen[k] for k in _REGISTRY},
             alert_provider=x.provider,
