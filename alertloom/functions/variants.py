@@ -8,6 +8,7 @@ whose meaning depends on the JSON type.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -100,20 +101,34 @@ def items(v: Sql, *keys: str) -> Sql:
     return F.try_variant_get(get(v, *keys), "$", "array<variant>")
 
 
-def over(list_: Sql, body: Callable[[Sql], Sql]) -> Sql:
-    """``body`` for each object of an ``array<variant>``; other elements read as empty objects."""
-    element = Doc("e", "o")
-    result = body(element)
-    root, *inner = element.tree()
-    opened = F.transform(list_, Sql(f"e -> {root.opened()}"))
-    if not inner:
-        return Sql(f"transform({opened}, o -> {result})")
-    parts = ", ".join(f"'{d.alias_}', {d.opened()}" for d in inner)
-    body_text = result.text
-    for d in inner:
-        body_text = body_text.replace(f"{d.alias_}.", f"oo.{d.alias_}.")
-    body_text = re.sub(r"(?<![\w.])o\.", "oo.o.", body_text)
-    return Sql(f"transform(transform({opened}, o -> named_struct('o', o, {parts})), oo -> {body_text})")
+_over = itertools.count()
+
+
+def over(list_: Sql, body: Callable[..., Sql]) -> Sql:
+    """``body`` for each object of an ``array<variant>``; other elements read as empty objects.
+
+    The wanted keys are opened level by level, as for a whole alert.  A body of
+    two arguments also gets the position of the element.
+    """
+    n = next(_over)
+    root, index = f"o{n}", f"i{n}"
+    element = Doc(f"e{n}", root)
+    wants_index = body.__code__.co_argcount == 2
+    result = body(element, Sql(f"w{n}.{index}")) if wants_index else body(element)
+    docs = element.tree()
+    whole = f"e{n}"
+    names = re.compile(rf"(?<![\w.])({root}(?:_\d+)*(?=\.)|{whole}\b)")
+    inside = lambda text: names.sub(rf"w{n}.\1", text)
+    start = f"'{root}', {docs[0].opened()}, '{index}', {index}, '{whole}', {whole}"
+    steps = f"transform({list_}, ({whole}, {index}) -> named_struct({start}))"
+    known = [root, index, whole]
+    for level in range(1, max(d.level for d in docs) + 1):
+        new = [d for d in docs if d.level == level]
+        kept = ", ".join(f"'{k}', w{n}.{k}" for k in known)
+        added = ", ".join(f"'{d.alias_}', {inside(d.opened().text)}" for d in new)
+        steps = f"transform({steps}, w{n} -> named_struct({kept}, {added}))"
+        known += [d.alias_ for d in new]
+    return Sql(f"transform({steps}, w{n} -> {inside(result.text)})")
 
 
 def kind(v: Sql) -> Sql:

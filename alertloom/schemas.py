@@ -112,8 +112,8 @@ def _process(depth: int) -> dict[str, Field]:
     return fields
 
 
-# A process and up to three ancestors; the mappers use two.
-_PROCESS = _process(4)
+# A process with parent and grandparent, as the mappers fill it; an actor's process alone.
+_PROCESS = _process(3)
 _ENDPOINT = {"ip": _text(), "port": _int(), **_texts("hostname", "domain", "mac", "uid", "name")}
 _CONNECTION = {
     "protocol_name": _text(),
@@ -130,7 +130,7 @@ _API = {
 _EMAIL = {"from": _text(), "to": _TEXTS, **_texts("subject", "uid"), "files": _objs(_FILE)}
 _EVIDENCE = {
     "process": _obj(_PROCESS),
-    "actor": _obj({"user": _obj(_USER), "process": _obj(_PROCESS)}),
+    "actor": _obj({"user": _obj(_USER), "process": _obj(_process(1))}),
     "src_endpoint": _obj(_ENDPOINT),
     "dst_endpoint": _obj(_ENDPOINT),
     "connection_info": _obj(_CONNECTION),
