@@ -147,7 +147,8 @@ _N_ERR = "(CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN
 _SCORE = f"""{_E}, a AS (SELECT id, u, k, {_N_ERR} AS n_errors, CASE WHEN {_N_ERR} = 0 AND id % 7 = 0 THEN 1 ELSE 0 END AS n_warnings,
     CASE WHEN id % 13 = 0 THEN 9 ELSE 13 END AS n_schema, CASE WHEN id % 13 = 0 THEN 10 ELSE 14 END AS n_req,
     2 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS n_rec, CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END AS n_rich,
-    3 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS n_hit,
+    2 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END
+      + CASE WHEN {_N_ERR} > 0 AND id % 7 = 0 AND id > 100 THEN 1 ELSE 0 END AS n_hit,
     4 + CASE WHEN id % 13 <> 0 THEN 2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END
       + CASE WHEN {_N_ERR} > 0 AND id % 7 = 0 AND id > 100 THEN 1 ELSE 0 END AS n_leaf FROM e)"""
 
@@ -177,7 +178,8 @@ ORACLES = {
         UNION ALL SELECT 'outbox', count(*) FROM f WHERE decision = 'ACCEPT'""",
 }
 # Scores as the definitions give them: leaves are title, uid, time, severity (never in the alert text), product
-# names, host and ip; the alert text holds title, uid, host and, for even ids, the time.
+# names, host and ip; the alert text holds title, uid (and so the number kept of an uncleaned finding), host
+# and, for even ids, the time.
 ORACLES["normalize_response"] = f"""WITH {_SCORE}, b AS (SELECT *, greatest(0, n_schema / 13.0::double - n_errors * 0.05::double - n_warnings * 0.02::double) AS s,
     0.5::double * n_req / 14 + 0.3::double * n_rec / 9 + 0.2::double * n_rich / 20 AS c, n_hit / n_leaf::double AS v FROM a),
     z AS (SELECT *, id % 4 <> 3 AS ok, 0.4::double * s + 0.3::double * c + 0.3::double * v AS t FROM b)
