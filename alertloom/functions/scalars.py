@@ -233,7 +233,7 @@ def parse_time(value: Sql) -> Sql:
     )
     iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(zoned))
     others = [
-        F.to_utc_timestamp(F.try_to_timestamp(t, F.lit(p)), F.current_timezone())
+        F.from_utc_timestamp(F.try_to_timestamp(t, F.lit(p)), F.current_timezone())
         for p in OTHER_DATE_PATTERNS
     ]
     return F.when(number.isNotNull(), from_number).otherwise(
