@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.plans import curation, labelling, reports, scoring
+from alertloom.plans import curation, labelling, reports, rules, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**reports.QUERIES, **labelling.QUERIES, **scoring.QUERIES, **curation.QUERIES}
-ORACLES: dict[str, str] = {**reports.ORACLES, **labelling.ORACLES, **scoring.ORACLES, **curation.ORACLES}
+QUERIES: dict[str, Query] = {**reports.QUERIES, **rules.QUERIES, **labelling.QUERIES, **scoring.QUERIES, **curation.QUERIES}
+ORACLES: dict[str, str] = {**reports.ORACLES, **rules.ORACLES, **labelling.ORACLES, **scoring.ORACLES, **curation.ORACLES}
