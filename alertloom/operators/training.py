@@ -145,26 +145,38 @@ def preview(chats: DataFrame, order: str, messages: str = "messages", width: int
     return chats.orderBy(order).limit(1).select(cut.alias(messages))
 
 
-def assign_split(df: DataFrame, vendor: str, digest: Column, tie: str) -> DataFrame:
-    """80/10/10 per vendor, in digest order; adds ``split``.
-
-    A vendor may hold a third of all rows, so it is never one window group.
-    Rows are ranked inside 4096 digest slices of their vendor, and the sizes of
-    the slices before, a small table of counts, are added.
+def assign_split(
+    df: DataFrame, vendor: str, digest: Column, tie: str, tie_rows: int = 1 << 20
+) -> DataFrame:
+    """80/10/10 per vendor, in order of (digest, tie); adds ``split``.  ``tie`` is a unique whole number.
+
+    Neither a vendor nor a text with very many copies becomes one window group.
+    Rows are ranked inside (vendor, digest, run of ``tie_rows`` tie numbers); the
+    rows before such a run come from its count, summed inside slices of the
+    digest range, and from the counts of the slices before.
     """
-    sliced = df.withColumn("_d", digest).withColumn("_slice", F.substring("_d", 1, 3))
-    counts = sliced.groupBy(vendor, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    run = [vendor, "_d", "_run"]
+    marked = df.withColumn("_d", digest).withColumn("_run", F.floor(F.col(tie) / tie_rows))
+    counts = (
+        marked.groupBy(*run).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", F.substring("_d", 1, 3))
+    )
     by_vendor = W.partitionBy(vendor)
-    before = counts.select(
-        F.col(vendor),
+    so_far = (W.unboundedPreceding, -1)
+    none = F.lit(0)
+    slices = counts.groupBy(vendor, "_slice").agg(F.sum("_n").alias("_m")).select(
+        vendor,
         "_slice",
-        F.coalesce(
-            F.sum("_n").over(by_vendor.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.sum("_n").over(by_vendor).alias("_total"),
+        F.coalesce(F.sum("_m").over(by_vendor.orderBy("_slice").rowsBetween(*so_far)), none).alias("_ahead"),
+        F.sum("_m").over(by_vendor).alias("_total"),
+    )
+    in_slice = W.partitionBy(vendor, "_slice").orderBy("_d", "_run").rowsBetween(*so_far)
+    before = (
+        counts.withColumn("_inside", F.coalesce(F.sum("_n").over(in_slice), none))
+        .join(slices, [vendor, "_slice"])
+        .select(*run, (F.col("_ahead") + F.col("_inside")).alias("_before"), "_total")
     )
-    place = F.row_number().over(W.partitionBy(vendor, "_slice").orderBy("_d", tie))
-    ranked = sliced.withColumn("_place", place).join(before, [vendor, "_slice"])
+    place = F.row_number().over(W.partitionBy(*run).orderBy(tie))
+    ranked = marked.withColumn("_place", place).join(before, run)
     position = F.col("_before") + F.col("_place") - 1
     # Whole numbers throughout: position * 10 < total * 8.
     split = (
@@ -172,7 +184,7 @@ def assign_split(df: DataFrame, vendor: str, digest: Column, tie: str) -> DataFr
         .when(position * 10 < F.col("_total") * 9, "val")
         .otherwise("test")
     )
-    return ranked.withColumn("split", split).drop("_d", "_slice", "_place", "_before", "_total")
+    return ranked.withColumn("split", split).drop("_d", "_run", "_place", "_before", "_total")
 
 
 def split_counts(splits: DataFrame, vendor: str) -> DataFrame:
@@ -193,8 +205,9 @@ def missing_vendors(splits: DataFrame, vendor: str) -> DataFrame:
 def contamination(splits: DataFrame, message: str) -> DataFrame:
     """Digests of user messages that are both in train and in test."""
     digest = F.sha2(F.col(message), 256).alias("digest")
-    part = lambda s: splits.filter(F.col("split") == s).select(digest)
-    return part("test").distinct().join(part("train"), "digest", "left_semi")
+    # Distinct on both sides first: copies are combined before the shuffle.
+    part = lambda s: splits.filter(F.col("split") == s).select(digest).distinct()
+    return part("test").join(part("train"), "digest", "left_semi")
 
 
 def test_ids(splits: DataFrame, message: str) -> DataFrame:

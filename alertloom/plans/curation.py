@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.sql import F as X
@@ -22,8 +23,10 @@ def _chats(s, d):
 
 
 def _conversations(s, d):
-    """Real conversations as messages.  Turns of one conversation are few; grouping combines before the shuffle."""
-    rows = bind.read_table(s, d, "conversations")
+    """Real conversations as messages, up to the fourth turn: that a conversation is too long shows by then,
+    so a very long one is never gathered in one row."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = bind.read_table(s, d, "conversations").withColumn("_place", place).filter(F.col("_place") <= 4)
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return rows.groupBy(F.col("conv_id").alias("id")).agg(
         F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")
