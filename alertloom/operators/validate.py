@@ -141,12 +141,17 @@ def check_model(df: DataFrame, doc: str) -> DataFrame:
     cleaning did not happen.
     """
     root = V.Doc(f"`{doc}`", "_m")
-    value, errors = _object(S.FINDING_FIELDS, root, [])
+    lists: list[Sql] = []
+    value, errors = _object(S.FINDING_FIELDS, root, [], lists)
     tree = root.tree()
     opened = df
     for level in range(max(d.level for d in tree) + 1):
         opened = opened.select("*", *columns(**{d.alias_: d.opened() for d in tree if d.level == level}))
-    found = once(opened, df.columns, _errors=_joined(errors), _value=value)
+    # Lists of objects are checked first, once, and then used for values and messages.
+    listed = once(
+        opened, [*df.columns, *[d.alias_ for d in tree]], **{f"{_LIST}{i}": c for i, c in enumerate(lists)}
+    )
+    found = once(listed, df.columns, _errors=_joined(errors), _value=value)
     is_object = F.startswith(F.coalesce(F.schema_of_variant(F.col(doc)), ""), "OBJECT")
     all_errors = (
         F.when(~is_object, F.array("Expected dict"))
@@ -169,26 +174,38 @@ def _joined(errors: list[Sql]) -> Sql:
 
 
 def _loc(loc: list, message: str) -> Sql:
+    """Place and message; literal pieces are joined here, so most places are one literal."""
     parts: list[object] = ["("]
     for i, step in enumerate(loc):
-        parts.append((", " if i else "") + ("" if isinstance(step, Sql) else f"'{step}'"))
+        parts[-1] += ", " if i else ""
         if isinstance(step, Sql):
-            parts.append(step.cast("string"))
-    parts.append(("," if len(loc) == 1 else "") + f"): {message}")
-    return F.concat(*parts)
+            parts += [step.cast("string"), ""]
+        else:
+            parts[-1] += f"'{step}'"
+    parts[-1] += ("," if len(loc) == 1 else "") + f"): {message}"
+    return F.concat(*parts) if len(parts) > 1 else F.lit(parts[0])
+
+
+_LIST = "_list"
 
 
-def _object(fields: dict[str, S.Field], doc: V.Doc, loc: list) -> tuple[Sql, list[Sql]]:
+def _object(
+    fields: dict[str, S.Field], doc: V.Doc, loc: list, lists: list[Sql] | None = None
+) -> tuple[Sql, list[Sql]]:
+    """Struct of the fields' values, and their messages.  ``lists`` collects lists of objects to be
+    checked in a stage of their own; inside a list there is no such stage."""
     values, errors = [], []
     inside = V.is_object(doc) if loc else None
     for name, field in fields.items():
-        value, found = _field(field, V.get(doc, name), [*loc, name], inside)
+        value, found = _field(field, V.get(doc, name), [*loc, name], inside, lists)
         values.append(value.alias(name))
         errors += found
     return F.struct(*values), errors
 
 
-def _field(field: S.Field, x: V.Doc, loc: list, inside: Sql | None) -> tuple[Sql, list[Sql]]:
+def _field(
+    field: S.Field, x: V.Doc, loc: list, inside: Sql | None, lists: list[Sql] | None
+) -> tuple[Sql, list[Sql]]:
     t = V.text(x)
     given = t.isNotNull()
     optional = not field.required and field.default is None
@@ -220,7 +237,7 @@ def _field(field: S.Field, x: V.Doc, loc: list, inside: Sql | None) -> tuple[Sql
     elif field.kind in ("texts", "ints"):
         value, bad = _scalar_list(field, x, loc, wrong)
     elif field.kind == "obj":
-        inner, bad = _object(field.fields, x, loc)
+        inner, bad = _object(field.fields, x, loc, lists)
         value = F.when(V.is_object(x), inner)
         bad = [wrong(V.is_object(x)), *bad]
     else:
@@ -230,6 +247,9 @@ def _field(field: S.Field, x: V.Doc, loc: list, inside: Sql | None) -> tuple[Sql
             return F.struct(inner.alias("v"), _joined([not_object, *found]).alias("e"))
 
         checked = V.over(V.items(x), element)
+        if lists is not None:
+            lists.append(checked)
+            checked = F.col(f"{_LIST}{len(lists) - 1}")
         value = F.transform(checked, lambda c: c["v"])
         messages = F.filter(F.transform(checked, lambda c: c["e"]), lambda m: m != "")
         bad = [wrong(V.is_list(x)), F.nullif(F.array_join(messages, "\n"), "")]
