@@ -181,15 +181,22 @@ def label_id(ordinal: Column) -> Column:
     return F.format_string("label_%04d", ordinal)
 
 
-def labelled_pairs(mapped: DataFrame, order: str, raw_log: str = "raw_log", keep_order: bool = False) -> DataFrame:
+def labelled_pairs(
+    mapped: DataFrame, order: str, raw_log: str = "raw_log", keep_order: bool = False, table: str | None = None
+) -> DataFrame:
     """``id, source, raw_log, ocsf`` of the records that were mapped, ids by ``order``.
 
+    Numbering reads its input twice.  Give ``table``, a folder all executors see,
+    to write the mapped pairs there first instead of mapping twice.
     ``keep_order`` also gives the ordering column, as ``ord``.
     """
-    ok = mapped.filter(F.col("skip_reason").isNull()).select(
+    pairs = mapped.filter(F.col("skip_reason").isNull()).select(
         F.col(order).alias("ord"), "source", F.col(raw_log).alias("raw_log"), F.to_json("finding").alias("ocsf")
     )
+    if table is not None:
+        pairs.write.mode("errorifexists").parquet(table)
+        pairs = mapped.sparkSession.read.schema(pairs.schema).parquet(table)
     extra = ["ord"] if keep_order else []
-    return with_ordinal(ok, "ord").select(
+    return with_ordinal(pairs, "ord").select(
         label_id(F.col("ordinal")).alias("id"), *extra, "source", "raw_log", "ocsf"
     )

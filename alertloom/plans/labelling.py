@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertloom.operators import label
 from alertloom.plans import alerts
 from alertloom.plans import bindings as bind
+from alertloom.session import scratch
 
 
 def _map_query(vendor: str):
@@ -33,8 +34,9 @@ QUERIES = {
     "label_all": lambda s, d: alerts.flat(_mixed(s, d)),
     "label_summary": lambda s, d: label.label_summary(_mixed(s, d)),
     "label_dry_run": _dry_run,
-    "label_ids": lambda s, d: label.labelled_pairs(_mixed(s, d), "id", keep_order=True).select(
-        F.col("id").alias("label_id"), F.col("ord").alias("id"), "source"),
+    "label_ids": lambda s, d: label.labelled_pairs(
+        _mixed(s, d), "id", keep_order=True, table=scratch(s, "pairs")
+    ).select(F.col("id").alias("label_id"), F.col("ord").alias("id"), "source"),
 }
 
 _SOURCES = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(alerts.MIX) if n)

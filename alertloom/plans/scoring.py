@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from alertloom.functions.sql import F as X
@@ -12,7 +10,7 @@ from alertloom.functions.stage import once, spread
 from alertloom.functions.text import extract_json
 from alertloom.operators import route, score, validate
 from alertloom.plans import bindings as bind
-from alertloom.session import checkpoint_dir
+from alertloom.session import scratch
 from alertloom.streaming import jobs
 
 # A finding as a model would write it, with planned faults.
@@ -80,7 +78,7 @@ def _now():
 
 def _stream_timeline(s, d):
     """The metric rows through a stream until no input is left; all windows are written out."""
-    root = tempfile.mkdtemp(prefix="timeline-", dir=_shared(s))
+    root = scratch(s, "timeline")
     rows = bind.view(s, d, bind.METRIC).selectExpr("cast(ts AS timestamp) AS timestamp", "confidence", "latency_ms")
     rows.write.parquet(f"{root}/in")
     stream = jobs.live_timeline(s.readStream.schema(rows.schema).parquet(f"{root}/in"))
@@ -99,7 +97,7 @@ def _stream_timeline(s, d):
 
 def _stream_routing(s, d):
     """Responses through the routing stream; counts of what each table received."""
-    root = tempfile.mkdtemp(prefix="routing-", dir=_shared(s))
+    root = scratch(s, "routing")
     rows = _responses(s, d)
     rows.write.parquet(f"{root}/in")
     source = s.readStream.schema(rows.schema).parquet(f"{root}/in")
@@ -111,12 +109,6 @@ def _stream_routing(s, d):
     return total
 
 
-def _shared(s):
-    """The cluster's checkpoint folder where it can be written as a path, else a temporary one."""
-    folder = checkpoint_dir(s)
-    return folder if folder.startswith("/") else None
-
-
 QUERIES = {
     "extract_json": _extract,
     "validate_label": lambda s, d: _labels(s, d).select("id", F.array_join(F.array_sort("errors"), ";").alias("errors")),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="alertloom-ck-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """A new folder name inside the checkpoint folder, on whatever file system that is."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
