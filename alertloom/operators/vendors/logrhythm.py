@@ -9,7 +9,7 @@ from alertloom.functions import scalars as sc
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F, Sql
 from alertloom.functions.text import strip
-from alertloom.operators.vendors.common import Leaves, Vendor, any_of, attack, info, metadata, rule
+from alertloom.operators.vendors.common import Leaves, Vendor, any_of, attack, metadata, rule
 
 
 def leaves(a: Sql) -> dict[str, Sql]:

@@ -288,8 +288,6 @@ OBSERVABLE = FINDING["observables"].dataType.elementType
 
 # --- tables -----------------------------------------------------------------
 
-RAW_RECORD = T.StructType([T.StructField("source", T.StringType()), T.StructField("alert", T.VariantType())])
-
 RAW_LOG = (
     "id string, source string, format string, raw_content string, received_at timestamp, "
     "processed_at timestamp, status string, error_message string"
