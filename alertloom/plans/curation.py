@@ -73,10 +73,11 @@ def _export(s, d):
 
 
 def _merge_sides(s, d):
-    """Documents as originals; every third one, re-spaced, is corrected too."""
-    docs = bind.read_table(s, d, "documents").select("text", F.col("doc_id").alias("ord"))
-    fixed = docs.filter(F.col("ord") % 3 == 0).withColumn("text", F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "), F.lit(" ")))
-    return docs, fixed
+    """Documents as originals; the French ones, re-spaced, are the corrections."""
+    rows = bind.read_table(s, d, "documents")
+    side = lambda df: df.select("text", F.col("doc_id").alias("ord"))
+    spaced = F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "), F.lit(" "))
+    return side(rows), side(rows.filter(F.col("lang") == "fr")).withColumn("text", spaced)
 
 
 def _merge(s, d):
@@ -113,7 +114,7 @@ QUERIES = {
     "split_counts": lambda s, d: training.split_counts(_split(s, d), "vendor"),
     "split_sizes": lambda s, d: training.split_sizes(_split(s, d)),
     "split_missing_vendors": lambda s, d: training.missing_vendors(
-        training.assign_split(bind.view(s, d, bind.EVENT).select("id", F.col("k").alias("vendor")).filter(F.col("id") % 1000 < F.col("vendor")),
+        training.assign_split(bind.view(s, d, bind.EVENT).select("id", F.concat_ws("-", "u", "k").alias("vendor")),
                               "vendor", F.sha2(F.col("id").cast("string"), 256), "id"), "vendor"),
     "split_contamination": lambda s, d: training.contamination(_split(s, d, by_text=False), "text"),
     "split_test_ids": lambda s, d: training.test_ids(_split(s, d), "text"),
@@ -141,8 +142,8 @@ def _split_sql(key: str, rows: str = "SELECT doc_id AS id, source AS vendor, tex
 
 _BLANK = r"'[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]+'"
 _LOOSE = f"sha256(trim(regexp_replace(text, {_BLANK}, ' ', 'g')))"
-_SIDES = f"""o AS (SELECT {_LOOSE} AS dg, doc_id AS ord, 0 AS c FROM documents),
-    x AS (SELECT * FROM o UNION ALL SELECT dg, ord, 1 FROM o WHERE ord % 3 = 0)"""
+_SIDES = f"""o AS (SELECT {_LOOSE} AS dg, doc_id AS ord, 0 AS c, lang FROM documents),
+    x AS (SELECT dg, ord, c FROM o UNION ALL SELECT dg, ord, 1 FROM o WHERE lang = 'fr')"""
 
 ORACLES = {
     "chat_build": f"WITH {_E} SELECT id, sha256({_SYSTEM}) AS system, {_USER} AS user_text, {_ANSWER} AS answer FROM e",
@@ -163,7 +164,7 @@ ORACLES = {
     "split_assign": f"WITH {_split_sql('text')} SELECT id AS doc_id, vendor, split FROM s",
     "split_counts": f"WITH {_split_sql('text')} SELECT split, vendor, count(*) AS count FROM s GROUP BY split, vendor",
     "split_sizes": f"WITH {_split_sql('text')} SELECT split, count(*) AS count FROM s GROUP BY split",
-    "split_missing_vendors": f"""WITH {_E}, {_split_sql('cast(id AS varchar)', 'SELECT id, k AS vendor FROM e WHERE id % 1000 < k')}
+    "split_missing_vendors": f"""WITH {_E}, {_split_sql('cast(id AS varchar)', "SELECT id, concat(cast(u AS varchar), '-', cast(k AS varchar)) AS vendor FROM e")}
         SELECT a.split, b.vendor FROM (SELECT 'train' AS split UNION ALL SELECT 'val' UNION ALL SELECT 'test') a, (SELECT DISTINCT vendor FROM s) b
         WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.split = a.split AND s.vendor = b.vendor)""",
     "split_contamination": f"""WITH {_split_sql('cast(id AS varchar)')} SELECT DISTINCT sha256(text) AS digest FROM s WHERE split = 'test'

@@ -146,8 +146,7 @@ def _requests(s, d):
 def _outbox(s, d):
     due = state.retry_candidates(_finding(s, d), limit=None)
     payload = F.concat(F.lit('{"class_uid":2004,"raw_log_id":'), F.col("raw_log_id").cast("string"), F.lit("}"))
-    sent = state.outbox(due, payload)
-    delivered = sent.filter(F.col("raw_log_id") % 5 == 0)
+    delivered = state.outbox(due.filter(F.col("source") == "splunk"), payload)
     return state.outbox(due, payload, delivered)
 
 
@@ -220,8 +219,8 @@ ORACLES = {
     "reprocess_claim": f"WITH {_R} SELECT id, CASE WHEN {_DUE} THEN 'IN_PROGRESS' ELSE status END AS status FROM r",
     "retry_candidates": f"WITH {_FI} SELECT id, decision FROM f WHERE NOT published AND decision = 'ACCEPT' ORDER BY normalized_at, id LIMIT 10",
     "retry_outbox": f"""WITH {_FI}, o AS (SELECT raw_log_id, concat('{{"class_uid":2004,"raw_log_id":', cast(raw_log_id AS varchar), '}}') AS value
-        FROM f WHERE NOT published AND decision = 'ACCEPT') SELECT raw_log_id, value,
-        sha256(concat(cast(raw_log_id AS varchar), chr(1), value)) AS message_id FROM o WHERE raw_log_id % 5 <> 0""",
+        FROM f WHERE NOT published AND decision = 'ACCEPT' AND source <> 'splunk') SELECT raw_log_id, value,
+        sha256(concat(cast(raw_log_id AS varchar), chr(1), value)) AS message_id FROM o""",
     "latest_state": f"WITH {_E} SELECT u AS key, id AS version, ty AS status, k FROM e QUALIFY row_number() OVER (PARTITION BY u ORDER BY id DESC) = 1",
     "orphan_reviews": f"WITH {_V} SELECT id, raw_log_id FROM v WHERE raw_log_id < 0",
     "dedup_findings": f"WITH {_E} SELECT u AS raw_log_id, id AS ord, ty, k FROM e QUALIFY row_number() OVER (PARTITION BY u ORDER BY id) = 1",
