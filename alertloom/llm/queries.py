@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertloom.llm import neardup
+from alertloom.llm import bpe, decontam, langid, linedup, neardup, topk, warc
+from alertloom.llm.common import scratch
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +22,44 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op5_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archive")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.page_listing(warc.read_archive(spark, path))
+
+
+def op8_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_languages": op3_languages,
+    "op5_repeated_lines": op5_repeated_lines,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_archive": op7_archive,
+    "op8_top_vectors": op8_top_vectors,
+    "op10_benchmark_passages": op10_benchmark_passages,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_repeated_lines": linedup.ORACLE, "op8_top_vectors": topk.ORACLE}
