@@ -14,15 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.llm import bits
 from alertloom.llm.common import written
 from alertloom.llm.shingles import set_blocks
 
 CONTAINMENT = 0.8
-# The lookup filters' size in bits; fixed, so what is sent to the executors is 4 MB at any size of the benchmark.
-FILTER_BITS = 24
 
 
 def _need(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -48,25 +47,6 @@ def _item_sets(percent: int) -> Callable:
     return run
 
 
-def _filter(spark: SparkSession, hashes: DataFrame) -> np.ndarray:
-    """Two bits for each hash in an array of 2^FILTER_BITS bits; at most 2^(FILTER_BITS - 6) rows reach the driver."""
-    bits = hashes.select(F.explode(F.array(*(F.shiftrightunsigned("hash", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, FILTER_BITS)))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for word, value in words.collect():
-        out[word] = value
-    return out.view(np.uint8)
-
-
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    ok = np.ones(len(hashes), bool)
-    for s in (0, FILTER_BITS):
-        at = (hashes >> np.uint64(s)) & mask
-        ok &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    return ok
-
-
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """``doc_id, item_id, shared, size``: the items whose five-word shingles lie in a document to the given share or more.
 
@@ -79,12 +59,12 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     percent = round(100 * containment)
     given = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL")
     shingled = written(given.mapInArrow(_item_sets(percent), "item_id long, size long, hash long, minimum boolean").distinct(), "items")
-    every, minima = (spark.sparkContext.broadcast(_filter(spark, x)) for x in (shingled, shingled.filter("minimum")))
+    every, minima = (spark.sparkContext.broadcast(bits.build(x)) for x in (shingled, shingled.filter("minimum")))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, sets in set_blocks(batch.column(1)):
-                hits = [s[_passes(every.value, s)] if _passes(minima.value, s).any() else s[:0] for s in sets]
+                hits = [s[bits.passes(every.value, s)] if bits.passes(minima.value, s).any() else s[:0] for s in sets]
                 ends = np.cumsum([0, *(len(h) for h in hits)]).astype(np.int32)
                 found = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hits).view(np.int64)))
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), found], names=["doc_id", "n", "hits"])

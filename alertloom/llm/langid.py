@@ -122,48 +122,48 @@ def phrases(blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
     return count + (state > 1)
 
 
-def identify(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs`` (doc_id long, text string), whole texts.
+def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` (doc_id long, text string), and ``lang_pred, score``, from whole texts.
 
     The language that parses the text into the fewest phrases wins, of equal ones the first by
     name.  ``score`` is one minus the ratio of its phrases to the second
     language's: 0 for a tie, 1 where only one language is known.  Null texts, texts without a letter, and
-    all texts where nothing was learned, are ``und`` with score 0.  Rows without doc_id are not held out and not learned from.
+    all texts where nothing was learned, are ``und`` with score 0.  Each row is judged by its text alone, so
+    repeated rows and rows without doc_id get theirs as any other.
     """
     model = docs.sparkSession.sparkContext.broadcast(tuple(samples))
     names = [lang for lang, _ in samples]
+    fields = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, automata = _model(model.value)
 
-        def judge(ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
-            blocks = [-(-len(r) // BLOCK) for r in rows]
-            grid = np.zeros((sum(blocks), BLOCK), np.uint8)
-            at = 0
-            for r, n in zip(rows, blocks, strict=True):
-                grid[at : at + n].reshape(-1)[: len(r)] = r
-                at += n
-            owner = np.repeat(np.arange(len(rows)), blocks)
-            total = np.stack([np.bincount(owner, phrases(grid, a), len(rows)) for a in automata])
-            best = total.argmin(0)
-            low = total.min(0)
-            second = np.partition(total, 1, 0)[1] if len(names) > 1 else np.full(len(rows), np.inf)
-            known = np.array([(r != GAP).any() for r in rows], bool)
-            score = np.where(known, 1 - low / np.maximum(second, 1), 0.0)
-            return pa.RecordBatch.from_arrays([ids, pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+        def judge(part: pa.RecordBatch, rows: list[np.ndarray]) -> pa.RecordBatch:
+            known = np.array([(r != GAP).any() for r in rows], bool) & bool(names)
+            langs, score = [UNKNOWN] * len(rows), np.zeros(len(rows))
+            if known.any():
+                blocks = [-(-len(r) // BLOCK) for r in rows]
+                grid = np.zeros((sum(blocks), BLOCK), np.uint8)
+                at = 0
+                for r, n in zip(rows, blocks, strict=True):
+                    grid[at : at + n].reshape(-1)[: len(r)] = r
+                    at += n
+                owner = np.repeat(np.arange(len(rows)), blocks)
+                total = np.stack([np.bincount(owner, phrases(grid, a), len(rows)) for a in automata])
+                second = np.partition(total, 1, 0)[1] if len(names) > 1 else np.full(len(rows), np.inf)
+                score = np.where(known, 1 - total.min(0) / np.maximum(second, 1), 0.0)
+                langs = [names[b] if k else UNKNOWN for b, k in zip(total.argmin(0), known, strict=True)]
+            return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(score)], names=fields)
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            if not names:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([UNKNOWN] * len(ids), pa.string()), pa.array([0.0] * len(ids), pa.float64())], names=["doc_id", "lang_pred", "score"])
-                continue
             rows, first, size = [], 0, 0
-            for i in range(len(ids)):
-                rows.append(_symbols(texts[i].as_py() or "", table))
+            for i, text in enumerate(batch.column(0)):
+                rows.append(_symbols(text.as_py() or "", table))
                 size += len(rows[-1])
-                if size > 1 << 20 or i + 1 == len(ids):
-                    yield judge(ids.slice(first, len(rows)), rows)
+                if size > 1 << 20 or i + 1 == batch.num_rows:
+                    yield judge(batch.slice(first, len(rows)), rows)
                     rows, first, size = [], i + 1, 0
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    kept = docs.select(*keep)
+    spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, f"{spec}lang_pred string, score double")

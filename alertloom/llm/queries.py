@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import bpe, decontam, langid, linedup, neardup, topk, warc
+from alertloom.llm import bpe, decontam, langid, licenses, linedup, neardup, pii, topk, urlrules, warc
 from alertloom.llm.common import scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,9 +22,18 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.listing(pii.private_spans(_table(spark, sf_dir, "documents")))
+
+
 def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.learn(docs))
+    judged = langid.identify(docs, langid.learn(docs))
+    return judged.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"))
 
 
 def op5_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,18 +57,25 @@ def op8_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_private_spans": op2_private_spans,
     "op3_languages": op3_languages,
+    "op4_url_verdicts": op4_url_verdicts,
     "op5_repeated_lines": op5_repeated_lines,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_archive": op7_archive,
     "op8_top_vectors": op8_top_vectors,
+    "op9_licenses": op9_licenses,
     "op10_benchmark_passages": op10_benchmark_passages,
 }
 
-ORACLES: dict[str, str] = {"op5_repeated_lines": linedup.ORACLE, "op8_top_vectors": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_repeated_lines": linedup.ORACLE, "op8_top_vectors": topk.ORACLE, "op9_licenses": licenses.ORACLE}
