@@ -61,7 +61,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     units = docs.select(F.col("doc_id").cast("long"), F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text").cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text").cast("string"))).alias("units"))
     units = units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL")
-    made = units.select("doc_id", "unit", bigrams(normalised(F.col("text"))).alias("own")).filter(F.arrays_overlap("own", every))
+    # A filter is not moved below a generator, so each unit is taken apart once.
+    made = units.select("doc_id", "unit", F.explode(F.array(bigrams(normalised(F.col("text"))))).alias("own")).filter(F.arrays_overlap("own", every))
     n = F.size("own")
     # 2 min(a, b) / (a + b) is the most that sizes a and b allow.
     fits = F.filter(listed, lambda t: 200 * F.least(n, F.size(t["pairs"])) >= percent * (n + F.size(t["pairs"])))

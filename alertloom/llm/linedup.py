@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
 BLANK = r"[^\x20\x09-\x0D]"
+_NOT_BLANK = re.compile(BLANK)
+# Rows of an Arrow batch that are worked on at a time.
+ROWS = 256
+
 
+def numbered(text: str) -> tuple[list[str], list[int]]:
+    """The lines of a text, and the places of those that are not blank."""
+    lines = text.split("\n")
+    return lines, [i for i, line in enumerate(lines) if _NOT_BLANK.search(line)]
 
-def _lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """``lines`` of a text and ``full``, the places of those that are not blank."""
-    lines = docs.select(*keep, F.split(F.col("text"), "\n", -1).alias("lines"))
-    return lines.withColumn("full", F.expr(rf"filter(sequence(0, size(lines) - 1), i -> rlike(lines[i], r'{BLANK}'))"))
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            part = batch.slice(first, ROWS)
+            row, at, digests = [], [], []
+            for i, text in enumerate(part.column(1)):
+                lines, full = numbered(text.as_py())
+                for k in range(len(full) - WINDOW + 1):
+                    row.append(i)
+                    at.append(k)
+                    digests.append(xxhash.xxh3_128_digest("\n".join([lines[p] for p in full[k : k + WINDOW]])))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "at", "h1", "h2"]
+            )
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, covered``: the places (among its lines that are not blank) of a document's lines that lie in a later occurrence of a window."""
+    """``doc_id, starts``: where (among its lines that are not blank) later occurrences of windows begin in a document.
+
+    A window's hash has 128 bits, so windows of a very large corpus do not meet by chance.
+    """
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    held = _lines(named, "doc_id").filter(F.size("full") >= WINDOW)
-    parts = ", ".join(f"lines[full[i + {k}]]" for k in range(WINDOW))
-    # Two hashes, 128 bits: windows of a very large corpus do not meet by chance.
-    hashes = F.expr(f"transform(sequence(0, size(full) - {WINDOW}), i -> struct(i AS at, xxhash64({parts}) AS h1, xxhash64('other', {parts}) AS h2))")
-    windows = held.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.*")
+    windows = named.mapInArrow(_windows, "doc_id long, at int, h1 long, h2 long")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).filter(F.struct("doc_id", "at") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda p: F.array(*(p + k for k in range(WINDOW)))))).alias("covered"))
+    return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -34,22 +59,36 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Lines end at newlines; blank ones are not counted and stay.  Of
     equal windows of three consecutive lines the first by (doc_id, place) stays, and every
     line that lies in a later one is removed; overlapping later windows remove their
-    union.  Texts of fewer than three lines have no window.  Null texts stay null; rows
+    union.  Texts of fewer than three lines have no window.  Null texts stay null and have no line; rows
     without doc_id stay as they are; rows repeated under one doc_id are one
     document and get the same text.  Columns named ``n_lines`` or ``n_removed`` are replaced.
     """
-    cover = covered_lines(docs).select(F.col("doc_id").alias("_cover_id"), F.col("covered").alias("_cover"))
-    joined = docs.join(cover, F.col("doc_id").cast("long") == F.col("_cover_id"), "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_full", F.expr(rf"CASE WHEN _cover IS NOT NULL THEN filter(sequence(0, size(_lines) - 1), i -> rlike(_lines[i], r'{BLANK}')) END"))
-        .withColumn("_gone", F.expr("transform(_cover, k -> _full[k])"))
-        .withColumn("text", F.expr("CASE WHEN _cover IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\\n') END"))
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
-    )
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    place = keep.index("text") + 1
+    cover = covered_lines(docs).select(F.col("doc_id").alias("_cover_id"), "starts")
+    joined = docs.join(cover, F.col("doc_id").cast("long") == F.col("_cover_id"), "left").select(F.col("starts").alias("_starts"), *[F.col(c).cast("string") if c == "text" else F.col(c) for c in keep])
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                texts, counts, removed = [], [], []
+                for starts, value in zip(part.column(0).to_pylist(), part.column(place), strict=True):
+                    text = value.as_py()
+                    counts.append(0 if text is None else text.count("\n") + 1)
+                    gone: set[int] = set()
+                    if starts and text is not None:
+                        lines, full = numbered(text)
+                        gone = {full[k + d] for k in starts for d in range(WINDOW) if k + d < len(full)}
+                        text = "\n".join([line for i, line in enumerate(lines) if i not in gone])
+                    texts.append(text)
+                    removed.append(len(gone))
+                columns = list(part.columns)
+                columns[place] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns[1:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
+
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[1:])
+    return joined.mapInArrow(shorten, f"{spec}, n_lines long, n_removed long")
 
 
 ORACLE = r"""
