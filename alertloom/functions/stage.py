@@ -10,16 +10,6 @@ from alertloom.functions.sql import Sql
 _OWN = "_own"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Splits an input over all cores when its files give fewer tasks than that.
-
-    Per-row JSON work is heavy next to reading.  A large input has more splits
-    than cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def once(df: DataFrame, keep: list[str], **named: Sql) -> DataFrame:
     """``keep`` plus the named expressions, each computed exactly once per row.
 

@@ -58,10 +58,14 @@ def explode_batch(checked: DataFrame) -> DataFrame:
     )
 
 
-def new_raw_logs(rows: DataFrame, received_at: Column) -> DataFrame:
-    """Accepted rows as PENDING raw logs."""
+def new_raw_logs(rows: DataFrame, received_at: Column, key: Column) -> DataFrame:
+    """Accepted rows as PENDING raw logs.
+
+    ``key`` tells deliveries of the same content apart (a batch and position, say); the id is
+    a digest of it and the content, so a recomputed task and a repeated run give the same ids.
+    """
     return rows.select(
-        F.expr("uuid()").alias("id"),
+        F.sha2(F.concat_ws("\u0001", key.cast("string"), "source", "raw_content"), 256).alias("id"),
         "source",
         F.lit(None).cast("string").alias("format"),
         "raw_content",

@@ -157,15 +157,18 @@ def dry_run(df: DataFrame, order: list[Column], limit: int = DRY_RUN_LIMIT) -> D
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def with_ordinal(df: DataFrame, order: str, name: str = "ordinal", slice_rows: int = 1 << 20) -> DataFrame:
-    """1-based position of each row by the unique whole number ``order``.
-
-    A row's position is its place in its slice of ``slice_rows`` consecutive
-    numbers plus the rows of the slices before.  Slices come from the data, not
-    from the partitioning, so a recomputed task gives the same positions; only
-    one count per slice meets in a single task.
+def with_ordinal(df: DataFrame, order: str, table: str, name: str = "ordinal") -> DataFrame:
+    """1-based position of each row by the unique column ``order``.
+
+    Rows are dealt into ranges of about equal size, however the values of ``order``
+    lie, and written with their range to ``table``, a new folder all executors see: from
+    then on ranges are fixed, and a recomputed task gives the same positions.  A row's
+    position is its place in its range plus the rows of the ranges before; only
+    one count per range meets in a single task.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    dealt = df.repartitionByRange(order).withColumn("_slice", F.spark_partition_id())
+    dealt.write.mode("errorifexists").parquet(table)
+    sliced = df.sparkSession.read.schema(dealt.schema).parquet(table)
     counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -181,22 +184,16 @@ def label_id(ordinal: Column) -> Column:
     return F.format_string("label_%04d", ordinal)
 
 
-def labelled_pairs(
-    mapped: DataFrame, order: str, raw_log: str = "raw_log", keep_order: bool = False, table: str | None = None
-) -> DataFrame:
+def labelled_pairs(mapped: DataFrame, order: str, table: str, raw_log: str = "raw_log", keep_order: bool = False) -> DataFrame:
     """``id, source, raw_log, ocsf`` of the records that were mapped, ids by ``order``.
 
-    Numbering reads its input twice.  Give ``table``, a folder all executors see,
-    to write the mapped pairs there first instead of mapping twice.
+    ``table`` is a new folder all executors see; the mapped pairs are written there once (see ``with_ordinal``).
     ``keep_order`` also gives the ordering column, as ``ord``.
     """
     pairs = mapped.filter(F.col("skip_reason").isNull()).select(
         F.col(order).alias("ord"), "source", F.col(raw_log).alias("raw_log"), F.to_json("finding").alias("ocsf")
     )
-    if table is not None:
-        pairs.write.mode("errorifexists").parquet(table)
-        pairs = mapped.sparkSession.read.schema(pairs.schema).parquet(table)
     extra = ["ord"] if keep_order else []
-    return with_ordinal(pairs, "ord").select(
+    return with_ordinal(pairs, "ord", table).select(
         label_id(F.col("ordinal")).alias("id"), *extra, "source", "raw_log", "ocsf"
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_DAYS = 7
 DEFAULT_LIMIT = 20
-BROADCAST_ROWS = 10_000
 
 
 def _or_zero(c: Column) -> Column:
@@ -109,10 +108,10 @@ def pending_top(reviews: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 
 def pending_with_raw(reviews: DataFrame, raw_logs: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """``pending_top`` with the raw log.  Up to ``BROADCAST_ROWS`` reviews are broadcast, more are joined."""
+    """``pending_top`` of the reviews whose raw log exists, with the raw log.  The join is Spark's choice, by the sizes it has measured."""
     top = pending_top(reviews.join(raw_logs.select(F.col("id").alias("raw_log_id")), "raw_log_id", "left_semi"), limit)
     raw = raw_logs.select(F.col("id").alias("raw_log_id"), "raw_content", "received_at")
-    return raw.join(F.broadcast(top) if limit <= BROADCAST_ROWS else top, "raw_log_id")
+    return raw.join(top, "raw_log_id")
 
 
 def with_priority(reviews: DataFrame, priority: str) -> DataFrame:

@@ -26,6 +26,7 @@ def _json_int(key: str) -> Column:
 def finding_rows(responses: DataFrame, at: Column) -> DataFrame:
     """One finding per response that has one."""
     return responses.filter(F.col("ocsf").isNotNull()).select(
+        F.sha2(F.concat_ws("\u0001", F.lit("finding"), F.col("id").cast("string"), at.cast("string")), 256).alias("id"),
         F.col("id").alias("raw_log_id"),
         _json_int("class_uid"),
         F.get_json_object("ocsf", "$.class_name").alias("class_name"),
@@ -69,6 +70,8 @@ def review_rows(responses: DataFrame, at: Column) -> DataFrame:
     """Everything not accepted: ``review`` at normal priority, the rest high."""
     queued = responses.filter(F.coalesce(F.col("decision"), F.lit("")) != "accept")
     return queued.select(
+        # One review per result of a raw log, so the raw log's id and the time name it.
+        F.sha2(F.concat_ws("\u0001", F.lit("review"), F.col("id").cast("string"), at.cast("string")), 256).alias("id"),
         F.col("id").alias("raw_log_id"),
         "source",
         F.col("ocsf").alias("model_output"),
@@ -77,6 +80,8 @@ def review_rows(responses: DataFrame, at: Column) -> DataFrame:
         "validation_errors",
         F.when(F.col("decision") == "review", "NORMAL").otherwise("HIGH").alias("priority"),
         at.alias("queued_at"),
+        F.lit(None).cast("string").alias("corrected"),
+        F.lit(None).cast("string").alias("reviewed_by"),
         F.lit(None).cast("timestamp").alias("reviewed_at"),
         F.lit(False).alias("exported_for_training"),
     )

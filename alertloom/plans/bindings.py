@@ -70,8 +70,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A binding SELECT over the driver's ``events``."""
+    return of(read_table(spark, sf_dir, "events"), sql)
+
+
+def of(events: DataFrame, sql: str) -> DataFrame:
+    """A binding SELECT over any frame of ``events`` rows, a stream too."""
     text = sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
-    return spark.sql(text, events=read_table(spark, sf_dir, "events"))
+    return events.sparkSession.sql(text, events=events)
 
 
 def duck(name: str, sql: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.sql import F as X
@@ -23,14 +22,16 @@ def _chats(s, d):
 
 
 def _conversations(s, d):
-    """Real conversations as messages, up to the fourth turn: that a conversation is too long shows by then,
-    so a very long one is never gathered in one row."""
-    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = bind.read_table(s, d, "conversations").withColumn("_place", place).filter(F.col("_place") <= 4)
+    """Conversations as messages.  Only those of three turns can be valid, so only they are gathered; the
+    others, counted over all their turns, go on with their first role alone and are of the wrong length."""
+    rows = bind.read_table(s, d, "conversations")
+    sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    short = rows.join(sizes.filter("n = 3"), "conv_id")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return rows.groupBy(F.col("conv_id").alias("id")).agg(
-        F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")
-    )
+    message = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))
+    whole = short.groupBy(F.col("conv_id").alias("id")).agg(F.transform(turns, message).alias("messages"))
+    other = sizes.filter("n <> 3").select(F.col("conv_id").alias("id"), F.array(F.struct(F.lit("user").alias("role"), F.lit("").alias("content"))).alias("messages"))
+    return whole.unionByName(other)
 
 
 def _chat_validate(s, d):

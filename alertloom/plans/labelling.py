@@ -35,7 +35,7 @@ QUERIES = {
     "label_summary": lambda s, d: label.label_summary(_mixed(s, d)),
     "label_dry_run": _dry_run,
     "label_ids": lambda s, d: label.labelled_pairs(
-        _mixed(s, d), "id", keep_order=True, table=scratch(s, "pairs")
+        _mixed(s, d), "id", scratch(s, "pairs"), keep_order=True
     ).select(F.col("id").alias("label_id"), F.col("ord").alias("id"), "source"),
 }
 

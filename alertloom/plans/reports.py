@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.operators import ingest, metrics, state
+from alertloom.functions.sql import Sql
+from alertloom.functions.stage import once
+from alertloom.operators import ingest, metrics, state, validate
 from alertloom.plans import bindings as bind
+from alertloom.plans.scoring import MODEL_FINDING
+from alertloom.session import scratch
 
 
 
@@ -83,28 +87,57 @@ def _state_log(s, d):
 
 
 def _corrections(s, d):
-    """One correction per event: some reviews are unknown, done, or given bad input."""
-    return bind.view(s, d, bind.EVENT).selectExpr(
-        "id AS review_id",
-        "CASE WHEN id % 31 = 0 THEN '{bad' WHEN id % 37 = 0 THEN '{\"class_uid\":1}'"
-        " ELSE concat('{\"class_uid\":2004,\"n\":', id, '}') END AS corrected",
-        "CASE WHEN id % 41 = 0 THEN '  ' ELSE concat('r', u) END AS reviewer",
+    """One correction per event and for some a second: some reviews are unknown, done, or given bad input."""
+    made = once(bind.view(s, d, bind.EVENT), ["id", "u"], j=Sql(MODEL_FINDING))
+    rows = made.selectExpr(
+        "id AS review_id", "CASE WHEN id % 31 = 0 THEN '{bad' ELSE j END AS corrected",
+        "CASE WHEN id % 41 = 0 THEN '  ' ELSE concat('r', u) END AS reviewer", "explode(CASE WHEN id % 5 = 0 THEN array(id, -id - 1) ELSE array(id) END) AS submitted",
     )
+    return rows
 
 
 def _gate(s, d):
-    valid = F.get_json_object("corrected", "$.class_uid") == "2004"
-    return state.correction_gate(_corrections(s, d), _review(s, d), valid)
+    read = _corrections(s, d).withColumn("v", F.try_parse_json("corrected"))
+    checked = validate.check_model(read, "v")
+    return state.correction_gate(checked, _review(s, d), F.col("cleaned").isNotNull())
+
+
+def _accepted(s, d):
+    """Written once: the gate feeds several tables."""
+    passed = _gate(s, d).filter(F.col("reject_reason").isNull()).select("review_id", "raw_log_id", "corrected", "reviewer", "submitted")
+    path = scratch(s, "accepted")
+    passed.write.parquet(path)
+    return s.read.schema(passed.schema).parquet(path)
+
+
+def _findings_of_some(s, d):
+    """Findings in their stored shape.  Those of every tenth raw log are missing, so that corrections also insert."""
+    rows = _finding(s, d).filter("raw_log_id % 10 <> 1")
+    null = lambda t: F.lit(None).cast(t)
+    return rows.select(
+        "raw_log_id", "class_uid", null("string").alias("class_name"), F.lit(9).alias("activity_id"), F.lit("Old").alias("activity_name"),
+        F.lit(1).alias("severity_id"), F.lit("{}").alias("ocsf_json"), "confidence", "decision", F.col("latency_ms").alias("processing_time"),
+        F.col("normalized_at").cast("timestamp").alias("normalized_at"), "published", F.when(F.col("published"), "m").alias("message_id"),
+    )
 
 
 def _upsert(s, d):
-    accepted = _gate(s, d).filter(F.col("reject_reason").isNull()).select("raw_log_id", "corrected")
-    # Some raw logs have no finding yet, so the merge also inserts.
-    findings = _finding(s, d).filter(F.col("decision") != "REJECT").withColumn("ocsf_json", F.lit("{}"))
-    return state.upsert_corrections(findings, accepted).select(
-        "raw_log_id", "class_uid", "confidence", "decision", "published",
-        F.length("ocsf_json").cast("bigint").alias("n_json"),
-    )
+    done = state.upsert_corrections(_findings_of_some(s, d), state.last_corrections(_accepted(s, d)), _as_of())
+    return done.withColumns({"n_json": F.length("ocsf_json").cast("bigint"), "normalized_at": F.date_format("normalized_at", "yyyy-MM-dd HH:mm:ss")}).drop("ocsf_json")
+
+
+def _correction_state(s, d):
+    """Reviews and raw logs after the corrections."""
+    accepted = _accepted(s, d)
+    reviews = state.reviewed(_review(s, d).drop("corrected"), accepted, _as_of())
+    raw = state.processed(_raw(s, d), accepted, _as_of()).select(F.col("id").alias("raw_log_id"), "status", F.col("processed_at").isNotNull().alias("done"))
+    return reviews.join(raw, "raw_log_id", "left").select("id", "reviewed_by", F.col("reviewed_at").isNotNull().alias("reviewed"), F.length("corrected").cast("bigint").alias("n_json"), "status", "done")
+
+
+def _export_marks(s, d):
+    reviews = _review(s, d)
+    due = reviews.filter("corrected IS NOT NULL AND NOT exported_for_training")
+    return state.mark_exported(reviews, due).select("id", "exported_for_training")
 
 
 def _dedup(s, d):
@@ -170,8 +203,10 @@ QUERIES = {
     "latest_state": lambda s, d: state.latest(_state_log(s, d), "key", "version"),
     "orphan_reviews": lambda s, d: state.orphans(_review(s, d), _raw(s, d)).select("id", "raw_log_id"),
     "dedup_findings": _dedup,
-    "correction_gate": lambda s, d: _gate(s, d).select("review_id", F.coalesce("reject_reason", F.lit("ok")).alias("outcome")),
+    "correction_gate": lambda s, d: _gate(s, d).select("review_id", "submitted", F.coalesce("reject_reason", F.lit("ok")).alias("outcome")),
     "correction_upsert": _upsert,
+    "correction_state": _correction_state,
+    "export_marks": _export_marks,
     "ingest_contract": _ingest,
     "batch_explode": _batch,
     "request_contract": _requests,
@@ -184,9 +219,19 @@ _MINUTES = f"cast(floor((epoch_us({_TS}) - epoch_us(queued_at)) / 60000000) AS b
 _DUE = f"(status = 'PENDING' OR (status = 'IN_PROGRESS' AND received_at < {_TS} - INTERVAL 10 MINUTE))"
 _PENDING = "v WHERE reviewed_at IS NULL"
 _TOP = "ORDER BY CASE WHEN priority = 'HIGH' THEN 0 ELSE 1 END, confidence, id LIMIT 20"
-_GATE = """CASE WHEN e.id % 41 = 0 THEN 'blank_reviewer' WHEN e.id % 31 = 0 THEN 'bad_json'
-    WHEN e.id % 37 = 0 THEN 'invalid' WHEN v.id IS NULL THEN 'not_found'
-    WHEN v.reviewed_at IS NOT NULL THEN 'already_reviewed' ELSE 'ok' END"""
+# One row per correction: the second ones came first.  The JSON's length follows from its parts.
+_GATE = f"""{_E}, {_V}, s AS (SELECT *, id AS submitted FROM e UNION ALL SELECT *, -id - 1 FROM e WHERE id % 5 = 0),
+    t AS (SELECT s.id, s.u, s.submitted, v.raw_log_id, CASE WHEN s.id % 41 = 0 THEN 'blank_reviewer' WHEN s.id % 31 = 0 THEN 'bad_json'
+        WHEN s.id % 13 = 0 OR s.id % 11 = 0 THEN 'invalid' WHEN v.id IS NULL THEN 'not_found'
+        WHEN v.reviewed_at IS NOT NULL OR (s.id % 5 = 0 AND submitted >= 0) THEN 'already_reviewed' ELSE 'ok' END AS outcome,
+        length(concat('{{"activity_id":1,"activity_name":"Create","category_uid":2,"category_name":"Findings","class_uid":2004,"class_name":"Detection Finding","type_uid":200401,',
+            '"finding_info":{{"title":"', ty, ' alert ', cast(k AS varchar), '","uid":"uid-', cast(s.id AS varchar), '"}},',
+            '"metadata":{{"product":{{"name":"Prod","vendor_name":"Vend"}},"version":"1.1.0"}},"severity_id":3,"severity":"Medium","time":"', iso, 'Z"',
+            CASE WHEN s.id % 2 = 0 THEN ',"status":"New"' ELSE '' END,
+            CASE WHEN s.id % 3 = 0 THEN concat(',"device":{{"hostname":"host', cast(u AS varchar), '","ip":"10.0.0.', cast(k AS varchar), '"}}') ELSE '' END,
+            CASE WHEN s.id % 7 = 0 THEN concat(',"extra":', cast(s.id AS varchar)) ELSE '' END, '}}')) AS n_json
+        FROM s LEFT JOIN v ON s.id = v.id),
+    c AS (SELECT * FROM t WHERE outcome = 'ok')"""
 
 ORACLES = {
     "metrics_overview": f"""WITH {_M} SELECT count(*) AS total_logs, round(avg(confidence), 6) AS avg_confidence,
@@ -224,15 +269,21 @@ ORACLES = {
     "latest_state": f"WITH {_E} SELECT u AS key, id AS version, ty AS status, k FROM e QUALIFY row_number() OVER (PARTITION BY u ORDER BY id DESC) = 1",
     "orphan_reviews": f"WITH {_V} SELECT id, raw_log_id FROM v WHERE raw_log_id < 0",
     "dedup_findings": f"WITH {_E} SELECT u AS raw_log_id, id AS ord, ty, k FROM e QUALIFY row_number() OVER (PARTITION BY u ORDER BY id) = 1",
-    "correction_gate": f"WITH {_E}, {_V} SELECT e.id AS review_id, {_GATE} AS outcome FROM e LEFT JOIN v ON e.id = v.id",
-    "correction_upsert": f"""WITH {_E}, {_V}, {_FI}, c AS (SELECT v.raw_log_id, 23 + length(cast(e.id AS varchar)) AS n FROM e JOIN v ON e.id = v.id WHERE {_GATE} = 'ok'),
-        k AS (SELECT * FROM f WHERE decision <> 'REJECT')
-        SELECT coalesce(k.raw_log_id, c.raw_log_id) AS raw_log_id, coalesce(k.class_uid, 2004) AS class_uid,
-        CASE WHEN c.raw_log_id IS NOT NULL THEN 1.0 ELSE k.confidence END AS confidence,
-        CASE WHEN c.raw_log_id IS NOT NULL THEN 'CORRECTED' ELSE k.decision END AS decision,
-        CASE WHEN c.raw_log_id IS NOT NULL THEN false ELSE k.published END AS published,
-        CASE WHEN c.raw_log_id IS NOT NULL THEN c.n ELSE 2 END AS n_json
+    "correction_gate": f"WITH {_GATE} SELECT id AS review_id, submitted, outcome FROM t",
+    "correction_upsert": f"""WITH {_GATE}, {_FI}, k AS (SELECT * FROM f WHERE raw_log_id % 10 <> 1)
+        SELECT coalesce(k.raw_log_id, c.raw_log_id) AS raw_log_id, 2004 AS class_uid, CASE WHEN k.id IS NULL THEN 'Detection Finding' END AS class_name,
+        CASE WHEN k.id IS NULL THEN 1 ELSE 9 END AS activity_id, CASE WHEN k.id IS NULL THEN 'Create' ELSE 'Old' END AS activity_name,
+        CASE WHEN k.id IS NULL THEN 3 ELSE 1 END AS severity_id, CASE WHEN c.id IS NULL THEN k.confidence ELSE 1.0 END AS confidence,
+        CASE WHEN c.id IS NULL THEN k.decision ELSE 'CORRECTED' END AS decision, CASE WHEN k.id IS NULL THEN 0 ELSE k.latency_ms END AS processing_time,
+        strftime(CASE WHEN k.id IS NULL THEN {_TS} ELSE k.normalized_at END, '%Y-%m-%d %H:%M:%S') AS normalized_at,
+        CASE WHEN c.id IS NULL THEN k.published ELSE false END AS published, CASE WHEN c.id IS NULL AND k.published THEN 'm' END AS message_id,
+        CASE WHEN c.id IS NULL THEN 2 ELSE c.n_json END AS n_json
         FROM k FULL OUTER JOIN c ON k.raw_log_id = c.raw_log_id""",
+    "correction_state": f"""WITH {_GATE}, {_R} SELECT v.id, CASE WHEN c.id IS NOT NULL THEN concat('r', cast(c.u AS varchar)) END AS reviewed_by,
+        v.reviewed_at IS NOT NULL OR c.id IS NOT NULL AS reviewed, c.n_json, CASE WHEN r.id IS NULL THEN NULL WHEN c.id IS NOT NULL THEN 'PROCESSED' ELSE r.status END AS status,
+        CASE WHEN r.id IS NOT NULL THEN c.id IS NOT NULL END AS done
+        FROM v LEFT JOIN c ON v.id = c.id LEFT JOIN r ON v.raw_log_id = r.id""",
+    "export_marks": f"WITH {_V} SELECT id, exported_for_training OR corrected IS NOT NULL AS exported_for_training FROM v",
     "ingest_contract": f"""WITH {_E} SELECT id, CASE id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad_source' WHEN 2 THEN 'bad_source'
         WHEN 3 THEN 'bad_content' WHEN 4 THEN 'unknown_key' WHEN 5 THEN 'not_an_object' ELSE 'bad_source' END AS outcome FROM e""",
     "batch_explode": f"""WITH {_E} SELECT id, ty AS source, p AS position, CASE WHEN p = 0 THEN k ELSE -1 END AS k

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.sql import F as X
 from alertloom.functions.sql import Sql
-from alertloom.functions.stage import once, spread
+from alertloom.functions.stage import once
 from alertloom.functions.text import extract_json
 from alertloom.operators import route, score, validate
 from alertloom.plans import bindings as bind
@@ -14,7 +14,7 @@ from alertloom.session import scratch
 from alertloom.streaming import jobs
 
 # A finding as a model would write it, with planned faults.
-_FINDING = """to_json(named_struct('activity_id', 1, 'activity_name', 'Create', 'category_uid', 2, 'category_name', 'Findings',
+MODEL_FINDING = """to_json(named_struct('activity_id', 1, 'activity_name', 'Create', 'category_uid', 2, 'category_name', 'Findings',
     'class_uid', 2004, 'class_name', 'Detection Finding', 'type_uid', 200401,
     'finding_info', named_struct('title', concat(ty, ' alert ', k), 'uid', concat('uid-', id)),
     'metadata', CASE WHEN id % 13 <> 0 THEN named_struct('product', named_struct('name', 'Prod', 'vendor_name', 'Vend'), 'version', '1.1.0') END,
@@ -29,8 +29,8 @@ _ANSWER = """CASE id % 4 WHEN 0 THEN j WHEN 1 THEN concat('Here:\\n```json\\n',
 
 
 def _answers(s, d):
-    rows = spread(bind.view(s, d, bind.EVENT))
-    made = once(rows, ["id"], raw_log=Sql(_RAW), j=Sql(_FINDING))
+    rows = bind.view(s, d, bind.EVENT)
+    made = once(rows, ["id"], raw_log=Sql(_RAW), j=Sql(MODEL_FINDING))
     return once(made, ["id", "raw_log"], model_output=Sql(_ANSWER))
 
 
@@ -48,7 +48,7 @@ def _labels(s, d):
         'metadata', named_struct('product', named_struct('name', 'Prod', 'vendor_name', 'Vend'), 'version', CASE WHEN id % 4 = 0 THEN '1.7.0' ELSE '1.1.0' END),
         'severity_id', CASE WHEN id % 11 = 0 THEN 6 ELSE 3 END, 'severity', 'Medium', 'time', CASE WHEN id % 13 = 0 THEN NULL ELSE concat(iso, 'Z') END,
         'user', CASE WHEN id % 17 = 0 THEN 'bob' END))"""
-    made = once(spread(bind.view(s, d, bind.EVENT)), ["id"], ocsf=Sql(f"CASE WHEN id % 19 = 0 THEN '{{bad' ELSE {text} END"))
+    made = once(bind.view(s, d, bind.EVENT), ["id"], ocsf=Sql(f"CASE WHEN id % 19 = 0 THEN '{{bad' ELSE {text} END"))
     return validate.check_labels(made)
 
 
@@ -77,38 +77,78 @@ def _now():
 
 
 def _stream_timeline(s, d):
-    """The metric rows through a stream until no input is left; all windows are written out."""
+    """The metric rows through a stream over the given table; each batch rewrites the hours it touched."""
     root = scratch(s, "timeline")
-    rows = bind.view(s, d, bind.METRIC).selectExpr("cast(ts AS timestamp) AS timestamp", "confidence", "latency_ms")
-    rows.write.parquet(f"{root}/in")
-    stream = jobs.live_timeline(s.readStream.schema(rows.schema).parquet(f"{root}/in"))
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
-
-    query = (stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/ck")
-             .foreachBatch(keep).trigger(availableNow=True).start())
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return s.read.parquet(f"{root}/out/v={last}").select(
+    source = f"{d}/events.parquet"
+    events = s.readStream.schema(s.read.parquet(source).schema).parquet(_folder(source))
+    rows = bind.of(events, bind.METRIC).selectExpr("cast(ts AS timestamp) AS timestamp", "confidence", "latency_ms")
+    jobs.run_timeline(rows, root, f"{root}/ck", available_now=True).awaitTermination()
+    return jobs.timeline(s, root).select(
         F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "count",
         F.round("avg_confidence", 6).alias("avg_confidence"), F.col("avg_latency_ms").cast("bigint").alias("avg_latency_ms"))
 
 
-def _stream_routing(s, d):
-    """Responses through the routing stream; counts of what each table received."""
-    root = scratch(s, "routing")
+def _folder(path: str) -> str:
+    """A stream reads folders or patterns: a table that is one file is named by a pattern that fits it alone."""
+    return path.removesuffix(".parquet") + ".parque[t]"
+
+
+def _routed(s, d, name: str) -> str:
+    """The responses through the routing stream, then one retry run with the stream's batch number."""
+    root = scratch(s, name)
     rows = _responses(s, d)
     rows.write.parquet(f"{root}/in")
     source = s.readStream.schema(rows.schema).parquet(f"{root}/in")
     jobs.run_routing(source, root, f"{root}/ck", _now(), available_now=True).awaitTermination()
-    counts = [s.read.parquet(f"{root}/{t}").agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n")) for t in jobs.TABLES]
+    return root
+
+
+def _stream_routing(s, d):
+    """Counts of what each table received."""
+    root = _routed(s, d, "routing")
+    counts = [jobs.read(s, root, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n")) for t in jobs.TABLES]
     total = counts[0]
     for c in counts[1:]:
         total = total.unionByName(c)
     return total
 
 
+def _stream_retry(s, d):
+    """Delivery after a stream whose outbox failed, and a retry run with the same batch number: every accepted finding, once."""
+    root = scratch(s, "retry")
+    broken = jobs.route_batch(root, _now(), send=lambda rows: 1 / 0)
+    broken(_responses(s, d).filter("id % 2 = 0"), 0)
+    jobs.route_batch(root, _now(), producer="other")(_responses(s, d).filter("id % 2 = 1"), 0)
+    jobs.retry_outbox(s, root, 0)
+    found = jobs.findings(s, root).filter("decision = 'ACCEPT'").select("raw_log_id", "published", "message_id")
+    return found.join(jobs.read(s, root, "outbox").select("raw_log_id", "value", F.col("producer").alias("sent_by")), "raw_log_id", "left")
+
+
+def _stream_normalize(s, d):
+    """Ingest bodies to raw logs, answers and routed tables in one stream; state and decision of each log."""
+    root = scratch(s, "normalize")
+    bodies = bind.view(s, d, bind.EVENT).selectExpr(
+        "CASE WHEN id % 10 = 0 THEN '[1]' ELSE concat('{\"source\":\"', ty, '\",\"rawContent\":{\"n\":', id, ',\"props\":', props, '}}') END AS body", "id AS delivery")
+    bodies.write.parquet(f"{root}/in")
+
+    def respond(raw_logs):
+        n = F.get_json_object("raw_log", "$.n").cast("bigint")
+        return raw_logs.select(
+            "id", "source", F.when(n % 4 != 0, F.concat(F.lit('{"class_uid":2004,"n":'), n.cast("string"), F.lit("}"))).alias("ocsf"),
+            F.when(n % 4 == 0, 0.0).when(n % 4 == 1, 0.9).otherwise(0.7).alias("confidence"),
+            F.when(n % 4 == 0, "reject").when(n % 4 == 1, "accept").otherwise("review").alias("decision"),
+            F.lit(5).alias("latency_ms"), F.lit(None).cast("string").alias("error"), F.lit("{}").alias("breakdown"), F.lit("[]").alias("validation_errors"))
+
+    stream = s.readStream.schema("body string, delivery long").parquet(f"{root}/in")
+    jobs.run_ingest(stream, respond, root, f"{root}/ck", F.col("delivery"), _now(), available_now=True).awaitTermination()
+    raw = jobs.read(s, root, "raw_log").select(F.col("id").alias("raw_log_id"), "source", F.get_json_object("raw_content", "$.n").cast("bigint").alias("n"))
+    state_rows = jobs.read(s, root, "raw_log_state").select(F.col("id").alias("raw_log_id"), "status", "error_message")
+    found = jobs.findings(s, root).select("raw_log_id", "decision", "published", F.get_json_object("ocsf_json", "$.n").cast("bigint").alias("n_json"))
+    review = jobs.read(s, root, "manual_review").select("raw_log_id", "priority")
+    joined = raw.join(state_rows, "raw_log_id", "left").join(found, "raw_log_id", "left").join(review, "raw_log_id", "left")
+    return joined.drop("raw_log_id")
+
+
 QUERIES = {
     "extract_json": _extract,
     "validate_label": lambda s, d: _labels(s, d).select("id", F.array_join(F.array_sort("errors"), ";").alias("errors")),
@@ -124,6 +164,8 @@ QUERIES = {
     "route_accept": lambda s, d: route.outbox_rows(_responses(s, d)),
     "stream_timeline": _stream_timeline,
     "stream_routing": _stream_routing,
+    "stream_retry": _stream_retry,
+    "stream_normalize": _stream_normalize,
 }
 
 _E, _M = bind.duck("e", bind.EVENT), bind.duck("m", bind.METRIC)
@@ -169,6 +211,13 @@ ORACLES = {
         UNION ALL SELECT 'raw_log_state', count(*) FROM f UNION ALL SELECT 'manual_review', count(*) FROM f WHERE coalesce(decision, '') <> 'ACCEPT'
         UNION ALL SELECT 'outbox', count(*) FROM f WHERE decision = 'ACCEPT'""",
 }
+ORACLES["stream_retry"] = f"""WITH {_M}, o AS (SELECT id AS raw_log_id, concat('{{"class_uid":2004,"severity_id":3,"n":', cast(id AS varchar), '}}') AS value FROM m WHERE decision = 'ACCEPT')
+    SELECT raw_log_id, true AS published, sha256(concat(cast(raw_log_id AS varchar), chr(1), value)) AS message_id, value,
+    CASE WHEN raw_log_id % 2 = 0 THEN 'retry' ELSE 'other' END AS sent_by FROM o"""
+ORACLES["stream_normalize"] = f"""WITH {_E} SELECT id AS n, ty AS source, CASE WHEN id % 4 = 0 THEN 'FAILED' ELSE 'PROCESSED' END AS status,
+    CASE WHEN id % 4 = 0 THEN 'No OCSF output produced' END AS error_message, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ACCEPT' ELSE 'REVIEW' END AS decision,
+    CASE WHEN id % 4 <> 0 THEN id % 4 = 1 END AS published, CASE WHEN id % 4 <> 0 THEN id END AS n_json,
+    CASE id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN NULL ELSE 'NORMAL' END AS priority FROM e WHERE id % 10 <> 0"""
 # Scores as the definitions give them: leaves are title, uid, time, severity (never in the alert text), product
 # names, host and ip; the alert text holds title, uid (and so the number kept of an uncleaned finding), host
 # and, for even ids, the time.

@@ -42,15 +42,21 @@ def build_session(app: str = "alertloom", cpus: int | None = None, **settings: s
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, on whatever file system that is.
+
+    Where it is unset a local session, as in tests, gets a folder of its own; on a
+    cluster that would be a folder executors do not share, so the call fails.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="alertloom-ck-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def scratch(spark: SparkSession, prefix: str) -> str:
-    """A new folder name inside the checkpoint folder, on whatever file system that is."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    """A new folder name inside the shared folder."""
+    return f"{shared_dir(spark)}/{prefix}-{uuid.uuid4().hex}"

@@ -1,15 +1,17 @@
 """Continuous ingest, scoring and routing, and the live hourly timeline.
 
 The per-row work is the batch code.  Each micro-batch is written to parquet
-tables under one folder, every table partitioned by ``batch_id`` and written with
-dynamic overwrite: a repeated batch replaces its own rows, so a restart or a lost
-executor never doubles them.  Writes go in a fixed order, state first and the
-outbox last; a finding whose message was not written stays unpublished and is
-picked up by the retry job.
+tables under one folder, partitioned by ``producer`` (the stream, a reprocess or a retry
+run) and ``batch_id``: a repeated batch replaces its own rows and never another
+producer's.  A batch counts once its row in ``committed`` is written, after
+all its tables; ``read`` shows committed batches only, so a reader sees a batch whole or not at all.
+Messages go last.  Where they cannot be sent the batch is still committed: its
+findings stay unpublished and are picked up by the retry run.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.operators import ingest, route, state
 
+_LOG = logging.getLogger(__name__)
 TABLES = ("finding_event", "processing_metric", "raw_log_state", "manual_review", "outbox")
+Respond = Callable[[DataFrame], DataFrame]
+Send = Callable[[DataFrame], None]
 
 
 def read_bodies(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -30,37 +35,95 @@ def read_bodies(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 def accepted(bodies: DataFrame) -> DataFrame:
     """Bodies that keep the ingest contract, with ``raw_content``."""
-    return ingest.check_single(bodies).filter(F.col("reject_reason").isNull())
+    good = ingest.check_single(bodies).filter(F.col("reject_reason").isNull())
+    return good.withColumn("raw_content", F.to_json("raw_content"))
 
 
-def route_batch(root: str, at: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """Sink of one micro-batch of responses (see ``route``)."""
+def _replace(df: DataFrame, root: str, table: str, producer: str, batch_id: int) -> DataFrame:
+    """Writes a producer's batch of a table anew, and reads it back."""
+    path = f"{root}/{table}/producer={producer}/batch_id={batch_id}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _commit(spark: SparkSession, root: str, producer: str, batch_id: int) -> None:
+    _replace(spark.range(1).select(F.lit(True).alias("done")).coalesce(1), root, "committed", producer, batch_id)
+
+
+def read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table's committed rows, with ``producer`` and ``batch_id``."""
+    rows = spark.read.parquet(f"{root}/{table}")
+    done = spark.read.parquet(f"{root}/committed").select("producer", "batch_id").distinct()
+    return rows.join(done, ["producer", "batch_id"], "left_semi")
+
+
+def findings(spark: SparkSession, root: str) -> DataFrame:
+    """Findings with ``published`` and ``message_id`` as the delivery rows say."""
+    sent = read(spark, root, "published").groupBy("raw_log_id").agg(F.max("message_id").alias("_sent"))
+    rows = read(spark, root, "finding_event").join(sent, "raw_log_id", "left")
+    return rows.withColumns(
+        {"published": F.col("published") | F.col("_sent").isNotNull(), "message_id": F.coalesce("_sent", "message_id")}
+    ).drop("_sent")
+
+
+def _deliver(messages: DataFrame, root: str, producer: str, batch_id: int, send: Send | None) -> None:
+    """Sends messages and notes what was sent; a failure is logged and leaves nothing noted."""
+    none = messages.limit(0)
+    try:
+        sent = _replace(messages, root, "outbox", producer, batch_id)
+        if send is not None:
+            send(sent)
+    except Exception:  # whatever the queue raises: the rows stay unpublished
+        _LOG.exception("messages of %s %s were not sent", producer, batch_id)
+        sent = _replace(none, root, "outbox", producer, batch_id)
+    _replace(sent.select("raw_log_id", "message_id"), root, "published", producer, batch_id)
+
+
+def route_batch(root: str, at: Column | None = None, producer: str = "stream", send: Send | None = None) -> Callable[[DataFrame, int], None]:
+    """Sink of one micro-batch of responses (see ``route``); ``send`` hands messages on to a queue."""
 
     def write(responses: DataFrame, batch_id: int) -> None:
         when = at if at is not None else F.current_timestamp()
         # The responses are costly and feed five tables: written once, then read back.
-        staged = f"{root}/responses"
-        _replace(responses, staged, batch_id)
-        spark = responses.sparkSession
-        rows = spark.read.schema(responses.schema).parquet(f"{staged}/batch_id={batch_id}")
-        _replace(route.finding_rows(rows, when), f"{root}/finding_event", batch_id)
-        _replace(route.metric_rows(rows, when), f"{root}/processing_metric", batch_id)
-        _replace(route.status_rows(rows, when), f"{root}/raw_log_state", batch_id)
-        _replace(route.review_rows(rows, when), f"{root}/manual_review", batch_id)
-        _replace(route.outbox_rows(rows), f"{root}/outbox", batch_id)
+        rows = _replace(responses, root, "responses", producer, batch_id)
+        for table, made in (
+            ("finding_event", route.finding_rows(rows, when)),
+            ("processing_metric", route.metric_rows(rows, when)),
+            ("raw_log_state", route.status_rows(rows, when)),
+            ("manual_review", route.review_rows(rows, when)),
+        ):
+            _replace(made, root, table, producer, batch_id)
+        _deliver(route.outbox_rows(rows), root, producer, batch_id, send)
+        _commit(responses.sparkSession, root, producer, batch_id)
 
     return write
 
 
-def _replace(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _started(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
 
 def run_routing(
-    responses: DataFrame, root: str, checkpoint: str, at: Column | None = None, available_now: bool = False
-) -> StreamingQuery:
-    writer = responses.writeStream.foreachBatch(route_batch(root, at)).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if available_now else writer.start()
+    responses: DataFrame, root: str, checkpoint: str, at: Column | None = None, available_now: bool = False,
+    event_time: str | None = None, delay: str = "1 hour",
+) -> StreamingQuery:
+    """Routes a stream of responses; with ``event_time`` only the first result of a raw log within ``delay`` counts."""
+    first = responses if event_time is None else first_results(responses, event_time, delay)
+    return _started(first, route_batch(root, at), checkpoint, available_now)
+
+
+def run_ingest(
+    bodies: DataFrame, respond: Respond, root: str, checkpoint: str, key: Column, at: Column | None = None, available_now: bool = False,
+) -> StreamingQuery:
+    """Bodies to raw logs, answers and routed tables: accepted bodies are stored as raw logs, then answered by ``respond``."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        when = at if at is not None else F.current_timestamp()
+        raw = _replace(ingest.new_raw_logs(accepted(batch), when, key), root, "raw_log", "stream", batch_id)
+        route_batch(root, when)(respond(ingest.build_request(raw)), batch_id)
+
+    return _started(bodies, sink, checkpoint, available_now)
 
 
 def first_results(responses: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
@@ -82,23 +145,44 @@ def live_timeline(metrics: DataFrame, ts: str = "timestamp", delay: str = "1 hou
     )
 
 
+def run_timeline(metrics: DataFrame, root: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keeps the timeline in update mode: a batch writes only the hours it changed, and old hours leave the state."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _replace(batch.withColumn("version", F.lit(batch_id)), root, "timeline", "stream", batch_id)
+        _commit(batch.sparkSession, root, "stream", batch_id)
+
+    return _started(live_timeline(metrics), sink, checkpoint, available_now, "update")
+
+
+def timeline(spark: SparkSession, root: str) -> DataFrame:
+    """The newest row of each hour."""
+    return state.latest(read(spark, root, "timeline"), "bucket", "version").drop("producer", "batch_id", "version")
+
+
 def reprocess(
-    spark: SparkSession, raw_logs: DataFrame, respond: Callable[[DataFrame], DataFrame], root: str, batch_id: int,
-    as_of: Column, limit: int = state.DEFAULT_BATCH, healthy: bool = True,
+    spark: SparkSession, raw_logs: DataFrame, respond: Respond, root: str, batch_id: int,
+    as_of: Column, limit: int | None = state.DEFAULT_BATCH, healthy: bool = True,
 ) -> DataFrame:
-    """One scheduled run: claim due raw logs, answer and route them.
+    """One scheduled run: claims due raw logs, then answers and routes them.
 
-    When the model is down nothing is routed and the rows are handed back as PENDING.
-    Returns the state rows of the claimed logs.
+    The claim is written and committed before the work, so another run does not take
+    the same rows.  When the model is down nothing is routed and the rows are handed
+    back as PENDING.  Returns the last state rows written for the claimed logs.
     """
-    due = state.reprocess_candidates(raw_logs, as_of, limit)
+    due = _replace(state.reprocess_candidates(raw_logs, as_of, limit), root, "claim", "reprocess", batch_id)
+    moved = lambda status: due.select("id", F.lit(status).alias("status"), F.lit(None).cast("timestamp").alias("processed_at"), F.lit(None).cast("string").alias("error_message"))
+    states = _replace(moved("IN_PROGRESS"), root, "raw_log_state", "claim", batch_id)
+    _commit(spark, root, "claim", batch_id)
     if not healthy:
-        return state.claim(raw_logs, due, "PENDING")
-    route_batch(root, as_of)(respond(due), batch_id)
-    return state.claim(raw_logs, due)
+        states = _replace(moved("PENDING"), root, "raw_log_state", "claim", batch_id)
+        return states
+    route_batch(root, as_of, "reprocess")(respond(due), batch_id)
+    return states
 
 
-def retry_outbox(findings: DataFrame, delivered: DataFrame, root: str, batch_id: int, limit: int | None = None) -> None:
-    """One scheduled run: publishes unpublished findings that were not delivered yet."""
-    due = state.retry_candidates(findings, limit)
-    _replace(state.outbox(due, F.col("ocsf_json"), delivered), f"{root}/outbox", batch_id)
+def retry_outbox(spark: SparkSession, root: str, batch_id: int, limit: int | None = None, send: Send | None = None) -> None:
+    """One scheduled run: publishes findings that are not published yet, and notes it."""
+    due = state.retry_candidates(findings(spark, root), limit)
+    _deliver(state.outbox(due, F.col("ocsf_json")).select("message_id", "raw_log_id", "value"), root, "retry", batch_id, send)
+    _commit(spark, root, "retry", batch_id)

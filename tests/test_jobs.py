@@ -40,9 +40,28 @@ def test_stream_gives_the_batch_rows_and_repeats_are_harmless(spark, tmp_path):
     jobs.run_routing(source, f"{tmp_path}/out", f"{tmp_path}/ck", F.expr(AT), available_now=True).awaitTermination()
     jobs.route_batch(f"{tmp_path}/out", F.expr(AT))(df, 0)
     want = sorted(map(str, route.review_rows(df, F.expr(AT)).collect()))
-    got = spark.read.parquet(f"{tmp_path}/out/manual_review").drop("batch_id")
+    got = jobs.read(spark, f"{tmp_path}/out", "manual_review").drop("batch_id", "producer")
     assert sorted(map(str, got.collect())) == want
-    assert spark.read.parquet(f"{tmp_path}/out/outbox").count() == 1
+    assert jobs.read(spark, f"{tmp_path}/out", "outbox").count() == 1
+
+
+def test_a_retry_run_keeps_the_streams_messages(spark, tmp_path):
+    root, at = str(tmp_path), F.expr(AT)
+    failing = jobs.route_batch(root, at, send=lambda rows: 1 / 0)
+    failing(responses(spark), 0)
+    assert not any(r.published for r in jobs.findings(spark, root).collect())
+    jobs.retry_outbox(spark, root, 0)
+    jobs.route_batch(root, at)(responses(spark).withColumn("id", F.concat(F.lit("x"), "id")), 1)
+    assert {r.raw_log_id for r in jobs.read(spark, root, "outbox").collect()} == {"a", "xa"}
+    assert {r.raw_log_id for r in jobs.findings(spark, root).collect() if r.published} == {"a", "xa"}
+    jobs.retry_outbox(spark, root, 1)
+    assert jobs.read(spark, root, "outbox").count() == 2
+
+
+def test_uncommitted_batches_are_not_seen(spark, tmp_path):
+    jobs.route_batch(str(tmp_path), F.expr(AT))(responses(spark), 0)
+    jobs._replace(route.finding_rows(responses(spark), F.expr(AT)), str(tmp_path), "finding_event", "stream", 1)
+    assert {r.batch_id for r in jobs.read(spark, str(tmp_path), "finding_event").collect()} == {0}
 
 
 def test_reprocess_and_hand_back(spark, tmp_path):
@@ -61,14 +80,41 @@ def test_pending_order(spark):
     assert [r.id for r in metrics.pending_top(df).collect()] == [3, 2, 1]
 
 
-def test_correction_gate_and_upsert(spark):
+def test_correction_gate(spark):
     reviews = spark.createDataFrame([(1, 10, None), (2, 20, "2024-01-01")], "id int, raw_log_id int, reviewed_at string")
-    rows = [(1, "{}", "r"), (2, "{}", "r"), (3, "{}", "r"), (1, "{", "r"), (1, "{}", " ")]
-    c = spark.createDataFrame(rows, "review_id int, corrected string, reviewer string")
-    got = [r.reject_reason for r in state.correction_gate(c, reviews, F.lit(True)).collect()]
-    assert sorted(map(str, got)) == sorted(["None", "already_reviewed", "not_found", "bad_json", "blank_reviewer"])
-    invalid = state.correction_gate(c.limit(1), reviews, F.lit(False)).first()
-    assert invalid.reject_reason == "invalid"
+    rows = [(1, "{}", "r", 5), (2, "{}", "r", 1), (3, "{}", "r", 1), (1, "{", "r", 1), (1, "{}", " ", 1), (1, "{}", "late", 6)]
+    c = spark.createDataFrame(rows, "review_id int, corrected string, reviewer string, submitted int")
+    got = {(r.review_id, r.corrected, r.reviewer): r.reject_reason for r in state.correction_gate(c, reviews, F.lit(True)).collect()}
+    assert got == {(1, "{}", "r"): None, (2, "{}", "r"): "already_reviewed", (3, "{}", "r"): "not_found", (1, "{", "r"): "bad_json",
+                   (1, "{}", " "): "blank_reviewer", (1, "{}", "late"): "already_reviewed"}
+    assert state.correction_gate(c.limit(1), reviews, F.lit(False)).first().reject_reason == "invalid"
+
+
+def test_effects_of_a_correction(spark):
+    at = F.expr(AT)
+    findings = route.finding_rows(responses(spark), at).withColumn("message_id", F.lit("m")).withColumn("published", F.lit(True))
+    accepted = spark.createDataFrame([(1, "b", '{"class_uid":1}', "r", 1), (2, "b", '{"class_uid":2}', "r", 2), (3, "c", '{"class_uid":3,"class_name":"n"}', "q", 1)],
+                                     "review_id int, raw_log_id string, corrected string, reviewer string, submitted int")
+    last = state.last_corrections(accepted)
+    out = {r.raw_log_id: r for r in state.upsert_corrections(findings, last, at).collect()}
+    assert set(out) == {"a", "b", "c", "d"} and out["a"].published and out["a"].message_id == "m"
+    assert (out["b"].ocsf_json, out["b"].class_uid, out["b"].decision, out["b"].published, out["b"].message_id) == ('{"class_uid":2}', 2004, "CORRECTED", False, None)
+    assert (out["c"].class_uid, out["c"].class_name, out["c"].processing_time, out["c"].confidence) == (3, "n", 0, 1.0)
+    reviews = spark.createDataFrame([(3, None, False), (9, None, False)], "id int, reviewed_at timestamp, exported_for_training boolean")
+    closed = {r.id: r for r in state.reviewed(reviews, accepted, at).collect()}
+    assert closed[3].reviewed_by == "q" and closed[3].reviewed_at is not None and closed[9].reviewed_at is None
+    marked = state.mark_exported(reviews, reviews.filter("id = 3")).collect()
+    assert {r.id: r.exported_for_training for r in marked} == {3: True, 9: False}
+    raw = spark.createDataFrame([("b", "FAILED"), ("z", "PENDING")], "id string, status string")
+    assert {r.id: r.status for r in state.processed(raw, last, at).collect()} == {"b": "PROCESSED", "z": "PENDING"}
+
+
+def test_winners_are_found_by_hash(spark):
+    log = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (None, 1, "z")], "k int, v int, t string")
+    out = state.latest(log, "k", "v")
+    assert {(r.k, r.t) for r in out.collect()} == {(1, "y"), (None, "z")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_split_is_exact_and_skew_safe(spark):
@@ -97,10 +143,10 @@ def test_prompts(spark):
     assert "test log" in row.a[-1].content and "palo-alto" in row.a[-1].content
 
 
-@pytest.mark.parametrize("slice_rows", [3, 1000])
-def test_ordinals_are_dense(spark, slice_rows):
-    df = spark.range(0, 100, 7).select(F.col("id").alias("ord"))
-    got = [r.ordinal for r in label.with_ordinal(df, "ord", slice_rows=slice_rows).orderBy("ord").collect()]
+@pytest.mark.parametrize("step", [7, 1 << 40])
+def test_ordinals_are_dense(spark, tmp_path, step):
+    df = spark.range(0, 100 * step, 7 * step).select(F.col("id").alias("ord"))
+    got = [r.ordinal for r in label.with_ordinal(df, "ord", f"{tmp_path}/pairs").orderBy("ord").collect()]
     assert got == list(range(1, 16))
 
 
