@@ -80,14 +80,16 @@ def chat_example(source: Column, raw_log: Column, finding: Column) -> Column:
 
 
 def check_chat(chats: DataFrame, messages: str = "messages") -> DataFrame:
-    """Adds ``reject_reason``, the first failed check: message_count, roles, bad_json, class_uid."""
+    """Adds ``reject_reason``, the first failed check: bad_line (where the rows say so), message_count, roles, bad_json, class_uid."""
     m = F.col(messages)
     answer = F.try_parse_json(F.get(m, F.lit(2))["content"])
     class_uid = F.try_variant_get(answer, "$.class_uid", "double")
     # Only a JSON number equals 2004, not the text "2004".
     number = ~F.coalesce(F.schema_of_variant(F.try_variant_get(answer, "$.class_uid", "variant")) == "STRING", F.lit(False))
+    bad_line = F.coalesce("bad_line", F.lit(False)) if "bad_line" in chats.columns else F.lit(False)
     reason = (
-        F.when(m.isNull() | (F.size(m) != 3), "message_count")
+        F.when(bad_line, "bad_line")
+        .when(m.isNull() | (F.size(m) != 3), "message_count")
         .when(
             F.transform(m, lambda x: F.coalesce(x["role"], F.lit("")))
             != F.array(F.lit("system"), F.lit("user"), F.lit("assistant")),
@@ -253,26 +255,33 @@ def merge(originals: DataFrame, corrections: DataFrame, message: str, order: str
     """Union with one row per message digest: the last correction, else the last original.
 
     Keeps the first position of the digest in ``position`` (originals before
-    corrections).  Grouping by digest combines before the shuffle, so a message
-    copied many times is no hot group.
+    corrections); ``order`` is unique in either input.  Only digests and positions are
+    aggregated, by hash and before the shuffle, so a message copied many times is no hot
+    group; the texts come back for the winners alone.
     """
-    digest = F.sha2(F.col(message), 256) if exact else loose_digest(X.col(message)).column()
+    digest = _digest(message, exact)
     tagged = originals.withColumn("is_correction", F.lit(False)).unionByName(
         corrections.withColumn("is_correction", F.lit(True))
+    ).withColumn("digest", digest)
+    own = F.col("is_correction")
+    place = {"_last": F.max, "_first": F.min}
+    spots = [f(F.when(own if c else ~own, F.col(order))).alias(f"{n}_{c}") for n, f in place.items() for c in (0, 1)]
+    best = tagged.groupBy(F.col("digest").alias("_digest")).agg(*spots)
+    chosen = best.select(
+        "_digest", F.col("_last_1").isNotNull().alias("_own"), F.coalesce("_last_1", "_last_0").alias("_order"),
+        F.struct(F.col("_first_0").isNull().alias("is_correction"), F.coalesce("_first_0", "_first_1").alias(order)).alias("position"),
     )
-    cols = [c for c in originals.columns]
-    rank = F.struct("is_correction", order)
-    best = (
-        tagged.withColumn("digest", digest)
-        .groupBy("digest")
-        .agg(F.max_by(F.struct(*cols, "is_correction"), rank).alias("_row"), F.min(rank).alias("position"))
-    )
-    return best.select("digest", "_row.*", "position")
+    hit = (F.col("digest") == F.col("_digest")) & (own == F.col("_own")) & (F.col(order) == F.col("_order"))
+    return tagged.join(chosen, hit).select("digest", *originals.columns, "is_correction", "position")
+
+
+def _digest(message: str, exact: bool) -> Column:
+    return F.sha2(F.col(message), 256) if exact else loose_digest(X.col(message)).column()
 
 
-def merge_summary(originals: DataFrame, corrections: DataFrame, message: str) -> DataFrame:
+def merge_summary(originals: DataFrame, corrections: DataFrame, message: str, exact: bool = False) -> DataFrame:
     """Counts of the merge: a correction replaces when its digest was seen before it."""
-    digest = loose_digest(X.col(message)).column()
+    digest = _digest(message, exact)
     tagged = originals.select(digest.alias("d"), F.lit(0).alias("c")).unionAll(
         corrections.select(digest.alias("d"), F.lit(1).alias("c"))
     )

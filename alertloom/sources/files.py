@@ -18,13 +18,16 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts of files that each hold one JSON array.
+    """Alerts of files that each hold one JSON array: ``pos``, ``raw_log``, ``bad_json``.
 
-    A file is the unit of work, since an array cannot be split; write large inputs as lines.
+    The elements are cut out as texts and parsed one by one, so only a single alert, not
+    the file, meets the size limit of a parsed value.  A file that is no array is one
+    row with ``bad_json``.  An array cannot be split: a file is the unit of work and has
+    at most 2 GB; write large inputs as lines.
     """
     whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode_outer(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")))
-    return _records(items.select("pos", F.to_json("col").alias("line")), "line")
+    items = whole.select(F.posexplode_outer(F.from_json("value", "array<string>")))
+    return _records(items.select("pos", F.col("col").alias("line")), "line")
 
 
 def _records(df: DataFrame, line: str) -> DataFrame:
@@ -55,9 +58,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    """Chat lines as ``line, messages``; a line of another shape has NULL messages."""
+    """Chat lines as ``line, messages, bad_line``; JSON of another shape has NULL messages, a line that is no JSON is a ``bad_line``."""
     lines = spark.read.text(path).withColumnRenamed("value", "line").filter(F.trim("line") != "")
-    return lines.withColumn("messages", F.from_json("line", S.CHAT)["messages"])
+    return lines.withColumns({"messages": F.from_json("line", S.CHAT)["messages"], "bad_line": F.try_parse_json("line").isNull()})
 
 
 def read_chat_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -79,9 +82,11 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def write_rejected(rejected: DataFrame, path: str) -> None:
-    """Rejected lines with their reason."""
-    value = F.to_json(F.struct(F.col("line").alias("_raw"), F.col("reject_reason").alias("_reject_reason")))
-    rejected.select(value.alias("value")).write.mode("errorifexists").text(path)
+    """Rejected lines as objects: their own keys, or ``_raw`` where the line is no JSON object, and ``_reject_reason``."""
+    own = F.map_filter(F.try_variant_get(F.try_parse_json("line"), "$", "map<string,variant>"), lambda k, v: k != "_reject_reason")
+    raw = F.create_map(F.lit("_raw"), F.col("line").cast("variant"))
+    reason = F.create_map(F.lit("_reject_reason"), F.col("reject_reason").cast("variant"))
+    rejected.select(F.to_json(F.map_concat(F.coalesce(own, raw), reason)).alias("value")).write.mode("errorifexists").text(path)
 
 
 def write_digests(digests: DataFrame, path: str) -> None:

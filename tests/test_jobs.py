@@ -170,3 +170,30 @@ def test_chat_files_round_trip(spark, tmp_path):
     good = back.filter("reject_reason IS NULL").withColumn("split", F.lit("train"))
     files.write_splits(good, f"{tmp_path}/splits")
     assert files.read_split(spark, f"{tmp_path}/splits", "train").count() == 1
+
+
+def test_large_array_file(spark, tmp_path):
+    one = json.dumps({"_id": 1, "source": "s", "alert": {"text": "x" * 1000}})
+    n = 140_000
+    with open(tmp_path / "a.json", "w") as file:
+        file.write("[" + ",\n".join([one] * n) + "]")
+    got = files.read_json_array(spark, f"{tmp_path}/a.json")
+    assert got.filter("NOT bad_json AND raw_log IS NOT NULL").count() == n
+
+
+def test_rejected_lines_keep_their_keys(spark, tmp_path):
+    lines = ["{bad", '{"a":1}', '{"messages":[{"role":"x","content":"y"}],"k":"v"}']
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    checked = training.check_chat(files.read_chat(spark, f"{tmp_path}/in.jsonl"))
+    assert {r.line: r.reject_reason for r in checked.collect()} == dict(zip(lines, ["bad_line", "message_count", "message_count"], strict=True))
+    files.write_rejected(checked, f"{tmp_path}/out")
+    back = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert {"_raw": "{bad", "_reject_reason": "bad_line"} in back and {"a": 1, "_reject_reason": "message_count"} in back
+    assert any(r.get("k") == "v" for r in back)
+
+
+def test_exact_merge_and_its_summary_agree(spark):
+    o = spark.createDataFrame([(0, "a  b", "o0"), (2, "a b", "o2")], "ord int, m string, v string")
+    c = spark.createDataFrame([(0, "a b", "n0")], "ord int, m string, v string")
+    assert {r.v for r in training.merge(o, c, "m", "ord", exact=True).collect()} == {"o0", "n0"}
+    assert training.merge_summary(o, c, "m", exact=True).first().total_out == 2
