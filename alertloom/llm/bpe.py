@@ -3,101 +3,107 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Distinct pieces whose ids a worker remembers, and the longest of them; only a saving of time.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+# Distinct pieces of a generation whose ids a worker remembers, and the longest of them; only a saving of time.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 48
+# Children of a node of the segment tree.
+FAN = 16
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece: always the pair of lowest rank is joined, of equal ones the leftmost.
 
     A leaf of the tree stands for the token that starts at a byte and holds the rank
-    of the token together with its right neighbour, and its place; inner nodes hold the
-    smaller of their children, so the root is the next pair.  A merge
-    changes two leaves and clears one, each by a walk to the root.
+    of the token together with its right neighbour, and its place; a node holds the
+    smallest of its sixteen children, so the top is the next pair.  A merge
+    clears one leaf and changes two, and the nodes above them: logarithmic in the bytes.
     """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    width = 1 << (n - 1).bit_length()
-    none = len(ranks) * width * 2 + width
-    tree = [none] * (2 * width)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    n, get = len(piece), ranks.get
+    none = (len(ranks) + 1) * n
+    leaves = [none] * n
     for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
+        rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[width + i] = rank * width + i
-    for node in range(width - 1, 0, -1):
-        left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = left if left < right else right
-
-    def put(i: int, value: int) -> None:
-        node = width + i
-        tree[node] = value
-        while node > 1:
-            other = tree[node ^ 1]
-            node >>= 1
-            low = value if value < other else other
-            if tree[node] == low:
-                return
-            tree[node] = value = low
-
-    def pair(i: int) -> int:
-        j = after[i]
-        rank = ranks.get(piece[i : after[j]]) if j < n else None
-        return none if rank is None else rank * width + i
-
-    while tree[1] < none:
-        i = tree[1] % width
-        j = after[i]
-        put(j, none)
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            leaves[i] = rank * n + i
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([min(below[at : at + FAN]) for at in range(0, len(below), FAN)])
+    top, flat = levels[-1], len(levels) == 2
+    # Where the token at a byte ends, and where the one that ends at a byte starts.
+    ends, starts = list(range(1, n + 1)), list(range(-1, n))
+    while top[0] < none:
+        i = top[0] % n
+        j = ends[i]
+        end = ends[i] = ends[j]
+        starts[end] = i
+        leaves[j] = none
+        rank = get(piece[i : ends[end]]) if end < n else None
+        leaves[i] = none if rank is None else rank * n + i
+        k = starts[i] if i else i
+        if i:
+            rank = get(piece[k:end])
+            leaves[k] = none if rank is None else rank * n + k
+        if flat:
+            top[0] = min(leaves)
+            continue
+        changed = {i // FAN, j // FAN, k // FAN}
+        for below, level in zip(levels, levels[1:], strict=False):
+            for at in changed:
+                level[at] = min(below[at * FAN : at * FAN + FAN])
+            changed = {at // FAN for at in changed}
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        out.append(ranks[piece[i : ends[i]]])
+        i = ends[i]
     return out
 
 
+class Memory(dict):
+    """Packed ids of the pieces met before, in two generations: a full young one becomes the old one, so frequent pieces stay."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.old = ranks, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Lines of base64 bytes and rank."""
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
 @lru_cache(maxsize=2)
-def _coder(data: bytes, pattern: str) -> tuple:
-    ranks = read_ranks(data)
-    # White space and letters as in Unicode; the library's own splitter has the same classes.
-    return ranks, regex.compile(pattern), {}
+def _coder(data: bytes, pattern: str) -> tuple[Memory, regex.Pattern]:
+    # White space and letters are those of Unicode, as in the library's own splitter.
+    return Memory(read_ranks(data)), regex.compile(pattern)
 
 
-def encode_text(text: str, ranks: dict[bytes, int], pieces: regex.Pattern, seen: dict[str, list[int]]) -> list[int]:
-    out: list[int] = []
-    for piece in pieces.findall(text):
-        ids = seen.get(piece)
-        if ids is None:
-            ids = merge(piece.encode(), ranks)
-            if len(piece) <= REMEMBERED_CHARS:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen[piece] = ids
-        out += ids
-    return out
+def encode_text(text: str, memory: Memory, pieces: regex.Pattern) -> np.ndarray:
+    return np.frombuffer(b"".join(map(memory.__getitem__, pieces.findall(text))), np.int32)
 
 
 def load(docs: DataFrame, path: str) -> Broadcast:
@@ -114,11 +120,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     file = load(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pieces, seen = _coder(file.value, pattern)
+        memory, pieces = _coder(file.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [np.array(encode_text(t or "", ranks, pieces, seen), np.int32) for t in part.column(1).to_pylist()]
+                rows = [encode_text(t or "", memory, pieces) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))], names=["doc_id", "ids"])
 
@@ -130,11 +136,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     file = load(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in _coder(file.value, "")[0].items()}
+        ranks = _coder(file.value, "")[0].ranks
+        table = pa.array(sorted(ranks, key=ranks.get), pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                data = [b"".join([table[i] for i in ids or ()]) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=["doc_id", "ids", "bytes"])
+                ids = part.column(1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]), pa.int32()), table.take(ids.flatten()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, b"")], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")

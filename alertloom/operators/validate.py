@@ -21,7 +21,6 @@ FORBIDDEN = (
 )
 LABEL_SEVERITIES = (0, 1, 2, 3, 4, 5, 99)
 LABEL_ACTIVITIES = (0, 1, 2, 3, 99)
-NULL_DEPTH = 10
 
 
 def check_labels(df: DataFrame, finding: str = "ocsf") -> DataFrame:
@@ -82,39 +81,38 @@ def _label_errors(doc: V.Doc) -> list[Sql]:
     return errors
 
 
-def empty_fields(v: Sql) -> Sql:
-    """Messages for every null, "", [] or {} inside, depth first, with its path."""
-
-    def is_empty(x: Sql) -> Sql:
-        t = V.text(x)
-        return t.isNull() | (t == "") | (t.isin("[]", "{}") & ~V.is_text(x))
-
-    def children(x: Sql, at: Sql) -> Sql:
-        keyed = F.transform(
-            F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")),
-            lambda e: F.struct(
-                F.concat(at, F.when(at == "", "").otherwise("."), e["key"]).alias("p"), e["value"].alias("x")
-            ),
-        )
-        listed = F.transform(
-            V.items(x), lambda e, i: F.struct(F.concat(at, "[", i.cast("string"), "]").alias("p"), e.alias("x"))
-        )
-        return F.coalesce(keyed, listed, F.array())
+# Tokens of compact JSON text: strings, brackets and separators, other values.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s"\[\]{},:]++'
 
-    def walk(x: Sql, at: Sql, depth: int) -> Sql:
-        if depth == 0:
-            return F.array().cast("array<string>")
-        message = lambda c: F.concat(
-            F.when(c["p"].endswith("]"), "Null/empty item found: ").otherwise("Null/empty field found: "), c["p"]
-        )
-        return F.flatten(
-            F.transform(
-                children(x, at),
-                lambda c: F.when(is_empty(c["x"]), F.array(message(c))).otherwise(walk(c["x"], c["p"], depth - 1)),
-            )
-        )
 
-    return walk(v, F.lit(""), NULL_DEPTH)
+def empty_fields(v: Sql) -> Sql:
+    """Messages for every null, "", [] or {} inside, depth first, with its path, at any depth.
+
+    One pass over the tokens of the JSON text.  ``stack`` holds the open objects and
+    lists with their path and, for a list, the place of the item; ``prev`` tells
+    what a token stands for.
+    """
+    top, size = "get(s.stack, size(s.stack) - 1)", "size(s.stack)"
+    at = f"""CASE WHEN {size} = 0 THEN '' WHEN {top}.kind = '[' THEN concat({top}.path, '[', {top}.place, ']')
+        WHEN {top}.path = '' THEN s.key ELSE concat({top}.path, '.', s.key) END"""
+    note = lambda p: f"concat(s.out, array(concat(CASE WHEN endswith({p}, ']') THEN 'Null/empty item found: ' ELSE 'Null/empty field found: ' END, {p})))"
+    name = "CASE WHEN instr(t, '\\\\') = 0 THEN substr(t, 2, length(t) - 2) ELSE from_json(concat('[', t, ']'), 'array<string>')[0] END"
+
+    def state(stack: str = "s.stack", key: str = "s.key", prev: str = "t", out: str = "s.out") -> str:
+        return f"named_struct('stack', {stack}, 'key', {key}, 'prev', {prev}, 'out', {out})"
+
+    below = f"slice(s.stack, 1, {size} - 1)"
+    step = f"""CASE
+        WHEN t IN ('{{', '[') THEN {state(f"concat(s.stack, array(named_struct('kind', t, 'path', {at}, 'place', 0)))")}
+        WHEN t IN ('}}', ']') THEN {state(below, out=f"CASE WHEN s.prev IN ('{{', '[') AND {size} > 1 THEN {note(f'{top}.path')} ELSE s.out END")}
+        WHEN t = ',' AND {top}.kind = '[' THEN {state(f"concat({below}, array(named_struct('kind', {top}.kind, 'path', {top}.path, 'place', {top}.place + 1)))")}
+        WHEN t IN (',', ':') THEN {state()}
+        WHEN {top}.kind = '{{' AND s.prev <> ':' THEN {state(key=name)}
+        WHEN t IN ('null', '""') AND {size} > 0 THEN {state(out=note(at))}
+        ELSE {state()} END"""
+    start = "named_struct('stack', cast(array() AS array<struct<kind:string,path:string,place:int>>), 'key', '', 'prev', '', 'out', cast(array() AS array<string>))"
+    tokens = f"regexp_extract_all(to_json({v.text}), r'{_TOKEN}', 0)"
+    return Sql(f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> s.out)")
 
 
 # --- model schema -----------------------------------------------------------

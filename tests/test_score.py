@@ -86,3 +86,12 @@ def test_label_check(spark):
         "Null/empty item found: actor.a[0]",
         "Null/empty field found: actor.a[1].b",
     }
+
+
+def test_empty_values_are_found_at_any_depth(spark):
+    deep: object = {"x": None, "y": [1, {}], 'q"z': ""}
+    for _ in range(40):
+        deep = [{"k": deep}]
+    df = spark.createDataFrame([(json.dumps({**GOOD, "more": deep, "text": 'a "," {} [] null'}),)], "ocsf string")
+    base = "more" + "[0].k" * 40
+    assert validate.check_labels(df).first().errors == [f'Null/empty field found: {base}.q"z', f"Null/empty field found: {base}.x", f"Null/empty item found: {base}.y[1]"]
