@@ -76,3 +76,43 @@ def extract_json(t: Sql) -> Sql:
         V.parse_strict(fenced_block(t)),
         V.parse_strict(brace_span(t)),
     )
+
+
+# Tokens of compact JSON text: strings, brackets and separators, other values.
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s"\[\]{},:]++'
+# Finds every text that may hold an empty value (and a few others, where a string looks like one).
+MAY_HOLD_EMPTIES = r'[:,\[](null|""|\[\]|\{\})[,}\]]'
+
+
+def without_empties(json: Sql) -> Sql:
+    """Compact JSON text without null, "", [] and {}, at any depth; what becomes empty goes too, but for the outermost value.
+
+    One pass over the tokens; ``stack`` holds the open objects and lists with what was kept of them.
+    """
+    top, size = "get(s.stack, size(s.stack) - 1)", "size(s.stack)"
+
+    def level(kind: str, body: str, key: str) -> str:
+        return f"named_struct('kind', {kind}, 'body', {body}, 'key', {key})"
+
+    def state(stack: str = "s.stack", prev: str = "t", out: str = "s.out") -> str:
+        return f"named_struct('stack', {stack}, 'prev', {prev}, 'out', {out})"
+
+    def put(into: str, below: str, value: str) -> str:
+        comma = f"CASE WHEN {into}.body = '' THEN '' ELSE ',' END"
+        key = f"CASE WHEN {into}.kind = '{{' THEN concat({into}.key, ':') ELSE '' END"
+        return f"concat({below}, array({level(f'{into}.kind', f'concat({into}.body, {comma}, {key}, {value})', f'{into}.key')}))"
+
+    below, second = f"slice(s.stack, 1, {size} - 1)", f"get(s.stack, {size} - 2)"
+    closed = f"concat({top}.kind, {top}.body, t)"
+    step = f"""CASE
+        WHEN t IN ('{{', '[') THEN {state(f"concat(s.stack, array({level('t', chr(39) * 2, chr(39) * 2)}))")}
+        WHEN t IN ('}}', ']') AND {size} = 1 THEN {state("cast(array() AS array<struct<kind:string,body:string,key:string>>)", out=closed)}
+        WHEN t IN ('}}', ']') AND {top}.body = '' THEN {state(below)}
+        WHEN t IN ('}}', ']') THEN {state(put(second, f"slice(s.stack, 1, {size} - 2)", closed))}
+        WHEN t IN (',', ':') THEN {state()}
+        WHEN {top}.kind = '{{' AND s.prev <> ':' THEN {state(f"concat({below}, array({level(f'{top}.kind', f'{top}.body', 't')}))", prev="'key'")}
+        WHEN {size} = 0 THEN {state(out="t")}
+        WHEN t IN ('null', '""') THEN {state()}
+        ELSE {state(put(top, below, "t"))} END"""
+    start = "named_struct('stack', cast(array() AS array<struct<kind:string,body:string,key:string>>), 'prev', '', 'out', '')"
+    return Sql(f"aggregate(regexp_extract_all({json.text}, r'{JSON_TOKEN}', 0), {start}, (s, t) -> {step}, s -> s.out)")

@@ -17,7 +17,7 @@ from alertloom.functions import variants as V
 from alertloom.functions.sql import F as X
 from alertloom.functions.sql import Sql, columns
 from alertloom.functions.stage import once
-from alertloom.functions.text import strip
+from alertloom.functions.text import MAY_HOLD_EMPTIES, strip, without_empties
 from alertloom.operators.vendors import BUILT_IN, registry
 from alertloom.operators.vendors.common import Leaves, Vendor, finding
 
@@ -92,7 +92,7 @@ def map_dispatched(routed: DataFrame, as_of: str = NOW, vendors: tuple[Vendor, .
     observables = sc.observables(X.col("_observed"), by_value)
     for v in raw:
         parts[v]["observables"] = observables
-    return once(
+    mapped = once(
         reasoned,
         [*keep, "skip_reason"],
         finding=X.when(ok, _case({v: finding(parts[v], now) for v in vendors})),
@@ -100,6 +100,16 @@ def map_dispatched(routed: DataFrame, as_of: str = NOW, vendors: tuple[Vendor, .
             ok, _case({v: sc.parse_time(parts[v]["time"]).isNull() for v in vendors})
         ),
     )
+    return mapped.withColumn("finding", _without_empties())
+
+
+def _without_empties() -> Column:
+    """The finding; empty values inside the raw values of ``unmapped``, where there are any, are taken out."""
+    text = "to_json(finding.unmapped)"
+    cleaned = F.expr(without_empties(Sql(text)).text)
+    kept = F.when(cleaned != "{}", F.try_variant_get(F.parse_json(cleaned), "$", "map<string,variant>"))
+    holds = F.coalesce(F.expr(text).rlike(MAY_HOLD_EMPTIES), F.lit(False))
+    return F.when(holds, F.col("finding").withField("unmapped", kept)).otherwise(F.col("finding"))
 
 
 def _open(routed: DataFrame, docs: dict[Vendor, V.Doc]) -> DataFrame:

@@ -10,6 +10,7 @@ from alertloom.functions import build as B
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F, Sql, columns
 from alertloom.functions.stage import once
+from alertloom.functions.text import JSON_TOKEN
 
 # --- fixed values of the label check ----------------------------------------
 REQUIRED = (
@@ -81,10 +82,6 @@ def _label_errors(doc: V.Doc) -> list[Sql]:
     return errors
 
 
-# Tokens of compact JSON text: strings, brackets and separators, other values.
-_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s"\[\]{},:]++'
-
-
 def empty_fields(v: Sql) -> Sql:
     """Messages for every null, "", [] or {} inside, depth first, with its path, at any depth.
 
@@ -111,7 +108,7 @@ def empty_fields(v: Sql) -> Sql:
         WHEN t IN ('null', '""') AND {size} > 0 THEN {state(out=note(at))}
         ELSE {state()} END"""
     start = "named_struct('stack', cast(array() AS array<struct<kind:string,path:string,place:int>>), 'key', '', 'prev', '', 'out', cast(array() AS array<string>))"
-    tokens = f"regexp_extract_all(to_json({v.text}), r'{_TOKEN}', 0)"
+    tokens = f"regexp_extract_all(to_json({v.text}), r'{JSON_TOKEN}', 0)"
     return Sql(f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> s.out)")
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.operators import label
+from alertloom.operators import label, validate
 from alertloom.operators.vendors import BUILT_IN, registry
 from alertloom.operators.vendors.common import Vendor
 
@@ -171,3 +171,14 @@ def test_source_names_are_unique():
     twice = Vendor("mine", lambda a: {}, lambda x: {}, aliases=("splunk",))
     with pytest.raises(ValueError):
         registry((*BUILT_IN, twice))
+
+
+def test_raw_values_keep_no_empties_and_findings_pass_the_label_check(spark):
+    alert = {"name": "n", "composite_id": "c", "created_timestamp": "2024-01-01T00:00:00Z", "severity": 50, "data_domains": [[], {"z": ""}],
+             "scenario": {"a": None, "b": "", "c": [1, "", {}, [None]], "d": {"e": []}, "f": 'null,"",[] "x" {}', 'g"h': False, "i": 0}}
+    df = spark.createDataFrame([(json.dumps({"source": "crowdstrike", "alert": alert}),)], "raw_log string")
+    mapped = label.map_alerts(df).select("skip_reason", F.to_json("finding").alias("ocsf"))
+    row = validate.check_labels(mapped).first()
+    assert row.skip_reason is None and row.errors == []
+    assert json.loads(row.ocsf)["unmapped"]["scenario"] == {"c": [1], "f": 'null,"",[] "x" {}', 'g"h': False, "i": 0}
+    assert "data_domains" not in json.loads(row.ocsf)["unmapped"]
