@@ -15,6 +15,7 @@ SCALE = 1024
 PIVOTS, PIVOT_SAMPLE = 24, 2048
 BLOCK, QUERY_BLOCK = 2048, 256
 _STEP = 128
+_MOST = 2**63 - 1
 
 
 def scaled(column: str) -> Column:
@@ -76,16 +77,16 @@ def _search(k: int):
                     most = (both - gap * gap) / 2 + 1e-9 * both + 1
                     order = np.argsort(-most, kind="stable")
                     order = order[ids[order] != own]
-                    best, score = np.zeros(0, np.int64), np.zeros(0, x.dtype)
+                    best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
                     for at in range(0, len(order), _STEP):
                         if len(score) >= k and most[order[at]] < score[-1]:
                             break
                         part = order[at : at + _STEP]
-                        best, score = np.concatenate([best, part]), np.concatenate([score, (x[part] * q[j]).sum(1) if dim else np.zeros(len(part), x.dtype)])
+                        product = (x[part] * q[j]).sum(1) if dim else np.zeros(len(part), np.int64)
+                        best, score = np.concatenate([best, part]), np.concatenate([score, np.clip(product, -_MOST, _MOST).astype(np.int64)])
                         top = np.lexsort((ids[best], -score))[:k]
                         best, score = best[top], score[top]
-                    limit = np.iinfo(np.int64)
-                    out.append((np.full(len(best), own), ids[best], np.clip(score, limit.min, limit.max).astype(np.int64)))
+                    out.append((np.full(len(best), own), ids[best], score))
                 parts = [np.concatenate(p) for p in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"])
 
@@ -99,8 +100,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, column: str = "embed
     vec_id.  Components are scaled by 1024 and floored.  Null vectors, vectors with null or non-finite
     components and rows without vec_id take no part; rows repeated under one
     vec_id are one (the smallest vector); vectors of different length do not meet;
-    empty vectors score 0 with each other; scores beyond 64 bits end at the largest or
-    smallest one.  An empty table gives no rows.
+    empty vectors score 0 with each other; scores beyond 2^63 - 1 either
+    way end there.  An empty table gives no rows.
 
     Rows and queries are cut into blocks by a hash of vec_id, and each block of rows meets each block of
     queries once.  Pivots are chosen from a bounded sample of 2048 rows; every row's

@@ -18,7 +18,7 @@ def plain(rows, k):
     for q in ints:
         if q % 100 == 0:
             scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
-            out |= {(q, r, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(scores[:k], 1)}
+            out |= {(q, r, i, max(min(-s, 2**63 - 1), 1 - 2**63)) for r, (s, i) in enumerate(scores[:k], 1)}
     return out
 
 
@@ -41,8 +41,8 @@ def test_edge_cases(spark):
     clipped = [(i, v) for i, v in rows if i not in (200, 8)]
     assert search(spark, clipped) == plain(clipped, 10)
     huge = search(spark, rows)
-    assert {(q, r, i) for q, r, i, _ in huge if q == 200} == {(200, 1, 7), (200, 2, 0), (200, 3, 8)}
-    assert {s for q, _, i, s in huge if (q, i) == (200, 8)} == {-(2**63)}
+    assert {(q, r, i) for q, r, i, _ in huge if q == 200} == {(200, 1, 0), (200, 2, 7), (200, 3, 8)}
+    assert {s for q, _, i, s in huge if (q, i) == (200, 8)} == {1 - 2**63}
     assert search(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])]) == {(0, 1, 1, 1024 * 2048)}
     assert search(spark, []) == set()
 
