@@ -143,7 +143,6 @@ MODEL_OBSERVABLE_TYPES = {
     "Resource UID": 10,
     "Endpoint": 20,
 }
-MODEL_OS_TYPES = {"Windows": 100, "Linux": 200, "Android": 201, "macOS": 300, "iOS": 301}
 ZERO_GUID = "00000000-0000-0000-0000-000000000000"
 EPOCH_MILLIS_FROM = 1_000_000_000_000
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -337,12 +336,3 @@ def first_of_comma_list(t: Sql) -> Sql:
 def path_tail(t: Sql) -> Sql:
     """File name of a Windows or Unix path."""
     return B.some_text(F.element_at(F.split(t, r"[\\/]"), -1))
-
-
-def token_estimate(t: Sql) -> Sql:
-    return F.floor(F.length(t) / 4)
-
-
-def minutes_since(instant: Sql, as_of: Sql) -> Sql:
-    """Whole minutes, floored, also for fractions of a second."""
-    return F.floor((F.unix_micros(as_of) - F.unix_micros(instant)) / F.lit(60_000_000))

@@ -102,10 +102,3 @@ def build_request(raw_logs: DataFrame) -> DataFrame:
         "source",
         F.coalesce(F.nullif("format", F.lit("")), F.lit("json")).alias("format"),
     )
-
-
-def raw_object(raw_log: str = "raw_log") -> Column:
-    """VARIANT object of a raw text; text that is no JSON object is wrapped as ``{"raw": text}``."""
-    parsed = F.try_parse_json(raw_log)
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
-    return F.when(is_object, parsed).otherwise(F.parse_json(F.to_json(F.struct(F.col(raw_log).alias("raw")))))

@@ -175,6 +175,19 @@ def presented(sources: DataFrame) -> DataFrame:
     )
 
 
+def presented_overview(overview: DataFrame) -> DataFrame:
+    """The overview as the dashboard prints it: confidence to two places, latency to none, rates to one."""
+    rate = lambda c: F.concat(F.format_string("%.1f", c), F.lit("%"))
+    return overview.select(
+        "total_logs",
+        F.format_string("%.2f", "avg_confidence").alias("confidence"),
+        health_band(F.col("avg_confidence")).alias("health"),
+        F.concat(F.round("avg_latency_ms").cast("long").cast("string"), F.lit("ms")).alias("latency"),
+        rate("success_rate").alias("success"),
+        rate("review_rate").alias("review"),
+    )
+
+
 def parse_rate(responses: DataFrame, parsed: Column, score: Column) -> DataFrame:
     """Share of answers that held JSON, and the mean score of those."""
     return responses.agg(

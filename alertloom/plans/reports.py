@@ -185,6 +185,7 @@ def _outbox(s, d):
 
 QUERIES = {
     "metrics_overview": lambda s, d: _r6(metrics.overview(_metric(s, d)), "avg_confidence", "avg_latency_ms", "success_rate", "review_rate"),
+    "metrics_cards": lambda s, d: metrics.presented_overview(metrics.overview(_metric(s, d))),
     "metrics_by_source": lambda s, d: _r6(metrics.by_source(_metric(s, d)), "avg_confidence", "avg_latency_ms"),
     "metrics_by_decision": lambda s, d: _r6(metrics.by_decision(_metric(s, d)), "percentage"),
     "metrics_timeline": _timeline,
@@ -237,6 +238,9 @@ ORACLES = {
     "metrics_overview": f"""WITH {_M} SELECT count(*) AS total_logs, round(avg(confidence), 6) AS avg_confidence,
         round(avg(latency_ms), 6) AS avg_latency_ms, round(100.0 * sum(CASE WHEN success THEN 1 ELSE 0 END) / count(*), 6) AS success_rate,
         round(100.0 * sum(CASE WHEN success THEN 0 ELSE 1 END) / count(*), 6) AS review_rate FROM m""",
+    "metrics_cards": f"""WITH {_M}, o AS (SELECT count(*) AS n, avg(confidence) AS c, avg(latency_ms) AS l, 100.0 * avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS r FROM m)
+        SELECT n AS total_logs, printf('%.2f', c) AS confidence, CASE WHEN c >= 0.85 THEN 'Healthy' ELSE 'Low' END AS health,
+        concat(cast(cast(round(l) AS bigint) AS varchar), 'ms') AS latency, printf('%.1f%%', r) AS success, printf('%.1f%%', 100 - r) AS review FROM o""",
     "metrics_by_source": f"""WITH {_M} SELECT source, count(*) AS count, round(avg(confidence), 6) AS avg_confidence,
         round(avg(latency_ms), 6) AS avg_latency_ms FROM m GROUP BY source""",
     "metrics_by_decision": f"""WITH {_M} SELECT decision, count(*) AS count,

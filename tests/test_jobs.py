@@ -197,3 +197,20 @@ def test_exact_merge_and_its_summary_agree(spark):
     c = spark.createDataFrame([(0, "a b", "n0")], "ord int, m string, v string")
     assert {r.v for r in training.merge(o, c, "m", "ord", exact=True).collect()} == {"o0", "n0"}
     assert training.merge_summary(o, c, "m", exact=True).first().total_out == 2
+
+
+def test_pair_and_digest_files(spark, tmp_path):
+    pairs = spark.createDataFrame([("label_0001", "s", '{"a":1}', '{"class_uid":2004}')], "id string, source string, raw_log string, ocsf string")
+    files.write_pairs(pairs, f"{tmp_path}/pairs")
+    (row,) = files.read_pairs(spark, f"{tmp_path}/pairs").collect()
+    assert (row.id, row.source, json.loads(row.raw_log), json.loads(row.ocsf), row.bad_json) == ("label_0001", "s", {"a": 1}, {"class_uid": 2004}, False)
+    files.write_digests(spark.createDataFrame([("d1",), ("d2",)], "digest string"), f"{tmp_path}/digests")
+    assert {r.value for r in spark.read.text(f"{tmp_path}/digests").collect()} == {"d1", "d2"}
+
+
+def test_first_result_of_a_raw_log_counts(spark, tmp_path):
+    df = responses(spark).withColumn("at", F.expr(AT))
+    df.union(df).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    jobs.run_routing(source, f"{tmp_path}/out", f"{tmp_path}/ck", F.expr(AT), available_now=True, event_time="at").awaitTermination()
+    assert jobs.read(spark, f"{tmp_path}/out", "processing_metric").count() == 4
