@@ -25,9 +25,9 @@ DECISIONS = ("ACCEPT", "REVIEW", "REJECT", "CORRECTED")
 PRIORITIES = ("NORMAL", "HIGH")
 LOG_FORMATS = ("json", "cef", "syslog", "csv", "leef", "unknown")
 
-# Integer sets of the model schema; 99 is "other" throughout.
+# fixed values: integer sets of the model schema; 99 is "other" throughout.
 SEVERITY_IDS = (*range(7), 99)
-MALWARE_CLASS_IDS = (*(i for i in range(23) if i != 12), 99)
+MALWARE_CLASS_IDS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 99)
 OBSERVABLE_TYPE_IDS = (*range(49), 99)
 DEVICE_TYPE_IDS = (*range(16), 99)
 FILE_TYPE_IDS = (*range(9), 99)
