@@ -47,6 +47,22 @@ def _pairs(text: str) -> list[str]:
     return sorted(set(map(" ".join, zip(words, words[1:], strict=False))))
 
 
+def keywords(templates: list[list[str]], percent: int) -> list[str]:
+    """Words of which every matching text holds at least one.
+
+    A match shares at least ``percent / (200 - percent)`` of a template's bigrams, so of a few more than
+    the rest it holds one; words are chosen, long ones first, until they touch that many bigrams of each template.
+    """
+    chosen: set[str] = set()
+    for pairs in templates:
+        split = [set(p.split(" ")) for p in pairs]
+        enough = len(pairs) - -(-percent * len(pairs) // (200 - percent)) + 1
+        while (open_ := [p for p in split if not p & chosen]) and len(split) - len(open_) < enough:
+            words = {w for p in open_ for w in p}
+            chosen.add(max(words, key=lambda w: (min(len(w), 6), sum(w in p for p in open_), w)))  # noqa: B023
+    return sorted(chosen)
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """``doc_id, unit, license, dice`` of ``docs`` (doc_id long, text string): a unit is a line (its number from 1) or, as 0, a whole text of several lines.
 
@@ -58,8 +74,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     known = [(name, pairs) for name, text in templates if (pairs := _pairs(text))]
     listed = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs")) for name, pairs in known))
     every = F.array(*(F.lit(p) for p in sorted({p for _, pairs in known for p in pairs})))
+    # Most documents hold no keyword, and are not taken apart.
+    small = F.lower(F.col("text").cast("string"))
+    held = F.lit(False)
+    for word in keywords([pairs for _, pairs in known], percent):
+        # A short word is often part of another one.
+        alone = small.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])") if len(word) < 4 else F.lit(True)
+        held = held | (F.contains(small, F.lit(word)) & alone)
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    units = docs.select(F.col("doc_id").cast("long"), F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text").cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text").cast("string"))).alias("units"))
+    units = docs.filter(held).select(F.col("doc_id").cast("long"), F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text").cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text").cast("string"))).alias("units"))
     units = units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL")
     # A filter is not moved below a generator, so each unit is taken apart once.
     made = units.select("doc_id", "unit", F.explode(F.array(bigrams(normalised(F.col("text"))))).alias("own")).filter(F.arrays_overlap("own", every))

@@ -23,3 +23,13 @@ def test_edge_cases(spark):
     want = [(1, "", 0), (2, "", 0), (3, "MIT", 1), (4, "MIT,Proprietary", 2), (5, "MIT", 1), (6, "", 0), (7, "", 0), (None, "", 0), (8, "Apache-2.0", 1), (8, "Apache-2.0", 1)]
     assert got == sorted(want, key=str)
     assert licenses.licenses(docs.limit(0)).count() == 0
+
+
+def test_every_match_holds_a_keyword():
+    pairs = [licenses._pairs(text) for _, text in licenses.TEMPLATES]
+    words = set(licenses.keywords(pairs, licenses.PERCENT))
+    assert len(words) < 25
+    for own in pairs:
+        least = -(-licenses.PERCENT * len(own) // (200 - licenses.PERCENT))
+        # The match that holds the fewest keywords leaves out as many bigrams with one as it may.
+        assert sum(bool(set(p.split()) & words) for p in own) > len(own) - least
