@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.llm.common import tidy, worker_model
+
 # Distinct pieces of a generation whose ids a worker remembers, and the longest of them; only a saving of time.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 # Children of a node of the segment tree.
 FAN = 16
 
@@ -96,10 +97,19 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-@lru_cache(maxsize=2)
-def _coder(data: bytes, pattern: str) -> tuple[Memory, regex.Pattern]:
-    # White space and letters are those of Unicode, as in the library's own splitter.
-    return Memory(read_ranks(data)), regex.compile(pattern)
+def _memory(data: bytes) -> Memory:
+    return worker_model("bpe", hash(data), lambda: Memory(read_ranks(data)))
+
+
+def _tokens(data: bytes) -> pa.Array:
+    ranks = read_ranks(data)
+    return pa.array(sorted(ranks, key=ranks.get), pa.binary())
+
+
+def _decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list of ids."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.take(ids.flatten())), b"")
 
 
 def encode_text(text: str, memory: Memory, pieces: regex.Pattern) -> np.ndarray:
@@ -112,23 +122,30 @@ def load(docs: DataFrame, path: str) -> Broadcast:
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` for each row of ``docs`` (doc_id long, text string), without special tokens; null and empty texts have no ids.
 
     Whole texts are encoded, each match of ``pattern`` by itself.  Other columns are ignored; repeated rows give repeated results.
+    ``decoded`` adds ``bytes``, decoded from the ids as ``decode`` does, in the same pass.
     """
     file = load(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, pieces = _coder(file.value, pattern)
+        # White space and letters are those of Unicode, as in the library's own splitter.
+        memory, pieces = _memory(file.value), regex.compile(pattern)
+        tokens = _tokens(file.value) if decoded else None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = [encode_text(t or "", memory, pieces) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))], names=["doc_id", "ids"])
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))
+                more = [_decoded(ids, tokens)] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *more], names=["doc_id", "ids", "bytes"][: 2 + len(more)])
+        tidy("bpe")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    spec = "doc_id long, ids array<int>" + ", bytes binary" * decoded
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, spec)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -136,13 +153,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     file = load(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _coder(file.value, "")[0].ranks
-        table = pa.array(sorted(ranks, key=ranks.get), pa.binary())
+        tokens = _tokens(file.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = part.column(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]), pa.int32()), table.take(ids.flatten()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, b"")], names=["doc_id", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(1), tokens)], names=["doc_id", "ids", "bytes"])
+        tidy("bpe")
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_model: dict[str, tuple] = {}
+
+
+def worker_model(name: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks of one operator; only one operator's model is kept, since workers live on for other operators."""
+    if _model.get(name, (None,))[0] != key:
+        _model.clear()
+        _model[name] = (key, make())
+    return _model[name][1]
+
+
+def tidy(keep: str = "") -> None:
+    """At the start or end of a task: other operators' models go, and memory that Arrow holds in reserve is given back."""
+    for name in [n for n in _model if n != keep]:
+        del _model[name]
+    pa.default_memory_pool().release_unused()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): rows ``node, comp``, comp the smallest node reachable.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import bits
-from alertloom.llm.common import written
+from alertloom.llm.common import tidy, written
 from alertloom.llm.shingles import set_blocks
 
 CONTAINMENT = 0.8
@@ -62,6 +62,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     every, minima = (spark.sparkContext.broadcast(bits.build(x)) for x in (shingled, shingled.filter("minimum")))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for lo, hi, sets in set_blocks(batch.column(1)):
                 hits = [s[bits.passes(every.value, s)] if bits.passes(minima.value, s).any() else s[:0] for s in sets]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.llm.common import tidy, worker_model
+
 # The bounded sample of labelled rows a language is learned from: rows, characters of one row, characters in all.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 48, 8_192, 32_768
 # Texts are parsed in blocks of this many symbols, each from its start, so that blocks run side by side.
@@ -43,36 +44,31 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
     """The suffix automaton of ``symbols`` as a table state x symbol -> state; state 1 is the start, 0 means no transition."""
-    moves: list[dict[int, int]] = [{}, {}]
+    moves = np.zeros((2 * len(symbols) + 2, width), np.int32)
     length, link, last = [0, 0], [0, 0], 1
     for c in symbols:
-        now = len(moves)
-        moves.append({})
+        now = len(length)
         length.append(length[last] + 1)
         link.append(1)
         p = last
-        while p and c not in moves[p]:
-            moves[p][c] = now
+        while p and not moves[p, c]:
+            moves[p, c] = now
             p = link[p]
         if p:
-            q = moves[p][c]
+            q = int(moves[p, c])
             if length[q] == length[p] + 1:
                 link[now] = q
             else:
-                copy = len(moves)
-                moves.append(dict(moves[q]))
+                copy = len(length)
+                moves[copy] = moves[q]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p and moves[p].get(c) == q:
-                    moves[p][c] = copy
+                while p and moves[p, c] == q:
+                    moves[p, c] = copy
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    table = np.zeros((len(moves), width), np.int32)
-    for state, out in enumerate(moves):
-        if out:
-            table[state, list(out)] = list(out.values())
-    return table
+    return moves[: len(length)].copy()
 
 
 def _symbols(text: str, table: np.ndarray) -> np.ndarray:
@@ -84,7 +80,6 @@ def _symbols(text: str, table: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
-@lru_cache(maxsize=1)
 def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The symbol of each code point, and an automaton for each sample; built once in a worker."""
     counts: dict[str, int] = {}
@@ -136,7 +131,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, .
     fields = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, automata = _model(model.value)
+        table, automata = worker_model("langid", model.value, lambda: _model(model.value))
 
         def judge(part: pa.RecordBatch, rows: list[np.ndarray]) -> pa.RecordBatch:
             known = np.array([(r != GAP).any() for r in rows], bool) & bool(names)
@@ -163,6 +158,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, .
                 if size > 1 << 20 or i + 1 == batch.num_rows:
                     yield judge(batch.slice(first, len(rows)), rows)
                     rows, first, size = [], i + 1, 0
+        tidy("langid")
 
     kept = docs.select(*keep)
     spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.llm.common import tidy
+
 WINDOW = 3
 BLANK = r"[^\x20\x09-\x0D]"
 _NOT_BLANK = re.compile(BLANK)
@@ -25,6 +27,7 @@ def numbered(text: str) -> tuple[list[str], list[int]]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS):
             part = batch.slice(first, ROWS)

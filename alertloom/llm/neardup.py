@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm import bits
-from alertloom.llm.common import components, written
+from alertloom.llm.common import components, tidy, written
 from alertloom.llm.shingles import mix, set_blocks
 
 SLOTS, ROWS = 256, 8
@@ -65,6 +65,7 @@ def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     for batch in batches:
         for lo, hi, sets in set_blocks(batch.column(1)):
             slots = superminhash(sets)
@@ -78,6 +79,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(key(_MIXERS[0])), pa.array(key(_MIXERS[1])), lists(bands), lists(traits)],
                 names=["doc_id", "n", "k1", "k2", "bands", "bits"],
             )
+    tidy()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:

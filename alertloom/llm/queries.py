@@ -42,7 +42,7 @@ def op5_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    decoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

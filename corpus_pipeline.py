@@ -40,7 +40,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, text``: the texts as token ids, and the text decoded from them."""
     path = public_tokenizers.path(RANKS)
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    decoded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("bytes", "UTF-8").alias("text"))
 
 

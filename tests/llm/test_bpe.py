@@ -42,7 +42,9 @@ def test_a_long_piece_takes_little_time(ranks):
 def test_rows(spark, library):
     texts = [None, "", "Hello  wörld\n\n", "<|endoftext|>", "x" * 100_000, "same", "same"]
     docs = spark.createDataFrame([(i if i else None, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, ids int, bytes int")
-    got = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
+    both = bpe.encode(docs, PATH, public_tokenizers.PATTERN, decoded=True)
+    got = both.collect()
+    assert sorted(bytes(r.bytes) for r in bpe.decode(both, PATH).collect()) == sorted(bytes(r.bytes) for r in got)
     want = {(i if i else None): t or "" for i, t in enumerate(texts)}
     assert {r.doc_id: bytes(r.bytes).decode() for r in got} == want
     assert {r.doc_id: r.ids for r in got} == {i: library.encode_ordinary(t) for i, t in want.items()}
