@@ -42,8 +42,12 @@ def bigrams(text: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def _words(text: str) -> list[str]:
+    return "".join(c if c in _LOWER or c in "0123456789" else " " for c in text.translate(str.maketrans(_UPPER, _LOWER))).split()
+
+
 def _pairs(text: str) -> list[str]:
-    words = "".join(c if c in _LOWER or c in "0123456789" else " " for c in text.translate(str.maketrans(_UPPER, _LOWER))).split()
+    words = _words(text)
     return sorted(set(map(" ".join, zip(words, words[1:], strict=False))))
 
 
@@ -63,26 +67,90 @@ def keywords(templates: list[list[str]], percent: int) -> list[str]:
     return sorted(chosen)
 
 
+def _hits(own: Column, t: Column) -> Column:
+    """The places in ``own``, the bigrams of a text in order, that hold a bigram of template ``t``."""
+    return F.filter(F.transform(own, lambda x, i: F.when(F.array_contains(t["pairs"], x), i)), lambda i: i.isNotNull())
+
+
+def _best_ends(own: Column, hits: Column, t: Column, percent: int) -> Column:
+    """``same, dice, lo, hi``: for each hit the best window that starts there, where one matches.
+
+    Bigrams at an end that the template lacks only lower the coefficient, so windows start and end at hits.
+    """
+
+    def measured(s: Column, e: Column) -> Column:
+        made = F.transform(F.array(F.slice(own, s + 1, e - s + 1)), lambda x: F.struct(F.size(F.array_intersect(x, t["pairs"])).alias("same"), F.size(F.array_distinct(x)).alias("n")))
+        return F.transform(made, lambda m: F.struct((2 * m["same"] / (m["n"] + F.size(t["pairs"]))).alias("dice"), m["same"].alias("same"), (-e).alias("end"), (200 * m["same"] >= percent * (m["n"] + F.size(t["pairs"]))).alias("fits")))[0]
+
+    def ends(s: Column, i: Column) -> Column:
+        near = F.filter(F.slice(hits, i + t["need"], t["span"]), lambda e: e < s + t["span"])
+        best = F.array_max(F.filter(F.transform(near, lambda e: measured(s, e)), lambda w: w["fits"]))
+        return F.transform(F.array(best), lambda w: F.when(w.isNotNull(), F.struct(w["same"].alias("same"), w["dice"].alias("dice"), s.alias("lo"), (-w["end"]).alias("hi"))))[0]
+
+    # A match holds so many of the template's bigrams that the next hits cannot be far.
+    starts = F.transform(hits, lambda s, i: F.when(F.get(hits, i + t["need"] - 1) < s + t["span"], ends(s, i)))
+    return F.filter(starts, lambda w: w.isNotNull())
+
+
+def _windows(docs: DataFrame, listed: Column, every: Column, percent: int) -> DataFrame:
+    """Matching word windows of ``docs`` (doc_id, text, not null), with the bigrams and lines they lie in."""
+    words = F.split(normalised(F.col("text")), " ")
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    own = docs.select("doc_id", "text", F.explode(F.array(F.when(F.size(words) > 1, pairs))).alias("own")).filter("own IS NOT NULL")
+    small = own.select("*", F.explode(F.array(F.array_intersect("own", every))).alias("small"))
+    likely = small.select("doc_id", "text", "own", F.explode(F.filter(listed, lambda t: F.size(F.array_intersect(t["pairs"], F.col("small"))) >= t["need"])).alias("t"))
+    hits = likely.select("*", F.explode(F.array(_hits(F.col("own"), F.col("t")))).alias("hits"))
+    found = hits.select("doc_id", "text", "t", F.explode(F.array(_best_ends(F.col("own"), F.col("hits"), F.col("t"), percent))).alias("w")).filter(F.size("w") > 0)
+    # The line of each word.
+    counts = lambda line, i: F.array_repeat(i + 1, F.size(F.filter(F.split(normalised(line), " "), lambda w: w != "")))
+    lined = found.select("doc_id", F.col("t.license").alias("license"), "w", F.explode(F.array(F.flatten(F.transform(F.split("text", "\n", -1), counts)))).alias("line"))
+    each = lined.select("doc_id", "license", "line", F.explode("w").alias("w"))
+    return each.select("doc_id", "license", "w.*", F.get("line", F.col("w.lo")).alias("first"), F.get("line", F.col("w.hi") + 1).alias("last"))
+
+
+def _settled(matches: Column) -> Column:
+    """Of the matches of a document those that count, by the number of bigrams shared, then by the coefficient, units before windows.
+
+    Each is taken unless one already taken explains the same place better: windows that share a word, a
+    window and a line it touches or the whole text, and the whole text and a line that shares less.
+    """
+
+    def rivals(x: Column, c: Column) -> Column:
+        inside = lambda line, w: (line["unit"] == 0) | ((line["unit"] >= w["first"]) & (line["unit"] <= w["last"]))
+        return (
+            F.when((x["kind"] == 1) & (c["kind"] == 1), (x["lo"] <= c["hi"] + 1) & (c["lo"] <= x["hi"] + 1))
+            .when(x["kind"] == 1, inside(c, x))
+            .when(c["kind"] == 1, inside(x, c))
+            .otherwise((x["unit"] == 0) & (c["unit"] > 0) & (x["less_same"] < c["less_same"]))
+        )
+
+    ordered = F.array_sort(matches)
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda taken, c: F.when(F.exists(taken, lambda x: rivals(x, c)), taken).otherwise(F.concat(taken, F.array(c))))
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, unit, license, dice`` of ``docs`` (doc_id long, text string): a unit is a line (its number from 1) or, as 0, a whole text of several lines.
+    """``doc_id, unit, license, dice`` of ``docs`` (doc_id long, text string): a unit is a line (its number from 1), as 0 a whole text of several lines, or a window of words (the line it starts in).
 
     A unit matches a template if 2 |A and B| / (|A| + |B|) over the distinct word bigrams
-    reaches ``percent`` hundredths; a unit has the license of its best template, of equal ones the first by name.  A template is compared only with units
-    whose size allows that.  Null texts, empty texts and units of fewer than two words match nothing.
+    reaches ``percent`` hundredths; a line or text has the license of its best template, of equal ones the first by name.  A template is compared only with units
+    whose size allows that.  Windows run over line breaks and are as long as the template, more or less by what ``percent`` allows; of matches
+    at one place that which shares most bigrams counts (``_settled``).  Null texts, empty texts, units of fewer than two words and rows without doc_id match nothing.
     """
     # The templates are a parameter of a few entries, so they travel as a literal with the plan.
-    known = [(name, pairs) for name, text in templates if (pairs := _pairs(text))]
-    listed = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs")) for name, pairs in known))
-    every = F.array(*(F.lit(p) for p in sorted({p for _, pairs in known for p in pairs})))
+    known = [(name, pairs, len(_words(text)) - 1) for name, text in templates if (pairs := _pairs(text))]
+    need, span = (lambda n: -(-percent * n // (200 - percent))), (lambda n: n * (200 - percent) // percent)
+    listed = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(need(len(pairs))).alias("need"), F.lit(span(n)).alias("span")) for name, pairs, n in known))
+    every = F.array(*(F.lit(p) for p in sorted({p for _, pairs, _ in known for p in pairs})))
     # Most documents hold no keyword, and are not taken apart.
     small = F.lower(F.col("text").cast("string"))
     held = F.lit(False)
-    for word in keywords([pairs for _, pairs in known], percent):
+    for word in keywords([pairs for _, pairs, _ in known], percent):
         # A short word is often part of another one.
         alone = small.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])") if len(word) < 4 else F.lit(True)
         held = held | (F.contains(small, F.lit(word)) & alone)
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    units = docs.filter(held).select(F.col("doc_id").cast("long"), F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text").cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text").cast("string"))).alias("units"))
+    worth = docs.filter("doc_id IS NOT NULL").filter(held).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    lines = F.split("text", "\n", -1)
+    units = worth.select("doc_id", F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text"))).alias("units"))
     units = units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL")
     # A filter is not moved below a generator, so each unit is taken apart once.
     made = units.select("doc_id", "unit", F.explode(F.array(bigrams(normalised(F.col("text"))))).alias("own")).filter(F.arrays_overlap("own", every))
@@ -93,14 +161,22 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     same = F.size(F.array_intersect("own", F.col("t.pairs")))
     dice = 2 * same / (F.size("own") + F.size(F.col("t.pairs")))
     enough = 200 * same >= percent * (F.size("own") + F.size(F.col("t.pairs")))
-    best = compared.filter(enough).groupBy("doc_id", "unit").agg(F.min(F.struct((-dice).alias("less"), F.col("t.license").alias("license"))).alias("b"))
-    return best.select("doc_id", "unit", "b.license", (-F.col("b.less")).alias("dice"))
+    best = compared.filter(enough).groupBy("doc_id", "unit").agg(F.min(F.struct((-dice).alias("less"), F.col("t.license").alias("license"), same.alias("same"))).alias("b"))
+
+    def match(same: str, dice: Column, kind: int, license: str, unit: str, **place: object) -> Column:
+        at = [F.lit(place.get(k)).cast("int").alias(k) if place.get(k) is None else F.col(k).alias(k) for k in ("lo", "hi", "first", "last")]
+        return F.struct((-F.col(same)).alias("less_same"), (-dice).alias("less"), F.lit(kind).alias("kind"), F.col(license).alias("license"), F.col(unit).alias("unit"), *at)
+
+    whole = best.select("doc_id", match("b.same", -F.col("b.less"), 0, "b.license", "unit").alias("m"))
+    cut = _windows(worth, listed, every, percent).select("doc_id", match("same", F.col("dice"), 1, "license", "first", lo=1, hi=1, first=1, last=1).alias("m"))
+    settled = whole.unionByName(cut).groupBy("doc_id").agg(F.collect_set("m").alias("m")).select("doc_id", F.explode(_settled(F.col("m"))).alias("m"))
+    return settled.select("doc_id", "m.unit", "m.license", (-F.col("m.less")).alias("dice"))
 
 
 def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """``doc_id, licenses, n_matches, best_dice`` for each row of ``docs``: see ``scan``.
 
-    ``licenses`` are names in order, joined by commas; ``n_matches`` counts units; a document without a
+    ``licenses`` are names in order, joined by commas; ``n_matches`` counts matches; a document without a
     match has an empty list, 0 and 0.0.  Rows repeated under one doc_id are one document; rows without doc_id have no match.
     """
     found = scan(docs, templates, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(

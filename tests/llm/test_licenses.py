@@ -25,6 +25,20 @@ def test_edge_cases(spark):
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_inside_lines_and_over_line_breaks(spark):
+    mit = "Intro.\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"),\nto deal in the Software without restriction.\nThe story begins here and has nothing to do with it at all, for many words more than the notice itself has."
+    rows = [
+        (1, "Copyright 2020 Foo. Released under the MIT License."),
+        (2, "Copyright (c) 2024 Acme. All rights reserved."),
+        (3, mit),
+        (4, "A story of many words.\nThis work is licensed under the GNU General Public License,\nversion 3. And now the story goes on with many more words."),
+        (5, "Foo is released under the MIT License. Bar is licensed under CC BY 4.0, baz is released under the MIT License as well."),
+        (6, "The license of the software is not known, and rights are all reserved."),
+    ]
+    got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", 1), 2: ("Proprietary", 1), 3: ("MIT", 1), 4: ("GPL-3.0", 1), 5: ("CC-BY-4.0,MIT", 3), 6: ("", 0)}
+
+
 def test_every_match_holds_a_keyword():
     pairs = [licenses._pairs(text) for _, text in licenses.TEMPLATES]
     words = set(licenses.keywords(pairs, licenses.PERCENT))
