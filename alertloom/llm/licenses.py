@@ -27,6 +27,51 @@ TEMPLATES = (
 )
 PERCENT = 80
 
+_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_CC = "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {} 4.0 International Public License"
+_CC_NOTICE = "This work is licensed under a Creative Commons {} 4.0 International License."
+# Paragraphs by which whole license texts are known, and notices of further licenses.
+BODIES = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _NOTICE.format("GNU Affero General Public License", 3)),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD.format("", "", "")),
+    ("BSD-2-Clause", _BSD.format("1. ", "2. ", "")),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", _BSD.format("", "", _BSD_NAME)),
+    ("BSD-3-Clause", _BSD.format("1. ", "2. ", f"3. {_BSD_NAME}")),
+    *((f"CC-{short}-4.0", text.format(name)) for short, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for text in (_CC, _CC_NOTICE)),
+    *((f"CC-{short.replace(' ', '-')}-4.0", f"Licensed under CC {short} 4.0.") for short in ("BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\")."),
+    ("GPL-2.0", _NOTICE.format("GNU General Public License", 2)),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", _NOTICE.format("GNU Lesser General Public License", "2.1")),
+    ("LGPL-2.1", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("LGPL-3.0", _NOTICE.format("GNU Lesser General Public License", 3)),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("MIT", _MIT_GRANT),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+KNOWN = TEMPLATES + BODIES
+# Words of much other English text, chosen as keywords last.
+COMMON = frozenset(
+    "a all and are as at be by can commercial change conditions copy copyright following for free from general is it in intended international network no not of on or original other "
+    "person practical product provided publish rights source specifically subject that the this throughout to under use version without work works you your any with available following".split()
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,10 +108,21 @@ def keywords(templates: list[list[str]], percent: int) -> list[str]:
         enough = len(pairs) - -(-percent * len(pairs) // (200 - percent)) + 1
         while (open_ := [p for p in split if not p & chosen]) and len(split) - len(open_) < enough:
             words = {w for p in open_ for w in p}
-            chosen.add(max(words, key=lambda w: (min(len(w), 6), sum(w in p for p in open_), w)))  # noqa: B023
+            chosen.add(max(words, key=lambda w: (w not in COMMON, min(len(w), 6), sum(w in p for p in open_), w)))  # noqa: B023
     return sorted(chosen)
 
 
+def _holding(words: list[str]) -> Column:
+    """Whether ``text`` holds one of ``words``."""
+    small = F.lower(F.col("text").cast("string"))
+    held = F.lit(False)
+    for word in words:
+        # A short word is often part of another one.
+        alone = small.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])") if len(word) < 4 else F.lit(True)
+        held = held | (F.contains(small, F.lit(word)) & alone)
+    return held
+
+
 def _hits(own: Column, t: Column) -> Column:
     """The places in ``own``, the bigrams of a text in order, that hold a bigram of template ``t``."""
     return F.filter(F.transform(own, lambda x, i: F.when(F.array_contains(t["pairs"], x), i)), lambda i: i.isNotNull())
@@ -128,7 +184,7 @@ def _settled(matches: Column) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda taken, c: F.when(F.exists(taken, lambda x: rivals(x, c)), taken).otherwise(F.concat(taken, F.array(c))))
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = KNOWN, percent: int = PERCENT) -> DataFrame:
     """``doc_id, unit, license, dice`` of ``docs`` (doc_id long, text string): a unit is a line (its number from 1), as 0 a whole text of several lines, or a window of words (the line it starts in).
 
     A unit matches a template if 2 |A and B| / (|A| + |B|) over the distinct word bigrams
@@ -142,16 +198,11 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     listed = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(need(len(pairs))).alias("need"), F.lit(span(n)).alias("span")) for name, pairs, n in known))
     every = F.array(*(F.lit(p) for p in sorted({p for _, pairs, _ in known for p in pairs})))
     # Most documents hold no keyword, and are not taken apart.
-    small = F.lower(F.col("text").cast("string"))
-    held = F.lit(False)
-    for word in keywords([pairs for _, pairs, _ in known], percent):
-        # A short word is often part of another one.
-        alone = small.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])") if len(word) < 4 else F.lit(True)
-        held = held | (F.contains(small, F.lit(word)) & alone)
+    held = _holding(keywords([pairs for _, pairs, _ in known], percent))
     worth = docs.filter("doc_id IS NOT NULL").filter(held).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lines = F.split("text", "\n", -1)
     units = worth.select("doc_id", F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text"))).alias("units"))
-    units = units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL")
+    units = units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL").filter(held)
     # A filter is not moved below a generator, so each unit is taken apart once.
     made = units.select("doc_id", "unit", F.explode(F.array(bigrams(normalised(F.col("text"))))).alias("own")).filter(F.arrays_overlap("own", every))
     n = F.size("own")
@@ -173,7 +224,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, pe
     return settled.select("doc_id", "m.unit", "m.license", (-F.col("m.less")).alias("dice"))
 
 
-def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = KNOWN, percent: int = PERCENT) -> DataFrame:
     """``doc_id, licenses, n_matches, best_dice`` for each row of ``docs``: see ``scan``.
 
     ``licenses`` are names in order, joined by commas; ``n_matches`` counts matches; a document without a

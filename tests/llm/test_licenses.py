@@ -39,6 +39,26 @@ def test_notices_inside_lines_and_over_line_breaks(spark):
     assert got == {1: ("MIT", 1), 2: ("Proprietary", 1), 3: ("MIT", 1), 4: ("GPL-3.0", 1), 5: ("CC-BY-4.0,MIT", 3), 6: ("", 0)}
 
 
+def test_whole_license_texts(spark):
+    bsd = "Copyright (c) 2021, Foo\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    name = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    end = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    isc = "Copyright 2020 Foo\n\nPermission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"."
+    agpl = "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\n  The GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works, specifically designed to ensure\ncooperation with the community in the case of network server software."
+    free = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n\nFor more information see the site."
+    gpl2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\nIt comes without any warranty."
+    rows = [(1, bsd + end), (2, bsd + name + end), (3, isc), (4, agpl), (5, free), (6, gpl2), (7, "Text: licensed under CC BY-ND 4.0."), (8, "A note released under CC0 1.0 Universal.")]
+    got = [r.licenses for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["BSD-2-Clause", "BSD-3-Clause", "ISC", "AGPL-3.0", "Unlicense", "GPL-2.0", "CC-BY-ND-4.0", "CC0-1.0"]
+
+
+def test_every_whole_text_holds_a_keyword():
+    pairs = [licenses._pairs(text) for _, text in licenses.KNOWN]
+    words = set(licenses.keywords(pairs, licenses.PERCENT))
+    for own in pairs:
+        assert sum(bool(set(p.split()) & words) for p in own) > len(own) - -(-licenses.PERCENT * len(own) // (200 - licenses.PERCENT))
+
+
 def test_every_match_holds_a_keyword():
     pairs = [licenses._pairs(text) for _, text in licenses.TEMPLATES]
     words = set(licenses.keywords(pairs, licenses.PERCENT))
