@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 48, 8_192, 32_768
 # Texts are parsed in blocks of this many symbols, each from its start, so that blocks run side by side.
 BLOCK = 256
 UNKNOWN = "und"
-# Symbols: 0 fills up blocks, 1 is any run of characters that are not letters, 2 a letter no sample has.
+# Symbols: 0 fills up blocks, 1 is any run of characters that are not letters, 2 a letter no sample has; then the samples' letters, frequent ones first.
 FILL, GAP, OTHER, FIRST_LETTER = 0, 1, 2, 3
+# Moves by symbols below this are a full table; those by further letters, as in Chinese samples, a sorted list.
+DENSE = 256
 
 
 def held_out() -> Column:
@@ -42,33 +45,64 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
     return [(lang, "\n".join(texts)[:SAMPLE_CHARS]) for lang, texts in samples.items()]
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of ``symbols`` as a table state x symbol -> state; state 1 is the start, 0 means no transition."""
-    moves = np.zeros((2 * len(symbols) + 2, width), np.int32)
+class Automaton(NamedTuple):
+    """Moves of a suffix automaton; state 1 is the start, 0 means no transition."""
+
+    table: np.ndarray
+    # state * width + symbol of the moves by symbols from DENSE on, in order, and their targets
+    width: int
+    keys: np.ndarray
+    targets: np.ndarray
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        dense = self.table.shape[1]
+        there = self.table.reshape(-1)[state * dense + np.minimum(symbol, dense - 1)]
+        if len(self.keys) and (rare := symbol >= dense).any():
+            key = state[rare] * self.width + symbol[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there[rare] = np.where(self.keys[at] == key, self.targets[at], 0)
+        elif self.width > dense:
+            there[symbol >= dense] = 0
+        return there
+
+
+def automaton(symbols: list[int], width: int) -> Automaton:
+    """The suffix automaton of ``symbols``, which are below ``width``."""
+    moves: list[dict[int, int]] = [{}, {}]
     length, link, last = [0, 0], [0, 0], 1
     for c in symbols:
         now = len(length)
         length.append(length[last] + 1)
         link.append(1)
+        moves.append({})
         p = last
-        while p and not moves[p, c]:
-            moves[p, c] = now
+        while p and c not in moves[p]:
+            moves[p][c] = now
             p = link[p]
         if p:
-            q = int(moves[p, c])
+            q = moves[p][c]
             if length[q] == length[p] + 1:
                 link[now] = q
             else:
                 copy = len(length)
-                moves[copy] = moves[q]
+                moves.append(dict(moves[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p and moves[p, c] == q:
-                    moves[p, c] = copy
+                while p and moves[p].get(c) == q:
+                    moves[p][c] = copy
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    return moves[: len(length)].copy()
+    table = np.zeros((len(moves), min(width, DENSE)), np.int32)
+    rare = []
+    for state, out in enumerate(moves):
+        for c, to in out.items():
+            if c < DENSE:
+                table[state, c] = to
+            else:
+                rare.append((state * width + c, to))
+    rare.sort()
+    return Automaton(table, width, np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32))
 
 
 def _symbols(text: str, table: np.ndarray) -> np.ndarray:
@@ -80,40 +114,35 @@ def _symbols(text: str, table: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
-def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[Automaton]]:
     """The symbol of each code point, and an automaton for each sample; built once in a worker."""
     counts: dict[str, int] = {}
     for _, text in samples:
         for c in text.lower():
             if c.isalpha():
                 counts[c] = counts.get(c, 0) + 1
-    letters = sorted(counts, key=lambda c: (-counts[c], c))[: 256 - FIRST_LETTER]
-    table = np.array([OTHER if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
+    letters = sorted(counts, key=lambda c: (-counts[c], c))
+    table = np.array([OTHER if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8 if FIRST_LETTER + len(letters) <= 256 else np.int32)
     for k, c in enumerate(letters):
         table[ord(c)] = FIRST_LETTER + k
     width = FIRST_LETTER + len(letters)
-    # A letter too rare to have a symbol breaks a phrase in the sample too: no transition leads over it.
-    made = []
-    for _, text in samples:
-        automated = automaton(_symbols(text, table).tolist(), width)
-        automated[:, OTHER] = 0
-        made.append(automated)
-    return table, made
+    return table, [automaton(_symbols(text, table).tolist(), width) for _, text in samples]
 
 
-def phrases(blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(blocks: np.ndarray, moves: Automaton) -> np.ndarray:
     """How many longest-match phrases each row of ``blocks`` (symbols, FILL at the end) needs."""
-    flat, width = table.reshape(-1), table.shape[1]
     state = np.ones(len(blocks), np.int64)
+    start = np.ones(len(blocks), np.int64)
     count = np.zeros(len(blocks), np.int64)
     for column in np.ascontiguousarray(blocks.T):
-        there = flat[state * width + column]
+        column = column.astype(np.int64)
+        there = moves.move(state, column)
         miss = there == 0
         # A phrase ends before a symbol that does not continue it; a symbol that no phrase can start with is one by itself.
-        again = flat[width + column]
+        again = moves.move(start, column)
         count += miss & (state > 1)
         count += miss & (again == 0) & (column != FILL)
-        state = np.where(miss, np.maximum(again, 1), there)
+        state = np.where(miss, np.maximum(again, 1), there).astype(np.int64)
     return count + (state > 1)
 
 
@@ -138,7 +167,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, .
             langs, score = [UNKNOWN] * len(rows), np.zeros(len(rows))
             if known.any():
                 blocks = [-(-len(r) // BLOCK) for r in rows]
-                grid = np.zeros((sum(blocks), BLOCK), np.uint8)
+                grid = np.zeros((sum(blocks), BLOCK), table.dtype)
                 at = 0
                 for r, n in zip(rows, blocks, strict=True):
                     grid[at : at + n].reshape(-1)[: len(r)] = r

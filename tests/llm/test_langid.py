@@ -37,6 +37,22 @@ def test_whole_blocks():
     assert langid.phrases(text, table).tolist() == [full, 1 + -(-(langid.BLOCK - 1) // 10)]
 
 
+def test_large_alphabets(spark):
+    rng = random.Random(5)
+    words = {"ja": [0x4E00 + 2 * k for k in range(3000)], "zh": [0x4E01 + 2 * k for k in range(3000)]}
+    samples = [("de", "der hund und die katze " * 40), *((lang, "".join(chr(rng.choice(codes)) for _ in range(20_000))) for lang, codes in words.items())]
+    table, made = langid._model(tuple(samples))
+    for (_, sample), moves in zip(samples, made, strict=True):
+        text = samples[2][1][5_000:5_050] + samples[1][1][7_000:7_040] + "hund" + samples[2][1][:60]
+        grid = np.zeros((1, langid.BLOCK), table.dtype)
+        grid[0, : len(text)] = langid._symbols(text, table)
+        assert langid.phrases(grid, moves)[0] == plain_phrases(text, sample)
+    pieces = lambda sample: "".join(sample[k : k + 4] for k in (rng.randrange(19_000) for _ in range(50)))
+    rows = [(i, pieces(dict(samples)[lang]), lang) for i, lang in enumerate(["zh", "ja"] * 3)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), samples, keep=("doc_id", "lang")).collect()
+    assert all(r.lang == r.lang_pred and r.score > 0 for r in got)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     judged = langid.identify(docs, langid.learn(docs), keep=("doc_id", "lang")).withColumn("out", langid.held_out()).collect()
