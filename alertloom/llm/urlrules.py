@@ -17,9 +17,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-# Mining: least share of all URLs that hold a combination and its verdict, least share of a combination's URLs with the verdict,
-# tokens of a URL that take part (the host from its end, then path, then query keys).
-SUPPORT, CONFIDENCE, MINED_TOKENS = 0.002, 0.9, 12
+# Mining: least share of all URLs that hold a combination and its verdict, least share of a combination's URLs with the verdict.
+SUPPORT, CONFIDENCE = 0.002, 0.9
 DEFAULT = "allow"
 _LABEL = "verdict="
 
@@ -60,15 +59,30 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
 
+def telling(urls: DataFrame, support: float) -> list[str]:
+    """Tokens of ``urls`` (tokens, verdict) that mining needs, in order.
+
+    A token of a rule is with the rule's verdict in a share of ``support`` of the URLs; the others are in no
+    rule.  Of tokens that are in the same URLs the last by name stands for all.  That
+    bounds the list: it holds at most the tokens of an average URL divided by ``support``.
+    """
+    baskets = urls.filter(F.size("tokens") > 0).select("tokens", "verdict", *(F.xxhash64(F.lit(k), F.array_sort("tokens"), "verdict").cast("decimal(20,0)").alias(f"h{k}") for k in (1, 2)))
+    of = baskets.select(F.explode("tokens").alias("token"), "verdict", "h1", "h2")
+    counts = of.groupBy("token").agg(F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")))
+    # A hair below, so that rounding keeps a token that FPGrowth would keep.
+    least = F.lit(support * (1 - 1e-9) * baskets.count())
+    return sorted(r.token for r in counts.filter(F.greatest("allow", "block") >= least).groupBy("n", "h1", "h2").agg(F.max("token").alias("token")).collect())
+
+
 def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``antecedent, verdict, confidence, support, anchor``: rules from ``urls`` (tokens, verdict or null).
+    """``antecedent, verdict, confidence, support, anchor``: rules from ``urls`` (tokens, verdict or null; every row counts).
 
     URLs without a verdict count too, as examples of neither, so a rule holds only
     where its combination has the verdict nearly always.  A rule is left out
     where one with a token less has at least its confidence.  ``anchor`` is the antecedent's rarest token.
     """
-    items = F.concat(F.slice("tokens", 1, MINED_TOKENS), F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(_LABEL), "verdict"))).otherwise(F.array().cast("array<string>")))
-    baskets = urls.select(items.alias("items")).filter(F.size("items") > 0)
+    items = F.concat("tokens", F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(_LABEL), "verdict"))).otherwise(F.array().cast("array<string>")))
+    baskets = urls.select(items.alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL)))
     rules = written(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
@@ -97,11 +111,15 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support:
     given = split.withColumn("rule", rule).withColumn("verdict", verdict)
     listed = F.when(F.col("host") != "", tokens(F.col("url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
     ready = given.withColumn("tokens", listed)
-    model = mine(ready.select("tokens", "verdict"), support, confidence)
+    # Mining and lookup need few of the tokens.
+    told = telling(ready.select("tokens", "verdict"), support)
+    useful = F.array(*map(F.lit, told)) if told else F.array().cast("array<string>")
+    few = F.array_intersect("tokens", useful).alias("tokens")
+    model = mine(ready.filter(F.size("tokens") > 0).select(few, "verdict"), support, confidence)
     # Equal token lists are looked up once.
-    unknown = ready.filter("rule IS NULL AND size(tokens) > 0").select(F.array_sort("tokens").alias("tokens")).distinct()
-    hits = unknown.select("tokens", F.explode("tokens").alias("anchor")).join(model, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), F.col("verdict").alias("said"), "antecedent")).alias("b"))
-    answer = best.select(F.col("tokens").alias("_key"), F.col("b.said").alias("said"), F.array_join("b.antecedent", " ").alias("mined"))
+    unknown = ready.filter("rule IS NULL AND size(tokens) > 0").select(F.array_sort("tokens").alias("_key")).distinct().withColumn("tokens", F.array_intersect("_key", useful))
+    hits = unknown.select("_key", "tokens", F.explode("tokens").alias("anchor")).join(model, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    best = hits.groupBy("_key").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), F.col("verdict").alias("said"), "antecedent")).alias("b"))
+    answer = best.select("_key", F.col("b.said").alias("said"), F.array_join("b.antecedent", " ").alias("mined"))
     judged = ready.withColumn("_key", F.when(F.col("rule").isNull(), F.array_sort("tokens"))).join(answer, "_key", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "said", F.lit(DEFAULT)).alias("verdict"), "mined")

@@ -67,6 +67,16 @@ def test_mined_rules_judge_urls_without_a_rule(spark):
     assert got[261].verdict == "allow" and got[261].mined is None
 
 
+def test_tokens_behind_many_others_tell(spark):
+    deep = "/".join(f"{a}{b}" for a in "abcde" for b in "vwxyz")
+    keys = "&".join(f"k{a}={i}" for i, a in enumerate("abcdefghijklmnopqrst"))
+    urls = [f"http://a.net/es/{deep}/win?{keys}&ref={i}" for i in range(60)] + [f"http://shop{i}.org/{deep}/page?{keys}" for i in range(200)]
+    urls += [f"http://x.org/{deep}/win?{keys}&ref=1", f"http://x.org/{deep}/page?{keys}"]
+    got = judged(spark, urls, support=0.05)
+    assert got[260].verdict == "block" and got[260].mined and got[260].rule is None
+    assert got[261].verdict == "allow" and got[261].mined is None
+
+
 def test_empty_table_and_repeats(spark):
     assert judged(spark, ["http://a.com/"] * 3)[2].verdict == "allow"
     pages = spark.createDataFrame([], "page_id long, url string")
