@@ -146,6 +146,19 @@ def phrases(blocks: np.ndarray, moves: Automaton) -> np.ndarray:
     return count + (state > 1)
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text holds a letter, by the test that ``identify`` uses."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [any(c.isalpha() for c in (text.as_py() or "").lower()) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(kept, pa.bool_()))
+
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.select(F.col("text").cast("string").alias("_text"), *names).mapInArrow(run, spec)
+
+
 def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of each row of ``docs`` (doc_id long, text string), and ``lang_pred, score``, from whole texts.
 

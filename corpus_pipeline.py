@@ -13,8 +13,11 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language (null texts and texts without a letter); a missing ``lang`` is filled in."""
-    judged = langid.identify(docs, langid.learn(docs), keep=tuple(docs.columns)).filter(F.col("lang_pred") != langid.UNKNOWN)
+    """Rejects documents of no language (null texts and texts without a letter); a missing ``lang`` is filled in, where any language is known."""
+    samples = langid.learn(docs)
+    if not samples:
+        return langid.lettered(docs)
+    judged = langid.identify(docs, samples, keep=tuple(docs.columns)).filter(F.col("lang_pred") != langid.UNKNOWN)
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

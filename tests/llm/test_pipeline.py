@@ -56,3 +56,10 @@ def test_run_and_empty_table(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids", "text"]
+
+
+def test_lettered_texts_stay_where_no_language_is_known(spark):
+    rows = [(1, "the word", None), (2, " 12 !", None), (3, None, None), (None, "mot", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got), key=str) == [(1, "the word", None), (None, "mot", None)] and list(got[0].asDict()) == COLUMNS
