@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``rank``, the place of a row (from 0, by ``order``, nulls first) among those of equal ``group``, and ``n``, their number.
+
+    Rows are dealt into ranges and written in order, so ranks stay the same when a task is computed again, and a
+    group that holds most rows lies in many ranges; only a count for each range and group is summed up.
+    """
+    keys = [*group, *order]
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_range", F.shiftright("_at", 33))
+    runs = placed.groupBy("_range", *group).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    of = Window.partitionBy(*group)
+    earlier = of.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_range", *group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_from")).alias("_add"), F.sum("_n").over(of).alias("n"))
+    runs = written(runs.toDF("_r", *[f"_g{i}" for i in range(len(group))], "_add", "n"), f"{name}-runs")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(runs, same).select(*df.columns, (F.col("_at") + F.col("_add")).alias("rank"), "n")
+
+
 _model: dict[str, tuple] = {}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import bpe, decontam, langid, licenses, linedup, neardup, pii, topk, urlrules, warc
+from alertloom.llm import bpe, decontam, langid, licenses, linedup, merkle, neardup, pii, topk, urlrules, warc
 from alertloom.llm.common import scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_private_spans": op2_private_spans,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_vectors": op8_top_vectors,
     "op9_licenses": op9_licenses,
     "op10_benchmark_passages": op10_benchmark_passages,
+    "op11_manifest": op11_manifest,
 }
 
-ORACLES: dict[str, str] = {"op5_repeated_lines": linedup.ORACLE, "op8_top_vectors": topk.ORACLE, "op9_licenses": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op5_repeated_lines": linedup.ORACLE, "op8_top_vectors": topk.ORACLE, "op9_licenses": licenses.ORACLE, "op11_manifest": merkle.ORACLE}
