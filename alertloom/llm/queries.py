@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import bpe, decontam, langid, licenses, linedup, merkle, neardup, pii, topk, trie, urlrules, warc
+from alertloom.llm import bpe, decontam, langid, licenses, linedup, merkle, neardup, pii, topk, trie, urlrules, vecdedup, warc
 from alertloom.llm.common import scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
@@ -85,7 +89,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_benchmark_passages": op10_benchmark_passages,
     "op11_manifest": op11_manifest,
+    "op12_near_vectors": op12_near_vectors,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op5_repeated_lines": linedup.ORACLE, "op8_top_vectors": topk.ORACLE, "op9_licenses": licenses.ORACLE, "op11_manifest": merkle.ORACLE, "op13_prefix_trie": trie.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_repeated_lines": linedup.ORACLE,
+    "op8_top_vectors": topk.ORACLE,
+    "op9_licenses": licenses.ORACLE,
+    "op11_manifest": merkle.ORACLE,
+    "op12_near_vectors": vecdedup.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
+}
