@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.llm.common import written
+
 # fixed values: license and notice
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -112,15 +114,15 @@ def keywords(templates: list[list[str]], percent: int) -> list[str]:
     return sorted(chosen)
 
 
-def _holding(words: list[str]) -> Column:
-    """Whether ``text`` holds one of ``words``."""
-    small = F.lower(F.col("text").cast("string"))
+def _holding(docs: DataFrame, words: list[str]) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` holds one of ``words``; the text is put in lower case once, since a filter does not pass a generator."""
+    small = F.col("_small")
     held = F.lit(False)
     for word in words:
         # A short word is often part of another one.
         alone = small.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])") if len(word) < 4 else F.lit(True)
         held = held | (F.contains(small, F.lit(word)) & alone)
-    return held
+    return docs.select("*", F.explode(F.array(F.lower("text"))).alias("_small")).filter(held).drop("_small")
 
 
 def _hits(own: Column, t: Column) -> Column:
@@ -198,11 +200,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = KNOWN, percen
     listed = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(need(len(pairs))).alias("need"), F.lit(span(n)).alias("span")) for name, pairs, n in known))
     every = F.array(*(F.lit(p) for p in sorted({p for _, pairs, _ in known for p in pairs})))
     # Most documents hold no keyword, and are not taken apart.
-    held = _holding(keywords([pairs for _, pairs, _ in known], percent))
-    worth = docs.filter("doc_id IS NOT NULL").filter(held).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    words = keywords([pairs for _, pairs, _ in known], percent)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    worth = written(_holding(named, words), "worth")
     lines = F.split("text", "\n", -1)
     units = worth.select("doc_id", F.when(F.size(lines) > 1, F.array_prepend(lines, F.col("text"))).otherwise(F.array(F.lit(None).cast("string"), F.col("text"))).alias("units"))
-    units = units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL").filter(held)
+    units = _holding(units.select("doc_id", F.posexplode("units").alias("unit", "text")).filter("text IS NOT NULL"), words)
     # A filter is not moved below a generator, so each unit is taken apart once.
     made = units.select("doc_id", "unit", F.explode(F.array(bigrams(normalised(F.col("text"))))).alias("own")).filter(F.arrays_overlap("own", every))
     n = F.size("own")

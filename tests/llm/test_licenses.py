@@ -1,6 +1,9 @@
 """License scans: the query's SQL, and edge cases."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from alertloom.llm import licenses
 
@@ -67,3 +70,49 @@ def test_every_match_holds_a_keyword():
         least = -(-licenses.PERCENT * len(own) // (200 - licenses.PERCENT))
         # The match that holds the fewest keywords leaves out as many bigrams with one as it may.
         assert sum(bool(set(p.split()) & words) for p in own) > len(own) - least
+
+
+def best_windows(text, templates, percent):
+    """The highest coefficient of any window with each template, where it is high enough."""
+    own = list(map(" ".join, zip(licenses._words(text), licenses._words(text)[1:])))
+    out = {}
+    for k, template in enumerate(templates):
+        pairs, span = set(licenses._pairs(template)), (len(licenses._words(template)) - 1) * (200 - percent) // percent
+        for lo in range(len(own)):
+            seen = set()
+            for pair in own[lo : lo + span]:
+                seen.add(pair)
+                if 200 * len(seen & pairs) >= percent * (len(seen) + len(pairs)):
+                    out[k] = max(out.get(k, 0), 2 * len(seen & pairs) / (len(seen) + len(pairs)))
+    return out
+
+
+def test_windows_equal_all_windows(spark):
+    rng = random.Random(9)
+    templates = [t for _, t in licenses.KNOWN if len(t) < 260]
+    filler = "the work file is here and rights to use of software are not known version public license".split()
+    docs = []
+    for i in range(60):
+        words = [rng.choice(filler) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            told = licenses._words(rng.choice(templates))
+            told = [w for w in told if rng.random() > 0.04]
+            for _ in range(rng.randrange(3)):
+                told.insert(rng.randrange(len(told) + 1), rng.choice(filler))
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = told
+        docs.append((i, "".join(w + rng.choice([" ", " ", ", ", "\n"]) for w in words)))
+    # A very long text with a notice at its end.
+    docs.append((60, "a word of the file\n" * 60_000 + "Released under\nthe MIT License."))
+    short = tuple((str(k), t) for k, t in enumerate(templates))
+    known = [(name, licenses._pairs(t), len(licenses._words(t)) - 1) for name, t in short]
+    need, span = (lambda n: -(-80 * n // 120)), (lambda n: n * 120 // 80)
+    listed = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(need(len(pairs))).alias("need"), F.lit(span(n)).alias("span")) for name, pairs, n in known))
+    every = F.array(*(F.lit(p) for p in sorted({p for _, pairs, _ in known for p in pairs})))
+    found = licenses._windows(spark.createDataFrame(docs, "doc_id long, text string"), listed, every, 80)
+    got = {(r.doc_id, int(r.license)): round(r.dice, 9) for r in found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice")).collect()}
+    want = {(i, k): round(d, 9) for i, text in docs[:60] for k, d in best_windows(text, templates, 80).items()}
+    assert {k: v for k, v in got.items() if k[0] < 60} == want and len(want) > 40
+    mit = templates.index("Released under the MIT License.")
+    assert got[60, mit] == 1.0
+    assert [r.licenses for r in licenses.licenses(spark.createDataFrame(docs[60:], "doc_id long, text string")).collect()] == ["MIT"]
