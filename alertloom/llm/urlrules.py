@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-# Mining: least share of all URLs that hold a combination and its verdict, least share of a combination's URLs with the verdict.
+# Mining: least share of the labelled URLs that hold a combination and its verdict, least share of a combination's URLs with the verdict.
 SUPPORT, CONFIDENCE = 0.002, 0.9
 DEFAULT = "allow"
 _LABEL = "verdict="
@@ -59,8 +61,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
 
+def rule_tokens(rules: tuple[tuple[str, str], ...]) -> list[list[str]]:
+    """For each given rule the tokens that every URL it fits has."""
+    split = [(host.split(".")[::-1], [p for p in path.split("/")[:-1] if p]) for host, _, path in (text.partition("/") for _, text in rules)]
+    return [[*(f"host:{re.sub('[0-9]+', '#', p)}" for p in host), *(f"path:{re.sub('[0-9]+', '#', p)}" for p in path)] for host, path in split]
+
+
 def telling(urls: DataFrame, support: float) -> list[str]:
-    """Tokens of ``urls`` (tokens, verdict) that mining needs, in order.
+    """Tokens of labelled ``urls`` (tokens, verdict) that mining needs, in order.
 
     A token of a rule is with the rule's verdict in a share of ``support`` of the URLs; the others are in no
     rule.  Of tokens that are in the same URLs the last by name stands for all.  That
@@ -74,25 +82,27 @@ def telling(urls: DataFrame, support: float) -> list[str]:
     return sorted(r.token for r in counts.filter(F.greatest("allow", "block") >= least).groupBy("n", "h1", "h2").agg(F.max("token").alias("token")).collect())
 
 
-def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``antecedent, verdict, confidence, support, anchor``: rules from ``urls`` (tokens, verdict or null; every row counts).
+def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """``antecedent, verdict, confidence, lift, support, anchor``: rules from the labelled ones of ``urls`` (tokens, verdict or null; every labelled row counts).
 
-    URLs without a verdict count too, as examples of neither, so a rule holds only
-    where its combination has the verdict nearly always.  A rule is left out
-    where one with a token less has at least its confidence.  ``anchor`` is the antecedent's rarest token.
+    A rule is left out where one with a token less has at least its confidence, where its verdict is no more frequent
+    among its URLs than among all (a lift of 1 or less), and where it only says again what one of the
+    given ``rules`` says, holding all of its tokens.  ``anchor`` is the antecedent's rarest token.
     """
-    items = F.concat("tokens", F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(_LABEL), "verdict"))).otherwise(F.array().cast("array<string>")))
-    baskets = urls.select(items.alias("items"))
+    baskets = urls.filter("verdict IS NOT NULL").select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL)))
-    rules = written(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
-    shorter = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("out")).withColumn("less", F.array_remove("antecedent", F.col("out")))
-    weaker = rules.select(F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("known"))
+    made = written(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("verdict"), "confidence", "lift", "support"), "rules")
+    shorter = made.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("out")).withColumn("less", F.array_remove("antecedent", F.col("out")))
+    weaker = made.select(F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("known"))
     needless = shorter.join(weaker, ["less", "verdict"]).filter("known >= confidence").select("antecedent", "verdict").distinct()
-    kept = rules.join(needless, ["antecedent", "verdict"], "left_anti")
+    again = F.lit(False)
+    for own in rule_tokens(rules):
+        again = again | (F.size(F.array_intersect("antecedent", F.array(*map(F.lit, own)))) == len(set(own)))
+    kept = made.join(needless, ["antecedent", "verdict"], "left_anti").filter((F.col("lift") > 1) & ~again)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     anchors = kept.select("antecedent", F.explode("antecedent").alias("token")).join(single, "token").groupBy("antecedent").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    return written(kept.join(anchors, "antecedent").select("antecedent", "verdict", "confidence", "support", F.col("rarest.token").alias("anchor")), "anchored")
+    return written(kept.join(anchors, "antecedent").select("antecedent", "verdict", "confidence", "lift", "support", F.col("rarest.token").alias("anchor")), "anchored")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -112,14 +122,17 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support:
     listed = F.when(F.col("host") != "", tokens(F.col("url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
     ready = given.withColumn("tokens", listed)
     # Mining and lookup need few of the tokens.
-    told = telling(ready.select("tokens", "verdict"), support)
+    labelled = ready.filter("verdict IS NOT NULL AND size(tokens) > 0").select("tokens", "verdict")
+    told = telling(labelled, support)
     useful = F.array(*map(F.lit, told)) if told else F.array().cast("array<string>")
-    few = F.array_intersect("tokens", useful).alias("tokens")
-    model = mine(ready.filter(F.size("tokens") > 0).select(few, "verdict"), support, confidence)
-    # Equal token lists are looked up once.
-    unknown = ready.filter("rule IS NULL AND size(tokens) > 0").select(F.array_sort("tokens").alias("_key")).distinct().withColumn("tokens", F.array_intersect("_key", useful))
-    hits = unknown.select("_key", "tokens", F.explode("tokens").alias("anchor")).join(model, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    model = mine(labelled.select(F.array_intersect("tokens", useful).alias("tokens"), "verdict"), support, confidence, rules)
+    # Equal lists of useful tokens are looked up once; URLs that a given rule decides, or without such a token, take no part in the join.
+    few = ready.withColumn("_key", F.when(F.col("rule").isNull(), F.array_sort(F.array_intersect("tokens", useful))).otherwise(F.array().cast("array<string>")))
+    unknown = few.filter("size(_key) > 0")
+    hits = unknown.select("_key").distinct().select("_key", F.explode("_key").alias("anchor")).join(model, "anchor").filter(F.size(F.array_except("antecedent", "_key")) == 0)
     best = hits.groupBy("_key").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), F.col("verdict").alias("said"), "antecedent")).alias("b"))
     answer = best.select("_key", F.col("b.said").alias("said"), F.array_join("b.antecedent", " ").alias("mined"))
-    judged = ready.withColumn("_key", F.when(F.col("rule").isNull(), F.array_sort("tokens"))).join(answer, "_key", "left")
+    none = F.lit(None).cast("string")
+    others = few.filter("size(_key) = 0").select("page_id", "host", "path", "rule", "verdict", none.alias("said"), none.alias("mined"))
+    judged = unknown.join(answer, "_key", "left").select(*others.columns).unionByName(others)
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "said", F.lit(DEFAULT)).alias("verdict"), "mined")
