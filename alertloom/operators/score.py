@@ -131,6 +131,11 @@ def _struct_leaves(fields: dict[str, S.Field], value: Sql, depth: int) -> list[S
             out.append(F.array(_number_leaf(x, x.cast("string"))))
         elif f.kind == "obj":
             out += _struct_leaves(f.fields, x, depth + 1)
+        elif f.kind == "chain":
+            # What is above the typed levels lies deeper than leaves are read.
+            for level in range(f.levels):
+                out += _struct_leaves(f.fields, x, depth + 1 + level)
+                x = x[S.PARENT]
         elif f.kind == "objs" and depth + 2 <= LEAF_DEPTH:
             inner = lambda e, f=f: F.concat(*_struct_leaves(f.fields, e, depth + 2))
             out.append(_flat(F.transform(x, _one(inner))))

@@ -122,6 +122,7 @@ _MESSAGES = {
     "bool": "Input should be a valid boolean",
     "map": "Input should be a valid dictionary",
     "obj": "Input should be a valid dictionary",
+    "chain": "Input should be a valid dictionary",
     "objs": "Input should be a valid list",
     "texts": "Input should be a valid list",
     "ints": "Input should be a valid list",
@@ -231,6 +232,8 @@ def _field(
         bad = [wrong(V.is_object(x))]
     elif field.kind in ("texts", "ints"):
         value, bad = _scalar_list(field, x, loc, wrong)
+    elif field.kind == "chain":
+        value, bad = _chain(field, x, given, loc)
     elif field.kind == "obj":
         inner, bad = _object(field.fields, x, loc, lists)
         value = F.when(V.is_object(x), inner)
@@ -253,6 +256,40 @@ def _field(
     return value, [*errors, *bad]
 
 
+def _chain(field: S.Field, x: V.Doc, given: Sql, loc: list) -> tuple[Sql, list[Sql]]:
+    """An object and all those above it, checked as one list, however long the chain is, and put together again."""
+    above = f"try_variant_get(element_at(c, -1), '$.{S.PARENT}', 'variant')"
+    # The key's count in the text is the most links there can be.
+    most = f"size(split({V.text(x)}, '\"{S.PARENT}\":'))"
+    links = F.filter(Sql(f"aggregate(sequence(1, {most}), array({x}), (c, i) -> concat(c, array({above})))"), lambda e: V.text(e).isNotNull())
+
+    def element(e: V.Doc, i: Sql) -> Sql:
+        place = [*loc[:-1], Sql(f"concat(\"'{loc[-1]}'\", repeat(\", '{S.PARENT}'\", {i}))")]
+        inner, found = _object(field.fields, e, place)
+        not_object = F.when(~V.is_object(e), _loc(place, _MESSAGES["obj"]))
+        return F.struct(inner.alias("v"), _joined([not_object, *found]).alias("e"))
+
+    checked = V.over(links, element)
+
+    def typed(c: Sql, level: int) -> Sql:
+        if level == field.levels:
+            return _rest(c, level)
+        own = [c[level]["v"][n].alias(n) for n in field.fields]
+        return F.when(F.size(c) > level, F.struct(*own, typed(c, level + 1).alias(S.PARENT)))
+
+    value = F.when(given, V.let(checked, lambda c: typed(c, 0)))
+    messages = F.filter(F.transform(checked, lambda c: c["e"]), lambda m: m != "")
+    return value, [F.when(given, F.nullif(F.array_join(messages, "\n"), ""))]
+
+
+def _rest(c: Sql, level: int) -> Sql:
+    """The checked objects from ``level`` on as nested JSON, each in the one below it."""
+    own = "left(to_json(e.v), length(to_json(e.v)) - 1)"
+    nested = f"""aggregate(reverse(slice({c}, {level + 1}, greatest(size({c}) - {level}, 0))), CAST(NULL AS string),
+        (a, e) -> CASE WHEN a IS NULL THEN to_json(e.v) ELSE concat({own}, CASE WHEN to_json(e.v) = '{{}}' THEN '' ELSE ',' END, '"{S.PARENT}":', a, '}}') END)"""
+    return F.when(F.size(c) > level, F.parse_json(Sql(nested)))
+
+
 def _integer(x: Sql, t: Sql) -> tuple[Sql, Sql]:
     """Whole numbers, booleans and texts of whole numbers count as integers."""
     ok = t.rlike(_INTEGER) | (F.schema_of_variant(x) == "BOOLEAN")

@@ -61,6 +61,22 @@ def _model(s, d):
     )
 
 
+# Process and ancestors, innermost text first; the ninth ancestor of every third event has a bad pid.
+_CHAIN = """aggregate(sequence(0, id % 14), '', (a, i) -> concat('{"name":"p', id % 14 - i, '","pid":',
+    CASE WHEN id % 3 = 0 AND id % 14 - i = 9 THEN '"x"' ELSE cast(id % 14 - i AS string) END, CASE WHEN a = '' THEN '' ELSE concat(',"parent_process":', a) END, '}'))"""
+_CHAINED = """concat('{"activity_id":1,"class_uid":2004,"type_uid":200401,"severity_id":3,"time":"', iso, 'Z","finding_info":{"title":"t","uid":"u"},
+    "metadata":{"product":{"name":"Prod","vendor_name":"Vend"}},"evidences":[{"process":', chain, '},{"actor":{"process":', chain, '}}]}')"""
+
+
+def _ancestors(s, d):
+    """The model check on processes with up to 13 ancestors, as evidence and as actor; how many are kept, and which is the last."""
+    made = once(bind.view(s, d, bind.EVENT), ["id", "iso"], chain=Sql(_CHAIN))
+    read = once(made, ["id"], v=Sql(f"parse_json({_CHAINED})"))
+    checked = validate.check_model(read, "v").select("id", F.array_join("errors", ";").alias("errors"), F.to_json("cleaned.evidences").alias("kept"))
+    names = F.transform(F.regexp_extract_all("kept", F.lit('"p([0-9]+)"'), F.lit(1)), lambda x: x.cast("int"))
+    return checked.select("id", "errors", (F.size(F.split("kept", '"parent_process":')) - 1).alias("n_kept"), F.array_max(names).alias("last"))
+
+
 def _responses(s, d):
     """Responses read off the metric rows: every decision, some without a finding."""
     return bind.view(s, d, bind.METRIC).select(
@@ -154,6 +170,7 @@ QUERIES = {
     "validate_label": lambda s, d: _labels(s, d).select("id", F.array_join(F.array_sort("errors"), ";").alias("errors")),
     "validate_summary": lambda s, d: validate.validation_summary(_labels(s, d)),
     "validate_model": _model,
+    "process_ancestors": _ancestors,
     "normalize_response": lambda s, d: score.normalize(_answers(s, d)).select(
         "id", "decision", F.round("confidence", 2).alias("confidence"), "schema_validity", "field_coverage", "value_consistency",
         "n_errors", "n_warnings", "error"),
@@ -195,6 +212,10 @@ ORACLES = {
         CASE WHEN id % 11 = 0 THEN '(''severity_id'',): Input should be one of 8 allowed values' END) AS errors,
         CASE WHEN id % 13 <> 0 AND id % 11 <> 0 AND id % 7 = 0 THEN 'extra' ELSE '' END AS stripped,
         id % 13 <> 0 AND id % 11 <> 0 AS valid FROM e WHERE id % 4 <> 3""",
+    "process_ancestors": f"""WITH {_E}, a AS (SELECT id, id % 14 AS n, id % 3 = 0 AND id % 14 >= 9 AS bad,
+            concat(repeat(', ''parent_process''', 9), ', ''pid''): Input should be a valid integer') AS place FROM e)
+        SELECT id, CASE WHEN bad THEN concat('(''evidences'', 0, ''process''', place, ';(''evidences'', 1, ''actor'', ''process''', place) ELSE '' END AS errors,
+        CASE WHEN NOT bad THEN cast(2 * n AS integer) END AS n_kept, CASE WHEN NOT bad THEN cast(n AS integer) END AS last FROM a""",
     "route_findings": f"""WITH {_M} SELECT id AS raw_log_id, 2004 AS class_uid, 3 AS severity_id, coalesce(decision, 'REJECT') AS decision, false AS published
         FROM m WHERE id % 6 <> 0 OR decision = 'ACCEPT'""",
     "route_metrics": f"WITH {_M} SELECT id AS raw_log_id, source, coalesce(decision, 'REJECT') AS decision, latency_ms, success FROM m",

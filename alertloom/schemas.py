@@ -44,13 +44,18 @@ RISK_LEVEL_IDS = (*range(5), 99)
 
 @dataclass(frozen=True)
 class Field:
-    """One field: ``kind`` is text, int, float, bool, map, texts, obj or objs."""
+    """One field: ``kind`` is text, int, float, bool, map, texts, obj, objs or chain.
+
+    A chain is an object that holds another of its kind under ``parent_process``, and so on without end: ``levels`` of
+    them are typed, what lies above is one VARIANT.
+    """
 
     kind: str
     required: bool = False
     allowed: tuple[int, ...] | None = None
     default: object = None
     fields: dict[str, "Field"] | None = None
+    levels: int = 0
 
 
 def _text(required=False, default=None):
@@ -99,21 +104,14 @@ _FILE = {
 }
 
 
-def _process(depth: int) -> dict[str, Field]:
-    fields = {
-        "name": _text(),
-        "pid": _int(),
-        **_texts("uid", "cmd_line", "created_time"),
-        "file": _obj(_FILE),
-        "user": _obj(_USER),
-    }
-    if depth > 1:
-        fields["parent_process"] = _obj(_process(depth - 1))
-    return fields
-
-
-# A process with parent and grandparent, as the mappers fill it; an actor's process alone.
-_PROCESS = _process(3)
+_PROCESS = {
+    "name": _text(),
+    "pid": _int(),
+    **_texts("uid", "cmd_line", "created_time"),
+    "file": _obj(_FILE),
+    "user": _obj(_USER),
+}
+PARENT = "parent_process"
 _ENDPOINT = {"ip": _text(), "port": _int(), **_texts("hostname", "domain", "mac", "uid", "name")}
 _CONNECTION = {
     "protocol_name": _text(),
@@ -129,8 +127,8 @@ _API = {
 }
 _EMAIL = {"from": _text(), "to": _TEXTS, **_texts("subject", "uid"), "files": _objs(_FILE)}
 _EVIDENCE = {
-    "process": _obj(_PROCESS),
-    "actor": _obj({"user": _obj(_USER), "process": _obj(_process(1))}),
+    "process": Field("chain", fields=_PROCESS, levels=3),
+    "actor": _obj({"user": _obj(_USER), "process": Field("chain", fields=_PROCESS, levels=1)}),
     "src_endpoint": _obj(_ENDPOINT),
     "dst_endpoint": _obj(_ENDPOINT),
     "connection_info": _obj(_CONNECTION),
@@ -256,6 +254,11 @@ def spark_type(field: Field) -> T.DataType:
         return struct_of(field.fields)
     if field.kind == "objs":
         return T.ArrayType(struct_of(field.fields))
+    if field.kind == "chain":
+        above = T.VariantType()
+        for _ in range(field.levels):
+            above = T.StructType([*struct_of(field.fields).fields, T.StructField(PARENT, above)])
+        return above
     return _SCALARS[field.kind]
 
 

@@ -95,3 +95,30 @@ def test_empty_values_are_found_at_any_depth(spark):
     df = spark.createDataFrame([(json.dumps({**GOOD, "more": deep, "text": 'a "," {} [] null'}),)], "ocsf string")
     base = "more" + "[0].k" * 40
     assert validate.check_labels(df).first().errors == [f'Null/empty field found: {base}.q"z', f"Null/empty field found: {base}.x", f"Null/empty item found: {base}.y[1]"]
+
+
+def _chain(n, bad=None):
+    process = None
+    for i in range(n, -1, -1):
+        above = {} if process is None else {"parent_process": process}
+        process = {"name": f"p{i}", "pid": "x" if i == bad else i, "zz": 1, **above}
+    return process
+
+
+def test_processes_are_checked_and_kept_as_far_as_they_go(spark):
+    evidences = {
+        "good": [{"process": _chain(12)}, {"actor": {"process": _chain(5)}}],
+        "bad": [{"process": _chain(12, 9)}, {"actor": {"process": _chain(5, 2)}}],
+        "odd": [{"process": 3}, {"process": {"parent_process": {"parent_process": {"parent_process": "x"}}}}, {"process": None}, {"process": {"parent_process": {}}}],
+        "text": [{"process": {"name": '"parent_process":', "parent_process": None}}],
+    }
+    docs = spark.createDataFrame([(k, json.dumps({**GOOD, "evidences": v})) for k, v in evidences.items()], "id string, t string")
+    checked = validate.check_model(docs.selectExpr("id", "parse_json(t) AS v"), "v").selectExpr("id", "errors", "to_json(cleaned.evidences) AS kept")
+    got = {r.id: r for r in checked.collect()}
+    assert got["good"].errors == []
+    drop = lambda p: {k: drop(v) if k == "parent_process" else v for k, v in p.items() if k != "zz"}
+    assert json.loads(got["good"].kept) == [{"process": drop(_chain(12))}, {"actor": {"process": drop(_chain(5))}}]
+    above = ", 'parent_process'"
+    assert got["bad"].errors == [f"('evidences', 0, 'process'{above * 9}, 'pid'): Input should be a valid integer", f"('evidences', 1, 'actor', 'process'{above * 2}, 'pid'): Input should be a valid integer"]
+    assert got["odd"].errors == ["('evidences', 0, 'process'): Input should be a valid dictionary", f"('evidences', 1, 'process'{above * 3}): Input should be a valid dictionary"]
+    assert json.loads(got["text"].kept) == [{"process": {"name": '"parent_process":'}}]
