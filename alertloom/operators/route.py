@@ -23,10 +23,15 @@ def _json_int(key: str) -> Column:
     return F.get_json_object("ocsf", f"$.{key}").try_cast("int").alias(key)
 
 
+def _digest(kind: str, batch: str) -> Column:
+    """An id that is the same whenever the batch is written again."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(kind), F.col("id").cast("string"), *([F.lit(batch)] if batch else [])), 256)
+
+
 def finding_rows(responses: DataFrame, at: Column) -> DataFrame:
-    """One finding per response that has one."""
+    """One finding per response that has one; a raw log has one, so its id names it."""
     return responses.filter(F.col("ocsf").isNotNull()).select(
-        F.sha2(F.concat_ws("\u0001", F.lit("finding"), F.col("id").cast("string"), at.cast("string")), 256).alias("id"),
+        _digest("finding", "").alias("id"),
         F.col("id").alias("raw_log_id"),
         _json_int("class_uid"),
         F.get_json_object("ocsf", "$.class_name").alias("class_name"),
@@ -66,12 +71,14 @@ def status_rows(responses: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def review_rows(responses: DataFrame, at: Column) -> DataFrame:
-    """Everything not accepted: ``review`` at normal priority, the rest high."""
+def review_rows(responses: DataFrame, at: Column, batch: str = "") -> DataFrame:
+    """Everything not accepted: ``review`` at normal priority, the rest high.
+
+    One review for each result of a raw log: its id is made of the raw log's and of the ``batch`` the result came in.
+    """
     queued = responses.filter(F.coalesce(F.col("decision"), F.lit("")) != "accept")
     return queued.select(
-        # One review per result of a raw log, so the raw log's id and the time name it.
-        F.sha2(F.concat_ws("\u0001", F.lit("review"), F.col("id").cast("string"), at.cast("string")), 256).alias("id"),
+        _digest("review", batch).alias("id"),
         F.col("id").alias("raw_log_id"),
         "source",
         F.col("ocsf").alias("model_output"),

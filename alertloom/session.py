@@ -20,6 +20,10 @@ BASE_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Ids of raw logs are kept for ever: on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Mapping an alert takes most of a millisecond, so a task reads little text.
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import label, metrics, route, state, training
 from alertloom.sources import files
-from alertloom.streaming import jobs
+from alertloom.streaming import jobs, store
 
 AT = "timestamp'2024-01-31 00:00:00'"
 
@@ -33,13 +33,23 @@ def test_routing(spark):
     assert {r.raw_log_id: (r.decision, r.success) for r in route.metric_rows(df, at).collect()}["d"] == ("REJECT", False)
 
 
+def spoil(folder):
+    """Spoils the rows, not the schema, of the files of a folder: a job that reads one fails."""
+    made = list(folder.glob("*.parquet"))
+    assert made
+    for file in made:
+        with open(file, "r+b") as data:
+            data.seek(4)
+            data.write(b"x" * 60)
+
+
 def test_stream_gives_the_batch_rows_and_repeats_are_harmless(spark, tmp_path):
     df = responses(spark)
     df.write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     jobs.run_routing(source, f"{tmp_path}/out", f"{tmp_path}/ck", F.expr(AT), available_now=True).awaitTermination()
     jobs.route_batch(f"{tmp_path}/out", F.expr(AT))(df, 0)
-    want = sorted(map(str, route.review_rows(df, F.expr(AT)).collect()))
+    want = sorted(map(str, route.review_rows(df, F.expr(AT), "stream 0").collect()))
     got = jobs.read(spark, f"{tmp_path}/out", "manual_review").drop("batch_id", "producer")
     assert sorted(map(str, got.collect())) == want
     assert jobs.read(spark, f"{tmp_path}/out", "outbox").count() == 1
@@ -56,22 +66,149 @@ def test_a_retry_run_keeps_the_streams_messages(spark, tmp_path):
     assert {r.raw_log_id for r in jobs.findings(spark, root).collect() if r.published} == {"a", "xa"}
     jobs.retry_outbox(spark, root, 1)
     assert jobs.read(spark, root, "outbox").count() == 2
+    # A later run reads what is new or left, nothing older; what cannot be sent is left, and so is what is over the limit.
+    for n in range(2, 6):
+        failing(responses(spark).withColumn("id", F.concat(F.lit(f"y{n}"), "id")), n)
+    jobs.retry_outbox(spark, root, 2, send=lambda rows: 1 / 0)
+    failing(responses(spark).withColumn("id", F.concat(F.lit("z"), "id")), 6)
+    for n in range(6):
+        spoil(tmp_path / f"queue/producer=stream/batch_id={n}")
+    due, _ = jobs.waiting(spark, root, 3)
+    assert {r.raw_log_id for r in due.collect()} == {"y2a", "y3a", "y4a", "y5a", "za"}
+    sent = []
+    jobs.retry_outbox(spark, root, 3, limit=2, send=lambda rows: sent.extend(r.raw_log_id for r in rows.collect()))
+    jobs.retry_outbox(spark, root, 3, limit=2, send=lambda rows: 1 / 0)
+    jobs.retry_outbox(spark, root, 4, send=lambda rows: sent.extend(r.raw_log_id for r in rows.collect()))
+    assert sorted(sent) == ["y2a", "y3a", "y4a", "y5a", "za"]
+    assert jobs.waiting(spark, root, 5)[0].count() == 0
+    assert sum(r.published for r in jobs.findings(spark, root).collect()) == 7
+
+
+def test_corrected_findings_are_queued(spark, tmp_path):
+    root, at = str(tmp_path), F.expr(AT)
+    jobs.route_batch(root, at)(responses(spark), 0)
+    corrected = jobs.findings(spark, root).filter("raw_log_id = 'b'").withColumns({"decision": F.lit("CORRECTED"), "ocsf_json": F.lit("{}")})
+    jobs.enqueue(corrected, root, "correction", 0)
+    jobs.retry_outbox(spark, root, 0)
+    assert {r.raw_log_id for r in jobs.findings(spark, root).collect() if r.published} == {"a", "b"}
 
 
 def test_uncommitted_batches_are_not_seen(spark, tmp_path):
     jobs.route_batch(str(tmp_path), F.expr(AT))(responses(spark), 0)
-    jobs._replace(route.finding_rows(responses(spark), F.expr(AT)), str(tmp_path), "finding_event", "stream", 1)
+    store.put(route.finding_rows(responses(spark), F.expr(AT)), str(tmp_path), "finding_event", "stream", 1)
     assert {r.batch_id for r in jobs.read(spark, str(tmp_path), "finding_event").collect()} == {0}
 
 
+RESPONSE = "id string, source string, ocsf string, confidence double, decision string, latency_ms int, error string, breakdown string, validation_errors string"
+
+
+def raw_logs(spark, root, rows):
+    """Raw logs and their states as an ingest stream would have stored them."""
+    raw = spark.createDataFrame(rows, "id string, status string, t string").select(
+        "id", F.lit("s").alias("source"), F.lit(None).cast("string").alias("format"), F.lit("{}").alias("raw_content"), F.to_timestamp("t").alias("received_at"), "status")
+    store.put(raw, root, "raw_log", "ingest", 0)
+    states = raw.withColumn("raw_batch", F.lit(0).cast("long"))
+    store.put(jobs._state_rows(states, F.col("status"), F.col("received_at")), root, "raw_log_state", "ingest", 0)
+    store.commit(spark, root, "ingest", 0)
+
+
+def answer(decision="accept"):
+    def respond(requests):
+        return requests.select("id", "source", F.lit('{"class_uid":2004}').alias("ocsf"), F.lit(0.9).alias("confidence"), F.lit(decision).alias("decision"),
+                               F.lit(1).alias("latency_ms"), F.lit(None).cast("string").alias("error"), F.lit("{}").alias("breakdown"), F.lit("[]").alias("validation_errors"))
+
+    return respond
+
+
 def test_reprocess_and_hand_back(spark, tmp_path):
-    rows = [("p", "PENDING", "2024-01-30 23:59:00"), ("s", "IN_PROGRESS", "2024-01-30 23:40:00"), ("f", "IN_PROGRESS", "2024-01-30 23:55:00")]
-    raw = spark.createDataFrame(rows, "id string, status string, t string").select("id", "status", F.to_timestamp("t").alias("received_at"))
-    respond = lambda due: responses(spark).join(due.select(F.lit("a").alias("id")).distinct(), "id", "left_semi")
-    claimed = jobs.reprocess(spark, raw, respond, str(tmp_path), 1, F.expr(AT))
+    root = str(tmp_path)
+    raw_logs(spark, root, [("p", "PENDING", "2024-01-30 23:59:00"), ("s", "IN_PROGRESS", "2024-01-30 23:40:00"), ("f", "IN_PROGRESS", "2024-01-30 23:55:00")])
+    back = jobs.reprocess(spark, answer(), root, 1, F.expr(AT), healthy=False)
+    assert {r.id: r.status for r in back.collect()} == {"p": "PENDING", "s": "PENDING"}
+    soon = F.expr("timestamp'2024-01-31 00:01:00'")
+    claimed = jobs.reprocess(spark, answer(), root, 2, soon)
     assert {r.id: r.status for r in claimed.collect()} == {"p": "IN_PROGRESS", "s": "IN_PROGRESS"}
-    back = jobs.reprocess(spark, raw, respond, str(tmp_path), 2, F.expr(AT), healthy=False)
-    assert {r.status for r in back.collect()} == {"PENDING"}
+    # The same run again does not claim anew, and what it handed over stays one batch.
+    assert {r.id for r in jobs.reprocess(spark, answer(), root, 2, soon).collect()} == {"p", "s"}
+    jobs.run_routing(jobs.inbox(spark, root, RESPONSE), root, f"{root}/ck", soon, available_now=True).awaitTermination()
+    assert {r.id: r.status for r in jobs.raw_log_states(spark, root).collect()} == {"p": "PROCESSED", "s": "PROCESSED", "f": "IN_PROGRESS"}
+    assert jobs.read(spark, root, "processing_metric").count() == 2
+
+
+def test_interleaved_runs_claim_other_logs(spark, tmp_path):
+    root = str(tmp_path)
+    raw_logs(spark, root, [(f"p{i}", "PENDING", f"2024-01-30 23:5{i}:00") for i in range(5)])
+    claims = {}
+
+    def and_another_run(requests):
+        claims[2] = {r.id for r in jobs.reprocess(spark, answer(), root, 2, F.expr(AT), limit=2).collect()}
+        return answer()(requests)
+
+    claims[1] = {r.id for r in jobs.reprocess(spark, and_another_run, root, 1, F.expr(AT), limit=2).collect()}
+    assert claims == {1: {"p0", "p1"}, 2: {"p2", "p3"}}
+    # While one run chooses, another does nothing; a lease that is old is void.
+    with store.lease(spark, root, "reprocess", 5) as mine:
+        assert mine and jobs.reprocess(spark, answer(), root, 3, F.expr(AT)) is None
+        assert jobs.reprocess(spark, answer(), root, 3, F.expr(AT), minutes=0).count() == 1
+    # Claims that led to nothing are due again after a while.
+    later = F.expr("timestamp'2024-01-31 00:20:00'")
+    assert jobs.due_logs(spark, root, later, None).count() == 5
+
+
+def test_a_raw_log_has_one_finding_whoever_answers_it(spark, tmp_path):
+    root, at = str(tmp_path), F.expr(AT)
+    jobs.submit(responses(spark), root, "ingest", 0)
+    routed = lambda: jobs.run_routing(jobs.inbox(spark, root, RESPONSE), root, f"{root}/ck", at, available_now=True).awaitTermination()
+    routed()
+    # The same logs by another producer, c with a finding now, and b twice.
+    again = responses(spark).withColumns({"ocsf": F.lit('{"class_uid":1}'), "decision": F.lit("accept")})
+    jobs.submit(again.union(again.filter("id = 'b'")), root, "reprocess", 0)
+    routed()
+    # A repeated hand-over of an old batch.
+    jobs.submit(responses(spark), root, "ingest", 0)
+    jobs.submit(responses(spark).filter("id = 'c'"), root, "late", 0)
+    routed()
+    found = jobs.findings(spark, root).collect()
+    assert sorted((r.raw_log_id, r.class_uid) for r in found) == [("a", 2004), ("b", 2004), ("c", 1), ("d", 2004)]
+    assert len({r.id for r in found}) == 4
+    assert sorted(r.raw_log_id for r in jobs.read(spark, root, "outbox").collect()) == ["a", "c"]
+    # A result without a finding counts once an attempt.
+    assert jobs.read(spark, root, "processing_metric").filter("raw_log_id = 'c'").count() == 3
+
+
+def test_snapshots_equal_all_batches(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, status string")
+
+    def write(batch, producer, *r):
+        store.put(rows(*r), root, "t", producer, batch)
+        store.commit(spark, root, producer, batch)
+
+    def check():
+        every = state.latest(jobs.read(spark, root, "t").drop("producer", "batch_id"), "k", "v")
+        want = sorted(map(tuple, every.collect()), key=str)
+        assert sorted((r.k, r.v, r.status) for r in store.newest(spark, root, "t", "k", "v").collect()) == want
+        opened = store.newest(spark, root, "t", "k", "v", keep=F.col("status") == "open")
+        assert sorted((r.k, r.v, r.status) for r in opened.collect()) == [r for r in want if r[2] == "open"]
+
+    write(0, "a", ("x", 1, "open"), ("y", 1, "open"), *((f"closed {i} {hash(str(i))}", 1, "shut") for i in range(300)))
+    write(0, "b", ("z", 1, "open"), ("x", 2, "shut"))
+    check()
+    assert store.compact(spark, root, "t", "k", "v", by="status") == 1
+    check()
+    write(1, "a", ("y", 2, "shut"), ("w", 1, "open"))
+    write(0, "c", ("z", 2, "open"))
+    check()
+    # What is in the snapshot is read from there.
+    assert store.compact(spark, root, "t", "k", "v", by="status") == 2
+    spoil(tmp_path / "snapshot/t/2/status=shut")
+    spoil(tmp_path / "t/producer=a/batch_id=0")
+    write(2, "a", ("y", 3, "open"))
+    opened = store.newest(spark, root, "t", "k", "v", keep=F.col("status") == "open")
+    assert {(r.k, r.v) for r in opened.collect()} == {("w", 1), ("y", 3), ("z", 2)}
+    # A snapshot without its marks does not count.
+    rows(("q", 9, "open")).write.parquet(f"{root}/snapshot/t/3")
+    assert store.last_snapshot(spark, root, "t") == (2, {"a": 1, "b": 0, "c": 0})
 
 
 def test_pending_order(spark):
@@ -214,3 +351,32 @@ def test_first_result_of_a_raw_log_counts(spark, tmp_path):
     source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     jobs.run_routing(source, f"{tmp_path}/out", f"{tmp_path}/ck", F.expr(AT), available_now=True, event_time="at").awaitTermination()
     assert jobs.read(spark, f"{tmp_path}/out", "processing_metric").count() == 4
+
+
+def test_export_writes_chats_in_order_and_marks_them(spark, tmp_path):
+    root = str(tmp_path)
+    corrected = {i: json.dumps({"class_uid": 2004 if i % 5 else 1, "n": i}) if i % 7 else "{bad" for i in range(200, 300)}
+    rows = [(str(i), f"r{i}", "s", c, i % 3 == 0) for i, c in corrected.items()]
+    reviews = spark.createDataFrame(rows, "id string, raw_log_id string, source string, corrected string, exported_for_training boolean").withColumn("reviewed_at", F.expr(AT)).repartition(7)
+    raw = spark.createDataFrame([(f"r{i}", f'{{"b": {i}, "a": 1}}') for i in range(200, 299)], "id string, raw_content string")
+    good = [i for i in range(200, 299) if i % 3 and i % 5 and i % 7]
+    dry = jobs.export_chats(reviews, raw, root, 0, dry_run=True).first()
+    assert (dry.converted, dry.fetched) == (len(good), len([i for i in range(200, 299) if i % 3]))
+    jobs.export_chats(reviews.filter("id < '250'"), raw, root, 1)
+    jobs.export_chats(reviews, raw, root, 2)
+    jobs.export_chats(reviews, raw, root, 2)
+    for run, want in ((0, good), (1, [i for i in good if i < 250]), (2, [i for i in good if i >= 250])):
+        lines = files.read_lines_in_order(spark, f"{root}/chats/{run}").orderBy("place").collect()
+        messages = [json.loads(r.line)["messages"] for r in lines]
+        assert [json.loads(m[2]["content"])["n"] for m in messages] == want
+        assert all(m[1]["content"].endswith(f'{{"a":1,"b":{i}}}') for m, i in zip(messages, want, strict=True))
+    assert sorted(int(r.id) for r in jobs.read(spark, root, "exported").collect()) == good
+
+
+def test_pending_reviews_whose_raw_log_is_gone_are_passed_over(spark):
+    rows = [(i, 1000 + i, "HIGH", i / 1000, None) for i in range(300)]
+    reviews = spark.createDataFrame(rows, "id int, raw_log_id int, priority string, confidence double, reviewed_at string")
+    for first in (0, 5, 45, 297, 300):
+        raw = spark.range(1000 + first, 1300).select("id", F.lit("x").alias("raw_content"), F.lit("t").alias("received_at"))
+        got = [r.id for r in metrics.pending_with_raw(reviews, raw).orderBy("id").collect()]
+        assert got == list(range(first, min(first + 20, 300)))
