@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom import schemas as S
+from alertloom.functions import variants as V
+from alertloom.functions.sql import F as X
+from alertloom.session import scratch
+from alertloom.sources import arrays
 
 # The key the reference drops from every record it loads.
 DROPPED_KEY = "_id"
@@ -20,18 +24,16 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of files that each hold one JSON array: ``pos``, ``raw_log``, ``bad_json``.
 
-    The elements are cut out as texts and parsed one by one, so only a single alert, not
-    the file, meets the size limit of a parsed value.  A file that is no array is one
-    row with ``bad_json``.  An array cannot be split: a file is the unit of work and has
-    at most 2 GB; write large inputs as lines.
+    A file is read in ranges by many tasks (see ``arrays``), and its elements are parsed one by one, so only a single alert
+    meets the size limit of a parsed value.  A broken element is one row with ``bad_json``, and so is a file that is no array; ``pos`` is
+    the place in the file.  Scanned pieces are written to the shared folder.
     """
-    whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode_outer(F.from_json("value", "array<string>")))
-    return _records(items.select("pos", F.col("col").alias("line")), "line")
+    items = arrays.elements(spark, path, scratch(spark, "pieces"))
+    return _records(items.select("pos", F.col("text").alias("line")), "line")
 
 
 def _records(df: DataFrame, line: str) -> DataFrame:
-    parsed = F.try_parse_json(line)
+    parsed = V.parse_strict(X.col(line)).column()
     has_id = F.get_json_object(line, f"$.{DROPPED_KEY}").isNotNull()
     entries = F.map_filter(
         F.try_variant_get(parsed, "$", "map<string,variant>"), lambda k, v: k != DROPPED_KEY
@@ -72,6 +74,18 @@ def write_chat(chats: DataFrame, path: str) -> None:
     chats.select("messages").write.mode("errorifexists").json(path)
 
 
+def write_chat_ordered(chats: DataFrame, order: str, path: str) -> None:
+    """Chat lines in the order of a column: ranges of it are written at a time, and files by name, lines by place, follow it."""
+    chats.repartitionByRange(order).sortWithinPartitions(order).select("messages").write.mode("overwrite").json(path)
+
+
+def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``line, place`` of a folder of lines; ``place`` grows by file and line."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    return lines.select("line", F.concat_ws(" ", "_file", pad("_block"), pad("_at")).alias("place"))
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     """One folder per split."""
     splits.select("messages", "split").write.mode("errorifexists").partitionBy("split").json(path)
