@@ -78,8 +78,16 @@ def extract_json(t: Sql) -> Sql:
     )
 
 
+def source_json(t: Sql) -> Sql:
+    """The part of a model's answer that ``extract_json`` parses, as text."""
+    fits = lambda part: V.parse_strict(part).isNotNull()
+    return F.when(fits(t), t).when(fits(fenced_block(t)), fenced_block(t)).otherwise(brace_span(t))
+
+
 # Tokens of compact JSON text: strings, brackets and separators, other values.
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s"\[\]{},:]++'
+# A key with its colon.
+JSON_KEY = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:'
 # Finds every text that may hold an empty value (and a few others, where a string looks like one).
 MAY_HOLD_EMPTIES = r'[:,\[](null|""|\[\]|\{\})[,}\]]'
 
@@ -116,3 +124,40 @@ def without_empties(json: Sql) -> Sql:
         ELSE {state(put(top, below, "t"))} END"""
     start = "named_struct('stack', cast(array() AS array<struct<kind:string,body:string,key:string>>), 'prev', '', 'out', '')"
     return Sql(f"aggregate(regexp_extract_all({json.text}, r'{JSON_TOKEN}', 0), {start}, (s, t) -> {step}, s -> s.out)")
+
+
+# A character as Python writes it in a JSON string; ``{odd}`` says which of the others are written as numbers.
+_ESCAPED = r"""CASE c WHEN '"' THEN r'\"' WHEN r'\' THEN r'\\' WHEN '\n' THEN r'\n' WHEN '\r' THEN r'\r' WHEN '\t' THEN r'\t' WHEN '\b' THEN r'\b' WHEN chr(12) THEN r'\f'
+    ELSE CASE WHEN {odd} THEN regexp_replace(lower(hex(encode(c, 'UTF-16BE'))), '(.{{4}})', r'\\u$1') ELSE c END END"""
+_AS_IT_IS = r"r'^\"[ !#-\[\]-~]*\"$'".replace('\\"', '"')
+
+
+def dumps(json: Sql, indent: int | None = None, ascii_only: bool = False, compact: bool = False) -> Sql:
+    """JSON text written anew as Python's ``json.dumps`` would: over lines with ``indent``, else in one, with blanks after signs unless ``compact``.
+
+    The order of keys and the writing of numbers stay as they are.  Other letters than ASCII are escaped with
+    ``ascii_only``.  One pass over the tokens with the number of open brackets and the token before.
+    """
+    gap = "''" if compact else "' '"
+    broken = lambda depth: "''" if indent is None else f"concat(chr(10), repeat(' ', {indent} * ({depth})))"
+    opened = "s.prev IN ('{', '[')"
+    after_comma = gap if indent is None else broken("s.depth")
+    lead = f"CASE WHEN s.colon THEN {gap} WHEN {opened} THEN {broken('s.depth')} WHEN s.prev = ',' THEN {after_comma} ELSE '' END"
+    escaped = _ESCAPED.format(odd="c < ' ' OR c > '~'" if ascii_only else "c < ' '")
+
+    def text(t: str) -> str:
+        read = f"from_json(concat('[', {t}, ']'), 'array<string>')[0]"
+        return f"""CASE WHEN rlike({t}, {_AS_IT_IS}) THEN {t} ELSE concat('"', array_join(transform(split({read}, ''), c -> {escaped}), ''), '"') END"""
+
+    def state(depth: str, *pieces: str, colon: str = "false") -> str:
+        return f"named_struct('depth', {depth}, 'prev', t, 'colon', {colon}, 'out', concat(s.out, array({', '.join(pieces)})))"
+
+    name = r"regexp_replace(t, r'\s*:$', '')"
+    step = f"""CASE WHEN t IN ('{{', '[') THEN {state("s.depth + 1", lead, "t")}
+        WHEN t IN ('}}', ']') THEN {state("s.depth - 1", f"CASE WHEN {opened} THEN '' ELSE {broken('s.depth - 1')} END", "t")}
+        WHEN t = ',' THEN {state("s.depth", "t")}
+        WHEN startswith(t, '"') AND endswith(t, ':') THEN {state("s.depth", lead, text(name), "':'", colon="true")}
+        WHEN startswith(t, '"') THEN {state("s.depth", lead, text("t"))}
+        ELSE {state("s.depth", lead, "t")} END"""
+    start = "named_struct('depth', 0, 'prev', '', 'colon', false, 'out', CAST(array() AS array<string>))"
+    return Sql(f"aggregate(regexp_extract_all({json.text}, r'{JSON_KEY}|{JSON_TOKEN}', 0), {start}, (s, t) -> {step}, s -> array_join(s.out, ''))")

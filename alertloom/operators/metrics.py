@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_DAYS = 7
+MOST_ASKED = 2_000
 DEFAULT_LIMIT = 20
 
 
@@ -108,9 +109,22 @@ def pending_top(reviews: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 
 def pending_with_raw(reviews: DataFrame, raw_logs: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """``pending_top`` of the reviews whose raw log exists, with the raw log.  The join is Spark's choice, by the sizes it has measured."""
-    top = pending_top(reviews.join(raw_logs.select(F.col("id").alias("raw_log_id")), "raw_log_id", "left_semi"), limit)
+    """``pending_top`` of the reviews whose raw log exists, with the raw log.
+
+    The top rows are taken first and their raw logs looked up by id; while too few of them exist, twice as many rows are taken.
+    Ids of at most ``MOST_ASKED`` rows reach the driver; from there on reviews without raw log are left out by a join.
+    """
     raw = raw_logs.select(F.col("id").alias("raw_log_id"), "raw_content", "received_at")
+    asked = 2 * limit
+    while asked <= MOST_ASKED:
+        top = pending_top(reviews, asked)
+        ids = [r.raw_log_id for r in top.select("raw_log_id").collect()]
+        found = raw.filter(F.col("raw_log_id").isin(list(set(ids)))) if ids else raw.limit(0)
+        live = {r.raw_log_id for r in found.select("raw_log_id").collect()}
+        if len(ids) < asked or sum(i in live for i in ids) >= limit:
+            return found.join(pending_top(top.filter(F.col("raw_log_id").isin(list(live))), limit) if live else top.limit(0), "raw_log_id")
+        asked *= 2
+    top = pending_top(reviews.join(raw.select("raw_log_id"), "raw_log_id", "left_semi"), limit)
     return raw.join(top, "raw_log_id")
 
 

@@ -8,7 +8,7 @@ from alertloom import schemas as S
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F, Sql, columns
 from alertloom.functions.stage import once
-from alertloom.functions.text import extract_json
+from alertloom.functions.text import JSON_KEY, JSON_TOKEN, extract_json, source_json
 from alertloom.operators import validate
 
 # --- fixed values -----------------------------------------------------------
@@ -41,12 +41,13 @@ LEAF_DEPTH, LEAF_LIMIT = 5, 50
 
 def score(
     df: DataFrame, raw: str, doc: str, cleaned: str = "cleaned", errors: str = "errors", warnings: str = "stripped",
-    accept_from: float = ACCEPT_FROM, review_from: float = REVIEW_FROM,
+    accept_from: float = ACCEPT_FROM, review_from: float = REVIEW_FROM, source: Sql | None = None,
 ) -> DataFrame:
     """Adds ``schema_validity, field_coverage, value_consistency, confidence, decision``.
 
     ``raw`` is the alert as VARIANT; the scored finding is ``cleaned`` where it is
-    not NULL, else the VARIANT ``doc``.  The decision uses the unrounded score.
+    not NULL, else the VARIANT ``doc``; ``source`` is the text that was parsed to it, whose
+    order of keys a VARIANT does not keep.  The decision uses the unrounded score.
     """
     keep = df.columns
     final = F.when(F.col(cleaned).isNotNull(), V.parse(F.to_json(F.col(cleaned)))).otherwise(F.col(doc))
@@ -55,7 +56,7 @@ def score(
     present = {p: V.get(f, *p.split(".")) for p in (*SCHEMA_FIELDS, *REQUIRED_FIELDS, *RECOMMENDED_FIELDS, *RICHNESS_FIELDS)}
     schema = _schema(present, F.size(F.col(errors)), F.size(F.col(warnings)))
     coverage = _sum([_share(present, fields) * weight for weight, fields in TIERS])
-    leaves = F.when(F.col(cleaned).isNotNull(), _typed_leaves(F.col(cleaned))).otherwise(_any_leaves(F.col("_final")))
+    leaves = F.when(F.col(cleaned).isNotNull(), _typed_leaves(F.col(cleaned))).otherwise(_any_leaves(F.col("_final")) if source is None else _source_leaves(source))
     opened = with_final
     for level in range(max(d.level for d in f.tree()) + 1):
         opened = opened.select("*", *columns(**{d.alias_: d.opened() for d in f.tree() if d.level == level}))
@@ -159,6 +160,20 @@ def _any_leaves(v: Sql) -> Sql:
     return F.filter(_walk(v, 0), lambda t: t.isNotNull())
 
 
+def _source_leaves(text: Sql) -> Sql:
+    """The first leaf texts of a JSON text in its own order: one pass over the tokens with the number of open brackets."""
+    string = "CASE WHEN instr(t, '\\\\') = 0 THEN substr(t, 2, length(t) - 2) ELSE from_json(concat('[', t, ']'), 'array<string>')[0] END"
+    number = "try_variant_get(try_parse_json(t), '$', 'string')"
+    as_text, as_number = Sql(string), Sql(number)
+    leaf = f"CASE WHEN startswith(t, '\"') THEN {_text_leaf(as_text)} WHEN t NOT IN ('true', 'false', 'null') THEN {_number_leaf(as_number.cast('double'), as_number)} END"
+    state = lambda depth="s.depth", out="s.out": f"named_struct('depth', {depth}, 'out', {out})"
+    step = f"""CASE WHEN t IN ('{{', '[') THEN {state("s.depth + 1")} WHEN t IN ('}}', ']') THEN {state("s.depth - 1")}
+        WHEN s.depth > {LEAF_DEPTH} OR size(s.out) >= {LEAF_LIMIT} OR t = ',' OR endswith(t, ':') THEN s
+        ELSE {state(out=f"concat(s.out, array_compact(array({leaf})))")} END"""
+    start = "named_struct('depth', 0, 'out', CAST(array() AS array<string>))"
+    return Sql(f"aggregate(regexp_extract_all({text}, r'{JSON_KEY}|{JSON_TOKEN}', 0), {start}, (s, t) -> {step}, s -> s.out)")
+
+
 def _walk(v: Sql, depth: int) -> Sql:
     kind = F.schema_of_variant(v)
     t = V.text(v)
@@ -193,7 +208,7 @@ def normalize(df: DataFrame, raw_log: str = "raw_log", answer: str = "model_outp
     )
     read = once(df, df.columns, _doc=extract_json(F.col(answer)), _raw=raw)
     checked = validate.check_model(read, "_doc")
-    scored = score(checked, "_raw", "_doc")
+    scored = score(checked, "_raw", "_doc", source=source_json(F.col(answer)))
     doc, is_object = F.col("_doc"), F.startswith(F.coalesce(F.schema_of_variant(F.col("_doc")), ""), "OBJECT")
     error = F.when(doc.isNull(), "JSON extraction failed").when(~is_object, "not_object")
     ok = F.col("error").isNull()

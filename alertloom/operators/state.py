@@ -69,12 +69,13 @@ def outbox(findings: DataFrame, payload: Column, delivered: DataFrame | None = N
     return rows if delivered is None else rows.join(delivered.select("message_id"), "message_id", "left_anti")
 
 
-def correction_gate(corrections: DataFrame, reviews: DataFrame, valid: Column, order: str = "submitted") -> DataFrame:
+def correction_gate(corrections: DataFrame, reviews: DataFrame, valid: Column, order: str = "submitted", table: str | None = None) -> DataFrame:
     """Corrections with ``reject_reason`` (NULL when accepted), first failure only.
 
     ``corrections``: review_id, corrected (JSON text), reviewer and ``order``, in which
     they came.  ``valid`` says whether the corrected finding passes the model
-    schema.  Of several good corrections of a review the first is accepted.
+    schema.  Of several good corrections of a review the first is accepted.  The corrections are used
+    twice; where ``valid`` is costly, ``table``, a new folder all executors see, keeps them between.
     """
     known = reviews.select(
         F.col("id").alias("review_id"), "raw_log_id", F.col("reviewed_at"), F.lit(True).alias("_known")
@@ -88,6 +89,9 @@ def correction_gate(corrections: DataFrame, reviews: DataFrame, valid: Column, o
         .when(F.col("reviewed_at").isNotNull(), "already_reviewed")
     )
     tested = joined.withColumn("reject_reason", reason).drop("_known")
+    if table is not None:
+        tested.write.mode("errorifexists").parquet(table)
+        tested = corrections.sparkSession.read.schema(tested.schema).parquet(table)
     first = tested.filter(F.col("reject_reason").isNull()).groupBy("review_id").agg(F.min(order).alias("_first"))
     late = F.col("reject_reason").isNull() & (F.col(order) > F.col("_first"))
     return tested.join(first, "review_id", "left").withColumn(

@@ -242,6 +242,12 @@ def exportable(reviews: DataFrame, raw_logs: DataFrame) -> DataFrame:
     return check_correction(due.join(raw, "raw_log_id"))
 
 
+def export_chats(checked: DataFrame) -> DataFrame:
+    """``id, messages``: the good ones of ``exportable`` as chat examples, in the form of the originals."""
+    good = checked.filter(F.col("skip_reason").isNull())
+    return good.select("id", chat_example(F.col("source"), F.col("raw_content"), canonical(F.col("corrected"))).alias("messages"))
+
+
 def export_summary(checked: DataFrame) -> DataFrame:
     good = F.col("skip_reason").isNull().cast("long")
     return checked.agg(

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom.functions.sql import F as X
-from alertloom.functions.text import loose_digest
-from alertloom.operators import metrics, training
+from alertloom import schemas as S
+from alertloom.functions.sql import Sql, columns
+from alertloom.functions.stage import once
+from alertloom.functions.text import dumps, loose_digest
+from alertloom.operators import label, metrics, training
 from alertloom.plans import bindings as bind
+from alertloom.session import scratch
+from alertloom.sources import files
+from alertloom.streaming import jobs
 
 _HEAD = "Normalize this {} security alert to OCSF Detection Finding format.\n\n"
 
@@ -73,6 +79,29 @@ def _export(s, d):
     return training.exportable(bind.view(s, d, bind.REVIEW), bind.view(s, d, bind.RAW_LOG))
 
 
+def _export_chats(s, d):
+    """An export run over all reviews, and a second one that finds nothing new: the lines, by their place, beside the marks, by id."""
+    root = scratch(s, "export")
+    reviews, raw = bind.view(s, d, bind.REVIEW), bind.view(s, d, bind.RAW_LOG)
+    jobs.export_chats(reviews, raw, root, 0)
+    jobs.export_chats(reviews, raw, root, 1)
+    lines = files.read_lines_in_order(s, f"{root}/chats/*")
+    numbered = label.with_ordinal(lines, "place", f"{root}/numbered")
+    marks = label.with_ordinal(jobs.read(s, root, "exported").select("id"), "id", f"{root}/marked")
+    chat = numbered.select("ordinal", F.from_json("line", S.CHAT)["messages"].alias("messages"))
+    return chat.join(marks, "ordinal").select("id", training.user_message().alias("user_text"), F.get("messages", F.lit(2))["content"].alias("answer"))
+
+
+_FORM = """concat('{"id":', id, ',"ty":"', ty, '","l":[1,[],{"n":null}],"e":"é"}')"""
+
+
+def _json_forms(s, d):
+    """One JSON text written over lines, in one line with other letters escaped, and compactly."""
+    made = once(bind.view(s, d, bind.EVENT), ["id"], j=Sql(_FORM))
+    forms = {"lines": dumps(X.col("j"), indent=2), "one_ascii": dumps(X.col("j"), ascii_only=True), "compact": dumps(X.col("j"), compact=True)}
+    return made.select("id", *columns(**forms))
+
+
 def _merge_sides(s, d):
     """Documents as originals; the French ones, re-spaced, are the corrections."""
     rows = bind.read_table(s, d, "documents")
@@ -121,6 +150,8 @@ QUERIES = {
     "split_test_ids": lambda s, d: training.test_ids(_split(s, d), "text"),
     "export_corrections": lambda s, d: _export(s, d).select("id", "source", "raw_content", F.coalesce("skip_reason", F.lit("ok")).alias("outcome")),
     "export_summary": lambda s, d: training.export_summary(_export(s, d)),
+    "export_chats": _export_chats,
+    "json_forms": _json_forms,
     "merge_corrections": _merge,
     "merge_summary": lambda s, d: training.merge_summary(*_merge_sides(s, d), "text"),
     "parse_rate": _parse_rate,
@@ -174,6 +205,13 @@ ORACLES = {
     "export_corrections": f"""WITH {_V}, {_R} SELECT v.id, v.source, r.raw_content, CASE WHEN v.id % 7 = 0 THEN 'not_object' WHEN v.id % 11 = 0 THEN 'bad_json'
         WHEN v.id % 13 = 0 THEN 'class_uid' ELSE 'ok' END AS outcome FROM v JOIN r ON v.raw_log_id = r.id
         WHERE v.reviewed_at IS NOT NULL AND v.corrected IS NOT NULL AND NOT v.exported_for_training""",
+    "export_chats": f"""WITH {_V}, {_R} SELECT v.id, {_PROMPT.format("v.source", "replace(r.raw_content, ': ', ':')")} AS user_text,
+        concat('{{"class_uid":2004,"n":', cast(v.id AS varchar), '}}') AS answer FROM v JOIN r ON v.raw_log_id = r.id
+        WHERE v.reviewed_at IS NOT NULL AND v.corrected IS NOT NULL AND NOT v.exported_for_training AND v.id % 7 <> 0 AND v.id % 11 <> 0 AND v.id % 13 <> 0""",
+    "json_forms": f"""WITH {_E}, t AS (SELECT id, cast(id AS varchar) AS i, ty FROM e) SELECT id,
+        concat_ws(chr(10), '{{', concat('  "id": ', i, ','), concat('  "ty": "', ty, '",'), '  "l": [', '    1,', '    [],', '    {{', '      "n": null', '    }}', '  ],', '  "e": "é"', '}}') AS lines,
+        concat('{{"id": ', i, ', "ty": "', ty, '", "l": [1, [], {{"n": null}}], "e": "', chr(92), 'u00e9"}}') AS one_ascii,
+        concat('{{"id":', i, ',"ty":"', ty, '","l":[1,[],{{"n":null}}],"e":"é"}}') AS compact FROM t""",
     "export_summary": f"""WITH {_V}, {_R} SELECT count(*) AS fetched, sum(CASE WHEN v.id % 7 = 0 OR v.id % 11 = 0 OR v.id % 13 = 0 THEN 0 ELSE 1 END) AS converted,
         sum(CASE WHEN v.id % 7 = 0 OR v.id % 11 = 0 OR v.id % 13 = 0 THEN 1 ELSE 0 END) AS skipped FROM v JOIN r ON v.raw_log_id = r.id
         WHERE v.reviewed_at IS NOT NULL AND v.corrected IS NOT NULL AND NOT v.exported_for_training""",

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.operators import label
+from alertloom.functions.sql import F as X
+from alertloom.functions.sql import Sql
+from alertloom.functions.stage import once
+from alertloom.operators import label, validate
 from alertloom.plans import alerts
 from alertloom.plans import bindings as bind
 from alertloom.session import scratch
+from alertloom.sources import files
 
 
 def _map_query(vendor: str):
@@ -29,11 +33,43 @@ def _dry_run(s, d):
     return mapped.select("id", "source", F.coalesce("skip_reason", F.lit("ok")).alias("outcome"))
 
 
+# An element of an array file; now and then one is broken, and in every third file one is left open.
+_ELEMENT = r"""CASE WHEN id % 777 = 5 THEN concat('{"id":', id, ', bad}') WHEN id % 3000 = 1500 THEN '{"open": [1'
+    ELSE concat('{"_id":1,"source":"s","alert":{"id":', id, ',"t":"}],[{\\"x"}}') END"""
+
+
+def _json_arrays(s, d):
+    """Files of a thousand elements each, read in ranges: the elements, and which of them are broken."""
+    root = scratch(s, "arrays")
+    rows = once(bind.view(s, d, bind.EVENT), ["id"], element=Sql(_ELEMENT)).withColumn("part", F.floor(F.col("id") / 1000))
+    listed = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("id", "element"))).alias("l"))
+    listed.select("part", F.concat(F.lit("[\n"), F.array_join("l.element", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("part").text(root)
+    read = files.read_json_array(s, f"{root}/part=*")
+    return read.select(F.when(~F.col("bad_json"), F.get_json_object("raw_log", "$.alert.id").cast("bigint")).alias("id"), "bad_json", F.contains("raw_log", F.lit('"_id"')).alias("with_id"))
+
+
+def _label_valid(s, d):
+    """The label check on mapped findings."""
+    mapped = _mixed(s, d).filter("skip_reason IS NULL").select("id", F.to_json("finding").alias("ocsf"))
+    return validate.check_labels(mapped).select("id", F.array_join("errors", ";").alias("errors"))
+
+
+def _null_paths(s, d):
+    """Empty values at various depths, with their paths."""
+    core = """'{"x":null,"y":[1,{}],"z":""}'"""
+    text = f"""concat('{{"m":', repeat('[{{"k":', id % 20), {core}, repeat('}}]', id % 20), '}}')"""
+    made = once(bind.view(s, d, bind.EVENT), ["id"], v=Sql(f"parse_json({text})"))
+    return once(made, ["id"], found=X.concat_ws(";", validate.empty_fields(X.col("v"))))
+
+
 QUERIES = {
     **{f"map_{v}": _map_query(v) for v in alerts.ALERTS},
     "label_all": lambda s, d: alerts.flat(_mixed(s, d)),
     "label_summary": lambda s, d: label.label_summary(_mixed(s, d)),
     "label_dry_run": _dry_run,
+    "label_valid": _label_valid,
+    "null_paths": _null_paths,
+    "read_json_arrays": _json_arrays,
     "label_ids": lambda s, d: label.labelled_pairs(
         _mixed(s, d), "id", scratch(s, "pairs"), keep_order=True
     ).select(F.col("id").alias("label_id"), F.col("ord").alias("id"), "source"),
@@ -54,6 +90,11 @@ ORACLES = {
         sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS labeled, sum(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) AS skipped FROM x GROUP BY 1""",
     "label_dry_run": f"""WITH {_MIX} SELECT id, source, coalesce(reason, 'ok') AS outcome FROM x WHERE source <> 'acme'
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 3""",
+    "label_valid": f"WITH {_MIX} SELECT id, '' AS errors FROM x WHERE reason IS NULL",
+    "null_paths": f"""WITH {bind.duck('e', bind.EVENT)}, p AS (SELECT id, concat('m', repeat('[0].k', cast(id % 20 AS integer))) AS p FROM e)
+        SELECT id, concat('Null/empty field found: ', p, '.x;Null/empty item found: ', p, '.y[1];Null/empty field found: ', p, '.z') AS found FROM p""",
+    "read_json_arrays": f"""WITH {bind.duck('e', bind.EVENT)}, b AS (SELECT id, id % 777 = 5 OR id % 3000 = 1500 AS bad FROM e)
+        SELECT CASE WHEN NOT bad THEN id END AS id, bad AS bad_json, false AS with_id FROM b""",
     "label_ids": f"""WITH {_MIX} SELECT id, source, concat('label_', CASE WHEN n < 10000 THEN lpad(cast(n AS varchar), 4, '0') ELSE cast(n AS varchar) END) AS label_id
         FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM x WHERE reason IS NULL) y""",
 }

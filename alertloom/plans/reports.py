@@ -99,7 +99,8 @@ def _corrections(s, d):
 def _gate(s, d):
     read = _corrections(s, d).withColumn("v", F.try_parse_json("corrected"))
     checked = validate.check_model(read, "v")
-    return state.correction_gate(checked, _review(s, d), F.col("cleaned").isNotNull())
+    told = checked.select("review_id", "corrected", "reviewer", "submitted", F.col("cleaned").isNotNull().alias("fits"))
+    return state.correction_gate(told, _review(s, d), F.col("fits"), table=scratch(s, "gate"))
 
 
 def _accepted(s, d):
@@ -110,9 +111,9 @@ def _accepted(s, d):
     return s.read.schema(passed.schema).parquet(path)
 
 
-def _findings_of_some(s, d):
-    """Findings in their stored shape.  Those of every tenth raw log are missing, so that corrections also insert."""
-    rows = _finding(s, d).filter("raw_log_id % 10 <> 1")
+def _stored_findings(s, d):
+    """Findings in their stored shape."""
+    rows = _finding(s, d)
     null = lambda t: F.lit(None).cast(t)
     return rows.select(
         "raw_log_id", "class_uid", null("string").alias("class_name"), F.lit(9).alias("activity_id"), F.lit("Old").alias("activity_name"),
@@ -122,7 +123,10 @@ def _findings_of_some(s, d):
 
 
 def _upsert(s, d):
-    done = state.upsert_corrections(_findings_of_some(s, d), state.last_corrections(_accepted(s, d)), _as_of())
+    """Every tenth correction is of a raw log without a finding (those have negative numbers), so that corrections also insert."""
+    last = state.last_corrections(_accepted(s, d))
+    moved = last.withColumn("raw_log_id", F.when(F.col("raw_log_id") % 10 == 1, -F.col("raw_log_id")).otherwise(F.col("raw_log_id")))
+    done = state.upsert_corrections(_stored_findings(s, d), moved, _as_of())
     return done.withColumns({"n_json": F.length("ocsf_json").cast("bigint"), "normalized_at": F.date_format("normalized_at", "yyyy-MM-dd HH:mm:ss")}).drop("ocsf_json")
 
 
@@ -274,7 +278,8 @@ ORACLES = {
     "orphan_reviews": f"WITH {_V} SELECT id, raw_log_id FROM v WHERE raw_log_id < 0",
     "dedup_findings": f"WITH {_E} SELECT u AS raw_log_id, id AS ord, ty, k FROM e QUALIFY row_number() OVER (PARTITION BY u ORDER BY id) = 1",
     "correction_gate": f"WITH {_GATE} SELECT id AS review_id, submitted, outcome FROM t",
-    "correction_upsert": f"""WITH {_GATE}, {_FI}, k AS (SELECT * FROM f WHERE raw_log_id % 10 <> 1)
+    "correction_upsert": f"""WITH {_GATE}, {_FI}, k AS (SELECT * FROM f),
+        n AS (SELECT * REPLACE (CASE WHEN raw_log_id % 10 = 1 THEN -raw_log_id ELSE raw_log_id END AS raw_log_id) FROM c)
         SELECT coalesce(k.raw_log_id, c.raw_log_id) AS raw_log_id, 2004 AS class_uid, CASE WHEN k.id IS NULL THEN 'Detection Finding' END AS class_name,
         CASE WHEN k.id IS NULL THEN 1 ELSE 9 END AS activity_id, CASE WHEN k.id IS NULL THEN 'Create' ELSE 'Old' END AS activity_name,
         CASE WHEN k.id IS NULL THEN 3 ELSE 1 END AS severity_id, CASE WHEN c.id IS NULL THEN k.confidence ELSE 1.0 END AS confidence,
@@ -282,7 +287,7 @@ ORACLES = {
         strftime(CASE WHEN k.id IS NULL THEN {_TS} ELSE k.normalized_at END, '%Y-%m-%d %H:%M:%S') AS normalized_at,
         CASE WHEN c.id IS NULL THEN k.published ELSE false END AS published, CASE WHEN c.id IS NULL AND k.published THEN 'm' END AS message_id,
         CASE WHEN c.id IS NULL THEN 2 ELSE c.n_json END AS n_json
-        FROM k FULL OUTER JOIN c ON k.raw_log_id = c.raw_log_id""",
+        FROM k FULL OUTER JOIN n AS c ON k.raw_log_id = c.raw_log_id""",
     "correction_state": f"""WITH {_GATE}, {_R} SELECT v.id, CASE WHEN c.id IS NOT NULL THEN concat('r', cast(c.u AS varchar)) END AS reviewed_by,
         v.reviewed_at IS NOT NULL OR c.id IS NOT NULL AS reviewed, c.n_json, CASE WHEN r.id IS NULL THEN NULL WHEN c.id IS NOT NULL THEN 'PROCESSED' ELSE r.status END AS status,
         CASE WHEN r.id IS NOT NULL THEN c.id IS NOT NULL END AS done

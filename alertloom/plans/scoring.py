@@ -77,6 +77,14 @@ def _ancestors(s, d):
     return checked.select("id", "errors", (F.size(F.split("kept", '"parent_process":')) - 1).alias("n_kept"), F.array_max(names).alias("last"))
 
 
+def _leaf_order(s, d):
+    """Consistency of findings that stay uncleaned and have more leaves than count: those that come first in the answer are looked for."""
+    told = "transform(sequence(1, {n}), i -> concat('{name} ', id, ' ', i))"
+    made = once(bind.view(s, d, bind.EVENT), ["id"], hits=Sql(told.format(n="10 + id % 30", name="hit")), misses=Sql(told.format(n="60", name="miss")))
+    rows = once(made, ["id"], raw_log=Sql("to_json(named_struct('seen', hits))"), model_output=Sql("to_json(named_struct('zz', hits, 'aa', misses))"))
+    return score.normalize(rows).select("id", "value_consistency", "n_errors")
+
+
 def _responses(s, d):
     """Responses read off the metric rows: every decision, some without a finding."""
     return bind.view(s, d, bind.METRIC).select(
@@ -99,6 +107,7 @@ def _stream_timeline(s, d):
     events = s.readStream.schema(s.read.parquet(source).schema).parquet(_folder(source))
     rows = bind.of(events, bind.METRIC).selectExpr("cast(ts AS timestamp) AS timestamp", "confidence", "latency_ms")
     jobs.run_timeline(rows, root, f"{root}/ck", available_now=True).awaitTermination()
+    jobs.compact_timeline(s, root)
     return jobs.timeline(s, root).select(
         F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "count",
         F.round("avg_confidence", 6).alias("avg_confidence"), F.col("avg_latency_ms").cast("bigint").alias("avg_latency_ms"))
@@ -130,18 +139,39 @@ def _stream_routing(s, d):
 
 
 def _stream_retry(s, d):
-    """Delivery after a stream whose outbox failed, and a retry run with the same batch number: every accepted finding, once."""
+    """Delivery after batches whose messages could not be sent, and two retry runs: every accepted finding, once."""
     root = scratch(s, "retry")
     broken = jobs.route_batch(root, _now(), send=lambda rows: 1 / 0)
-    broken(_responses(s, d).filter("id % 2 = 0"), 0)
+    broken(_responses(s, d).filter("id % 4 = 0"), 0)
     jobs.route_batch(root, _now(), producer="other")(_responses(s, d).filter("id % 2 = 1"), 0)
     jobs.retry_outbox(s, root, 0)
+    broken(_responses(s, d).filter("id % 4 = 2"), 1)
+    jobs.retry_outbox(s, root, 1)
     found = jobs.findings(s, root).filter("decision = 'ACCEPT'").select("raw_log_id", "published", "message_id")
-    return found.join(jobs.read(s, root, "outbox").select("raw_log_id", "value", F.col("producer").alias("sent_by")), "raw_log_id", "left")
+    return found.join(jobs.read(s, root, "outbox").select("raw_log_id", "value", F.col("producer").alias("sent_by"), F.col("batch_id").cast("bigint").alias("run")), "raw_log_id", "left")
+
+
+def _stream_first_result(s, d):
+    """Two producers answer the same raw logs, one of them again later: a finding, and a message, for the first answer that has one."""
+    root = scratch(s, "first")
+    rows = _responses(s, d)
+    given = lambda n: F.when(F.col("id") % n != 0, F.concat(F.lit('{"class_uid":2004,"n":'), F.col("id").cast("string"), F.lit(f',"from":{n}}}')))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def answered(n: int, producer: str, batch_id: int) -> None:
+        jobs.submit(rows.withColumns({"ocsf": given(n), "decision": F.when(given(n).isNotNull(), "accept").otherwise("reject")}), root, producer, batch_id)
+        jobs.run_routing(jobs.inbox(s, root, fields), root, f"{root}/ck", _now(), available_now=True).awaitTermination()
+
+    answered(2, "ingest", 0)
+    answered(3, "reprocess", 0)
+    answered(5, "late", 0)
+    found = jobs.findings(s, root).select("id", "raw_log_id", F.get_json_object("ocsf_json", "$.from").cast("int").alias("from"), "published", "message_id")
+    tried = jobs.read(s, root, "processing_metric").groupBy("raw_log_id").agg(F.count("*").alias("n_results"))
+    return found.join(tried, "raw_log_id")
 
 
 def _stream_normalize(s, d):
-    """Ingest bodies to raw logs, answers and routed tables in one stream; state and decision of each log."""
+    """Ingest bodies to raw logs and answers in one stream, and to routed tables in another; newest state and decision of each log."""
     root = scratch(s, "normalize")
     bodies = bind.view(s, d, bind.EVENT).selectExpr(
         "CASE WHEN id % 10 = 0 THEN '[1]' ELSE concat('{\"source\":\"', ty, '\",\"rawContent\":{\"n\":', id, ',\"props\":', props, '}}') END AS body", "id AS delivery")
@@ -157,8 +187,10 @@ def _stream_normalize(s, d):
 
     stream = s.readStream.schema("body string, delivery long").parquet(f"{root}/in")
     jobs.run_ingest(stream, respond, root, f"{root}/ck", F.col("delivery"), _now(), available_now=True).awaitTermination()
+    fields = "id string, source string, ocsf string, confidence double, decision string, latency_ms int, error string, breakdown string, validation_errors string"
+    jobs.run_routing(jobs.inbox(s, root, fields), root, f"{root}/ck2", _now(), available_now=True).awaitTermination()
     raw = jobs.read(s, root, "raw_log").select(F.col("id").alias("raw_log_id"), "source", F.get_json_object("raw_content", "$.n").cast("bigint").alias("n"))
-    state_rows = jobs.read(s, root, "raw_log_state").select(F.col("id").alias("raw_log_id"), "status", "error_message")
+    state_rows = jobs.raw_log_states(s, root).select(F.col("id").alias("raw_log_id"), "status", "error_message")
     found = jobs.findings(s, root).select("raw_log_id", "decision", "published", F.get_json_object("ocsf_json", "$.n").cast("bigint").alias("n_json"))
     review = jobs.read(s, root, "manual_review").select("raw_log_id", "priority")
     joined = raw.join(state_rows, "raw_log_id", "left").join(found, "raw_log_id", "left").join(review, "raw_log_id", "left")
@@ -174,18 +206,21 @@ QUERIES = {
     "normalize_response": lambda s, d: score.normalize(_answers(s, d)).select(
         "id", "decision", F.round("confidence", 2).alias("confidence"), "schema_validity", "field_coverage", "value_consistency",
         "n_errors", "n_warnings", "error"),
-    "route_findings": lambda s, d: route.finding_rows(_responses(s, d), _now()).select("raw_log_id", "class_uid", "severity_id", "decision", "published"),
-    "route_metrics": lambda s, d: route.metric_rows(_responses(s, d), _now()).select("raw_log_id", "source", "decision", "latency_ms", "success"),
-    "route_status": lambda s, d: route.status_rows(_responses(s, d), _now()).select("id", "status", "error_message"),
-    "route_review": lambda s, d: route.review_rows(_responses(s, d), _now()).select("raw_log_id", "priority", "confidence"),
+    "score_leaf_order": _leaf_order,
+    "route_findings": lambda s, d: route.finding_rows(_responses(s, d), _now()).drop("normalized_at"),
+    "route_metrics": lambda s, d: route.metric_rows(_responses(s, d), _now()).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
+    "route_status": lambda s, d: route.status_rows(_responses(s, d), _now()).withColumn("processed_at", F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss")),
+    "route_review": lambda s, d: route.review_rows(_responses(s, d), _now(), "b 0").withColumn("queued_at", F.date_format("queued_at", "yyyy-MM-dd HH:mm:ss")),
     "route_accept": lambda s, d: route.outbox_rows(_responses(s, d)),
     "stream_timeline": _stream_timeline,
     "stream_routing": _stream_routing,
     "stream_retry": _stream_retry,
+    "stream_first_result": _stream_first_result,
     "stream_normalize": _stream_normalize,
 }
 
 _E, _M = bind.duck("e", bind.EVENT), bind.duck("m", bind.METRIC)
+_OCSF = """concat('{"class_uid":2004,"severity_id":3,"n":', cast(id AS varchar), '}')"""
 _LABEL_ERRORS = """concat_ws(';', CASE WHEN id % 13 = 0 THEN 'Missing required field: time' END,
     CASE WHEN id % 17 = 0 THEN 'Forbidden key at event root: ''user'' — use finding_info.attacks or evidences[] instead' END,
     CASE WHEN id % 7 = 0 THEN 'Missing or empty finding_info.uid' END,
@@ -216,13 +251,15 @@ ORACLES = {
             concat(repeat(', ''parent_process''', 9), ', ''pid''): Input should be a valid integer') AS place FROM e)
         SELECT id, CASE WHEN bad THEN concat('(''evidences'', 0, ''process''', place, ';(''evidences'', 1, ''actor'', ''process''', place) ELSE '' END AS errors,
         CASE WHEN NOT bad THEN cast(2 * n AS integer) END AS n_kept, CASE WHEN NOT bad THEN cast(n AS integer) END AS last FROM a""",
-    "route_findings": f"""WITH {_M} SELECT id AS raw_log_id, 2004 AS class_uid, 3 AS severity_id, coalesce(decision, 'REJECT') AS decision, false AS published
+    "route_findings": f"""WITH {_M} SELECT sha256(concat('finding', chr(1), cast(id AS varchar))) AS id, id AS raw_log_id, 2004 AS class_uid, NULL AS class_name, NULL AS activity_id,
+        NULL AS activity_name, 3 AS severity_id, {_OCSF} AS ocsf_json, confidence, coalesce(decision, 'REJECT') AS decision, latency_ms AS processing_time, false AS published, NULL AS message_id
         FROM m WHERE id % 6 <> 0 OR decision = 'ACCEPT'""",
-    "route_metrics": f"WITH {_M} SELECT id AS raw_log_id, source, coalesce(decision, 'REJECT') AS decision, latency_ms, success FROM m",
-    "route_status": f"""WITH {_M} SELECT id, CASE WHEN id % 6 <> 0 OR coalesce(decision, '') = 'ACCEPT' THEN 'PROCESSED' ELSE 'FAILED' END AS status,
+    "route_metrics": f"WITH {_M} SELECT id AS raw_log_id, '{bind.AS_OF}' AS timestamp, source, confidence, coalesce(decision, 'REJECT') AS decision, latency_ms, success FROM m",
+    "route_status": f"""WITH {_M} SELECT id, CASE WHEN id % 6 <> 0 OR coalesce(decision, '') = 'ACCEPT' THEN 'PROCESSED' ELSE 'FAILED' END AS status, '{bind.AS_OF}' AS processed_at,
         CASE WHEN id % 6 <> 0 OR coalesce(decision, '') = 'ACCEPT' THEN NULL WHEN id % 12 = 0 THEN 'JSON extraction failed' ELSE 'No OCSF output produced' END AS error_message FROM m""",
-    "route_review": f"""WITH {_M} SELECT id AS raw_log_id, CASE WHEN decision = 'REVIEW' THEN 'NORMAL' ELSE 'HIGH' END AS priority, confidence FROM m
-        WHERE coalesce(decision, '') <> 'ACCEPT'""",
+    "route_review": f"""WITH {_M} SELECT sha256(concat('review', chr(1), cast(id AS varchar), chr(1), 'b 0')) AS id, id AS raw_log_id, source, CASE WHEN id % 6 <> 0 THEN {_OCSF} END AS model_output,
+        confidence, '{{}}' AS breakdown, '[]' AS validation_errors, CASE WHEN decision = 'REVIEW' THEN 'NORMAL' ELSE 'HIGH' END AS priority, '{bind.AS_OF}' AS queued_at,
+        NULL AS corrected, NULL AS reviewed_by, NULL AS reviewed_at, false AS exported_for_training FROM m WHERE coalesce(decision, '') <> 'ACCEPT'""",
     "route_accept": f"""WITH {_M}, o AS (SELECT id AS raw_log_id, concat('{{"class_uid":2004,"severity_id":3,"n":', cast(id AS varchar), '}}') AS value FROM m WHERE decision = 'ACCEPT')
         SELECT raw_log_id, value, sha256(concat(cast(raw_log_id AS varchar), chr(1), value)) AS message_id FROM o""",
     "stream_timeline": f"""WITH {_M} SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS bucket, n AS count, c AS avg_confidence, l AS avg_latency_ms FROM
@@ -234,7 +271,12 @@ ORACLES = {
 }
 ORACLES["stream_retry"] = f"""WITH {_M}, o AS (SELECT id AS raw_log_id, concat('{{"class_uid":2004,"severity_id":3,"n":', cast(id AS varchar), '}}') AS value FROM m WHERE decision = 'ACCEPT')
     SELECT raw_log_id, true AS published, sha256(concat(cast(raw_log_id AS varchar), chr(1), value)) AS message_id, value,
-    CASE WHEN raw_log_id % 2 = 0 THEN 'retry' ELSE 'other' END AS sent_by FROM o"""
+    CASE WHEN raw_log_id % 2 = 0 THEN 'retry' ELSE 'other' END AS sent_by, cast(CASE WHEN raw_log_id % 4 = 2 THEN 1 ELSE 0 END AS bigint) AS run FROM o"""
+ORACLES["stream_first_result"] = f"""WITH {_M}, o AS (SELECT id, CASE WHEN id % 2 <> 0 THEN 2 WHEN id % 3 <> 0 THEN 3 WHEN id % 5 <> 0 THEN 5 END AS f FROM m)
+    SELECT sha256(concat('finding', chr(1), cast(id AS varchar))) AS id, id AS raw_log_id, f AS "from", true AS published,
+    sha256(concat(cast(id AS varchar), chr(1), '{{"class_uid":2004,"n":', cast(id AS varchar), ',"from":', cast(f AS varchar), '}}')) AS message_id,
+    1 + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS n_results FROM o WHERE f IS NOT NULL"""
+ORACLES["score_leaf_order"] = f"WITH {_E} SELECT id, round((10 + id % 30) / 50.0::double, 3) AS value_consistency, 6 AS n_errors FROM e"
 ORACLES["stream_normalize"] = f"""WITH {_E} SELECT id AS n, ty AS source, CASE WHEN id % 4 = 0 THEN 'FAILED' ELSE 'PROCESSED' END AS status,
     CASE WHEN id % 4 = 0 THEN 'No OCSF output produced' END AS error_message, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ACCEPT' ELSE 'REVIEW' END AS decision,
     CASE WHEN id % 4 <> 0 THEN id % 4 = 1 END AS published, CASE WHEN id % 4 <> 0 THEN id END AS n_json,

@@ -121,3 +121,21 @@ def test_deep_brace_span(spark):
     deep = "x" + "{" * 3000 + "}" * 3000 + "y"
     df = spark.createDataFrame([(deep,)], "v string")
     assert df.select(SF.length(tx.brace_span(F.col("v")).column()).alias("n")).first().n == 6000
+
+
+def test_json_is_written_as_python_does(spark):
+    docs = [
+        {"b": 1, "a": [1, {"x": "é 𝄞 \u2028"}, [], {}, [[]]], "q\"k:\\": 'say "hi"', "e": "", ":": ":"},
+        ["\t\n\r\b\f\x01\x1f\x7f/", None, True, False, -1.5, "x:", "a, b: {[", {"ü": {"ä": ["ö"]}}],
+        "text", 5, [], {}, [1], {"a": {}},
+    ]
+    rows = [(i, json.dumps(d, ensure_ascii=False, indent=w)) for i, d in enumerate(docs) for w in (None, 3)]
+    forms = {
+        "lines": ({"indent": 2}, {"indent": 2, "ensure_ascii": False}), "lines_ascii": ({"indent": 2, "ascii_only": True}, {"indent": 2}),
+        "one": ({}, {"ensure_ascii": False}), "one_ascii": ({"ascii_only": True}, {}),
+        "compact": ({"compact": True}, {"ensure_ascii": False, "separators": (",", ":")}),
+    }
+    made = spark.createDataFrame(rows, "i int, t string").select("i", *columns(**{n: tx.dumps(F.col("t"), **a) for n, (a, _) in forms.items()}))
+    for r in made.collect():
+        for name, (_, b) in forms.items():
+            assert r[name] == json.dumps(docs[r.i], **b), name

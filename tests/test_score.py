@@ -68,6 +68,30 @@ def test_decision_bounds(spark):
     assert got == ["accept", "review", "review", "reject"]
 
 
+def _leaves(v, depth=0):
+    """Leaf texts as the definition has them, in the order of the text."""
+    if depth > 5:
+        return []
+    if isinstance(v, (dict, list)):
+        return [x for e in (v.values() if isinstance(v, dict) else v) for x in _leaves(e, depth + 1)]
+    if isinstance(v, str):
+        return [v] if len(v) >= 4 and v not in score.CONSTANT_TEXTS else []
+    return [str(v)] if v is not None and not isinstance(v, bool) and not -100 <= v <= 100 and v not in score.CONSTANT_NUMBERS else []
+
+
+def test_leaves_come_in_the_order_of_the_text(spark):
+    docs = [
+        {"zz": "last", "aa": 'fi"rst', "a:b": "colon: x", "n": [101, -5, 2004, 1234, True, None, "abc", ""], "c": "Create"},
+        {"d": {"d": {"d": {"d": {"d": "deep", "e": {"f": "too deep"}}}}}, "z": [[[["four", ["five!", ["sixth"]]]]]], "k": "é\u2028x\n"},
+        {"m": {f"k{99 - i}": f"value {i}" for i in range(70)}, "a": "never"},
+        [["list", {"x": "in list"}]], "text only", 5,
+    ]
+    rows = [(i, json.dumps(d, indent=indent)) for i, d in enumerate(docs) for indent in (None, 1)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", *columns(v=score._source_leaves(F.col("t")))).collect()
+    for r in got:
+        assert r.v == _leaves(docs[r.i])[:50], docs[r.i]
+
+
 def test_label_check(spark):
     rows = [
         (0, json.dumps(GOOD)),
