@@ -59,13 +59,13 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     percent = round(100 * containment)
     given = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL")
     shingled = written(given.mapInArrow(_item_sets(percent), "item_id long, size long, hash long, minimum boolean").distinct(), "items")
-    every, minima = (spark.sparkContext.broadcast(bits.build(x)) for x in (shingled, shingled.filter("minimum")))
+    every, smallest = (spark.sparkContext.broadcast(bits.build(x)) for x in (shingled, shingled.filter("minimum")))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
             for lo, hi, sets in set_blocks(batch.column(1)):
-                hits = [s[bits.passes(every.value, s)] if bits.passes(minima.value, s).any() else s[:0] for s in sets]
+                hits = [s[bits.passes(every.value, s)] if bits.passes(smallest.value, s).any() else s[:0] for s in sets]
                 ends = np.cumsum([0, *(len(h) for h in hits)]).astype(np.int32)
                 found = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hits).view(np.int64)))
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), found], names=["doc_id", "n", "hits"])
@@ -73,11 +73,15 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
     hits = texts.mapInArrow(look_up, "doc_id long, n long, hits array<long>")
-    hits = written(hits.select("doc_id", "n", F.explode("hits").alias("hash")), "hits")
-    # A document smaller than the share of an item cannot hold it.
-    candidates = hits.join(shingled.filter("minimum").withColumnRenamed("size", "q"), "hash").filter(100 * F.col("n") >= percent * F.col("q")).select("doc_id", "item_id").distinct()
-    shared = hits.select("doc_id", "hash").distinct().join(shingled, "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    return shared.join(candidates, ["doc_id", "item_id"], "left_semi").filter(100 * F.col("shared") >= percent * F.col("size")).select("doc_id", "item_id", "shared", "size")
+    hits = written(hits.select("doc_id", "n", F.size("hits").alias("held"), F.explode("hits").alias("hash")), "hits")
+    # A document smaller than the share of an item, or with fewer shingles of any items, cannot hold it.
+    enough = (100 * F.col("n") >= percent * F.col("q")) & (100 * F.col("held") >= percent * F.col("q"))
+    minima = shingled.filter("minimum").withColumnRenamed("size", "q")
+    candidates = written(hits.join(minima, "hash").filter(enough).select("doc_id", "item_id").distinct(), "candidates")
+    # Shingles are met with candidate pairs only: one that many items share does not pair its documents with all of them.
+    met = hits.select("doc_id", "hash").distinct().join(candidates, "doc_id").join(shingled, ["item_id", "hash"])
+    shared = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    return shared.filter(100 * F.col("shared") >= percent * F.col("size")).select("doc_id", "item_id", "shared", "size")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
