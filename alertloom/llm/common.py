@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or something like it, that no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """``df`` with ``rank``, the place of a row (from 0, by ``order``, nulls first) among those of equal ``group``, and ``n``, their number.
 

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from alertloom.llm.common import tidy, worker_model
 
-# The bounded sample of labelled rows a language is learned from: rows, characters of one row, characters in all.
-SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 48, 8_192, 32_768
-# Texts are parsed in blocks of this many symbols, each from its start, so that blocks run side by side.
-BLOCK = 256
+# The bounded sample of labelled rows a language is learned from: so many rows at most, whole texts, of so many characters together (but one row at least).
+SAMPLE_ROWS, SAMPLE_CHARS = 48, 32_768
+# Rows looked at for it, and groups of hashes in which they are ranked first.
+LOOKED_AT, GROUPS = 256, 64
+# Texts are parsed in blocks of this many symbols side by side; where a block's first phrase starts is guessed by a parse from a little ahead of it, and checked.
+BLOCK, AHEAD = 384, 48
 UNKNOWN = "und"
-# Symbols: 0 fills up blocks, 1 is any run of characters that are not letters, 2 a letter no sample has; then the samples' letters, frequent ones first.
+# Symbols: 0 ends a text, 1 is any run of characters that are not letters, 2 a letter no sample has; then the samples' letters, frequent ones first.
 FILL, GAP, OTHER, FIRST_LETTER = 0, 1, 2, 3
 # Moves by symbols below this are a full table; those by further letters, as in Chinese samples, a sorted list.
 DENSE = 256
@@ -31,18 +33,34 @@ def held_out() -> Column:
 def learn(docs: DataFrame) -> list[tuple[str, str]]:
     """``(lang, sample text)`` by language, from labelled rows that are not held out.
 
-    Of a language's distinct texts those with the smallest hashes are taken, at most the
-    bounds above; this bounded sample is all that reaches the driver.
+    A language's distinct texts are taken whole, in the order of their hashes, at most ``SAMPLE_ROWS`` of them and as
+    long as they fit in ``SAMPLE_CHARS`` together; one that does not fit is passed over, but the shortest of those looked at is taken
+    where none fits.  This bounded sample is all that reaches the driver.
     """
     rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_ROWS).drop("r")
-    picked = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, ROW_CHARS)).alias("text"))
+    # First inside groups of hashes, so that no language meets in one task with all of its rows.
+    grouped = rows.select("lang", "h", F.length("text").alias("n")).distinct().withColumn("g", F.pmod("h", F.lit(GROUPS)))
+    first = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "n"))).filter(F.col("r") <= LOOKED_AT).drop("r")
+    listed: dict[str, list[tuple[int, int]]] = {}
+    for r in first(first(grouped, "lang", "g"), "lang").orderBy("lang", "h", "n").collect():
+        listed.setdefault(r.lang, []).append((r.h, r.n))
+    chosen: list[tuple[str, int]] = []
+    for lang, texts in listed.items():
+        left, taken = SAMPLE_CHARS, []
+        for h, n in texts:
+            if n <= left and len(taken) < SAMPLE_ROWS:
+                taken.append((lang, h))
+                left -= n
+        chosen += taken or [(lang, min(texts, key=lambda t: (t[1], t[0]))[0])]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
+    picked = rows.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
     for lang, _, text in sorted(picked.collect()):
         samples.setdefault(lang, []).append(text)
-    return [(lang, "\n".join(texts)[:SAMPLE_CHARS]) for lang, texts in samples.items()]
+    return [(lang, "\n".join(texts)) for lang, texts in samples.items()]
 
 
 class Automaton(NamedTuple):
@@ -114,8 +132,8 @@ def _symbols(text: str, table: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
-def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[Automaton]]:
-    """The symbol of each code point, and an automaton for each sample; built once in a worker."""
+def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[Automaton], np.ndarray]:
+    """The symbol of each code point, an automaton for each sample, and the bits that naming a place in a sample takes; built once in a worker."""
     counts: dict[str, int] = {}
     for _, text in samples:
         for c in text.lower():
@@ -126,24 +144,61 @@ def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[Autom
     for k, c in enumerate(letters):
         table[ord(c)] = FIRST_LETTER + k
     width = FIRST_LETTER + len(letters)
-    return table, [automaton(_symbols(text, table).tolist(), width) for _, text in samples]
+    parsed = [_symbols(text, table) for _, text in samples]
+    return table, [automaton(p.tolist(), width) for p in parsed], np.log2([len(p) + 1 for p in parsed] or [1])
 
 
-def phrases(blocks: np.ndarray, moves: Automaton) -> np.ndarray:
-    """How many longest-match phrases each row of ``blocks`` (symbols, FILL at the end) needs."""
-    state = np.ones(len(blocks), np.int64)
-    start = np.ones(len(blocks), np.int64)
-    count = np.zeros(len(blocks), np.int64)
-    for column in np.ascontiguousarray(blocks.T):
-        column = column.astype(np.int64)
-        there = moves.move(state, column)
+def _parse(flat: np.ndarray, moves: Automaton, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest-match phrases from each place of ``start`` in the symbols ``flat``: how many start before ``end``, and where the first one after them starts.
+
+    Places are parsed side by side, a symbol a step; a FILL ends the text.
+    """
+    count, out = np.zeros(len(start), np.int64), start.copy()
+    lane = np.flatnonzero(start < end)
+    at, state, stop = start[lane].copy(), np.ones(len(lane), np.int64), end[lane]
+    one = np.ones(len(lane), np.int64)
+    while len(lane):
+        symbol = flat[at].astype(np.int64)
+        there = moves.move(state, symbol)
         miss = there == 0
-        # A phrase ends before a symbol that does not continue it; a symbol that no phrase can start with is one by itself.
-        again = moves.move(start, column)
-        count += miss & (state > 1)
-        count += miss & (again == 0) & (column != FILL)
+        # A phrase ends before a symbol that does not continue it.
+        count[lane] += miss & (state > 1)
+        done = (miss | (state == 1)) & ((at >= stop) | (symbol == FILL))
+        again = moves.move(one[: len(lane)], symbol)
+        # A symbol that no phrase can start with is one by itself.
+        count[lane] += miss & (again == 0) & ~done
         state = np.where(miss, np.maximum(again, 1), there).astype(np.int64)
-    return count + (state > 1)
+        if done.any():
+            out[lane[done]] = at[done]
+            keep = ~done
+            lane, at, state, stop = lane[keep], at[keep], state[keep], stop[keep]
+        at = at + 1
+    return count, out
+
+
+def phrases(texts: list[np.ndarray], moves: Automaton) -> np.ndarray:
+    """How many longest-match phrases each text (an array of symbols) needs.
+
+    Blocks of all texts are parsed side by side, each from where a parse that began a little ahead of it comes in.  Where the
+    block before then ends elsewhere, the block is parsed again from there, until all fit together: what comes
+    out is the parse of the whole text from its start.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.concatenate([x for t in texts for x in (t, np.full(1, FILL, t.dtype))]) if len(texts) else np.zeros(1, np.uint8)
+    base = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
+    blocks = np.maximum(-(-sizes // BLOCK), 1)
+    owner = np.repeat(np.arange(len(texts)), blocks)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = base[owner] + nth * BLOCK
+    end = np.minimum(begin + BLOCK, base[owner] + sizes[owner])
+    entry = begin.copy()
+    later = np.flatnonzero(nth > 0)
+    entry[later] = _parse(flat, moves, begin[later] - AHEAD, begin[later])[1]
+    count, out = _parse(flat, moves, entry, end)
+    while len(wrong := later[out[later - 1] != entry[later]]):
+        entry[wrong] = out[wrong - 1]
+        count[wrong], out[wrong] = _parse(flat, moves, entry[wrong], end[wrong])
+    return np.bincount(owner, count, len(texts)).astype(np.int64)
 
 
 def lettered(docs: DataFrame) -> DataFrame:
@@ -156,39 +211,32 @@ def lettered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(kept, pa.bool_()))
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.col("text").cast("string").alias("_text"), *names).mapInArrow(run, spec)
+    return docs.select(F.col("text").cast("string"), *names).mapInArrow(run, spec)
 
 
-def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs`` (doc_id long, text string), and ``lang_pred, score``, from whole texts.
+def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",), added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` (doc_id long, text string), and ``lang_pred, score`` (or the names in ``added``), from whole texts.
 
-    The language that parses the text into the fewest phrases wins, of equal ones the first by
-    name.  ``score`` is one minus the ratio of its phrases to the second
+    The language that parses the text into the fewest phrases wins, each phrase counted with the bits that name a place
+    in the language's sample, so that a short sample is no handicap; of equal ones the first by name.  ``score`` is one minus the ratio of its bits to the second
     language's: 0 for a tie, 1 where only one language is known.  Null texts, texts without a letter, and
     all texts where nothing was learned, are ``und`` with score 0.  Each row is judged by its text alone, so
     repeated rows and rows without doc_id get theirs as any other.
     """
     model = docs.sparkSession.sparkContext.broadcast(tuple(samples))
     names = [lang for lang, _ in samples]
-    fields = [*keep, "lang_pred", "score"]
+    fields = [*keep, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, automata = worker_model("langid", model.value, lambda: _model(model.value))
+        table, automata, cost = worker_model("langid", model.value, lambda: _model(model.value))
 
         def judge(part: pa.RecordBatch, rows: list[np.ndarray]) -> pa.RecordBatch:
             known = np.array([(r != GAP).any() for r in rows], bool) & bool(names)
             langs, score = [UNKNOWN] * len(rows), np.zeros(len(rows))
             if known.any():
-                blocks = [-(-len(r) // BLOCK) for r in rows]
-                grid = np.zeros((sum(blocks), BLOCK), table.dtype)
-                at = 0
-                for r, n in zip(rows, blocks, strict=True):
-                    grid[at : at + n].reshape(-1)[: len(r)] = r
-                    at += n
-                owner = np.repeat(np.arange(len(rows)), blocks)
-                total = np.stack([np.bincount(owner, phrases(grid, a), len(rows)) for a in automata])
+                total = np.stack([phrases(rows, a) * c for a, c in zip(automata, cost, strict=True)])
                 second = np.partition(total, 1, 0)[1] if len(names) > 1 else np.full(len(rows), np.inf)
-                score = np.where(known, 1 - total.min(0) / np.maximum(second, 1), 0.0)
+                score = np.where(known, 1 - total.min(0) / np.maximum(second, 1e-9), 0.0)
                 langs = [names[b] if k else UNKNOWN for b, k in zip(total.argmin(0), known, strict=True)]
             return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(score)], names=fields)
 
@@ -204,4 +252,4 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, .
 
     kept = docs.select(*keep)
     spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, f"{spec}lang_pred string, score double")
+    return docs.select(F.col("text").cast("string"), *keep).mapInArrow(run, f"{spec}`{added[0]}` string, `{added[1]}` double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import tidy
+from alertloom.llm.common import tidy, unused
 
 WINDOW = 3
 BLANK = r"[^\x20\x09-\x0D]"
@@ -56,20 +56,22 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id long, text string, any further columns) with ``text`` shortened, ``n_lines`` and ``n_removed`` added.
+def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows of ``docs`` (doc_id long, text string, any further columns) with ``text`` shortened, ``n_lines`` and ``n_removed`` (or the names in ``added``) added.
 
     Lines end at newlines; blank ones are not counted and stay.  Of
     equal windows of three consecutive lines the first by (doc_id, place) stays, and every
     line that lies in a later one is removed; overlapping later windows remove their
     union.  Texts of fewer than three lines have no window.  Null texts stay null and have no line; rows
     without doc_id stay as they are; rows repeated under one doc_id are one
-    document and get the same text.  Columns named ``n_lines`` or ``n_removed`` are replaced.
+    document and get the same text.  Columns that have the added names are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c not in added]
     place = keep.index("text") + 1
-    cover = covered_lines(docs).select(F.col("doc_id").alias("_cover_id"), "starts")
-    joined = docs.join(cover, F.col("doc_id").cast("long") == F.col("_cover_id"), "left").select(F.col("starts").alias("_starts"), *[F.col(c).cast("string") if c == "text" else F.col(c) for c in keep])
+    # Names that no column of the documents has.
+    own, starts = unused(docs, "cover_id"), unused(docs, "starts")
+    cover = covered_lines(docs).select(F.col("doc_id").alias(own), F.col("starts").alias(starts))
+    joined = docs.join(cover, F.col("doc_id").cast("long") == F.col(own), "left").select(starts, *[F.col(c).cast("string") if c == "text" else F.col(c) for c in keep])
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +90,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     removed.append(len(gone))
                 columns = list(part.columns)
                 columns[place] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns[1:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns[1:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, *added])
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[1:])
-    return joined.mapInArrow(shorten, f"{spec}, n_lines long, n_removed long")
+    return joined.mapInArrow(shorten, f"{spec}, `{added[0]}` long, `{added[1]}` long")
 
 
 ORACLE = r"""

@@ -1,9 +1,11 @@
 """Cross parsing against a plain substring search, and held-out accuracy."""
 
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from alertloom.llm import langid
 
@@ -18,35 +20,50 @@ def plain_phrases(text, sample):
     return count
 
 
-def test_automaton_finds_longest_matches():
+@pytest.mark.parametrize("block, ahead", [(384, 48), (8, 3), (2, 1)])
+def test_phrases_are_those_of_the_whole_text(monkeypatch, block, ahead):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "AHEAD", ahead)
     rng = random.Random(3)
+    text = lambda symbols: "".join(map(chr, symbols))
     for _ in range(60):
-        sample = [rng.randrange(3, 6) for _ in range(rng.randrange(1, 60))]
-        text = [rng.randrange(3, 8) for _ in range(rng.randrange(1, 50))]
-        table = langid.automaton(sample, 9)
-        grid = np.zeros((1, langid.BLOCK), np.uint8)
-        grid[0, : len(text)] = text
-        assert langid.phrases(grid, table)[0] == plain_phrases("".join(map(chr, text)), "".join(map(chr, sample)))
-
-
-def test_whole_blocks():
-    text = np.full((2, langid.BLOCK), 3, np.uint8)
-    text[1, 0] = 4
-    table = langid.automaton([3] * 10, 6)
-    full = -(-langid.BLOCK // 10)
-    assert langid.phrases(text, table).tolist() == [full, 1 + -(-(langid.BLOCK - 1) // 10)]
+        sample = [rng.randrange(3, 6) for _ in range(rng.randrange(1, 200))]
+        texts = [[rng.randrange(3, 8) for _ in range(rng.randrange(0, 60))] for _ in range(4)] + [[rng.randrange(3, 6) for _ in range(300)], sample, sample * 3, []]
+        got = langid.phrases([np.array(t, np.uint8) for t in texts], langid.automaton(sample, 9))
+        assert got.tolist() == [plain_phrases(text(t), text(sample)) for t in texts]
+
+
+def test_identify_equals_plain_cross_parsing(spark):
+    rng = random.Random(6)
+    words = {"de": "der hund und die katze gehen in den wald".split(), "en": "the dog and the cat walk into the wood".split(), "es": "el perro y el gato van al bosque".split()}
+    made = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    samples = [("de", made("de", 60)), ("en", made("en", 400)), ("es", made("es", 9))]
+    rows = [(i, " ".join(made(lang, rng.randrange(1, 30)) for lang in rng.sample(sorted(words), rng.randrange(1, 4)))) for i in range(40)] + [(40, made("es", 3000)), (41, "perro"), (42, "xx")]
+    bits = {lang: math.log2(len(sample) + 1) for lang, sample in samples}
+    for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect():
+        cost = sorted((plain_phrases(dict(rows)[r.doc_id], sample) * bits[lang], lang) for lang, sample in samples)
+        assert (r.lang_pred, round(r.score, 9)) == (cost[0][1], round(1 - cost[0][0] / cost[1][0], 9))
+
+
+def test_samples_are_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 1000)
+    rows = [(i, "x" * n, lang) for i, (n, lang) in enumerate([(400, "a"), (500, "a"), (900, "a"), (5000, "a"), (3000, "b"), (2000, "b")] * 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows += [(r[0], r[1].replace("x", "é", 1), r[2]) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {t for _, t, _ in rows}
+    got = dict(langid.learn(docs))
+    assert set(got) == {"a", "b"} and all(t in texts for sample in got.values() for t in sample.split("\n"))
+    assert len(got["a"].replace("\n", "")) <= 1000 and len(got["b"]) == 2000
 
 
 def test_large_alphabets(spark):
     rng = random.Random(5)
     words = {"ja": [0x4E00 + 2 * k for k in range(3000)], "zh": [0x4E01 + 2 * k for k in range(3000)]}
     samples = [("de", "der hund und die katze " * 40), *((lang, "".join(chr(rng.choice(codes)) for _ in range(20_000))) for lang, codes in words.items())]
-    table, made = langid._model(tuple(samples))
+    table, made, _ = langid._model(tuple(samples))
     for (_, sample), moves in zip(samples, made, strict=True):
         text = samples[2][1][5_000:5_050] + samples[1][1][7_000:7_040] + "hund" + samples[2][1][:60]
-        grid = np.zeros((1, langid.BLOCK), table.dtype)
-        grid[0, : len(text)] = langid._symbols(text, table)
-        assert langid.phrases(grid, moves)[0] == plain_phrases(text, sample)
+        assert langid.phrases([langid._symbols(text, table)], moves)[0] == plain_phrases(text, sample)
     pieces = lambda sample: "".join(sample[k : k + 4] for k in (rng.randrange(19_000) for _ in range(50)))
     rows = [(i, pieces(dict(samples)[lang]), lang) for i, lang in enumerate(["zh", "ja"] * 3)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), samples, keep=("doc_id", "lang")).collect()

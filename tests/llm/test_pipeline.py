@@ -6,6 +6,7 @@ import corpus_pipeline
 import test_decontam
 import test_linedup
 import test_neardup
+from pyspark.sql import functions as F
 
 from alertloom.llm.common import written
 
@@ -63,3 +64,21 @@ def test_lettered_texts_stay_where_no_language_is_known(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.language(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text, r.lang) for r in got), key=str) == [(1, "the word", None), (None, "mot", None)] and list(got[0].asDict()) == COLUMNS
+
+
+CLASHING = ["lang_pred", "score", "n_lines", "n_removed", "starts", "_starts", "cover_id", "_cover_id", "h1", "h2", "own_id", "first", "comp", "kept", "hash", "hits", "items", "_text"]
+
+
+def test_clashing_columns_and_repeated_rows(spark, sf):
+    given = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 150")
+    docs = written(given.union(given).withColumns({c: F.lit("mine") for c in CLASHING}), "docs")
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, sf), name)
+        if name != "token_ids":
+            assert out.columns == docs.columns
+            assert out.filter(" OR ".join(f"{c} <> 'mine'" for c in CLASHING)).count() == 0
+        if name in ("language", "repeated_lines"):
+            assert out.count() == 2 * out.select("doc_id").distinct().count()
+        else:
+            assert out.count() == out.select("doc_id").distinct().count() > 50
+        docs = out
