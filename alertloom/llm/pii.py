@@ -25,8 +25,6 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGIT = re.compile(r"[0-9]")
-# Terms of the context of an entity: so many on either side, within so many characters.
-NEAR_TERMS, NEAR_CHARS = 8, 160
 # A term reveals an entity if knowing it gives this share of the entity's information, seen in at least two different texts.
 DISCLOSURE = 0.8
 # From this share on a term is removed, below it is replaced by a general word.
@@ -73,12 +71,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def context_terms(text: str, start: int, end: int) -> set[str]:
-    """The whole terms next to a span, in lower case."""
-    left, right = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-    before = [m for m in TERM.finditer(text, left, start) if m.start() > left or left == 0]
-    after = [m for m in TERM.finditer(text, end, right) if m.end() < right or right == len(text)]
-    return {m[0].lower() for m in before[-NEAR_TERMS:] + after[:NEAR_TERMS]}
+def context_terms(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The terms of a text outside the spans, in lower case."""
+    parts, at = [], 0
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        parts.append(text[at : max(at, start)])
+        at = max(at, end)
+    return {t.lower() for t in set(TERM.findall("\n".join([*parts, text[at:]])))}
 
 
 def _entity(text: str, kind: str, start: int, end: int) -> str:
@@ -88,17 +87,18 @@ def _entity(text: str, kind: str, start: int, end: int) -> str:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    pair = pa.struct([("entity", pa.string()), ("term", pa.string())])
     for batch in batches:
-        spans, pairs = [], []
+        spans, entities, terms = [], [], []
         for value in batch.column(1):
             text = value.as_py() or ""
             found = base_spans(text)
-            taken = {text[a:b].lower() for _, a, b in found}
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            near = {(_entity(text, k, a, b), t) for k, a, b in found for t in context_terms(text, a, b)} if found else set()
-            pairs.append([{"entity": e, "term": t} for e, t in sorted(near) if t not in taken])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(spans, pa.list_(span)), pa.array(pairs, pa.list_(pair))], names=["doc_id", "h1", "h2", "spans", "pairs"])
+            entities.append(sorted({_entity(text, k, a, b) for k, a, b in found}))
+            terms.append(sorted(context_terms(text, found)) if found else [])
+        words = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), batch.column(3), pa.array(spans, pa.list_(span)), pa.array(entities, words), pa.array(terms, words)], names=["doc_id", "h1", "h2", "spans", "entities", "terms"]
+        )
 
 
 class _Known:
@@ -112,9 +112,7 @@ class _Known:
         if known is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            h, mask = xxhash.xxh64_intdigest(term.encode(), 42), (1 << bits.FILTER_BITS) - 1
-            known = all((int(self.bits[(p := (h >> s) & mask) >> 3]) >> (p & 7)) & 1 for s in (0, bits.FILTER_BITS))
-            self.seen[term] = known
+            known = self.seen[term] = bits.holds(self.bits, xxhash.xxh64_intdigest(term.encode(), 42))
         return known
 
 
@@ -124,25 +122,30 @@ def _with_hashes(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, h1, h2, spans, pairs`` for each row: a hash of its text, the base spans, and (entity, term) pairs of their contexts."""
-    spec = "doc_id long, h1 long, h2 long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<entity:string,term:string>>"
+    """``doc_id, h1, h2, spans, entities, terms`` for each row: a hash of its text, the base spans, what they name, and, of texts with any, all terms outside them."""
+    spec = "doc_id long, h1 long, h2 long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>, terms array<string>"
     return _with_hashes(docs).mapInArrow(_find, spec)
 
 
 def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``term, share``: how much of a protected entity's information a term gives away, at most, over the entities it stands next to.
+    """``term, share``: how much of a protected entity's information a term gives away, at most, over the entities it is in documents with.
 
     Of an entity e in df(e) of N documents and a term t in df(t), both together in
-    df(e, t), t tells log(N df(e,t) / (df(e) df(t))) of the log(N / df(e)) that e holds.  Only
-    terms that stand by e in two different texts count, so that copies of one
-    text say nothing.  Counts are over all documents; of the terms of a document only those in a filter of fixed size are counted.
+    df(e, t), t tells log(N df(e,t) / (df(e) df(t))) of the log(N / df(e)) that e holds.  Both may stand anywhere in
+    a document.  Only terms that are with e in two different texts count, so that copies of one
+    text say nothing, and so only entities that are in two: the pairs of the others are not made.  Copies are counted, not
+    repeated.  Counts are over all documents; of the terms of a document only those in a filter of the wanted ones are counted.
     """
     spark = docs.sparkSession
     n = found.count()
-    seen = found.select("h1", F.explode("pairs").alias("p")).select("h1", "p.*")
-    both = seen.groupBy("entity", "term").agg(F.count("*").alias("together"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("entity", "term", "together")
-    both = written(both, "together")
-    holders = found.select("h1", "doc_id", F.array_distinct("pairs.entity").alias("e")).select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    holding = found.filter(F.size("entities") > 0)
+    told = holding.select("h1", "h2", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"), F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+    holders = written(told.filter("lo <> hi").select("entity", "of_entity"), "holders")
+    texts = holding.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    shared = texts.withColumn("entity", F.explode("entities")).join(holders.select("entity"), "entity").select("h1", "copies", "entity", F.explode("terms").alias("term"))
+    both = shared.groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("n_texts")).filter("n_texts > 1").drop("n_texts")
+    # An entity of every document holds no information.
+    both = written(both.join(holders.filter(F.col("of_entity") < n), "entity"), "together")
     asked = both.select("term").distinct()
     wanted = spark.sparkContext.broadcast(bits.build(asked.select(F.xxhash64("term").alias("hash"))))
 
@@ -161,10 +164,10 @@ def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
         yield out()
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
-    told = both.join(holders, "entity").join(counted, "term")
+    told = both.join(counted, "term")
     gain = F.log(F.lit(float(n)) * F.col("together") / (F.col("of_entity") * F.col("of_term")))
     held = F.log(F.lit(float(n)) / F.col("of_entity"))
-    return told.filter(held > 0).groupBy("term").agg(F.max(gain / held).alias("share"))
+    return told.groupBy("term").agg(F.max(gain / held).alias("share"))
 
 
 def private_spans(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:

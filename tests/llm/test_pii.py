@@ -1,5 +1,7 @@
 """Personal data against the plain patterns, and disclosure of terms."""
 
+import math
+import random
 import re
 
 import pytest
@@ -70,6 +72,52 @@ def test_terms_that_reveal_an_entity(spark):
     assert pii.listing(pii.private_spans(docs.limit(0))).count() == 0
 
 
+def plain_terms(rows):
+    """Share by term, counted over whole documents."""
+    texts = [t or "" for _, t in rows]
+    entities = [{pii._entity(t, *s) for s in pii.base_spans(t)} for t in texts]
+    outside = [pii.context_terms(t, pii.base_spans(t)) for t in texts]
+    inside = [{w.lower() for w in pii.TERM.findall(t)} for t in texts]
+    out = {}
+    for e in set().union(*entities):
+        of = [i for i, es in enumerate(entities) if e in es]
+        for term in set().union(*(outside[i] for i in of)):
+            both = [i for i in of if term in outside[i]]
+            if len({texts[i] for i in both}) > 1 and len(of) < len(texts):
+                gain = math.log(len(texts) * len(both) / (len(of) * sum(term in w for w in inside)))
+                out[term] = max(out.get(term, -9), gain / math.log(len(texts) / len(of)))
+    return out
+
+
+def test_disclosure_counts_whole_documents(spark):
+    rng = random.Random(8)
+    mails = [f"p{i}.q@corp{i % 3}.example" for i in range(6)]
+    secret = [f"name{chr(97 + i)}x" for i in range(6)]
+    rows = []
+    for i in range(150):
+        k = rng.randrange(12)
+        words = [rng.choice("time word place year hand part case point".split()) for _ in range(rng.randrange(5, 400))]
+        if k < 6:
+            words.insert(0, mails[k])
+            words.append(secret[k])
+            if rng.random() < 0.3:
+                words.insert(3, mails[(k + 1) % 6])
+        elif k == 6:
+            words.insert(2, rng.choice(secret))
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[0][1]) for i in range(9)] + [(300, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: round(r.share, 9) for r in pii.disclosure(docs, pii.find(docs)).collect()}
+    want = {t: round(s, 9) for t, s in plain_terms(rows).items()}
+    assert got == want and sum(s >= pii.DISCLOSURE for s in want.values()) >= 3
+    named = {t for t, s in want.items() if s >= pii.DISCLOSURE}
+    for r in pii.private_spans(docs).collect():
+        text = dict(rows)[r.doc_id] or ""
+        base = pii.base_spans(text)
+        terms = [("term", m.start(), m.end()) for m in pii.TERM.finditer(text) if m[0].lower() in named and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert [(s.kind, s.start, s.end) for s in r.spans] == base + terms
+
+
 def test_copies_of_one_text_reveal_nothing(spark):
     docs = spark.createDataFrame([(i, "ask zanzibar at a@b.cd") for i in range(9)] + [(50 + i, f"other text {i}") for i in range(30)], "doc_id long, text string")
     assert all(r.n_term == 0 for r in pii.listing(pii.private_spans(docs)).collect())
