@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.llm.common import written
+
 # A record's block and a chunk of a body hold at most so many bytes, a file so many records: a file
 # is at most about 17 MB before compression, however long the pages are.
 SEGMENT, CHUNK, RECORDS_PER_FILE = 32_768, 8_192, 512
@@ -60,8 +63,8 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block
 
 
-def page_records(page: int, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response with its continuations."""
+def page_records(page: object, url: str | None, payload: bytes, refers_to: object, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page, named by its number: a revisit, or a response with its continuations."""
     origin = _ID.format(page)
     target = [("WARC-Target-URI", "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))] if url else []
     common = [("WARC-Date", DATE), *target, ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
@@ -75,23 +78,24 @@ def page_records(page: int, url: str | None, payload: bytes, refers_to: int | No
     yield _record([("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, *first], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _ID.format(f"{page}:{k}")), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", k), *last], part)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a file."""
-    at = 0
-    while at < len(data):
-        end = data.index(END, at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record starts at byte {at}")
-        fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        size, at = int(fields["content-length"]), end + 4
-        if data[at + size : at + size + 4] != END:
-            raise ValueError(f"the record before byte {at + size} has another length")
-        yield fields, data[at : at + size]
-        at += size + 4
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _ID.format(f"{page}/{k}")), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", k), *last], part)
+
+
+def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a file, one record at a time."""
+    n = 0
+    while line := stream.readline():
+        n += 1
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"record {n} does not start as one")
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]) or stream.read(4) != END:
+            raise ValueError(f"record {n} has another length")
+        yield fields, block
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -99,18 +103,21 @@ def write_archive(pages: DataFrame, path: str) -> None:
 
     The payload is the html in UTF-8, null html the empty payload.  Of pages with
     equal payloads that with the largest page_id is a response, the others are revisits of it.
-    Blocks longer than 32 KiB are cut into a response and continuations.  Rows without page_id are not written; rows repeated under one
-    page_id are one page (of different payloads that with the smallest digest).
+    Blocks longer than 32 KiB are cut into a response and continuations.  Every row gets its record: one without page_id, or under a
+    page_id that other rows have as well, is named by its row too.  Of rows of one page_id and payload any may be the response.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.filter("page_id IS NOT NULL").withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    ids = rows.select("page_id", "sha")
-    # Most tables have no repeated id; only then the pages themselves need not be sorted out.
-    if not ids.groupBy("page_id").count().filter("count > 1").isEmpty():
-        rows = rows.groupBy("page_id").agg(F.min(F.struct("sha", "url", "html")).alias("r")).select("page_id", "r.*")
-        ids = rows.select("page_id", "sha")
-    winners = ids.groupBy("sha").agg(F.max("page_id").alias("response"))
-    named = rows.join(winners, "sha").select("page_id", "url", "html", F.when(F.col("response") != F.col("page_id"), F.col("response")).alias("refers_to"))
+    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    name = F.col("page_id").cast("string")
+    # In most tables every row has an id of its own; only else rows are numbered, and kept with their numbers.
+    if not rows.groupBy("page_id").count().filter("count > 1 OR page_id IS NULL").isEmpty():
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+        first = rows.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.min("row").alias("first"))
+        rows = rows.join(first, "page_id", "left")
+        name = F.when(F.col("row") == F.col("first"), name).otherwise(F.concat(F.coalesce(name, F.lit("")), F.lit(":"), F.col("row")))
+    rows = rows.select("page_id", "url", "html", "sha", name.alias("name"))
+    winners = rows.groupBy("sha").agg(F.max(F.struct("page_id", "name")).alias("w"))
+    named = rows.join(winners, "sha").select("name", "url", "html", F.when(F.col("w.name") != F.col("name"), F.col("w.name")).alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +144,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for content in batch.column(0):
-            data = content.as_py()
+            data = io.BytesIO(content.as_py())
             rows: list[tuple] = []
-            for fields, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for fields, block in parse(gzip.GzipFile(fileobj=data) if data.getbuffer()[:2] == b"\x1f\x8b" else data):
+                if fields.get("warc-type") not in ("response", "revisit", "continuation"):
+                    continue
                 segment, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
                 origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
                 rows.append((origin, fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None, segment and int(segment), total and int(total), block))
@@ -183,9 +192,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     Segments of one origin are put together in the order of their numbers, from whatever
     files they lie in; their number and total length are verified, the chunked
     framing is decoded and the payload compared with its digest.  Where one of these fails,
-    ``payload`` is null and ``problem`` says why.  A revisit has no payload.  A file that is not a sequence of records fails the job.
+    ``payload`` is null and ``problem`` says why.  A revisit has no payload.  Records of other types (of the
+    archive itself, requests, metadata) are passed over.  A file that is not a sequence of records fails the job.  Files are unpacked once,
+    record by record; the parts are written in the shared folder.
     """
-    parts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _PARTS)
+    parts = written(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _PARTS), "parts")
     part = F.struct("segment", "total", "block")
     head = ["record_id", "record_type", "refers_to", "url", "digest"]
     whole = parts.filter("segment IS NULL").select(*head, F.array(part).alias("parts"))
@@ -197,10 +208,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def page_listing(records: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of read records; a revisit has the size of the response it refers to."""
-    page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).cast("long")
-    responses = records.filter("record_type = 'response'").select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
-    revisits = records.filter("record_type = 'revisit'").select(page("record_id").alias("page_id"), F.col("digest").alias("payload_digest"), page("refers_to").alias("refers_to"))
-    sizes = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes")
-    again = revisits.join(sizes, "refers_to", "left")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(-?\d*)(:\d+)?>$", 1), F.lit("")).cast("long")
+    told = written(records.select("record_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "listing")
+    responses = told.filter("record_type = 'response'").select("record_id", page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"))
+    revisits = told.filter("record_type = 'revisit'").select(page("record_id").alias("page_id"), F.col("digest").alias("payload_digest"), page("refers_to").alias("refers_to"), F.col("refers_to").alias("record_id"))
+    again = revisits.join(responses.select("record_id", "payload_bytes"), "record_id", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")).select(columns).union(again.withColumn("record_type", F.lit("revisit")).select(columns))

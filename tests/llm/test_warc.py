@@ -4,6 +4,7 @@ import base64
 import glob
 import gzip
 import hashlib
+import io
 
 import pytest
 
@@ -38,16 +39,28 @@ def test_pages(spark):
     texts = {h or "" for _, h in rows}
     assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == texts
     data = b"".join(gzip.open(f).read() for f in glob.glob(f"{path}/*.gz"))
-    assert data.count(b"WARC-Type: continuation") > 5 and max(len(b) for _, b in warc.parse(data)) <= warc.SEGMENT
+    assert data.count(b"WARC-Type: continuation") > 5 and max(len(b) for _, b in warc.parse(io.BytesIO(data))) <= warc.SEGMENT
 
 
 def test_repeated_ids_null_ids_and_empty_table(spark):
-    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "u", "y"), (2, "v", "z"), (None, "u", "x")], "page_id long, url string, html string")
-    got = warc.page_listing(round_trip(spark, pages)[1]).collect()
-    assert sorted(r.page_id for r in got) == [1, 2]
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "u", "y"), (2, "v", "z" * 100_000), (None, "u", "x"), (None, "u", "n"), (3, "http://a/" + "p" * 100_000, "y")], "page_id long, url string, html string")
+    path, records = round_trip(spark, pages)
+    got = warc.page_listing(records).collect()
+    # Every row has its record, and every payload is there once.
+    shown = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got]
+    assert sorted(shown, key=str) == sorted([(1, 1, "response", None), (1, 1, "revisit", 1), (None, 1, "revisit", 1), (None, 1, "response", None), (2, 1, "revisit", 3), (3, 1, "response", None), (2, 100_000, "response", None)], key=str)
+    assert len({r.record_id for r in records.collect()}) == 7
     assert warc.page_listing(round_trip(spark, pages.limit(0))[1]).count() == 0
 
 
+def test_records_of_other_types_are_passed_over(spark, tmp_path):
+    info = warc._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x>")], b"software: x\r\n")
+    records = [info, *warc.page_records(4, "http://a/", b"payload", None), info]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + warc.END) for r in records))
+    (row,) = warc.read_archive(spark, str(tmp_path)).collect()
+    assert (row.payload, row.problem) == (b"payload", None)
+
+
 def test_given_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: tuple(r)[1:] for r in warc.page_listing(round_trip(spark, pages)[1]).collect()}
