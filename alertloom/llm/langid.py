@@ -74,7 +74,7 @@ class Automaton(NamedTuple):
 
     def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         dense = self.table.shape[1]
-        there = self.table.reshape(-1)[state * dense + np.minimum(symbol, dense - 1)]
+        there = np.take(self.table, state * dense + (symbol if self.width <= dense else np.minimum(symbol, dense - 1)))
         if len(self.keys) and (rare := symbol >= dense).any():
             key = state[rare] * self.width + symbol[rare]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -148,32 +148,37 @@ def _model(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[Autom
     return table, [automaton(p.tolist(), width) for p in parsed], np.log2([len(p) + 1 for p in parsed] or [1])
 
 
-def _parse(flat: np.ndarray, moves: Automaton, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _parse(flat: np.ndarray, again: np.ndarray, moves: Automaton, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest-match phrases from each place of ``start`` in the symbols ``flat``: how many start before ``end``, and where the first one after them starts.
 
-    Places are parsed side by side, a symbol a step; a FILL ends the text.
+    Places are parsed side by side, a symbol a step, the longest first, so that those at work are always the first ones.
+    ``again`` is for each place of ``flat`` the state that a phrase started there is in, 1 where none can start.
     """
-    count, out = np.zeros(len(start), np.int64), start.copy()
-    lane = np.flatnonzero(start < end)
-    at, state, stop = start[lane].copy(), np.ones(len(lane), np.int64), end[lane]
-    one = np.ones(len(lane), np.int64)
+    order = np.argsort(start - end, kind="stable")
+    first, length = start[order], np.maximum(end - start, 0)[order]
+    state, count = np.ones(len(order), np.int64), np.zeros(len(order), np.int64)
+    working = np.searchsorted(-length, -np.arange(length[0] if len(order) else 0), "left").tolist()
+    for t, k in enumerate(working):
+        place, now = first[:k] + t, state[:k]
+        there = moves.move(now, flat[place])
+        miss = there == 0
+        new = again[place]
+        # A phrase ends before a symbol that does not continue it; a symbol that no phrase can start with is one by itself.
+        count[:k] += miss & (now > 1)
+        count[:k] += miss & (new == 1)
+        state[:k] = np.where(miss, new, there)
+    # Phrases under way go on to their ends.
+    at, lane = first + length, np.flatnonzero(state > 1)
     while len(lane):
-        symbol = flat[at].astype(np.int64)
-        there = moves.move(state, symbol)
+        there = moves.move(state[lane], flat[at[lane]])
         miss = there == 0
-        # A phrase ends before a symbol that does not continue it.
-        count[lane] += miss & (state > 1)
-        done = (miss | (state == 1)) & ((at >= stop) | (symbol == FILL))
-        again = moves.move(one[: len(lane)], symbol)
-        # A symbol that no phrase can start with is one by itself.
-        count[lane] += miss & (again == 0) & ~done
-        state = np.where(miss, np.maximum(again, 1), there).astype(np.int64)
-        if done.any():
-            out[lane[done]] = at[done]
-            keep = ~done
-            lane, at, state, stop = lane[keep], at[keep], state[keep], stop[keep]
-        at = at + 1
-    return count, out
+        count[lane[miss]] += 1
+        lane = lane[~miss]
+        state[lane] = there[~miss]
+        at[lane] += 1
+    counts, out = np.empty_like(count), np.empty_like(at)
+    counts[order], out[order] = count, at
+    return counts, out
 
 
 def phrases(texts: list[np.ndarray], moves: Automaton) -> np.ndarray:
@@ -191,13 +196,14 @@ def phrases(texts: list[np.ndarray], moves: Automaton) -> np.ndarray:
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = base[owner] + nth * BLOCK
     end = np.minimum(begin + BLOCK, base[owner] + sizes[owner])
+    again = np.maximum(moves.move(np.ones(len(flat), np.int64), flat), 1)
     entry = begin.copy()
     later = np.flatnonzero(nth > 0)
-    entry[later] = _parse(flat, moves, begin[later] - AHEAD, begin[later])[1]
-    count, out = _parse(flat, moves, entry, end)
+    entry[later] = _parse(flat, again, moves, begin[later] - AHEAD, begin[later])[1]
+    count, out = _parse(flat, again, moves, entry, end)
     while len(wrong := later[out[later - 1] != entry[later]]):
         entry[wrong] = out[wrong - 1]
-        count[wrong], out[wrong] = _parse(flat, moves, entry[wrong], end[wrong])
+        count[wrong], out[wrong] = _parse(flat, again, moves, entry[wrong], end[wrong])
     return np.bincount(owner, count, len(texts)).astype(np.int64)
 
 
@@ -245,7 +251,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, .
             for i, text in enumerate(batch.column(0)):
                 rows.append(_symbols(text.as_py() or "", table))
                 size += len(rows[-1])
-                if size > 1 << 20 or i + 1 == batch.num_rows:
+                if size > 1 << 21 or i + 1 == batch.num_rows:
                     yield judge(batch.slice(first, len(rows)), rows)
                     rows, first, size = [], i + 1, 0
         tidy("langid")
