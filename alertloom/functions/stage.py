@@ -10,6 +10,11 @@ from alertloom.functions.sql import Sql
 _OWN = "_own"
 
 
+def deal(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt round robin into so many partitions, ahead of costly work on few bytes a row; as they are for None."""
+    return df if partitions is None else df.repartition(partitions)
+
+
 def once(df: DataFrame, keep: list[str], **named: Sql) -> DataFrame:
     """``keep`` plus the named expressions, each computed exactly once per row.
 

@@ -16,7 +16,7 @@ from alertloom.functions import scalars as sc
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F as X
 from alertloom.functions.sql import Sql, columns
-from alertloom.functions.stage import once
+from alertloom.functions.stage import deal, once
 from alertloom.functions.text import MAY_HOLD_EMPTIES, strip, without_empties
 from alertloom.operators.vendors import BUILT_IN, registry
 from alertloom.operators.vendors.common import Leaves, Vendor, finding
@@ -52,15 +52,17 @@ def map_alerts(
     raw_log: str = "raw_log",
     vendors: tuple[Vendor, ...] = BUILT_IN,
     only: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``source, vendor, skip_reason, finding, time_defaulted``.
 
     ``finding`` is NULL exactly when ``skip_reason`` is set: ``bad_json``,
     ``missing_source``, ``unknown_source``, ``missing_required`` or ``bad_type``.
     ``only`` maps the alerts of one vendor and leaves the others out.  ``as_of``
-    is the SQL timestamp used for a finding whose time cannot be read.
+    is the SQL timestamp used for a finding whose time cannot be read.  Mapping takes most of a millisecond an alert, so a
+    table of few large splits is better dealt into ``partitions``: then the raw texts are shuffled, whatever their number.
     """
-    routed = dispatch(df, raw_log, vendors)
+    routed = dispatch(deal(df, partitions), raw_log, vendors)
     if only is not None:
         routed = routed.filter(F.col("vendor") == only)
     return map_dispatched(routed, as_of, tuple(v for v in vendors if only in (None, v.name)))

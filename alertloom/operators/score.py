@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from alertloom import schemas as S
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F, Sql, columns
-from alertloom.functions.stage import once
+from alertloom.functions.stage import deal, once
 from alertloom.functions.text import JSON_KEY, JSON_TOKEN, extract_json, source_json
 from alertloom.operators import validate
 
@@ -41,13 +41,14 @@ LEAF_DEPTH, LEAF_LIMIT = 5, 50
 
 def score(
     df: DataFrame, raw: str, doc: str, cleaned: str = "cleaned", errors: str = "errors", warnings: str = "stripped",
-    accept_from: float = ACCEPT_FROM, review_from: float = REVIEW_FROM, source: Sql | None = None,
+    accept_from: float = ACCEPT_FROM, review_from: float = REVIEW_FROM, source: Sql | None = None, parity: bool = True,
 ) -> DataFrame:
     """Adds ``schema_validity, field_coverage, value_consistency, confidence, decision``.
 
     ``raw`` is the alert as VARIANT; the scored finding is ``cleaned`` where it is
     not NULL, else the VARIANT ``doc``; ``source`` is the text that was parsed to it, whose
-    order of keys a VARIANT does not keep.  The decision uses the unrounded score.
+    order of keys a VARIANT does not keep.  With ``parity`` leaves are looked for in the ASCII-escaped alert, as the
+    reference does, without it in the alert as it is written.  The decision uses the unrounded score.
     """
     keep = df.columns
     final = F.when(F.col(cleaned).isNotNull(), V.parse(F.to_json(F.col(cleaned)))).otherwise(F.col(doc))
@@ -63,7 +64,7 @@ def score(
     signals = once(
         opened, [*keep, "_raw_text"], _schema=schema, _coverage=coverage, _leaves=F.slice(leaves, 1, LEAF_LIMIT)
     )
-    found = F.size(F.filter(F.col("_leaves"), lambda v: _occurs(v, F.col("_raw_text"))))
+    found = F.size(F.filter(F.col("_leaves"), lambda v: _occurs(v, F.col("_raw_text"), parity)))
     consistency = F.when(F.size(F.col("_leaves")) > 0, found / F.size(F.col("_leaves"))).otherwise(0.5)
     counted = once(signals, [*keep, "_schema", "_coverage"], _consistency=consistency)
     s, c, k = F.col("_schema"), F.col("_coverage"), F.col("_consistency")
@@ -189,14 +190,22 @@ def _walk(v: Sql, depth: int) -> Sql:
     )
 
 
-def _occurs(leaf: Sql, raw_text: Sql) -> Sql:
-    """The leaf is looked for in ASCII-escaped JSON, so one with quotes, backslashes or other letters never occurs."""
+def _occurs(leaf: Sql, raw_text: Sql, parity: bool) -> Sql:
+    """Whether the leaf is in the alert's compact JSON, written as it would be there.
+
+    With ``parity`` it is looked for in ASCII-escaped JSON, so one with quotes, backslashes or other letters never occurs.
+    """
+    if not parity:
+        written = F.to_json(F.array(leaf))
+        return F.contains(raw_text, F.substr(written, 3, F.length(written) - 4))
     return leaf.rlike(r'^[\x20\x21\x23-\x5b\x5d-\x7e]*$') & F.contains(raw_text, leaf)
 
 
-def normalize(df: DataFrame, raw_log: str = "raw_log", answer: str = "model_output") -> DataFrame:
+def normalize(df: DataFrame, raw_log: str = "raw_log", answer: str = "model_output", partitions: int | None = None, parity: bool = True) -> DataFrame:
     """Model answers to responses: extract, validate, clean, score, decide.
 
+    ``partitions``: see ``label.map_alerts``; ``parity``: see ``score``.
+
     Adds ``ocsf`` (JSON text), ``confidence, decision, schema_validity, field_coverage,
     value_consistency, validation_errors`` and ``error``.
     """
@@ -206,9 +215,9 @@ def normalize(df: DataFrame, raw_log: str = "raw_log", answer: str = "model_outp
             F.parse_json(F.to_json(F.struct(F.col(raw_log).alias("raw"))))
         ),
     )
-    read = once(df, df.columns, _doc=extract_json(F.col(answer)), _raw=raw)
+    read = once(deal(df, partitions), df.columns, _doc=extract_json(F.col(answer)), _raw=raw)
     checked = validate.check_model(read, "_doc")
-    scored = score(checked, "_raw", "_doc", source=source_json(F.col(answer)))
+    scored = score(checked, "_raw", "_doc", source=source_json(F.col(answer)), parity=parity)
     doc, is_object = F.col("_doc"), F.startswith(F.coalesce(F.schema_of_variant(F.col("_doc")), ""), "OBJECT")
     error = F.when(doc.isNull(), "JSON extraction failed").when(~is_object, "not_object")
     ok = F.col("error").isNull()

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from alertloom.functions.stage import deal
+
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_ISO = "2024-01-31T00:00:00Z"
 AS_OF_SQL = f"timestamp'{AS_OF}'"
@@ -73,6 +75,11 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return of(read_table(spark, sf_dir, "events"), sql)
 
 
+def dealt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``view`` for costly work on each row: the rows are dealt into as many partitions as the session shuffles into."""
+    return of(deal(read_table(spark, sf_dir, "events"), int(spark.conf.get("spark.sql.shuffle.partitions"))), sql)
+
+
 def of(events: DataFrame, sql: str) -> DataFrame:
     """A binding SELECT over any frame of ``events`` rows, a stream too."""
     text = sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")

@@ -88,7 +88,7 @@ def _state_log(s, d):
 
 def _corrections(s, d):
     """One correction per event and for some a second: some reviews are unknown, done, or given bad input."""
-    made = once(bind.view(s, d, bind.EVENT), ["id", "u"], j=Sql(MODEL_FINDING))
+    made = once(bind.dealt(s, d, bind.EVENT), ["id", "u"], j=Sql(MODEL_FINDING))
     rows = made.selectExpr(
         "id AS review_id", "CASE WHEN id % 31 = 0 THEN '{bad' ELSE j END AS corrected",
         "CASE WHEN id % 41 = 0 THEN '  ' ELSE concat('r', u) END AS reviewer", "explode(CASE WHEN id % 5 = 0 THEN array(id, -id - 1) ELSE array(id) END) AS submitted",

@@ -29,7 +29,7 @@ _ANSWER = """CASE id % 4 WHEN 0 THEN j WHEN 1 THEN concat('Here:\\n```json\\n',
 
 
 def _answers(s, d):
-    rows = bind.view(s, d, bind.EVENT)
+    rows = bind.dealt(s, d, bind.EVENT)
     made = once(rows, ["id"], raw_log=Sql(_RAW), j=Sql(MODEL_FINDING))
     return once(made, ["id", "raw_log"], model_output=Sql(_ANSWER))
 
@@ -48,7 +48,7 @@ def _labels(s, d):
         'metadata', named_struct('product', named_struct('name', 'Prod', 'vendor_name', 'Vend'), 'version', CASE WHEN id % 4 = 0 THEN '1.7.0' ELSE '1.1.0' END),
         'severity_id', CASE WHEN id % 11 = 0 THEN 6 ELSE 3 END, 'severity', 'Medium', 'time', CASE WHEN id % 13 = 0 THEN NULL ELSE concat(iso, 'Z') END,
         'user', CASE WHEN id % 17 = 0 THEN 'bob' END))"""
-    made = once(bind.view(s, d, bind.EVENT), ["id"], ocsf=Sql(f"CASE WHEN id % 19 = 0 THEN '{{bad' ELSE {text} END"))
+    made = once(bind.dealt(s, d, bind.EVENT), ["id"], ocsf=Sql(f"CASE WHEN id % 19 = 0 THEN '{{bad' ELSE {text} END"))
     return validate.check_labels(made)
 
 
@@ -70,7 +70,7 @@ _CHAINED = """concat('{"activity_id":1,"class_uid":2004,"type_uid":200401,"sever
 
 def _ancestors(s, d):
     """The model check on processes with up to 13 ancestors, as evidence and as actor; how many are kept, and which is the last."""
-    made = once(bind.view(s, d, bind.EVENT), ["id", "iso"], chain=Sql(_CHAIN))
+    made = once(bind.dealt(s, d, bind.EVENT), ["id", "iso"], chain=Sql(_CHAIN))
     read = once(made, ["id"], v=Sql(f"parse_json({_CHAINED})"))
     checked = validate.check_model(read, "v").select("id", F.array_join("errors", ";").alias("errors"), F.to_json("cleaned.evidences").alias("kept"))
     names = F.transform(F.regexp_extract_all("kept", F.lit('"p([0-9]+)"'), F.lit(1)), lambda x: x.cast("int"))
@@ -80,7 +80,7 @@ def _ancestors(s, d):
 def _leaf_order(s, d):
     """Consistency of findings that stay uncleaned and have more leaves than count: those that come first in the answer are looked for."""
     told = "transform(sequence(1, {n}), i -> concat('{name} ', id, ' ', i))"
-    made = once(bind.view(s, d, bind.EVENT), ["id"], hits=Sql(told.format(n="10 + id % 30", name="hit")), misses=Sql(told.format(n="60", name="miss")))
+    made = once(bind.dealt(s, d, bind.EVENT), ["id"], hits=Sql(told.format(n="10 + id % 30", name="hit")), misses=Sql(told.format(n="60", name="miss")))
     rows = once(made, ["id"], raw_log=Sql("to_json(named_struct('seen', hits))"), model_output=Sql("to_json(named_struct('zz', hits, 'aa', misses))"))
     return score.normalize(rows).select("id", "value_consistency", "n_errors")
 

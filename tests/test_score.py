@@ -92,6 +92,14 @@ def test_leaves_come_in_the_order_of_the_text(spark):
         assert r.v == _leaves(docs[r.i])[:50], docs[r.i]
 
 
+def test_leaves_as_they_are_written(spark):
+    answer = json.dumps({"a": 'say "hi"', "b": "über", "c": "plain"})
+    raw = json.dumps({"x": 'he said: say "hi" now', "y": "über plain"}, ensure_ascii=False)
+    df = spark.createDataFrame([(raw, answer)], "raw_log string, model_output string")
+    got = [score.normalize(df, parity=p, partitions=3).first().value_consistency for p in (True, False)]
+    assert got == [0.333, 1.0]
+
+
 def test_label_check(spark):
     rows = [
         (0, json.dumps(GOOD)),
