@@ -29,13 +29,30 @@ def search(spark, rows, kind="float"):
 
 def test_random_vectors_with_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 200)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
+    monkeypatch.setattr(topk, "EXTENTS", 2)
     rng = random.Random(2)
     rows = [(i, [float(np.float32(rng.choice([-0.5, 0.1, 0.25, rng.random()]))) for _ in range(6)]) for i in range(1500)]
     rows += [(2000 + i, rows[5][1]) for i in range(50)]
     assert search(spark, rows) == plain(rows, 10)
 
 
+def test_blocks_that_cannot_count_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((20, 8)) * np.array([1, 6])[rng.integers(0, 2, 20)][:, None]
+    rows = [(i, [float(x) for x in centers[i % 20] + rng.standard_normal(8) * 0.05]) for i in range(2000)]
+    assert search(spark, rows, "double") == plain(rows, 10)
+    # Extents of blocks bound every score in them.
+    ids, x = np.arange(100), rng.integers(-500, 500, (100, 4))
+    pivots = topk.choose_pivots(x[:30], 6)
+    far = np.stack([np.linalg.norm(x - p, axis=1) for p in pivots], 1)
+    squares = (x.astype(float) ** 2).sum(1)
+    for q in ids:
+        gap = np.maximum(np.maximum(far[:50].min(0) - far[q], far[q] - far[:50].max(0)), 0).max()
+        assert topk._most(squares[:50].max() + squares[q], gap) >= (x[:50] @ x[q]).max()
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (100, []), (6, [1.0]), (7, [3.0, -1.0]), (200, [1e30, 1.0]), (8, [-1e30, 2.0]), (None, [1.0, 1.0])]
     clipped = [(i, v) for i, v in rows if i not in (200, 8)]
