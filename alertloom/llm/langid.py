@@ -18,6 +18,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 48, 32_768
 LOOKED_AT, GROUPS = 256, 64
 # Texts are parsed in blocks of this many symbols side by side; where a block's first phrase starts is guessed by a parse from a little ahead of it, and checked.
 BLOCK, AHEAD = 384, 48
+# So few phrases under way at the ends of their blocks, and so few blocks, are not worth a step side by side.
+FEW, MANY = 48, 200
 UNKNOWN = "und"
 # Symbols: 0 ends a text, 1 is any run of characters that are not letters, 2 a letter no sample has; then the samples' letters, frequent ones first.
 FILL, GAP, OTHER, FIRST_LETTER = 0, 1, 2, 3
@@ -84,6 +86,24 @@ class Automaton(NamedTuple):
         return there
 
 
+    def follow(self, state: int, symbols: np.ndarray) -> int:
+        """How many of ``symbols``, of which one ends the match, continue it."""
+        n = 0
+        for at in range(0, len(symbols), 4096):
+            for c in symbols[at : at + 4096].tolist():
+                state = self.step(state, c)
+                if not state:
+                    return n
+                n += 1
+        return n
+
+    def step(self, state: int, symbol: int) -> int:
+        """``move`` of one."""
+        if symbol < self.table.shape[1]:
+            return self.table.item(state, symbol)
+        return int(self.move(np.array([state]), np.array([symbol]))[0])
+
+
 def automaton(symbols: list[int], width: int) -> Automaton:
     """The suffix automaton of ``symbols``, which are below ``width``."""
     moves: list[dict[int, int]] = [{}, {}]
@@ -169,18 +189,38 @@ def _parse(flat: np.ndarray, again: np.ndarray, moves: Automaton, start: np.ndar
         state[:k] = np.where(miss, new, there)
     # Phrases under way go on to their ends.
     at, lane = first + length, np.flatnonzero(state > 1)
-    while len(lane):
+    while len(lane) > FEW:
         there = moves.move(state[lane], flat[at[lane]])
         miss = there == 0
         count[lane[miss]] += 1
         lane = lane[~miss]
         state[lane] = there[~miss]
         at[lane] += 1
+    # A few that go on for long, as where a text is in the sample, are followed one by one.
+    for i in lane.tolist():
+        at[i] += moves.follow(int(state[i]), flat[at[i] :])
+        count[i] += 1
     counts, out = np.empty_like(count), np.empty_like(at)
     counts[order], out[order] = count, at
     return counts, out
 
 
+def _parse_one(flat: np.ndarray, again: np.ndarray, moves: Automaton, start: int, end: int) -> tuple[int, int]:
+    """``_parse`` from one place."""
+    state, count, step = 1, 0, moves.step
+    for symbol, new in zip(flat[start:end].tolist(), again[start:end].tolist(), strict=True):
+        there = step(state, symbol)
+        if not there:
+            count += (state > 1) + (new == 1)
+            there = new
+        state = there
+    place = max(start, end)
+    if state > 1:
+        count += 1
+        place += moves.follow(state, flat[place:])
+    return count, place
+
+
 def phrases(texts: list[np.ndarray], moves: Automaton) -> np.ndarray:
     """How many longest-match phrases each text (an array of symbols) needs.
 
@@ -203,7 +243,11 @@ def phrases(texts: list[np.ndarray], moves: Automaton) -> np.ndarray:
     count, out = _parse(flat, again, moves, entry, end)
     while len(wrong := later[out[later - 1] != entry[later]]):
         entry[wrong] = out[wrong - 1]
-        count[wrong], out[wrong] = _parse(flat, again, moves, entry[wrong], end[wrong])
+        if len(wrong) > MANY:
+            count[wrong], out[wrong] = _parse(flat, again, moves, entry[wrong], end[wrong])
+        else:
+            for i in wrong.tolist():
+                count[i], out[i] = _parse_one(flat, again, moves, int(entry[i]), int(end[i]))
     return np.bincount(owner, count, len(texts)).astype(np.int64)
 
 

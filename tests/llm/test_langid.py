@@ -20,8 +20,10 @@ def plain_phrases(text, sample):
     return count
 
 
-@pytest.mark.parametrize("block, ahead", [(384, 48), (8, 3), (2, 1)])
-def test_phrases_are_those_of_the_whole_text(monkeypatch, block, ahead):
+@pytest.mark.parametrize("block, ahead, few", [(384, 48, 48), (8, 3, 0), (2, 1, 2)])
+def test_phrases_are_those_of_the_whole_text(monkeypatch, block, ahead, few):
+    monkeypatch.setattr(langid, "FEW", few)
+    monkeypatch.setattr(langid, "MANY", few)
     monkeypatch.setattr(langid, "BLOCK", block)
     monkeypatch.setattr(langid, "AHEAD", ahead)
     rng = random.Random(3)
