@@ -14,26 +14,22 @@ SPLITS = ("train", "val", "test")
 ASSISTANT_MARKER = "<|assistant|>\n"
 VENDOR_PATTERN = r"(?U)Normalize this (\w+) security alert"
 
-# The fixed system prompt; its wording and line ends are part of every example.
-SYSTEM_PROMPT = (
-    "You are a security log normalizer. You convert raw vendor security alerts into OCSF v1.1.0 "
-    "Detection Finding (class_uid: 2004) format.\n"
-    "\n"
-    "Rules:\n"
-    "- Output ONLY valid JSON. No markdown, no explanation, no preamble.\n"
-    "- Map all SOC-useful fields. Sparse output is wrong.\n"
-    "- Process, network, actor, email evidence goes inside evidences[].\n"
-    "- MITRE ATT&CK goes inside finding_info.attacks[].\n"
-    "- User info goes in device.owner or evidences[].actor.user.\n"
-    "- Never put process, src_endpoint, dst_endpoint, attacks, or user at the top level.\n"
-    "- Place vendor-specific fields that have no OCSF equivalent in an unmapped object. "
-    "Never invent OCSF field names. \n"
-    "- Include observables[] with key IOCs (IPs, hashes, domains, emails, usernames).\n"
-    "- The severity_id enum values (0=Unknown through 6=Fatal, and 99=Other)            \n"
-    "- The type_uid formula: type_uid = class_uid * 100 + activity_id\n"
-    "- Omit fields with no value. No nulls, no empty strings, no placeholders.\n"
-    "            "
-)
+# Fixed value: the system prompt; its wording, blanks and line ends are part of every example.
+SYSTEM_PROMPT = """You are a security log normalizer. You convert raw vendor security alerts into OCSF v1.1.0 Detection Finding (class_uid: 2004) format.
+
+Rules:
+- Output ONLY valid JSON. No markdown, no explanation, no preamble.
+- Map all SOC-useful fields. Sparse output is wrong.
+- Process, network, actor, email evidence goes inside evidences[].
+- MITRE ATT&CK goes inside finding_info.attacks[].
+- User info goes in device.owner or evidences[].actor.user.
+- Never put process, src_endpoint, dst_endpoint, attacks, or user at the top level.
+- Place vendor-specific fields that have no OCSF equivalent in an unmapped object. Never invent OCSF field names. 
+- Include observables[] with key IOCs (IPs, hashes, domains, emails, usernames).
+- The severity_id enum values (0=Unknown through 6=Fatal, and 99=Other)            
+- The type_uid formula: type_uid = class_uid * 100 + activity_id
+- Omit fields with no value. No nulls, no empty strings, no placeholders.
+            """
 
 
 def _message(role: str, content: Column) -> Column:

@@ -47,6 +47,21 @@ def _chat_validate(s, d):
     return training.check_chat(both).select("kind", "id", F.coalesce("reject_reason", F.lit("ok")).alias("outcome"))
 
 
+def _chat_files(s, d):
+    """Chats written as lines, read back and checked; the good ones of each split, and the rejected lines with their reasons."""
+    root = scratch(s, "chats")
+    files.write_chat(_chats(s, d), f"{root}/in")
+    bind.view(s, d, bind.EVENT).filter("id % 40 = 0").selectExpr("concat('not json ', id) AS value").write.text(f"{root}/broken")
+    checked = training.check_chat(files.read_chat(s, f"{root}/*"))
+    good = checked.filter("reject_reason IS NULL").withColumn("split", F.when(F.contains(training.user_message(), F.lit("purchase")), "val").otherwise("train"))
+    files.write_splits(good, f"{root}-split")
+    files.write_rejected(checked.filter("reject_reason IS NOT NULL"), f"{root}-rejected")
+    sizes = [files.read_split(s, f"{root}-split", name).select(F.lit(name).alias("kind"), F.sha2(F.get("messages", F.lit(2))["content"], 256).alias("digest")) for name in ("train", "val")]
+    strict = files.read_chat_strict(s, f"{root}/in").select(F.lit("strict").alias("kind"), F.sha2(training.user_message(), 256).alias("digest"))
+    reasons = s.read.text(f"{root}-rejected").select(F.get_json_object("value", "$._reject_reason").alias("kind"), F.sha2(F.coalesce(F.get_json_object("value", "$._raw"), F.lit("")), 256).alias("digest"))
+    return sizes[0].unionByName(sizes[1]).unionByName(strict).unionByName(reasons).groupBy("kind", "digest").agg(F.count("*").alias("n"))
+
+
 def _documents(s, d):
     return bind.read_table(s, d, "documents").select("doc_id", F.col("source").alias("vendor"), "text")
 
@@ -56,6 +71,13 @@ def _split(s, d, by_text: bool = True):
     return training.assign_split(_documents(s, d), "vendor", F.sha2(key, 256), "doc_id")
 
 
+def _digest_files(s, d):
+    """Digests of test inputs as lines."""
+    root = scratch(s, "digests")
+    files.write_digests(training.test_ids(_split(s, d), "text"), root)
+    return s.read.text(root).select(F.col("value").alias("digest"))
+
+
 def _completion(s, d):
     """The marker is put into every document text once, twice or never."""
     text = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 > 0, "<|assistant|>\n").otherwise(""), F.lit("A"),
@@ -150,6 +172,8 @@ QUERIES = {
     "split_test_ids": lambda s, d: training.test_ids(_split(s, d), "text"),
     "export_corrections": lambda s, d: _export(s, d).select("id", "source", "raw_content", F.coalesce("skip_reason", F.lit("ok")).alias("outcome")),
     "export_summary": lambda s, d: training.export_summary(_export(s, d)),
+    "chat_files": _chat_files,
+    "digest_files": _digest_files,
     "export_chats": _export_chats,
     "json_forms": _json_forms,
     "merge_corrections": _merge,
@@ -205,6 +229,11 @@ ORACLES = {
     "export_corrections": f"""WITH {_V}, {_R} SELECT v.id, v.source, r.raw_content, CASE WHEN v.id % 7 = 0 THEN 'not_object' WHEN v.id % 11 = 0 THEN 'bad_json'
         WHEN v.id % 13 = 0 THEN 'class_uid' ELSE 'ok' END AS outcome FROM v JOIN r ON v.raw_log_id = r.id
         WHERE v.reviewed_at IS NOT NULL AND v.corrected IS NOT NULL AND NOT v.exported_for_training""",
+    "chat_files": f"""WITH {_E}, c AS (SELECT id, ty, id % 5 AS r, {_USER} AS u, {_ANSWER} AS a, {_SRC} AS src FROM e), x AS (
+        SELECT CASE WHEN contains(u, 'purchase') THEN 'val' ELSE 'train' END AS kind, sha256(a) AS digest FROM c WHERE r > 1 UNION ALL SELECT 'strict', sha256(u) FROM c
+        UNION ALL SELECT CASE r WHEN 0 THEN 'bad_json' ELSE 'class_uid' END, sha256('') FROM c WHERE r < 2
+        UNION ALL SELECT 'bad_line', sha256(concat('not json ', cast(id AS varchar))) FROM c WHERE id % 40 = 0) SELECT kind, digest, count(*) AS n FROM x GROUP BY ALL""",
+    "digest_files": f"WITH {_split_sql('text')} SELECT sha256(text) AS digest FROM s WHERE split = 'test'",
     "export_chats": f"""WITH {_V}, {_R} SELECT v.id, {_PROMPT.format("v.source", "replace(r.raw_content, ': ', ':')")} AS user_text,
         concat('{{"class_uid":2004,"n":', cast(v.id AS varchar), '}}') AS answer FROM v JOIN r ON v.raw_log_id = r.id
         WHERE v.reviewed_at IS NOT NULL AND v.corrected IS NOT NULL AND NOT v.exported_for_training AND v.id % 7 <> 0 AND v.id % 11 <> 0 AND v.id % 13 <> 0""",

@@ -80,6 +80,7 @@ def _texts(*names):
 
 _FLOAT, _BOOL, _MAP, _TEXTS = Field("float"), Field("bool"), Field("map"), Field("texts")
 
+# The names and kinds of a finding's fields.
 _NAME_UID = _texts("name", "uid")
 _PRODUCT = {"name": _text(True), "vendor_name": _text(True), **_texts("uid", "version")}
 _OS = {**_texts("name", "type"), "type_id": _int(allowed=OS_TYPE_IDS), **_texts("version")}
