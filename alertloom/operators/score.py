@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from alertloom import schemas as S
@@ -51,13 +53,24 @@ def score(
     reference does, without it in the alert as it is written.  The decision uses the unrounded score.
     """
     keep = df.columns
-    final = F.when(F.col(cleaned).isNotNull(), V.parse(F.to_json(F.col(cleaned)))).otherwise(F.col(doc))
+    # A cleaned finding is looked at as a struct, another one as the VARIANT it came as.
+    is_clean = F.col(cleaned).isNotNull()
+    final = F.when(F.col(cleaned).isNull(), F.col(doc))
     with_final = df.select("*", *columns(_final=final, _raw_text=F.to_json(F.col(raw))))
     f = V.Doc("_final", "_f")
-    present = {p: V.get(f, *p.split(".")) for p in (*SCHEMA_FIELDS, *REQUIRED_FIELDS, *RECOMMENDED_FIELDS, *RICHNESS_FIELDS)}
+
+    def both(path: str, test: Callable[[Sql], Sql]) -> Sql:
+        typed = F.col(cleaned)
+        for name in path.split("."):
+            typed = typed[name]
+        return F.when(is_clean, typed.isNotNull()).otherwise(test(V.get(f, *path.split("."))))
+
+    present = {p: both(p, lambda v: v.isNotNull()) for p in SCHEMA_FIELDS}
+    # A key holding null counts as absent here.
+    filled = {p: both(p, lambda v: V.text(v).isNotNull()) for _, fields in TIERS for p in fields}
     schema = _schema(present, F.size(F.col(errors)), F.size(F.col(warnings)))
-    coverage = _sum([_share(present, fields) * weight for weight, fields in TIERS])
-    leaves = F.when(F.col(cleaned).isNotNull(), _typed_leaves(F.col(cleaned))).otherwise(_any_leaves(F.col("_final")) if source is None else _source_leaves(source))
+    coverage = _sum([_share(filled, fields) * weight for weight, fields in TIERS])
+    leaves = F.when(is_clean, _typed_leaves(F.col(cleaned))).otherwise(_any_leaves(F.col("_final")) if source is None else _source_leaves(source))
     opened = with_final
     for level in range(max(d.level for d in f.tree()) + 1):
         opened = opened.select("*", *columns(**{d.alias_: d.opened() for d in f.tree() if d.level == level}))
@@ -98,13 +111,12 @@ def _count(conditions: list[Sql]) -> Sql:
 
 def _schema(present: dict[str, Sql], n_errors: Sql, n_warnings: Sql) -> Sql:
     """Share of the required keys, less 0.05 per error (0.4 at most) and 0.02 per warning (0.2 at most)."""
-    base = _count([present[p].isNotNull() for p in SCHEMA_FIELDS]) / float(len(SCHEMA_FIELDS))
+    base = _count([present[p] for p in SCHEMA_FIELDS]) / float(len(SCHEMA_FIELDS))
     return F.greatest(0.0, base - F.least(n_errors * 0.05, 0.4) - F.least(n_warnings * 0.02, 0.2))
 
 
-def _share(present: dict[str, Sql], fields: tuple[str, ...]) -> Sql:
-    """A key holding null counts as absent here."""
-    return _count([V.text(present[p]).isNotNull() for p in fields]) / float(len(fields))
+def _share(filled: dict[str, Sql], fields: tuple[str, ...]) -> Sql:
+    return _count([filled[p] for p in fields]) / float(len(fields))
 
 
 def _text_leaf(t: Sql) -> Sql:
