@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import tidy, worker_model
+from alertloom.llm.common import tidy, unused, worker_model
 
 # The bounded sample of labelled rows a language is learned from: so many rows at most, whole texts, of so many characters together (but one row at least).
 SAMPLE_ROWS, SAMPLE_CHARS = 48, 32_768
@@ -261,7 +261,7 @@ def lettered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(kept, pa.bool_()))
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.col("text").cast("string"), *names).mapInArrow(run, spec)
+    return docs.select(F.col("text").cast("string").alias(unused(docs, "_text")), *names).mapInArrow(run, spec)
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ("doc_id",), added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -302,4 +302,4 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, .
 
     kept = docs.select(*keep)
     spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return docs.select(F.col("text").cast("string"), *keep).mapInArrow(run, f"{spec}`{added[0]}` string, `{added[1]}` double")
+    return docs.select(F.col("text").cast("string").alias(unused(docs, "_text")), *keep).mapInArrow(run, f"{spec}`{added[0]}` string, `{added[1]}` double")
