@@ -127,7 +127,7 @@ def find(docs: DataFrame) -> DataFrame:
     return _with_hashes(docs).mapInArrow(_find, spec)
 
 
-def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosure(docs: DataFrame, found: DataFrame, least: float | None = None) -> DataFrame:
     """``term, share``: how much of a protected entity's information a term gives away, at most, over the entities it is in documents with.
 
     Of an entity e in df(e) of N documents and a term t in df(t), both together in
@@ -135,6 +135,7 @@ def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
     a document.  Only terms that are with e in two different texts count, so that copies of one
     text say nothing, and so only entities that are in two: the pairs of the others are not made.  Copies are counted, not
     repeated.  Counts are over all documents; of the terms of a document only those in a filter of the wanted ones are counted.
+    With ``least`` terms whose share is lower are left out: those that, by the documents with entities alone, are too frequent need not be counted at all.
     """
     spark = docs.sparkSession
     n = found.count()
@@ -145,7 +146,13 @@ def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
     shared = texts.withColumn("entity", F.explode("entities")).join(holders.select("entity"), "entity").select("h1", "copies", "entity", F.explode("terms").alias("term"))
     both = shared.groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("n_texts")).filter("n_texts > 1").drop("n_texts")
     # An entity of every document holds no information.
-    both = written(both.join(holders.filter(F.col("of_entity") < n), "entity"), "together")
+    both = both.join(holders.filter(F.col("of_entity") < n), "entity")
+    gain = lambda of: F.log(F.lit(float(n)) * F.col("together") / (F.col("of_entity") * F.col(of)))
+    held = F.log(F.lit(float(n)) / F.col("of_entity"))
+    if least is not None:
+        known = texts.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("of_known"))
+        both = both.join(known, "term").filter(gain("of_known") >= (least - 1e-9) * held).drop("of_known")
+    both = written(both, "together")
     asked = both.select("term").distinct()
     wanted = spark.sparkContext.broadcast(bits.build(asked.select(F.xxhash64("term").alias("hash"))))
 
@@ -165,9 +172,8 @@ def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
     told = both.join(counted, "term")
-    gain = F.log(F.lit(float(n)) * F.col("together") / (F.col("of_entity") * F.col("of_term")))
-    held = F.log(F.lit(float(n)) / F.col("of_entity"))
-    return told.groupBy("term").agg(F.max(gain / held).alias("share"))
+    shares = told.groupBy("term").agg(F.max(gain("of_term") / held).alias("share"))
+    return shares if least is None else shares.filter(F.col("share") >= least)
 
 
 def private_spans(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
@@ -180,7 +186,7 @@ def private_spans(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     the text only, so repeated rows and rows without doc_id get theirs as any other.
     """
     found = written(find(docs), "found")
-    terms = written(disclosure(docs, found).filter(F.col("share") >= threshold), "terms")
+    terms = written(disclosure(docs, found, threshold), "terms")
     wanted = docs.sparkSession.sparkContext.broadcast(bits.build(terms.select(F.xxhash64("term").alias("hash"))))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

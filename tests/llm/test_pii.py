@@ -136,3 +136,10 @@ def test_given_documents(spark, sf):
 def test_redacted(text):
     spans = [(*s, "mask") for s in pii.base_spans(text)]
     assert "@" not in pii.redact(text, spans)
+
+
+def test_frequent_terms_need_no_count(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = pii.find(docs)
+    every = {r.term: round(r.share, 9) for r in pii.disclosure(docs, found).collect()}
+    assert {r.term: round(r.share, 9) for r in pii.disclosure(docs, found, 0.8).collect()} == {t: s for t, s in every.items() if s >= 0.8}
