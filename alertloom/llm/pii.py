@@ -134,10 +134,9 @@ def disclosure(docs: DataFrame, found: DataFrame, least: float | None = None) ->
     df(e, t), t tells log(N df(e,t) / (df(e) df(t))) of the log(N / df(e)) that e holds.  Both may stand anywhere in
     a document.  Only terms that are with e in two different texts count, so that copies of one
     text say nothing, and so only entities that are in two: the pairs of the others are not made.  Copies are counted, not
-    repeated.  Counts are over all documents; of the terms of a document only those in a filter of the wanted ones are counted.
-    With ``least`` terms whose share is lower are left out: those that, by the documents with entities alone, are too frequent need not be counted at all.
+    repeated.  Counts are over all documents.  With ``least`` terms whose share is lower are left out; those that, by the
+    documents with entities alone, are too frequent go first.
     """
-    spark = docs.sparkSession
     n = found.count()
     holding = found.filter(F.size("entities") > 0)
     told = holding.select("h1", "h2", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"), F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
@@ -153,18 +152,16 @@ def disclosure(docs: DataFrame, found: DataFrame, least: float | None = None) ->
         known = texts.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("of_known"))
         both = both.join(known, "term").filter(gain("of_known") >= (least - 1e-9) * held).drop("of_known")
     both = written(both, "together")
-    asked = both.select("term").distinct()
-    wanted = spark.sparkContext.broadcast(bits.build(asked.select(F.xxhash64("term").alias("hash"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = _Known(wanted.value), Counter()
+        sums = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["term", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                sums.update(t for t in {t.lower() for t in set(TERM.findall(value.as_py() or ""))} if known(t))
+                sums.update({t.lower() for t in set(TERM.findall(value.as_py() or ""))})
                 if len(sums) > REMEMBERED:
                     yield out()
                     sums.clear()
