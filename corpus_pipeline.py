@@ -34,13 +34,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near-duplicates, and one row of it where rows are repeated; rows without doc_id all stay."""
-    gone = neardup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # What is joined with the texts is written first, so that Spark knows its size.
+    gone = written(neardup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # Which of the rows under one doc_id stays is a matter of their contents alone.
     h1, h2 = unused(docs, "h1"), unused(docs, "h2")
     named = kept.withColumns({h1: F.xxhash64(*docs.columns), h2: F.xxhash64(F.lit(1), *docs.columns)})
     firsts = named.groupBy("doc_id").agg(F.min(F.struct(h1, h2)).alias("first"), F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL")
-    repeated = firsts.select(F.col("doc_id").alias(unused(docs, "own_id")), F.col("first").alias(unused(docs, "first")))
+    repeated = written(firsts.select(F.col("doc_id").alias(unused(docs, "own_id")), F.col("first").alias(unused(docs, "first"))), "repeated")
+    if repeated.isEmpty():
+        return kept
     own, first = repeated.columns
     joined = named.join(repeated, F.col("doc_id") == F.col(own), "left")
     single = joined.filter(F.col(own).isNull()).select(*docs.columns)
