@@ -140,7 +140,9 @@ def preview(chats: DataFrame, order: str, messages: str = "messages", width: int
         F.col(messages),
         lambda m: F.struct(m["role"].alias("role"), F.substring(m["content"], 1, width).alias("content")),
     )
-    return chats.orderBy(order).limit(1).select(cut.alias(messages))
+    # The place is found by itself, so that only this example is made and kept.
+    first = chats.select(F.col(order).alias("_first")).orderBy("_first").limit(1)
+    return chats.join(F.broadcast(first), F.col(order).eqNullSafe(F.col("_first")), "left_semi").limit(1).select(cut.alias(messages))
 
 
 def assign_split(
