@@ -69,19 +69,25 @@ def brace_span(t: Sql) -> Sql:
     return F.when(end > 0, F.substr(from_first, F.lit(1), end))
 
 
+def found_json(t: Sql) -> Sql:
+    """``text`` and ``doc`` of the JSON in a model's answer: whole text, else fenced block, else first brace span.
+
+    Each part is cut out and parsed once; the last one is given even where it does not parse, then without ``doc``.
+    """
+    read = lambda part: V.let(part, lambda p: F.struct(p.alias("text"), V.parse_strict(p).alias("doc")))
+    # A struct without doc makes way for the next part.
+    fits = lambda part: V.let(read(part), lambda r: F.when(r["doc"].isNotNull(), r))
+    return F.coalesce(fits(t), fits(fenced_block(t)), read(brace_span(t)))
+
+
 def extract_json(t: Sql) -> Sql:
     """VARIANT found in a model's answer: whole text, else fenced block, else first brace span."""
-    return F.coalesce(
-        V.parse_strict(t),
-        V.parse_strict(fenced_block(t)),
-        V.parse_strict(brace_span(t)),
-    )
+    return found_json(t)["doc"]
 
 
 def source_json(t: Sql) -> Sql:
     """The part of a model's answer that ``extract_json`` parses, as text."""
-    fits = lambda part: V.parse_strict(part).isNotNull()
-    return F.when(fits(t), t).when(fits(fenced_block(t)), fenced_block(t)).otherwise(brace_span(t))
+    return found_json(t)["text"]
 
 
 # Tokens of compact JSON text: strings, brackets and separators, other values.
@@ -129,35 +135,46 @@ def without_empties(json: Sql) -> Sql:
 # A character as Python writes it in a JSON string; ``{odd}`` says which of the others are written as numbers.
 _ESCAPED = r"""CASE c WHEN '"' THEN r'\"' WHEN r'\' THEN r'\\' WHEN '\n' THEN r'\n' WHEN '\r' THEN r'\r' WHEN '\t' THEN r'\t' WHEN '\b' THEN r'\b' WHEN chr(12) THEN r'\f'
     ELSE CASE WHEN {odd} THEN regexp_replace(lower(hex(encode(c, 'UTF-16BE'))), '(.{{4}})', r'\\u$1') ELSE c END END"""
-_AS_IT_IS = r"r'^\"[ !#-\[\]-~]*\"$'".replace('\\"', '"')
+# Strings that hold nothing to be read or written in another way, and those without a backslash or a control character.
+_AS_IT_IS = r"""r'^"[ !#-\[\]-~]*"$'"""
+_PLAIN = r"""r'^"[^"\\\x00-\x1f]*"$'"""
 
 
 def dumps(json: Sql, indent: int | None = None, ascii_only: bool = False, compact: bool = False) -> Sql:
     """JSON text written anew as Python's ``json.dumps`` would: over lines with ``indent``, else in one, with blanks after signs unless ``compact``.
 
     The order of keys and the writing of numbers stay as they are.  Other letters than ASCII are escaped with
-    ``ascii_only``.  One pass over the tokens with the number of open brackets and the token before.
+    ``ascii_only``.  Strings are written first, each for itself; in one line every token then depends on the one before
+    alone, over lines a pass over the tokens counts the open brackets.
     """
-    gap = "''" if compact else "' '"
-    broken = lambda depth: "''" if indent is None else f"concat(chr(10), repeat(' ', {indent} * ({depth})))"
-    opened = "s.prev IN ('{', '[')"
-    after_comma = gap if indent is None else broken("s.depth")
-    lead = f"CASE WHEN s.colon THEN {gap} WHEN {opened} THEN {broken('s.depth')} WHEN s.prev = ',' THEN {after_comma} ELSE '' END"
     escaped = _ESCAPED.format(odd="c < ' ' OR c > '~'" if ascii_only else "c < ' '")
 
     def text(t: str) -> str:
-        read = f"from_json(concat('[', {t}, ']'), 'array<string>')[0]"
-        return f"""CASE WHEN rlike({t}, {_AS_IT_IS}) THEN {t} ELSE concat('"', array_join(transform(split({read}, ''), c -> {escaped}), ''), '"') END"""
-
-    def state(depth: str, *pieces: str, colon: str = "false") -> str:
-        return f"named_struct('depth', {depth}, 'prev', t, 'colon', {colon}, 'out', concat(s.out, array({', '.join(pieces)})))"
+        read = f"CASE WHEN rlike({t}, {_PLAIN}) THEN substr({t}, 2, length({t}) - 2) ELSE from_json(concat('[', {t}, ']'), 'array<string>')[0] END"
+        return f"""CASE WHEN rlike({t}, {_AS_IT_IS if ascii_only else _PLAIN}) THEN {t} ELSE concat('"', array_join(transform(split({read}, ''), c -> {escaped}), ''), '"') END"""
 
     name = r"regexp_replace(t, r'\s*:$', '')"
-    step = f"""CASE WHEN t IN ('{{', '[') THEN {state("s.depth + 1", lead, "t")}
+    written = f"""CASE WHEN startswith(t, '"') THEN CASE WHEN endswith(t, ':') THEN concat({text(name)}, ':') ELSE {text("t")} END ELSE t END"""
+    tokens = f"transform(regexp_extract_all({json.text}, r'{JSON_KEY}|{JSON_TOKEN}', 0), t -> {written})"
+    if indent is None:
+        if compact:
+            return Sql(f"array_join({tokens}, '')")
+        # A comma, or the colon of a key, ahead.
+        after = "i > 0 AND (get(a, i - 1) = ',' OR endswith(get(a, i - 1), ':'))"
+        spaced = lambda a: Sql(f"array_join(transform({a.text}, (t, i) -> CASE WHEN t IN (',', '}}', ']') THEN t WHEN {after.replace('(a,', f'({a.text},')} THEN concat(' ', t) ELSE t END), '')")
+        return V.let(Sql(tokens), spaced)
+
+    gap = "''" if compact else "' '"
+    broken = lambda depth: f"concat(chr(10), repeat(' ', {indent} * ({depth})))"
+    opened = "s.prev IN ('{', '[')"
+    lead = f"CASE WHEN endswith(s.prev, ':') THEN {gap} WHEN {opened} OR s.prev = ',' THEN {broken('s.depth')} ELSE '' END"
+
+    def state(depth: str, *pieces: str) -> str:
+        return f"named_struct('depth', {depth}, 'prev', t, 'out', concat(s.out, array({', '.join(pieces)})))"
+
+    step = f"""CASE WHEN t = ',' THEN {state("s.depth", "t")}
+        WHEN t IN ('{{', '[') THEN {state("s.depth + 1", lead, "t")}
         WHEN t IN ('}}', ']') THEN {state("s.depth - 1", f"CASE WHEN {opened} THEN '' ELSE {broken('s.depth - 1')} END", "t")}
-        WHEN t = ',' THEN {state("s.depth", "t")}
-        WHEN startswith(t, '"') AND endswith(t, ':') THEN {state("s.depth", lead, text(name), "':'", colon="true")}
-        WHEN startswith(t, '"') THEN {state("s.depth", lead, text("t"))}
         ELSE {state("s.depth", lead, "t")} END"""
-    start = "named_struct('depth', 0, 'prev', '', 'colon', false, 'out', CAST(array() AS array<string>))"
-    return Sql(f"aggregate(regexp_extract_all({json.text}, r'{JSON_KEY}|{JSON_TOKEN}', 0), {start}, (s, t) -> {step}, s -> array_join(s.out, ''))")
+    start = "named_struct('depth', 0, 'prev', '', 'out', CAST(array() AS array<string>))"
+    return Sql(f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> array_join(s.out, ''))")

@@ -18,9 +18,9 @@ from alertloom.streaming import jobs
 _HEAD = "Normalize this {} security alert to OCSF Detection Finding format.\n\n"
 
 
-def _chats(s, d):
+def _chats(s, d, dealt=False):
     """Built examples, one per event; some answers are broken on purpose."""
-    rows = bind.view(s, d, bind.EVENT).selectExpr(
+    rows = (bind.dealt if dealt else bind.view)(s, d, bind.EVENT).selectExpr(
         "id", "CASE WHEN id % 9 = 0 THEN 'palo-alto' ELSE ty END AS source", "props",
         "CASE id % 5 WHEN 0 THEN '{bad' WHEN 1 THEN '{\"class_uid\":1}' ELSE concat('{\"class_uid\":2004,\"n\":', k, '}') END AS answer",
     )
@@ -50,12 +50,12 @@ def _chat_validate(s, d):
 def _chat_files(s, d):
     """Chats written as lines, read back and checked; the good ones of each split, and the rejected lines with their reasons."""
     root = scratch(s, "chats")
-    files.write_chat(_chats(s, d), f"{root}/in")
+    files.write_chat(_chats(s, d, dealt=True), f"{root}/in", compression="gzip")
     bind.view(s, d, bind.EVENT).filter("id % 40 = 0").selectExpr("concat('not json ', id) AS value").write.text(f"{root}/broken")
     checked = training.check_chat(files.read_chat(s, f"{root}/*"))
     good = checked.filter("reject_reason IS NULL").withColumn("split", F.when(F.contains(training.user_message(), F.lit("purchase")), "val").otherwise("train"))
-    files.write_splits(good, f"{root}-split")
-    files.write_rejected(checked.filter("reject_reason IS NOT NULL"), f"{root}-rejected")
+    files.write_splits(good, f"{root}-split", compression="gzip")
+    files.write_rejected(checked.filter("reject_reason IS NOT NULL"), f"{root}-rejected", compression="gzip")
     sizes = [files.read_split(s, f"{root}-split", name).select(F.lit(name).alias("kind"), F.sha2(F.get("messages", F.lit(2))["content"], 256).alias("digest")) for name in ("train", "val")]
     strict = files.read_chat_strict(s, f"{root}/in").select(F.lit("strict").alias("kind"), F.sha2(training.user_message(), 256).alias("digest"))
     reasons = s.read.text(f"{root}-rejected").select(F.get_json_object("value", "$._reject_reason").alias("kind"), F.sha2(F.coalesce(F.get_json_object("value", "$._raw"), F.lit("")), 256).alias("digest"))
@@ -119,7 +119,7 @@ _FORM = """concat('{"id":', id, ',"ty":"', ty, '","l":[1,[],{"n":null}],"e":"é"
 
 def _json_forms(s, d):
     """One JSON text written over lines, in one line with other letters escaped, and compactly."""
-    made = once(bind.view(s, d, bind.EVENT), ["id"], j=Sql(_FORM))
+    made = once(bind.dealt(s, d, bind.EVENT), ["id"], j=Sql(_FORM))
     forms = {"lines": dumps(X.col("j"), indent=2), "one_ascii": dumps(X.col("j"), ascii_only=True), "compact": dumps(X.col("j"), compact=True)}
     return made.select("id", *columns(**forms))
 

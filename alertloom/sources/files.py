@@ -70,8 +70,9 @@ def read_chat_strict(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CHAT).option("mode", "FAILFAST").json(path)
 
 
-def write_chat(chats: DataFrame, path: str) -> None:
-    chats.select("messages").write.mode("errorifexists").json(path)
+def write_chat(chats: DataFrame, path: str, compression: str = "none") -> None:
+    """Chat lines.  Compressed files take little room, as all lines share the system prompt, but each is read by one task."""
+    chats.select("messages").write.mode("errorifexists").json(path, compression=compression)
 
 
 def write_chat_ordered(chats: DataFrame, order: str, path: str) -> None:
@@ -86,21 +87,21 @@ def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line", F.concat_ws(" ", "_file", pad("_block"), pad("_at")).alias("place"))
 
 
-def write_splits(splits: DataFrame, path: str) -> None:
-    """One folder per split."""
-    splits.select("messages", "split").write.mode("errorifexists").partitionBy("split").json(path)
+def write_splits(splits: DataFrame, path: str, compression: str = "none") -> None:
+    """One folder per split; ``compression``: see ``write_chat``."""
+    splits.select("messages", "split").write.mode("errorifexists").partitionBy("split").json(path, compression=compression)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.schema(f"{S.CHAT}, split string").json(path).filter(F.col("split") == split)
 
 
-def write_rejected(rejected: DataFrame, path: str) -> None:
-    """Rejected lines as objects: their own keys, or ``_raw`` where the line is no JSON object, and ``_reject_reason``."""
+def write_rejected(rejected: DataFrame, path: str, compression: str = "none") -> None:
+    """Rejected lines as objects: their own keys, or ``_raw`` where the line is no JSON object, and ``_reject_reason``; ``compression``: see ``write_chat``."""
     own = F.map_filter(F.try_variant_get(F.try_parse_json("line"), "$", "map<string,variant>"), lambda k, v: k != "_reject_reason")
     raw = F.create_map(F.lit("_raw"), F.col("line").cast("variant"))
     reason = F.create_map(F.lit("_reject_reason"), F.col("reject_reason").cast("variant"))
-    rejected.select(F.to_json(F.map_concat(F.coalesce(own, raw), reason)).alias("value")).write.mode("errorifexists").text(path)
+    rejected.select(F.to_json(F.map_concat(F.coalesce(own, raw), reason)).alias("value")).write.mode("errorifexists").text(path, compression=compression)
 
 
 def write_digests(digests: DataFrame, path: str) -> None:
