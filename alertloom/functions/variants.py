@@ -38,11 +38,13 @@ def parse_strict(json_text: Sql) -> Sql:
     as the first of two array elements makes left-over text show up.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit(f',"{_STRICT_END}"]')))
-    whole = F.try_variant_get(wrapped, "$[1]", "string") == _STRICT_END
-    return F.when(
-        whole & F.try_variant_get(wrapped, "$[2]", "variant").isNull(),
-        F.try_variant_get(wrapped, "$[0]", "variant"),
-    )
+
+    def first(w: Sql) -> Sql:
+        whole = F.try_variant_get(w, "$[1]", "string") == _STRICT_END
+        return F.when(whole & F.try_variant_get(w, "$[2]", "variant").isNull(), F.try_variant_get(w, "$[0]", "variant"))
+
+    # Parsed once, inside conditional expressions and lambdas too, where Spark does not share equal expressions.
+    return let(wrapped, first)
 
 
 class Doc(Sql):
@@ -141,7 +143,14 @@ def is_text(v: Sql, *keys: str) -> Sql:
 
 
 def is_object(v: Sql, *keys: str) -> Sql:
-    return F.startswith(F.coalesce(F.schema_of_variant(get(v, *keys)), ""), "OBJECT")
+    """A look at the outermost value; its schema would be that of all values inside."""
+    return Sql(f"(try_variant_get({get(v, *keys).text}, '$', 'struct<>') IS NOT NULL)")
+
+
+def given(v: Sql, *keys: str) -> Sql:
+    """Neither missing nor JSON null, as a text that is not NULL, without writing that text."""
+    x = get(v, *keys)
+    return Sql(f"({x.text} IS NOT NULL AND NOT is_variant_null({x.text}))")
 
 
 def is_list(v: Sql, *keys: str) -> Sql:

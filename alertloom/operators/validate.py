@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as SF
 
@@ -10,7 +12,7 @@ from alertloom.functions import build as B
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F, Sql, columns
 from alertloom.functions.stage import once
-from alertloom.functions.text import JSON_TOKEN
+from alertloom.functions.text import MAY_HOLD_EMPTIES
 
 # --- fixed values of the label check ----------------------------------------
 REQUIRED = (
@@ -85,31 +87,34 @@ def _label_errors(doc: V.Doc) -> list[Sql]:
 def empty_fields(v: Sql) -> Sql:
     """Messages for every null, "", [] or {} inside, depth first, with its path, at any depth.
 
-    One pass over the tokens of the JSON text.  ``stack`` holds the open objects and
-    lists with their path and, for a list, the place of the item; ``prev`` tells
-    what a token stands for.
+    One pass over the brackets, keys, commas and empty values of the JSON text, where it holds an empty value at all.
+    ``kind, path, place`` are those of the innermost open object or list, ``stack`` has those of the ones around it.
     """
-    top, size = "get(s.stack, size(s.stack) - 1)", "size(s.stack)"
-    at = f"""CASE WHEN {size} = 0 THEN '' WHEN {top}.kind = '[' THEN concat({top}.path, '[', {top}.place, ']')
-        WHEN {top}.path = '' THEN s.key ELSE concat({top}.path, '.', s.key) END"""
-    note = lambda p: f"concat(s.out, array(concat(CASE WHEN endswith({p}, ']') THEN 'Null/empty item found: ' ELSE 'Null/empty field found: ' END, {p})))"
-    name = "CASE WHEN instr(t, '\\\\') = 0 THEN substr(t, 2, length(t) - 2) ELSE from_json(concat('[', t, ']'), 'array<string>')[0] END"
+    at = """CASE s.kind WHEN '' THEN '' WHEN '[' THEN concat(s.path, '[', s.place, ']') ELSE CASE WHEN s.path = '' THEN s.key ELSE concat(s.path, '.', s.key) END END"""
+    note = f"transform(array({at}), p -> concat(CASE WHEN endswith(p, ']') THEN 'Null/empty item found: ' ELSE 'Null/empty field found: ' END, p))"
+    name = "CASE WHEN instr(t, '\\\\') = 0 THEN substr(t, 2, length(t) - 3) ELSE from_json(concat('[', left(t, length(t) - 1), ']'), 'array<string>')[0] END"
 
-    def state(stack: str = "s.stack", key: str = "s.key", prev: str = "t", out: str = "s.out") -> str:
-        return f"named_struct('stack', {stack}, 'key', {key}, 'prev', {prev}, 'out', {out})"
+    def state(kind: str = "s.kind", path: str = "s.path", place: str = "s.place", key: str = "s.key", stack: str = "s.stack", out: str = "s.out") -> str:
+        return f"named_struct('kind', {kind}, 'path', {path}, 'place', {place}, 'key', {key}, 'stack', {stack}, 'out', {out})"
 
-    below = f"slice(s.stack, 1, {size} - 1)"
+    around = "named_struct('kind', s.kind, 'path', s.path, 'place', s.place)"
+    last = "element_at(s.stack, -1)"
     step = f"""CASE
-        WHEN t IN ('{{', '[') THEN {state(f"concat(s.stack, array(named_struct('kind', t, 'path', {at}, 'place', 0)))")}
-        WHEN t IN ('}}', ']') THEN {state(below, out=f"CASE WHEN s.prev IN ('{{', '[') AND {size} > 1 THEN {note(f'{top}.path')} ELSE s.out END")}
-        WHEN t = ',' AND {top}.kind = '[' THEN {state(f"concat({below}, array(named_struct('kind', {top}.kind, 'path', {top}.path, 'place', {top}.place + 1)))")}
-        WHEN t IN (',', ':') THEN {state()}
-        WHEN {top}.kind = '{{' AND s.prev <> ':' THEN {state(key=name)}
-        WHEN t IN ('null', '""') AND {size} > 0 THEN {state(out=note(at))}
-        ELSE {state()} END"""
-    start = "named_struct('stack', cast(array() AS array<struct<kind:string,path:string,place:int>>), 'key', '', 'prev', '', 'out', cast(array() AS array<string>))"
-    tokens = f"regexp_extract_all(to_json({v.text}), r'{JSON_TOKEN}', 0)"
-    return Sql(f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> s.out)")
+        WHEN endswith(t, ':') THEN {state(key=name)}
+        WHEN t = ',' THEN CASE WHEN s.kind = '[' THEN {state(place="s.place + 1")} ELSE s END
+        WHEN t IN ('{{', '[') THEN {state("t", at, "0", stack=f"concat(s.stack, array({around}))")}
+        WHEN t IN ('}}', ']') THEN {state(f"{last}.kind", f"{last}.path", f"{last}.place", stack="slice(s.stack, 1, size(s.stack) - 1)")}
+        WHEN s.kind = '' THEN s
+        ELSE {state(out=f"concat(s.out, {note})")} END"""
+    start = "named_struct('kind', '', 'path', '', 'place', 0, 'key', '', 'stack', cast(array() AS array<struct<kind:string,path:string,place:int>>), 'out', cast(array() AS array<string>))"
+    fold = lambda text: f"aggregate(regexp_extract_all({text}, r'{_EMPTY_MARKS}', 1), {start}, (s, t) -> {step}, s -> s.out)"
+    none = "cast(array() AS array<string>)"
+    return V.let(F.to_json(v), lambda text: Sql(f"CASE WHEN NOT rlike({text.text}, r'{MAY_HOLD_EMPTIES}') THEN {none} ELSE {fold(text.text)} END"))
+
+
+# Keys with their colon, brackets, commas and empty values of compact JSON, one after the other; other values are passed over.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_EMPTY_MARKS = rf'(?:(?!""){_STRING}(?!:)|(?!null)[^\s"\[\]{{}},:]++)*+({_STRING}:|""|null|\[\]|\{{\}}|[\[\]{{}},])'
 
 
 # --- model schema -----------------------------------------------------------
@@ -137,7 +142,7 @@ def check_model(df: DataFrame, doc: str) -> DataFrame:
     cleaning did not happen.
     """
     root = V.Doc(f"`{doc}`", "_m")
-    lists: list[Sql] = []
+    lists = _Apart()
     value, errors = _object(S.FINDING_FIELDS, root, [], lists)
     tree = root.tree()
     opened = df
@@ -145,10 +150,10 @@ def check_model(df: DataFrame, doc: str) -> DataFrame:
         opened = opened.select("*", *columns(**{d.alias_: d.opened() for d in tree if d.level == level}))
     # Lists of objects are checked first, once, and then used for values and messages.
     listed = once(
-        opened, [*df.columns, *[d.alias_ for d in tree]], **{f"{_LIST}{i}": c for i, c in enumerate(lists)}
+        opened, [*df.columns, *[d.alias_ for d in tree]], **lists.named
     )
     found = once(listed, df.columns, _errors=_joined(errors), _value=value)
-    is_object = F.startswith(F.coalesce(F.schema_of_variant(F.col(doc)), ""), "OBJECT")
+    is_object = V.is_object(F.col(doc))
     all_errors = (
         F.when(~is_object, F.array("Expected dict"))
         .when(F.col("_errors") == "", F.array().cast("array<string>"))
@@ -182,35 +187,61 @@ def _loc(loc: list, message: str) -> Sql:
     return F.concat(*parts) if len(parts) > 1 else F.lit(parts[0])
 
 
-_LIST = "_list"
+class _Apart:
+    """Checked lists that are used for values and for messages: each is computed once, under a name of its own, ahead of both."""
+
+    def __init__(self, holder: str = ""):
+        self.holder = holder
+        self.named: dict[str, Sql] = {}
+
+    def put(self, checked: Sql) -> Sql:
+        name = f"_list{len(self.named)}"
+        self.named[name] = checked
+        return Sql(f"{self.holder}{name}")
+
+
+_holders = itertools.count()
+
+
+def _element(fields: dict[str, S.Field], e: V.Doc, place: list) -> Sql:
+    """Value ``v`` and messages ``e`` of one object of a list."""
+    holder = f"u{next(_holders)}"
+    apart = _Apart(f"{holder}.")
+    inner, found = _object(fields, e, place, apart, inner=True)
+    not_object = F.when(~V.is_object(e), _loc(place, _MESSAGES["obj"]))
+    body = F.struct(inner.alias("v"), _joined([not_object, *found]).alias("e"))
+    if not apart.named:
+        return body
+    lists = F.struct(*[c.alias(n) for n, c in apart.named.items()])
+    return Sql(f"element_at(transform(array({lists.text}), {holder} -> {body.text}), 1)")
 
 
 def _object(
-    fields: dict[str, S.Field], doc: V.Doc, loc: list, lists: list[Sql] | None = None
+    fields: dict[str, S.Field], doc: V.Doc, loc: list, lists: _Apart, inner: bool = False
 ) -> tuple[Sql, list[Sql]]:
-    """Struct of the fields' values, and their messages.  ``lists`` collects lists of objects to be
-    checked in a stage of their own; inside a list there is no such stage."""
+    """Struct of the fields' values, and their messages.  ``lists`` takes the lists of objects and the chains, to be
+    checked ahead; ``inner``: inside a list, where nothing is compiled."""
     values, errors = [], []
     inside = V.is_object(doc) if loc else None
     for name, field in fields.items():
-        value, found = _field(field, V.get(doc, name), [*loc, name], inside, lists)
+        value, found = _field(field, V.get(doc, name), [*loc, name], inside, lists, inner)
         values.append(value.alias(name))
         errors += found
     return F.struct(*values), errors
 
 
 def _field(
-    field: S.Field, x: V.Doc, loc: list, inside: Sql | None, lists: list[Sql] | None
+    field: S.Field, x: V.Doc, loc: list, inside: Sql | None, lists: _Apart, inner: bool
 ) -> tuple[Sql, list[Sql]]:
     t = V.text(x)
-    given = t.isNotNull()
+    given = V.given(x)
     optional = not field.required and field.default is None
     errors: list[Sql] = []
     if field.required:
         absent = x.isNull() if inside is None else inside & x.isNull()
         errors.append(F.when(absent, _loc(loc, "Field required")))
     if not optional:
-        errors.append(F.when(x.isNotNull() & t.isNull(), _loc(loc, _MESSAGES[field.kind])))
+        errors.append(F.when(x.isNotNull() & ~given, _loc(loc, _MESSAGES[field.kind])))
     wrong = lambda ok: F.when(given & ~F.coalesce(ok, False), _loc(loc, _MESSAGES[field.kind]))
 
     if field.kind == "text":
@@ -233,21 +264,16 @@ def _field(
     elif field.kind in ("texts", "ints"):
         value, bad = _scalar_list(field, x, loc, wrong)
     elif field.kind == "chain":
-        value, bad = _chain(field, x, given, loc)
+        value, bad = _chain(field, x, given, loc, lists)
     elif field.kind == "obj":
-        inner, bad = _object(field.fields, x, loc, lists)
-        value = F.when(V.is_object(x), inner)
+        fields, bad = _object(field.fields, x, loc, lists, inner)
+        value = F.when(V.is_object(x), fields)
+        if inner:
+            # Most objects are missing; what is in them is then not looked at.
+            bad = [F.when(V.is_object(x), F.nullif(_joined(bad), ""))]
         bad = [wrong(V.is_object(x)), *bad]
     else:
-        def element(e: V.Doc, i: Sql) -> Sql:
-            inner, found = _object(field.fields, e, [*loc, i])
-            not_object = F.when(~V.is_object(e), _loc([*loc, i], _MESSAGES["obj"]))
-            return F.struct(inner.alias("v"), _joined([not_object, *found]).alias("e"))
-
-        checked = V.over(V.items(x), element)
-        if lists is not None:
-            lists.append(checked)
-            checked = F.col(f"{_LIST}{len(lists) - 1}")
+        checked = lists.put(V.over(V.items(x), lambda e, i: _element(field.fields, e, [*loc, i])))
         value = F.transform(checked, lambda c: c["v"])
         messages = F.filter(F.transform(checked, lambda c: c["e"]), lambda m: m != "")
         bad = [wrong(V.is_list(x)), F.nullif(F.array_join(messages, "\n"), "")]
@@ -256,20 +282,18 @@ def _field(
     return value, [*errors, *bad]
 
 
-def _chain(field: S.Field, x: V.Doc, given: Sql, loc: list) -> tuple[Sql, list[Sql]]:
+def _chain(field: S.Field, x: V.Doc, given: Sql, loc: list, lists: _Apart) -> tuple[Sql, list[Sql]]:
     """An object and all those above it, checked as one list, however long the chain is, and put together again."""
     above = f"try_variant_get(element_at(c, -1), '$.{S.PARENT}', 'variant')"
     # The key's count in the text is the most links there can be.
     most = f"size(split({V.text(x)}, '\"{S.PARENT}\":'))"
-    links = F.filter(Sql(f"aggregate(sequence(1, {most}), array({x}), (c, i) -> concat(c, array({above})))"), lambda e: V.text(e).isNotNull())
+    links = F.filter(Sql(f"aggregate(sequence(1, {most}), array({x}), (c, i) -> concat(c, array({above})))"), lambda e: V.given(e))
 
     def element(e: V.Doc, i: Sql) -> Sql:
         place = [*loc[:-1], Sql(f"concat(\"'{loc[-1]}'\", repeat(\", '{S.PARENT}'\", {i}))")]
-        inner, found = _object(field.fields, e, place)
-        not_object = F.when(~V.is_object(e), _loc(place, _MESSAGES["obj"]))
-        return F.struct(inner.alias("v"), _joined([not_object, *found]).alias("e"))
+        return _element(field.fields, e, place)
 
-    checked = V.over(links, element)
+    checked = lists.put(F.when(given, V.over(links, element)))
 
     def typed(c: Sql, level: int) -> Sql:
         if level == field.levels:
@@ -284,9 +308,9 @@ def _chain(field: S.Field, x: V.Doc, given: Sql, loc: list) -> tuple[Sql, list[S
 
 def _rest(c: Sql, level: int) -> Sql:
     """The checked objects from ``level`` on as nested JSON, each in the one below it."""
-    own = "left(to_json(e.v), length(to_json(e.v)) - 1)"
-    nested = f"""aggregate(reverse(slice({c}, {level + 1}, greatest(size({c}) - {level}, 0))), CAST(NULL AS string),
-        (a, e) -> CASE WHEN a IS NULL THEN to_json(e.v) ELSE concat({own}, CASE WHEN to_json(e.v) = '{{}}' THEN '' ELSE ',' END, '"{S.PARENT}":', a, '}}') END)"""
+    texts = f"transform(slice({c}, {level + 1}, greatest(size({c}) - {level}, 0)), e -> to_json(e.v))"
+    nested = f"""aggregate(reverse({texts}), CAST(NULL AS string),
+        (a, j) -> CASE WHEN a IS NULL THEN j ELSE concat(left(j, length(j) - 1), CASE WHEN j = '{{}}' THEN '' ELSE ',' END, '"{S.PARENT}":', a, '}}') END)"""
     return F.when(F.size(c) > level, F.parse_json(Sql(nested)))
 
 

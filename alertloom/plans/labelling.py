@@ -104,7 +104,7 @@ def _null_paths(s, d):
     """Empty values at various depths, with their paths."""
     core = """'{"x":null,"y":[1,{}],"z":""}'"""
     text = f"""concat('{{"m":', repeat('[{{"k":', id % 20), {core}, repeat('}}]', id % 20), '}}')"""
-    made = once(bind.view(s, d, bind.EVENT), ["id"], v=Sql(f"parse_json({text})"))
+    made = once(bind.dealt(s, d, bind.EVENT), ["id"], v=Sql(f"parse_json({text})"))
     return once(made, ["id"], found=X.concat_ws(";", validate.empty_fields(X.col("v"))))
 
 
