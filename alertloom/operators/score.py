@@ -10,7 +10,7 @@ from alertloom import schemas as S
 from alertloom.functions import variants as V
 from alertloom.functions.sql import F, Sql, columns
 from alertloom.functions.stage import deal, once
-from alertloom.functions.text import JSON_KEY, JSON_TOKEN, extract_json, source_json
+from alertloom.functions.text import JSON_KEY, JSON_TOKEN, found_json
 from alertloom.operators import validate
 
 # --- fixed values -----------------------------------------------------------
@@ -178,13 +178,13 @@ def _source_leaves(text: Sql) -> Sql:
     string = "CASE WHEN instr(t, '\\\\') = 0 THEN substr(t, 2, length(t) - 2) ELSE from_json(concat('[', t, ']'), 'array<string>')[0] END"
     number = "try_variant_get(try_parse_json(t), '$', 'string')"
     as_text, as_number = Sql(string), Sql(number)
-    leaf = f"CASE WHEN startswith(t, '\"') THEN {_text_leaf(as_text)} WHEN t NOT IN ('true', 'false', 'null') THEN {_number_leaf(as_number.cast('double'), as_number)} END"
+    leaf = f"CASE WHEN startswith(t, '\"') THEN {V.let(as_text, _text_leaf)} WHEN t NOT IN ('true', 'false', 'null') THEN {V.let(as_number, lambda n: _number_leaf(n.cast('double'), n))} END"
     state = lambda depth="s.depth", out="s.out": f"named_struct('depth', {depth}, 'out', {out})"
-    step = f"""CASE WHEN t IN ('{{', '[') THEN {state("s.depth + 1")} WHEN t IN ('}}', ']') THEN {state("s.depth - 1")}
-        WHEN s.depth > {LEAF_DEPTH} OR size(s.out) >= {LEAF_LIMIT} OR t = ',' OR endswith(t, ':') THEN s
+    step = f"""CASE WHEN size(s.out) >= {LEAF_LIMIT} THEN s WHEN t IN ('{{', '[') THEN {state("s.depth + 1")} WHEN t IN ('}}', ']') THEN {state("s.depth - 1")}
+        WHEN s.depth > {LEAF_DEPTH} THEN s
         ELSE {state(out=f"concat(s.out, array_compact(array({leaf})))")} END"""
     start = "named_struct('depth', 0, 'out', CAST(array() AS array<string>))"
-    return Sql(f"aggregate(regexp_extract_all({text}, r'{JSON_KEY}|{JSON_TOKEN}', 0), {start}, (s, t) -> {step}, s -> s.out)")
+    return Sql(f"aggregate(regexp_extract_all({text}, r'(?:{JSON_KEY}|[,:\\s])*+({JSON_TOKEN})', 1), {start}, (s, t) -> {step}, s -> s.out)")
 
 
 def _walk(v: Sql, depth: int) -> Sql:
@@ -227,10 +227,11 @@ def normalize(df: DataFrame, raw_log: str = "raw_log", answer: str = "model_outp
             F.parse_json(F.to_json(F.struct(F.col(raw_log).alias("raw"))))
         ),
     )
-    read = once(deal(df, partitions), df.columns, _doc=extract_json(F.col(answer)), _raw=raw)
+    read = once(deal(df, partitions), df.columns, _found=found_json(F.col(answer)), _raw=raw)
+    read = read.select(*df.columns, *columns(_doc=F.col("_found.doc"), _source=F.col("_found.text")), "_raw")
     checked = validate.check_model(read, "_doc")
-    scored = score(checked, "_raw", "_doc", source=source_json(F.col(answer)), parity=parity)
-    doc, is_object = F.col("_doc"), F.startswith(F.coalesce(F.schema_of_variant(F.col("_doc")), ""), "OBJECT")
+    scored = score(checked, "_raw", "_doc", source=F.col("_source"), parity=parity)
+    doc, is_object = F.col("_doc"), V.is_object(F.col("_doc"))
     error = F.when(doc.isNull(), "JSON extraction failed").when(~is_object, "not_object")
     ok = F.col("error").isNull()
     messages = F.concat(F.col("errors"), F.col("stripped"))
