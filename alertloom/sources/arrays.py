@@ -35,39 +35,74 @@ def _sum(column: str, window: WindowSpec) -> Column:
 def _scanned(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The pieces with what is known inside their range, once for a range that starts outside a string (0) and once for one that starts inside (1).
 
-    ``odd``: quotes up to the end of the piece; ``d0, d1``: depth after the piece; ``e0, e1``: whether the brace that ends it counts.
+    ``odd``: quotes up to the end of the piece; ``d0, d1``: depth after the piece and its brace; ``last``: whether it is the last
+    of its range; ``opens``, on the first of a range alone: whether it starts with a bracket.
     """
     bare = F.replace(F.replace("value", F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
     count = lambda text, signs: F.length(text) - F.length(F.translate(text, signs, ""))
-    pieces = _pieces(spark, path, "}")
-    ends = pieces.groupBy("file").agg(F.max(F.struct("block", "at")).alias("end"))
-    counted = pieces.join(ends, "file").withColumn("bare", bare).withColumn("quotes", count(F.col("bare"), '"'))
-    # The last piece of a file has no brace after it.
-    counted = counted.withColumn("closed", F.struct("block", "at") != F.col("end")).drop("end")
-    local = counted.withColumn("odd", F.sum("quotes").over(_before("at", "file", "block", own=True)))
+    # What is counted is counted in the few signs of a piece, ahead of the shuffle.
+    pieces = _pieces(spark, path, "}").withColumn("signs", F.regexp_replace(bare, r'[^"\[\]{}]+', ""))
+    for start, signs in enumerate((F.col("signs"), F.concat(F.lit('"'), "signs"))):
+        pieces = pieces.withColumn(f"_out{start}", F.regexp_replace(signs, '"[^"]*("|$)', ""))
+    steps = [(count(F.col(f"_out{start}"), "{[") - count(F.col(f"_out{start}"), "]}")).alias(f"_step{start}") for start in (0, 1)]
+    counted = pieces.select("file", "block", "at", "value", count(F.col("signs"), '"').alias("quotes"), *steps)
+    upto, place = _before("at", "file", "block", own=True), Window.partitionBy("file", "block").orderBy("at")
+    local = counted.select(
+        "*",
+        F.sum("quotes").over(upto).alias("odd"),
+        F.lead("at").over(place).isNull().alias("last"),
+        F.when(F.lag("at").over(place).isNull(), F.col("value").rlike(r"^\s*\[")).alias("opens"),
+    )
     for start in (0, 1):
         inside = (F.col("odd") - F.col("quotes") + start) % 2 == 1
-        outside = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), "bare")).otherwise(F.col("bare")), '"[^"]*("|$)', "")
-        ended = F.col("closed") & ((F.col("odd") + start) % 2 == 0)
-        step = count(outside, "{[") - count(outside, "]}") - F.when(ended, 1).otherwise(0)
-        local = local.withColumn(f"e{start}", ended).withColumn(f"_step{start}", step)
-    for start in (0, 1):
-        local = local.withColumn(f"d{start}", F.sum(f"_step{start}").over(_before("at", "file", "block", own=True)))
-    local.select("file", "block", "at", "value", "odd", "closed", "d0", "d1", "e0", "e1").write.mode("errorifexists").parquet(table)
+        step = F.when(inside, F.col("_step1")).otherwise(F.col("_step0")) - F.when(_outside(start), 1).otherwise(0)
+        local = local.withColumn(f"_deep{start}", step)
+    deep = [F.sum(f"_deep{start}").over(upto).alias(f"d{start}") for start in (0, 1)]
+    local.select("file", "block", "at", "value", "odd", *deep, "last", "opens").write.mode("errorifexists").parquet(table)
     return spark.read.parquet(table)
 
 
-def _grouped(pieces: DataFrame, ends: Column, starts: bool = False) -> DataFrame:
-    """Adds ``element``, the number of pieces before (with ``starts``, up to) each one for which ``ends`` holds, over ranges of a file."""
-    marked = pieces.withColumn("_mark", F.coalesce(ends, F.lit(False)).cast("long"))
-    offsets = marked.groupBy("file", "block").agg(F.sum("_mark").alias("_n")).withColumn("_offset", _sum("_n", _before("block", "file"))).drop("_n")
-    local = marked.withColumn("_local", _sum("_mark", _before("at", "file", "block", own=starts)))
-    return local.join(offsets, ["file", "block"]).withColumn("element", F.col("_local") + F.col("_offset"))
+def _outside(start: int | Column) -> Column:
+    """Whether the brace after a piece is outside strings, for a range with that start."""
+    return (F.col("odd") + start) % 2 == 0
+
 
+def _ranges(scanned: DataFrame, table: str) -> DataFrame:
+    """A row a range: ``start`` and ``depth`` it begins with, ``end``, the last piece of its file if it is there, and the ``kind`` of the file.
 
-def _joined(grouped: DataFrame, sign: str) -> DataFrame:
-    parts = grouped.groupBy("file", "element").agg(F.sort_array(F.collect_list(F.struct("block", "at", "text"))).alias("p"))
-    return parts.select("file", F.col("element").alias("pos"), F.array_join("p.text", sign).alias("text"))
+    The last piece of a file has no brace after it.
+    """
+    own = lambda name: F.max(F.when(F.col("last"), F.col(name))).alias(name)
+    found = scanned.filter("last OR opens IS NOT NULL").groupBy("file", "block").agg(*[own(c) for c in ("odd", "d0", "d1", "at")], F.max("opens").alias("opens"))
+    by_block, whole = _before("block", "file"), Window.partitionBy("file")
+    ranges = found.withColumn("start", _sum("odd", by_block) % 2)
+    ranges = ranges.withColumn("end", F.when(F.lead("block").over(whole.orderBy("block")).isNull(), F.col("at")))
+    unclosed = F.when(F.col("end").isNotNull() & _outside(F.col("start")), 1).otherwise(0)
+    ranges = ranges.withColumn("deep", F.when(F.col("start") == 1, F.col("d1")).otherwise(F.col("d0")) + unclosed)
+    ranges = ranges.withColumn("depth", _sum("deep", by_block))
+    is_array = F.first("opens").over(_before("block", "file", own=True).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    closed = (F.sum("odd").over(whole) % 2 == 0) & (F.sum("deep").over(whole) == 0)
+    kind = F.when(~is_array, "other").when(closed, "array").otherwise("broken")
+    ranges.select("file", "block", "start", "depth", "end", kind.alias("kind")).write.mode("errorifexists").parquet(table)
+    return scanned.sparkSession.read.parquet(table)
+
+
+def _offsets(marks: DataFrame) -> DataFrame:
+    """Ranges with ``offset``, the number of marks in those before, from the number ``n`` of their own."""
+    return marks.withColumn("offset", _sum("n", _before("block", "file"))).drop("n")
+
+
+def _joined(pieces: DataFrame, sign: str, starts: bool = False) -> DataFrame:
+    """Elements put together from pieces ``file, block, at, text, mark, offset``: a mark ends one, or with ``starts`` begins one.
+
+    Pieces are joined inside their range first, so that few rows are dealt by element; these are dealt into as many
+    partitions as the session shuffles into, since what follows is costly for their bytes.
+    """
+    local = pieces.withColumn("pos", F.col("offset") + _sum("mark", _before("at", "file", "block", own=starts)))
+    put = lambda by: F.array_join(F.sort_array(F.collect_list(F.struct(by, "text")))["text"], sign).alias("text")
+    inside = local.groupBy("file", "block", "pos").agg(put("at"))
+    dealt = inside.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "pos")
+    return dealt.groupBy("file", "pos").agg(put("block"))
 
 
 def _recovered(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
@@ -76,9 +111,12 @@ def _recovered(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     # The bracket of the array may stand on the line of the first element.
     text = F.regexp_replace("value", r"^(\s*)\[(\s*\{)", "$1$2")
     brace = lines.withColumn("text", text).withColumn("indent", F.when(F.col("text").rlike(r"^\s*\{"), F.length(F.regexp_extract("text", r"^\s*", 0))))
-    least = brace.groupBy("file").agg(F.min("indent").alias("least"))
-    numbered = _grouped(brace.join(least, "file"), F.col("indent") == F.col("least"), starts=True)
-    joined = _joined(numbered, "\n").filter("pos > 0 OR NOT text RLIKE '^\\\\s*\\\\[?\\\\s*$'")
+    indents = brace.groupBy("file", "block", "indent").agg(F.count("*").alias("_rows"))
+    indents = indents.withColumn("least", F.min("indent").over(Window.partitionBy("file")))
+    marks = indents.groupBy("file", "block", "least").agg(F.coalesce(F.sum(F.when(F.col("indent") == F.col("least"), F.col("_rows"))), F.lit(0)).alias("n"))
+    mark = F.coalesce((F.col("indent") == F.col("least")).cast("long"), F.lit(0)).alias("mark")
+    marked = brace.join(_offsets(marks), ["file", "block"]).select("file", "block", "at", "text", mark, "offset")
+    joined = _joined(marked, "\n", starts=True).filter("pos > 0 OR NOT text RLIKE '^\\\\s*\\\\[?\\\\s*$'")
     # After the last element the array is closed.
     kept = F.regexp_replace(F.regexp_replace("text", _TAIL, ""), r"\s*\]$", "")
     return joined.select("file", "pos", F.regexp_replace(kept, _TAIL, "").alias("text"))
@@ -91,29 +129,23 @@ def elements(spark: SparkSession, path: str, table: str) -> DataFrame:
     start lines of their own (indented or not); in a file of one line everything from an unclosed
     one on is one row.  A file that is no array is one row without text, an empty array none.
     """
-    scanned = _scanned(spark, path, table)
-    last = lambda name: F.max_by(name, "at").alias(name)
-    ranges = scanned.groupBy("file", "block").agg(last("odd"), last("d0"), last("d1")).withColumn("start", _sum("odd", _before("block", "file")) % 2)
-    ranges = ranges.withColumn("deep", F.when(F.col("start") == 1, F.col("d1")).otherwise(F.col("d0")))
-    ranges = ranges.withColumn("depth", _sum("deep", _before("block", "file")))
-    first = scanned.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("head"))
-    whole = ranges.groupBy("file").agg(F.sum("odd").alias("quotes"), F.sum("deep").alias("open")).join(first, "file")
-    is_array = F.col("head").rlike(r"^\s*\[")
-    balanced = whole.filter(is_array & (F.col("quotes") % 2 == 0) & (F.col("open") == 0)).select("file")
-    broken = whole.filter(is_array & ((F.col("quotes") % 2 != 0) | (F.col("open") != 0))).select("file")
-    other = whole.filter(~is_array).select("file", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"))
-
-    placed = scanned.join(ranges.select("file", "block", "start", "depth"), ["file", "block"]).join(balanced, "file", "left_semi")
-    ended = F.when(F.col("start") == 1, F.col("e1")).otherwise(F.col("e0"))
+    scanned = _scanned(spark, path, f"{table}/pieces")
+    ranges = _ranges(scanned, f"{table}/ranges")
+    of_kind = lambda kind: ranges.filter(F.col("kind") == kind)
+    broken = of_kind("broken").select("file").distinct()
+    other = of_kind("other").select("file").distinct().select("file", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"))
+
+    placed = scanned.join(of_kind("array").drop("kind"), ["file", "block"])
+    closed = F.col("end").isNull() | (F.col("at") != F.col("end"))
     after = F.col("depth") + F.when(F.col("start") == 1, F.col("d1")).otherwise(F.col("d0"))
-    marked = _grouped(placed.withColumn("text", F.when(F.col("closed"), F.concat("value", F.lit("}"))).otherwise(F.col("value"))), ended & (after == 1))
-    joined = _joined(marked, "")
+    ends = (closed & _outside(F.col("start")) & (after == 1)).cast("long").alias("mark")
+    marked = placed.select("file", "block", "at", F.when(closed, F.concat("value", F.lit("}"))).otherwise(F.col("value")).alias("text"), ends)
+    offsets = _offsets(marked.groupBy("file", "block").agg(F.sum("mark").alias("n")))
+    joined = _joined(marked.join(offsets, ["file", "block"]), "")
     text = F.regexp_replace(F.when(F.col("pos") == 0, F.regexp_replace("text", r"^\s*\[", "")).otherwise(F.col("text")), _LEAD, "")
     # What follows the last object, and other elements than objects.
-    rest = F.regexp_replace(text, r"^(\s*)\]\s*$", "")
-    listed = F.from_json(F.concat(F.lit("["), F.regexp_replace(rest, r"\]\s*$", ""), F.lit("]")), "array<string>")
-    found = joined.select("file", "pos", rest.alias("text"), listed.alias("listed")).filter("text <> ''")
-    one = found.filter("text LIKE '{%'").select("file", "pos", "text")
-    many = found.filter("NOT text LIKE '{%'").select("file", "pos", F.explode(F.coalesce("listed", F.array("text"))).alias("text"))
-    strict = one.unionByName(many).unionByName(other)
+    rest = joined.select("file", "pos", F.regexp_replace(text, r"^(\s*)\]\s*$", "").alias("text"))
+    listed = F.from_json(F.concat(F.lit("["), F.regexp_replace("text", r"\]\s*$", ""), F.lit("]")), "array<string>")
+    texts = F.when(F.col("text") == "", F.array().cast("array<string>")).when(F.col("text").startswith("{"), F.array("text")).otherwise(F.coalesce(listed, F.array("text")))
+    strict = rest.select("file", "pos", F.explode(texts).alias("text")).unionByName(other)
     return strict if broken.isEmpty() else strict.unionByName(_recovered(spark, path, broken))
