@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from alertloom.sources import files
+from alertloom.plans import labelling
+from alertloom.sources import arrays, files
 
 
 @pytest.fixture
@@ -59,3 +61,43 @@ def test_other_files(spark, tmp_path):
     for text, want in cases.items():
         (tmp_path / "a.json").write_text(text)
         assert [bad for _, _, bad in read(spark, tmp_path / "a.json")] == want, text
+
+
+def test_files_are_read_once_and_lines_of_broken_ones_twice(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("[" + ",\n".join(json.dumps({"n": i}) for i in range(30)) + "]")
+    (tmp_path / "in" / "b.json").write_text("[\n" + ",\n".join(['{"open": [1', *(json.dumps({"n": i}) for i in range(9))]) + "\n]")
+    made = arrays._pieces
+    seen = {"}": spark.sparkContext.accumulator(0), None: spark.sparkContext.accumulator(0)}
+
+    def counted(spark, path, separator):
+        count = seen[separator]
+
+        @F.udf("long")
+        def same(at):
+            count.add(1)
+            return at
+
+        df = made(spark, path, separator)
+        # The place of a piece, the text of a line.
+        return df.withColumn("at", same("at")) if separator else df.withColumn("value", F.when(same(F.length("value")) >= 0, F.col("value")))
+
+    monkeypatch.setattr(arrays, "_pieces", counted)
+    got = arrays.elements(spark, str(tmp_path / "in"), str(tmp_path / "scanned")).collect()
+    assert len(got) == 40
+    assert seen["}"].value == 31 + 10
+    assert seen[None].value <= 2 * (30 + 12)
+
+
+def test_query_lists_one_folder_of_files_of_a_thousand_elements(spark, tmp_path, monkeypatch):
+    rows = spark.range(2600).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    root = tmp_path / "arrays"
+    monkeypatch.setattr(labelling, "scratch", lambda spark, prefix: str(tmp_path / prefix))
+    got = labelling.QUERIES["read_json_arrays"](spark, str(tmp_path)).collect()
+    bad = {i for i in range(2600) if i % 777 == 5 or i % 3000 == 1500}
+    assert sorted(r.id for r in got if not r.bad_json) == sorted(set(range(2600)) - bad)
+    assert sum(r.bad_json for r in got) == len(bad)
+    assert not any(r.with_id for r in got)
+    assert not [p for p in root.iterdir() if p.is_dir()]
+    assert sorted(p.read_text().count("\n") - 2 for p in root.glob("part-*")) == [600, 1000, 1000]
